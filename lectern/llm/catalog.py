@@ -1,6 +1,14 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import url_filter
+from lectern.llm import mixing, quality, url_filter
 
-QUERIES = {"op10_url_filters": url_filter.op10_url_filters}
-ORACLES = {"op10_url_filters": url_filter.SQL}
+QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op10_url_filters": url_filter.op10_url_filters,
+}
+ORACLES = {
+    "op3_mixing": mixing.SQL,
+    "op4_quality_rules": quality.SQL,
+    "op10_url_filters": url_filter.SQL,
+}
