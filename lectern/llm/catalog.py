@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import mixing, quality, url_filter
+from lectern.llm import mixing, packing, quality, token_counts, url_filter
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op8_packing": packing.op8_packing,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
 }
 ORACLES = {
