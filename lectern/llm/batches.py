@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes that a task handles at a time (a single longer text is handled alone).
 SLICE_BYTES = 8 << 20
@@ -15,7 +16,7 @@ _tokenizers: dict = {}
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` has about ``most`` bytes at most."""
-    ends = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    ends = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < batch.num_rows:
         past = ends[at - 1] if at else 0
