@@ -15,6 +15,8 @@ input other than id and text are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,11 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 
 _SYMBOL = r"[#*$%&|<>]"
-_END = r"""[.!?:;\x{2026}\x{3002}\x{ff01}\x{ff1f}]["'\x{201d}\x{2019}\x{bb})\]]*[\x20\x09-\x0D]*$"""
+#: What may follow the mark that ends a sentence, and the marks.
+_CLOSERS = "\"'\u201d\u2019\u00bb)] \t\x0b\x0c\r"
+_MARKS = (".", "!", "?", ":", ";", "\u2026", "\u3002", "\uff01", "\uff1f")
 _MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|register|search|next|previous|back to top|share|tweet|subscribe|read more|click here|contact us|about us|sitemap)[\x20\x09-\x0D]*[.!>\x{bb}]*[\x20\x09-\x0D]*$"
-_LEGAL = r"(?i)(all rights reserved|use cookies|cookie policy|privacy policy|terms of (use|service)|enable javascript|lorem ipsum|(licensed|released) under|copyright \(c\)|\x{a9} ?\d{4})"
+_LEGAL = ("all rights reserved", "use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "licensed under", "released under", "copyright (c)", "\u00a9")
 
 
 def repeated_words(windows: Column, ordered: Column) -> Column:
@@ -50,13 +54,16 @@ def with_windows(df: DataFrame) -> DataFrame:
     return df.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line passes the punctuation, navigation, boilerplate and repetition rules; blank lines pass."""
-    n = F.regexp_count(line, F.lit(WORD))
-    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (F.regexp_count(line, F.lit(r"!!")) * 4 >= n) | ((n >= 3) & ~line.rlike(_END))
-    navigation = (F.regexp_count(line, F.lit(r"[|\x{203a}\x{bb}\x{2022}\x{b7}]")) >= 3) | line.rlike(_MENU)
-    repeats = (n >= 8) & (F.size(F.array_distinct(F.split(line, GAP))) * 5 <= n)
-    return (n == 0) | ~(punctuation | navigation | line.rlike(_LEGAL) | repeats)
+def line_fails(line: Column, n: Column) -> Column:
+    """Whether a line of ``n`` words fails the punctuation, navigation, boilerplate or repetition rule; blank lines do not."""
+    shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
+    ends = F.right(F.rtrim(line, F.lit(_CLOSERS)), F.lit(1)).isin(*_MARKS)
+    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (shouts * 4 >= n) | ((n >= 3) & ~ends)
+    navigation = (F.regexp_count(line, F.lit(r"[|\x{203a}\x{bb}\x{2022}\x{b7}]")) >= 3) | ((n <= 4) & line.rlike(_MENU))
+    low = F.lower(line)
+    legal = reduce(lambda rest, phrase: rest | low.contains(phrase), _LEGAL, F.lit(False))
+    repeats = (n >= 8) & (F.size(F.array_distinct(F.split(line, " "))) * 5 <= n)
+    return (n > 0) & (punctuation | navigation | repeats | legal)
 
 
 def word_chars(text: Column) -> Column:
@@ -68,8 +75,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"), *(keep or []))
     df = df.withColumn("_words", words(F.col("_text"))).withColumn("_lines", F.split("_text", "\n", -1))
     df = with_windows(df)
-    full = F.filter("_lines", lambda x: x.rlike(WORD))
-    df = df.withColumn("_full", full).withColumn("_left", F.array_distinct(F.filter("_full", line_passes)))
+    df = df.withColumn("_full", F.filter("_lines", lambda x: x.rlike(WORD)))
+    counted = F.transform("_full", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
+    passed = F.transform(F.filter(counted, lambda x: ~line_fails(x["line"], x["n"])), lambda x: x["line"])
+    df = df.withColumn("_left", F.array_distinct(passed))
     base = df.select(
         F.col(id_col),
         *(keep or []),
@@ -92,8 +101,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the accepted documents, with the lines that the rules left."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    left = quality_rules(docs, keep=rest).filter("kept")
-    return left.select(*[F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    judged = quality_rules(docs, keep=rest)
+    row = F.struct(*[F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    # A filter would be pushed below the projections and repeat their expressions; a generator is not.
+    return judged.select(F.inline(F.when(F.col("kept"), F.array(row))))
 
 
 _W = r"[^\x20\x09-\x0D]+"
@@ -106,12 +117,11 @@ hit AS (SELECT DISTINCT r, unnest(range(i, i + 8)) AS p FROM win JOIN dup USING
 rep AS (SELECT r, count(*) AS k FROM hit GROUP BY r),
 left_over AS (SELECT r, string_agg(x, '' ORDER BY x) AS kept_text FROM (
   SELECT DISTINCT r, x FROM (SELECT r, unnest(lines) AS x FROM b),
-  LATERAL (SELECT len(regexp_extract_all(x, '{_W}')) AS n) WHERE NOT (
-    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR len(regexp_extract_all(x, '!!')) * 4 >= n
-    OR n >= 3 AND NOT regexp_matches(x, '[.!?:;\x{{2026}}\x{{3002}}\x{{ff01}}\x{{ff1f}}]["''\x{{201d}}\x{{2019}}\x{{bb}})\]]*[\x20\x09-\x0D]*$')
-    OR len(regexp_extract_all(x, '[|\x{{203a}}\x{{bb}}\x{{2022}}\x{{b7}}]')) >= 3
-    OR regexp_matches(x, '{_MENU}') OR regexp_matches(x, '{_LEGAL}')
-    OR n >= 8 AND len(list_distinct(regexp_split_to_array(x, '[\x20\x09-\x0D]+'))) * 5 <= n)) GROUP BY r),
+  LATERAL (SELECT len(regexp_extract_all(x, '{_W}')) AS n, right(rtrim(x, '{_CLOSERS.replace("'", "''")}'), 1) AS mark) WHERE NOT (
+    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR (length(x) - length(replace(x, '!!', '!'))) * 4 >= n OR n >= 3 AND mark NOT IN {_MARKS}
+    OR len(regexp_extract_all(x, '[|\x{{203a}}\x{{bb}}\x{{2022}}\x{{b7}}]')) >= 3 OR n <= 4 AND regexp_matches(x, '{_MENU}')
+    OR n >= 8 AND len(list_distinct(string_split(x, ' '))) * 5 <= n
+    OR {" OR ".join(f"contains(lower(x), '{p}')" for p in _LEGAL)})) GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(k, 0)::BIGINT AS n_repeat_words, length(regexp_replace(coalesce(kept_text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS left_chars
