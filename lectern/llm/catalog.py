@@ -1,10 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import mixing, packing, quality, token_counts, url_filter
+from lectern.llm import licenses, mixing, packing, pii, quality, token_counts, topk, url_filter
 
 QUERIES = {
+    "op2_license_scans": licenses.op2_license_scans,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_pii": pii.op6_pii,
+    "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
@@ -12,5 +15,6 @@ QUERIES = {
 ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_quality_rules": quality.SQL,
+    "op7_topk": topk.SQL,
     "op10_url_filters": url_filter.SQL,
 }

@@ -1,7 +1,7 @@
 """Operator 4: line-first quality rules, with built-in functions only.
 
 Each line is judged by itself: a punctuation rule (too many symbols or shouted
-words, or a line of prose that ends without a mark), a navigation rule
+words, or a short line of prose that ends without a mark), a navigation rule
 (separator-ridden or menu-like lines), a boilerplate rule (legal and cookie
 notices, repeats of an earlier line) and a repetition rule (one word again and
 again). Failing lines go; a document that loses more than half of its word
@@ -58,7 +58,7 @@ def line_fails(line: Column, n: Column) -> Column:
     """Whether a line of ``n`` words fails the punctuation, navigation, boilerplate or repetition rule; blank lines do not."""
     shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     ends = F.right(F.rtrim(line, F.lit(_CLOSERS)), F.lit(1)).isin(*_MARKS)
-    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (shouts * 4 >= n) | ((n >= 3) & ~ends)
+    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (shouts * 4 >= n) | (n.between(3, 30) & ~ends)
     navigation = (F.regexp_count(line, F.lit(r"[|\x{203a}\x{bb}\x{2022}\x{b7}]")) >= 3) | ((n <= 4) & line.rlike(_MENU))
     low = F.lower(line)
     legal = reduce(lambda rest, phrase: rest | low.contains(phrase), _LEGAL, F.lit(False))
@@ -118,7 +118,7 @@ rep AS (SELECT r, count(*) AS k FROM hit GROUP BY r),
 left_over AS (SELECT r, string_agg(x, '' ORDER BY x) AS kept_text FROM (
   SELECT DISTINCT r, x FROM (SELECT r, unnest(lines) AS x FROM b),
   LATERAL (SELECT len(regexp_extract_all(x, '{_W}')) AS n, right(rtrim(x, '{_CLOSERS.replace("'", "''")}'), 1) AS mark) WHERE NOT (
-    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR (length(x) - length(replace(x, '!!', '!'))) * 4 >= n OR n >= 3 AND mark NOT IN {_MARKS}
+    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR (length(x) - length(replace(x, '!!', '!'))) * 4 >= n OR n BETWEEN 3 AND 30 AND mark NOT IN {_MARKS}
     OR len(regexp_extract_all(x, '[|\x{{203a}}\x{{bb}}\x{{2022}}\x{{b7}}]')) >= 3 OR n <= 4 AND regexp_matches(x, '{_MENU}')
     OR n >= 8 AND len(list_distinct(string_split(x, ' '))) * 5 <= n
     OR {" OR ".join(f"contains(lower(x), '{p}')" for p in _LEGAL)})) GROUP BY r),
