@@ -19,6 +19,7 @@ many full pieces; an empty table gives an empty result; other columns are not re
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -44,37 +45,80 @@ CELLS = 256
 CACHED = 400_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_ids: dict[str, tuple[int, ...]] = {}
-
-
-def word_ids(words: list[str], path: str) -> list[tuple[int, ...]]:
-    """Ids of each word, from the cache of this worker or the tokenizer."""
-    if len(_ids) > CACHED:
-        _ids.clear()
-    missing = [w for w in words if w not in _ids]
-    fresh = dict(zip(missing, (tuple(e.ids) for e in tokenizer(path).encode_batch(missing, add_special_tokens=False)), strict=True)) if missing else {}
-    _ids.update(fresh)
-    return [_ids[w] for w in words]
+_LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+_pools: dict = {}
+
+
+class Pool:
+    """Ids of the words that this worker has met, one after another in an array."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[k for name, k in names.items() if name.endswith("</w>")]] = True
+        self.names: dict[str, int] = {}
+        self.flat, self.start, self.size, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def trim(self) -> None:
+        """Leaves the words that came up most often, half of what fits at most."""
+        least = int(np.partition(self.used, -CACHED // 2)[-CACHED // 2])
+        kept = np.flatnonzero(self.used > least)
+        size, new = self.size[kept], np.full(len(self.size), -1)
+        new[kept] = np.arange(len(kept))
+        self.names = {w: int(new[k]) for w, k in self.names.items() if new[k] >= 0}
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[kept] - (ends - size), size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.used = ends - size, size, self.used[kept] // 2
+
+    def add(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token, whose last piece the vocabulary marks: they are encoded as one text."""
+        letters = [w for w in words if _LETTERS.fullmatch(w)]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(letters):
+            letters, ids, ends = [], ids[:0], ends[:0]
+        done = set(letters)
+        others = [w for w in words if w not in done]
+        each = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+        size = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, each), np.int64, len(each))])
+        self.names.update(zip(letters + others, range(len(self.size), len(self.size) + len(size)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used = np.concatenate([self.used, np.zeros(len(size), np.int32)])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(each), np.uint32, int(size[len(ends) :].sum()))])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        if len(self.names) > CACHED:
+            self.trim()
+        missing = [w for w in words if w not in self.names]
+        if missing:
+            self.add(missing)
+        found = np.fromiter(map(self.names.__getitem__, words), np.int64, len(words))
+        self.used[found] += 1
+        return found
 
 
 def token_ids(texts: pa.Array, path: str) -> Iterator[np.ndarray]:
-    """Ids of each text. The vocabulary drops white space, so words between blanks and line ends are independent."""
-    special = specials(path)
+    """Ids of each text.
+
+    The vocabulary folds case and drops white space, so the words between blanks
+    and line ends are independent, and a single mark after a letter is too.
+    """
+    if path not in _pools:
+        _pools[path] = Pool(path)
+    pool = _pools[path]
     texts = pc.fill_null(texts, "")
     odd = np.zeros(len(texts), bool)
-    for s in special:
+    for s in specials(path):
         odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-    plain = pc.if_else(pa.array(odd), "", texts)
-    lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+    plain = pc.replace_substring(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)), "\n", " ")
+    lists = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-zÀ-ÖØ-öø-ÿ])([.,!?;:])( )", r"\1 \2\3"), " ")
     coded = lists.flatten().dictionary_encode()
-    ids = word_ids(coded.dictionary.to_pylist(), path)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-    first = np.cumsum(size) - size
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    each = size[which]
+    place = pool.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    each = pool.size[place]
     ends = np.cumsum(each)
-    out = flat[np.repeat(first[which] - (ends - each), each) + np.arange(int(each.sum()))]
+    out = pool.flat[np.repeat(pool.start[place] - (ends - each), each) + np.arange(int(each.sum()))]
     bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     for k in range(len(texts)):
         yield np.array(tokenizer(path).encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if odd[k] else out[bounds[k] : bounds[k + 1]]
@@ -86,7 +130,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 rows: list[tuple] = []
                 for key, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text"), path), strict=True):
                     raw = memoryview(np.concatenate([ids.astype("<u4"), end]).tobytes())
