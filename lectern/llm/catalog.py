@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import jaccard_join, licenses, mixing, packing, pii, quality, token_counts, topk, url_filter
+from lectern.llm import jaccard_join, licenses, mixing, packing, pii, quality, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_license_scans": licenses.op2_license_scans,
     "op3_mixing": mixing.op3_mixing,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_pii": pii.op6_pii,
     "op7_topk": topk.op7_topk,
     "op8_packing": packing.op8_packing,

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import n_words, table, written
+from lectern.llm.common import n_words, table, words, written
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -61,9 +61,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row per input row: id, source, size, source_size, target, the words before it and the words taken."""
-    slim = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("key", order_key(F.col("id"))))
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+    """A row per input row: id, source, size, source_size, target, the words before it and the words taken; ``whole`` carries the input row as ``row``."""
+    read = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *([F.struct(*docs.columns).alias("row")] if whole else [])).withColumn("key", order_key(F.col("id")))
+    slim = written(read.drop("row"))
     total = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     cells = max(MIN_CELLS, (total.agg(F.max("rows")).first()[0] or 0) // CELL_ROWS + 1)
     digits = max(2, len(f"{cells - 1:x}"))
@@ -72,22 +73,29 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     sums = sums.withColumn("ahead", F.coalesce(F.sum("s").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
     goal = targets(total.select("source", "source_size"))
     lead = sums.join(goal, sums["source"].eqNullSafe(goal["source"])).select(sums["source"], "cell", "ahead", "source_size", "target")
-    rows = slim.withColumn("cell", cell).alias("a").join(lead.alias("b"), (F.col("a.cell") == F.col("b.cell")) & F.col("a.source").eqNullSafe(F.col("b.source")))
+    rows = (read if whole else slim).withColumn("cell", cell).alias("a").join(lead.alias("b"), (F.col("a.cell") == F.col("b.cell")) & F.col("a.source").eqNullSafe(F.col("b.source")))
     inside = W.partitionBy("a.cell", "a.source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    out = rows.select(F.col("id"), F.col("a.source").alias("source"), "key", "size", "source_size", "target", before.alias("before"))
+    out = rows.select(F.col("id"), F.col("a.source").alias("source"), "key", "size", "source_size", "target", before.alias("before"), *(["row"] if whole else []))
     left = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("source_size") * k - F.col("before")))
     return out.withColumn("taken", sum((left(k) for k in range(1, MAX_PASSES)), left(0)).cast("long"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix: a row per served pass (id, source, pass, words), range-sorted by virtual finish time."""
-    s = shares(docs, id_col, text_col, source_col).filter("taken > 0")
+    """The mix: a row per served pass (the input row as ``row``, pass, size, words served), range-sorted by virtual finish time."""
+    s = shares(docs, id_col, text_col, source_col, whole=True).filter("taken > 0")
     s = s.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(MAX_PASSES)])))
     served = F.least(F.col("size"), F.round("target").cast("long") - F.col("source_size") * F.col("pass") - F.col("before"))
     s = s.withColumn("words", served).filter("words > 0")
     s = s.withColumn("finish", (F.col("source_size") * F.col("pass") + F.col("before") + F.col("words")) / F.col("target"))
-    return s.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "pass", "size", "source_size", "target", "words", "finish").orderBy("finish", source_col, id_col)
+    return s.select("row", "pass", "size", "words", "finish", "key").orderBy("finish", "key")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents of the mix in its order, once for each pass; where a pass is cut, the words served."""
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("row.text"))
+    done = mixed(docs).withColumn("_text", text)
+    return done.select(*[(F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
