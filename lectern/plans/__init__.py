@@ -1,0 +1 @@
+"""Catalogue of registered queries."""

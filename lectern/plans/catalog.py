@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import books, texts
+
+QUERIES = texts.QUERIES | books.QUERIES
+ORACLES = texts.ORACLES | books.ORACLES
