@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.speech import QUIET, SAMPLE_RATE, WEAK, rms
 
@@ -63,7 +64,7 @@ def wav_samples(files: DataFrame) -> DataFrame:
 
 def synthesized(chunks: DataFrame, engine: Callable[[], Engine] = ToneEngine, voice: str = "af_heart", speed: float = 1.0, attempts: int = 3) -> DataFrame:
     """All columns, and ``wav``, ``seconds`` and ``rms`` of each chunk; near-silent results are tried again."""
-    schema = chunks.schema.add("wav", "binary").add("seconds", "double").add("rms", "double")
+    schema = T.StructType([*chunks.schema.fields, T.StructField("wav", T.BinaryType()), T.StructField("seconds", T.DoubleType()), T.StructField("rms", T.DoubleType())])
 
     def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = engine()
