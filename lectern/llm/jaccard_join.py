@@ -13,10 +13,13 @@ equal sets form a class that is handled once. The join runs in three steps.
    set, inside the task first, and the links are closed to groups.
 2. Tiles. A group is cut into tiles by size band (neighbouring bands hold all
    possible partners) and, where a band is large, by hash; each pair of tiles is
-   one unit of work. Hashed bitmap signatures bound the overlap of two sets from
-   above by bit counts; what survives is intersected exactly over sorted arrays.
-   A unit emits a row per set (number of links and a forest edge), never pairs.
-3. Forest edges are closed to components; each is named by its smallest id.
+   one unit of work. Units see only hashed bitmap signatures, whose bit counts
+   bound the overlap of two sets from above; the pairs that the bound leaves are
+   closed to narrower groups, so sets that merely share a passage part here.
+3. The narrower groups are cut into tiles again, and these units get the sets:
+   what the bound leaves is intersected exactly over sorted arrays. A unit emits a
+   row per set (number of links and a forest edge), never pairs.
+4. Forest edges are closed to components; each is named by its smallest id.
 
 Texts with fewer words than a shingle are one shingle. Edge cases: null texts and
 texts without words have an empty set and link with nothing; rows with a null id
@@ -46,7 +49,7 @@ from lectern.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: Ratio of the sizes of a level.
-LEVEL = 1.25
+LEVEL = 1.6
 #: Sets and shingles of a tile at most (a larger set is alone).
 TILE_SETS, TILE_SHINGLES = 400, 1_500_000
 
@@ -97,7 +100,7 @@ def mark(s: np.ndarray) -> int:
 @cache
 def bounds() -> np.ndarray:
     """First size of each level."""
-    return np.unique(np.floor(LEVEL ** np.arange(140.0)).astype(np.int64))
+    return np.unique(np.floor(LEVEL ** np.arange(75.0)).astype(np.int64))
 
 
 @cache
@@ -140,16 +143,36 @@ def _linked(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return key[start], node[start], pairs
 
 
+def signature(s: np.ndarray) -> bytes:
+    """A bit for the low end of every hash; about as many bits as there are shingles."""
+    bits = np.zeros(1 << max(8, min(14, int(len(s) - 1).bit_length())), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(sign: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (a row of 64-bit words each) at a smaller width: as if made with it."""
+    return np.bitwise_or.reduce(sign.reshape(len(sign), -1, words), axis=1)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray, size_a: int, size_b: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of one set with others: each bit of one alone is a shingle of its own."""
+    lone_a = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
+    lone_b = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
+    return np.minimum(size_a - lone_a, size_b - lone_b)
+
+
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, node for every row: size and name of its set (no name for an empty one)."""
+    """id, n, node, sign for every row: size, name and signature of its set (neither for an empty one)."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                made = [(len(s), mark(s) if len(s) else None) for s in shingle_sets(part.column("text"), width)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64())], ["id", "n", "node"])
+                made = [(len(s), mark(s), signature(s)) if len(s) else (0, None, None) for s in shingle_sets(part.column("text"), width)]
+                columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n", "node", "sign"])
 
-    return docs.mapInArrow(sized, "id long, n long, node long")
+    return docs.mapInArrow(sized, "id long, n long, node long, sign binary")
 
 
 def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -168,6 +191,9 @@ def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 key, first, (a, b) = _linked(np.concatenate(list(seen.values())).view(np.int64), node)
                 # Links found here go on under keys of their own, evenly spread.
                 own = mix(a.view(np.uint64) * _A + b.view(np.uint64)).view(np.int64)
+                # By set: its name repeats from row to row and shuffles in little room.
+                by_set = np.argsort(first, kind="stable")
+                key, first = key[by_set], first[by_set]
                 hub = pa.array(np.concatenate([first, b]), mask=np.arange(len(key) + len(a)) < len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, own])), pa.array(np.concatenate([first, a])), hub], ["key", "node", "hub"])
 
@@ -177,7 +203,7 @@ def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def tiles(nodes: DataFrame, percent: int) -> DataFrame:
-    """id, node, copies, units: the units of work (unit, side) of each set; ``nodes`` has id, node, copies, n, grp."""
+    """The columns of ``nodes`` (node, n, grp and others) and ``units``: the units of work (unit, side) of each set."""
     parts = F.greatest(F.ceil(F.col("count") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
     whole = nodes.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("total")).withColumn("parts", parts)
     # A little wider than the threshold asks for, against rounding of the logarithm.
@@ -195,7 +221,65 @@ def tiles(nodes: DataFrame, percent: int) -> DataFrame:
     same = F.transform(count("parts"), lambda j: unit(F.col("band"), F.least(p, j), F.greatest(p, j), "s", F.when(j == p, 2).otherwise((p > j).cast("int"))))
     up = F.transform(count("above"), lambda j: unit(F.col("band"), p, j, "u", F.lit(0)))
     down = F.transform(count("below"), lambda j: unit(F.col("band") - 1, j, p, "u", F.lit(1)))
-    return rows.select("id", "node", "copies", F.concat(same, up, down).alias("units"))
+    return rows.select(*[c for c in nodes.columns if c != "grp"], F.concat(same, up, down).alias("units"))
+
+
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (unit first, side and node next) in the order of units, those of one unit at a time, each node once."""
+    unit, held = None, {}
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != unit:
+                if len(held) > 1:
+                    yield list(held.values())
+                unit, held = row[0], {}
+            held[row[2]] = row
+    if len(held) > 1:
+        yield list(held.values())
+
+
+def bounded(size: np.ndarray, side: np.ndarray, signs: list[bytes], percent: int) -> np.ndarray:
+    """For each set the first one of its tree, linking all pairs whose bound reaches the threshold; sizes ascend."""
+    tree = np.arange(len(size))
+    width = np.array([len(s) // 8 for s in signs])
+    for w in np.unique(width):
+        # Partners of a set are as wide as it is or wider, the sizes ascending; wider ones are folded.
+        at = np.flatnonzero(width >= w)
+        at = at[: np.searchsorted(size[at], size[width == w].max() * 100 // percent, side="right")]
+        sign = np.concatenate([folded(np.frombuffer(signs[k], "<u8")[None], int(w)) for k in at])
+        for i in range(len(at) - 1):
+            a = at[i]
+            if width[a] != w:
+                break
+            last = int(np.searchsorted(size[at], size[a] * 100 // percent, side="right"))
+            b = np.arange(i + 1, last)
+            if side[a] != 2:
+                b = b[side[at[b]] != side[a]]
+            # Pairs that are in one tree already add nothing.
+            b = b[tree[at[b]] != tree[a]]
+            if not len(b):
+                continue
+            most = most_shared(sign[i], sign[b], size[a], size[at[b]])
+            joined = np.unique(tree[np.append(at[b[most * (100 + percent) >= percent * (size[a] + size[at[b]])]], a)])
+            if len(joined) > 1:
+                tree[np.isin(tree, joined)] = joined[0]
+    return tree
+
+
+def narrowed(assigned: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect all sets of a unit whose signatures let them link; ``assigned`` has node, n, sign, units."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_unit(batches):
+            rows.sort(key=lambda r: (r[3], r[2]))
+            _, side, node, n, sign = zip(*rows, strict=True)
+            tree = bounded(np.array(n), np.array(side), sign, percent)
+            names = np.array(node, np.int64)
+            off = tree != np.arange(len(tree))
+            yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[tree[off]])], ["a", "b"])
+
+    rows = assigned.select(F.explode("units").alias("u"), "node", "n", "sign").select("u.unit", "u.side", "node", "n", "sign")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(met, "a long, b long").distinct()
 
 
 def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +305,7 @@ def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percen
         if not len(b):
             continue
         need = percent * (size[a] + size[b])
-        most = np.minimum(size[a] - np.bitwise_count(sign[a] & ~sign[b]).sum(axis=1, dtype=np.int64), size[b] - np.bitwise_count(sign[b] & ~sign[a]).sum(axis=1, dtype=np.int64))
+        most = most_shared(sign[a], sign[b], size[a], size[b])
         fits = most * (100 + percent) >= need
         b, need = b[fits], need[fits]
         if not len(b):
@@ -259,41 +343,32 @@ def links(docs: DataFrame, assigned: DataFrame, width: int, percent: int) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, {}
-
-        def out() -> pa.RecordBatch | None:
-            if len(held) < 2:
-                return None
-            names = np.fromiter(held, np.int64, len(held))
-            sides, copies, sets = zip(*held.values(), strict=True)
-            n, tree = compare([np.frombuffer(s, np.uint64) for s in sets], np.array(sides), np.array(copies), percent)
+        for rows in by_unit(batches):
+            _, side, node, copies, sets = zip(*rows, strict=True)
+            names = np.array(node, np.int64)
+            n, tree = compare([np.frombuffer(s, np.uint64) for s in sets], np.array(side), np.array(copies), percent)
             some = n > 0
-            return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[tree[some]]), pa.array(n[some])], ["node", "hub", "links"])
-
-        for batch in batches:
-            for u, side, node, copies, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
-                    if (made := out()) is not None:
-                        yield made
-                    unit, held = u, {}
-                held[node] = (side, copies, s)
-        if (made := out()) is not None:
-            yield made
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[tree[some]]), pa.array(n[some])], ["node", "hub", "links"])
 
     rows = docs.join(assigned, "id").select("text", "node", "copies", "units").mapInArrow(shingled, "unit string, side int, node long, copies long, s binary")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(met, "node long, hub long, links long")
 
 
+def _grouped(roots: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``kinds`` of the nodes that are in a group, with the group as ``grp``."""
+    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return written(kinds.join(both.withColumnRenamed("root", "grp"), "node"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id, n_links for every row."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = written(classes(own, width))
     taking = slim.filter("id IS NOT NULL AND node IS NOT NULL")
-    kinds = written(taking.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n")))
-    groups = components(candidate_links(own.filter("id IS NOT NULL"), width, percent))
-    grouped = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    nodes = written(kinds.join(grouped.withColumnRenamed("root", "grp"), "node"))
-    found = written(links(own, tiles(nodes, percent), width, percent))
+    kinds = written(taking.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sign").alias("sign")))
+    rough = components(candidate_links(own.filter("id IS NOT NULL"), width, percent))
+    groups = components(narrowed(tiles(_grouped(rough, kinds.select("node", "n", "sign")), percent), percent))
+    found = written(links(own, tiles(_grouped(groups, kinds.drop("sign")), percent), width, percent))
     trees = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     trees = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
     first = written(trees.join(kinds.select("node", "id"), "node"))
