@@ -39,6 +39,8 @@ MAX_POSITIVE, MAX_NEGATIVE = 3000, 5000
 BUCKETS, SIZE = 1 << 17, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH = 4, 32
+#: Contrast (in standard deviations) that chance alone does not reach often.
+NOISE = 6.0
 #: Score at the threshold of a language.
 CUT = 0.7
 #: Accented letters that show a language; texts with few of them are "plain".
@@ -119,12 +121,15 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 def contrast(bucket: np.ndarray, text: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How much surer than chance a bucket speaks for label 1: a scaled log ratio of document frequencies."""
+    """How much surer than chance a bucket speaks for label 1: the signed root of the log-likelihood ratio of its document frequencies."""
     at = np.unique(text * BUCKETS + bucket)
+    seen = np.unique(text)
     hot = y[at // BUCKETS] == 1
-    pos, neg = (np.bincount(at[m] % BUCKETS, minlength=BUCKETS) + 0.5 for m in (hot, ~hot))
-    odds = np.log(pos / (y.sum() + 1)) - np.log(neg / ((1 - y).sum() + 1))
-    return np.clip(odds / np.sqrt(1 / pos + 1 / neg) / 6, -1, 2).astype(np.float32)
+    pos, neg = (np.bincount(at[m] % BUCKETS, minlength=BUCKETS).astype(float) for m in (hot, ~hot))
+    share = y[seen].mean()
+    part = lambda k, p: k * np.log(np.maximum(k, 1e-9) / np.maximum((pos + neg) * p, 1e-9))
+    ratio = np.sqrt(np.maximum(2 * (part(pos, share) + part(neg, 1 - share)), 0))
+    return np.clip(np.where(pos > (pos + neg) * share, ratio, -ratio) / NOISE, -1, 2).astype(np.float32)
 
 
 def started(seed: int = 7) -> Model:
