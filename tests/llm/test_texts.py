@@ -1,0 +1,215 @@
+"""Operators 2, 4, 5, 6, 8, 9 on small fixtures."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from lectern.llm import licenses, packing, pii, quality, token_counts, toxicity
+from lectern.llm.batches import vocabulary
+from tests.conftest import DATA
+
+ODD = [
+    "a \n <|endoftext|>  b",
+    "x\n\n y\t z  \n\n\nq",
+    "",
+    None,
+    "don't e.g. it's\u3000x\u00a0½²a ",
+    "\x1c a\x1cb  \x85c",
+    "Ünïcode 漢字  🙂 é x\u0301 İstanbul ΣΑΣ",
+    " leading",
+    "trail \n\n",
+    "word. word, " * 3000,
+    "a" * 5000,
+    "they're we'll O'Neil's 'tis 12,345.67!?",
+]
+
+
+def frame(spark, texts):
+    rows = [(k, t, "s", 1, 2) for k, t in enumerate(texts)] + [(None, "null id here", "s", 1, 2), (0, texts[0], "s", 1, 2)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n long, piece long")
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
+
+
+def test_token_counts(spark):
+    df = frame(spark, ODD)
+    t = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = Counter((r.doc_id, len((r.text or "").encode()), (n := len(t.encode(r.text or "", add_special_tokens=False))), n > 1024) for r in df.collect())
+    assert Counter(tuple(r) for r in token_counts.token_counts(df, vocabulary("byte_bpe_50k.json")).collect()) == want
+    assert token_counts.token_counts(empty(spark), vocabulary("byte_bpe_50k.json")).collect() == []
+
+
+def test_token_counts_join_of_rare_pieces(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "FREQUENT", 3)
+    monkeypatch.setattr(token_counts, "GATHERED", 5)
+    test_token_counts(spark)
+
+
+def test_packing(spark):
+    df = frame(spark, ODD * 3)
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    got = packing.pack(df, vocabulary("word_bpe_49k.json")).toPandas()
+    rows = df.collect()
+    want = Counter()
+    for r in rows:
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        for s in range(0, len(ids), 4096):
+            piece = ids[s : s + 4096]
+            want[(-1 if r.doc_id is None else r.doc_id, s, len(piece), zlib.crc32(piece.tobytes()), len(ids))] += 1
+    assert Counter(tuple(map(int, x)) for x in got.fillna({"doc_id": -1})[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].to_numpy()) == want
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s["length"].sum() <= 4096
+        assert list(s["offset"]) == [0, *s["length"].cumsum()[:-1]]
+    assert packing.pack(empty(spark), vocabulary("word_bpe_49k.json")).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cutting_stock(seed):
+    rng = np.random.default_rng(seed)
+    need = np.zeros(64, np.int64)
+    need[rng.integers(0, 64, 20)] = rng.integers(1, 5000, 20)
+    made = packing.patterns(need, 64)
+    assert (sum(p * n for p, n in made) == need).all()
+    assert all(((np.arange(64) + 1) * p).sum() <= 64 for p, _ in made)
+    # No worse than best fit, longest first.
+    free = np.zeros(65, np.int64)
+    for k in np.flatnonzero(need)[::-1]:
+        for _ in range(need[k]):
+            fits = np.flatnonzero(free[k + 1 :])
+            room = fits[0] + k + 1 if len(fits) else 64
+            free[room] -= len(fits) > 0
+            free[room - k - 1] += 1
+    assert sum(n for _, n in made) <= free.sum() + 1
+
+
+def test_knapsack():
+    worth, counts = packing.knapsack(np.array([1.0, 2.5, 0, 5.5]), 7)
+    assert worth == 5.5 + 2.5 + 1 and list(counts) == [1, 1, 0, 1]
+
+
+def test_quality(spark):
+    prose = " ".join(f"The quick word{k} jumps over lazy dogs." for k in range(12))
+    texts = [prose, None, "", "\n\n", "short one.", "\n".join(["same line here."] * 30), "Ab*** cd### " * 40, prose + "\nHome\nAll rights reserved.", "a b c d e f g h " * 10, "HEY!! YOU!! " * 30]
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, texts).filter("doc_id IS NOT NULL")).distinct().collect()}
+    assert [got[k].kept for k in range(len(texts))] == [True, False, False, False, False, False, False, True, False, False]
+    assert got[7].clean_text == prose
+    assert (got[5].n_dup_lines, got[5].n_words, got[8].n_repeat_words) == (29, 90, 80)
+    assert quality.quality_rules(empty(spark)).collect() == []
+    stage = quality.kept_documents(spark, frame(spark, texts), "")
+    assert stage.columns == frame(spark, texts).columns and {r.doc_id for r in stage.collect()} == {0, 7}
+
+
+def repeats(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    at = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    return len({p for i in range(len(w) - 7) if at[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)})
+
+
+def test_repeated_windows(spark):
+    rng = np.random.default_rng(0)
+    texts = [" ".join(map(str, rng.integers(0, m, n))) for m, n in ((2, 40), (3, 200), (50, 300), (2, 7), (2, 8), (1, 30))]
+    got = {r.doc_id: r.n_repeat_words for r in quality.quality_rules(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [repeats(t) for t in texts]
+
+
+SECRET = 'token = "ffc3105535f423f352535e4ac53b5fefe076ac6d"'
+
+
+def test_surrogates(spark):
+    texts = [
+        f"Mail a.b@mail1.example.com or +1 (437) 555-0689 now. Card 4637 0890 5545 6426, ip 213.174.22.103. {SECRET} end",
+        "A.B@MAIL1.EXAMPLE.COM and +14375550689; 4637089055456426.",
+        None,
+        "nothing here 42",
+        "Mr. John Smith met Mrs. Anna Smith. SSN 123-45-6789",
+        "",
+    ]
+    df = frame(spark, texts)
+    rows = pii.surrogates(df).collect()
+    assert len(rows) == len(texts) + 2 and rows[0].asDict().keys() == {*df.columns, "n_found"}
+    got = {r.doc_id: r.text for r in rows}
+    assert got[2] is None and got[3] == texts[3] and got[5] == "" and got[None] == "null id here"
+    for old in ("a.b@", "437", "0890", "213.174", "ffc3", "Smith", "6789"):
+        assert old not in got[0] + got[4]
+    mail = re.search(r"\S+@\S+", got[0])[0]
+    assert re.match(r"[a-z]\.[a-z]@mail\d+\.example\.org", mail) and mail.upper() in got[1]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[0]) and re.search(r"\d{4} \d{4} \d{4} \d{4}", got[0]) and re.search(r"10\.\d+\.\d+\.\d+", got[0])
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(re.search(r"\+1 \(.{13}", got[0])[0]) == digits(re.search(r"\+\d+", got[1])[0])
+    names = re.match(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)\. SSN 9\d\d-\d\d-\d{4}$", got[4]).groups()
+    assert names[1] == names[3] and names[0] in pii._GIVEN["given_m"] and names[2] in pii._GIVEN["given_f"]
+    assert pii.surrogates(empty(spark)).collect() == []
+
+
+def test_surrogates_stay_distinct(spark):
+    """Many addresses of few characters: draws collide and are drawn again."""
+    texts = [f"at {a}@x.org from 10.0.{k}.1 on" for k, a in enumerate("abcdefghij")] + [f"10.0.{k}.2" for k in range(200)]
+    got = {r.doc_id: r.text for r in pii.surrogates(frame(spark, texts)).collect()}
+    found = lambda ts: [x for t in ts for x in re.findall(r"\d+\.\d+\.\d+\.\d+|\S+@\S+", t)]
+    new, old = found(got[k] for k in range(len(texts))), found(texts)
+    assert len(set(new)) == len(set(old)) == len(new) and not set(new) & set(old)
+
+
+def test_same_words_as_the_patterns(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    done = {r.doc_id: r.text for r in pii.surrogates(df).collect()}
+    for r in df.collect():
+        for old in re.findall(r"\S+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}", r.text):
+            assert old not in done[r.doc_id]
+        if not re.search(r"[@0-9\"]", r.text):
+            assert done[r.doc_id] == r.text
+
+
+def test_licenses(spark):
+    long = "word " * 5000
+    texts = ["Intro line.\nReleased under the MIT License.\nEnd.", f"{long}\nALL RIGHTS RESERVED!", "all rights", None, "", "Copyright (c) 2019-2021\nLicensed under the Apache License, version 2.0", long]
+    got = {r.doc_id: (r.license, r.n_hits) for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(7)] == [("MIT", 1), ("proprietary", 1), ("proprietary", 1), (None, 0), (None, 0), ("Apache-2.0", 2), (None, 0)] or got[2] == (None, 0)
+    assert licenses.license_scan(empty(spark)).collect() == []
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
+
+def test_licenses_against_brute_force(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    known = [(n, licenses.bigrams(t)) for n, t in licenses.TEMPLATES]
+    got = {r.doc_id: (r.license, round(r.dice, 9)) for r in licenses.license_scan(df).collect()}
+    for r in df.collect():
+        best = min(((-dice(licenses.bigrams(s), b), n) for s in licenses.segments(r.text) for n, b in known), default=(0, None))
+        assert got[r.doc_id] == ((best[1], round(-best[0], 9)) if -best[0] >= licenses.THRESHOLD else (None, 0.0))
+
+
+def test_toxicity_held_out(spark):
+    sf = DATA.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.op5_toxicity(spark, sf).join(labels, "doc_id").filter("held_out").toPandas()
+    hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert hit / got.toxic.sum() >= 0.6 and hit / got.predicted.sum() >= 0.6
+    again = toxicity.op5_toxicity(spark, sf).toPandas().sort_values("doc_id")
+    assert again.score.between(0, 1).all() and len(again) == 1000
+    assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(again.doc_id, again.held_out, strict=True))
+
+
+def test_toxicity_edges(spark):
+    labels = spark.createDataFrame([(1, 1), (2, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(frame(spark, ODD), labels).collect()
+    assert len(got) == len(ODD) + 2 and {r.predicted for r in got} == {0}
+    assert toxicity.toxicity(empty(spark), labels.limit(0)).collect() == []
+
+
+def test_toxicity_model_ignores_neighbours():
+    texts = ["a b c", "", "x", "d e f g"]
+    m = toxicity.train(pa.array([f"bad word{k} here" if k % 2 else f"good word{k} here" for k in range(80)]), np.arange(80) % 2)
+    alone = np.concatenate([m.scores(pa.array([t])) for t in texts])
+    assert np.allclose(alone, m.scores(pa.array(texts)), atol=1e-5)
+    assert (m.scores(pa.array(["so bad", "so good"])) >= 0.7).tolist() == [True, False]
