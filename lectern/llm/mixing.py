@@ -95,7 +95,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pipeline stage: the documents of the mix in its order, once for each pass; where a pass is cut, the words served."""
     text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words(F.col("row.text")), F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("row.text"))
     done = mixed(docs).withColumn("_text", text)
-    return done.select(*[(F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    return done.select(*[(F.col("_text") if c == "text" else F.length("_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

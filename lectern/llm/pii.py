@@ -181,26 +181,30 @@ def replaced(text: Column, hits: Column, to: Column) -> Column:
     return F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
-def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
-    """All rows and columns, the text with surrogates, and ``n_found``: entities by kind."""
-    rows = docs.withColumn("_hits", found(F.col(text_col)))
-    mark = [F.xxhash64(text_col).alias("_m1"), F.crc32(F.encode(text_col, "UTF-8")).alias("_m2")]
-    with_hits = rows.filter(F.size("_hits") > 0)
+def _changed(docs: DataFrame, text_col: str, key: str) -> DataFrame:
+    """row, text, n_found: every input row, its text with surrogates, and its entities by kind."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), found(F.col(text_col)).alias("hits"))
+    with_hits = rows.filter(F.size("hits") > 0)
     # Equal texts have equal maps, so a map belongs to a text, not to a row.
-    values = with_hits.select(*mark, F.explode("_hits").alias("value")).distinct().withColumn("kind", kind_of(F.col("value")))
-    parts = written(values.select("_m1", "_m2", "value", F.col("kind").alias("whole"), F.inline(pieces_of(F.col("value"), F.col("kind")))))
+    mark = [F.xxhash64("text").alias("m1"), F.crc32(F.encode("text", "UTF-8")).alias("m2")]
+    values = with_hits.select(*mark, F.explode("hits").alias("value")).distinct().withColumn("whole", kind_of(F.col("value")))
+    parts = written(values.select("m1", "m2", "value", "whole", F.inline(pieces_of(F.col("value"), F.col("whole")))))
     fakes = drawn(written(parts.select("kind", "canon").distinct()), key)
     told = parts.join(fakes, ["kind", "canon"]).withColumn("new", shown_as(F.col("kind"), F.col("fake"), F.col("shown")))
-    each = told.groupBy("_m1", "_m2", "value", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
+    each = told.groupBy("m1", "m2", "value", "whole").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda x: x["new"]), " ").alias("new"))
     each = each.withColumn("new", F.when(F.col("whole") == "person", F.concat(F.substring_index("value", " ", 1), F.lit(" "), F.col("new"))).otherwise(F.col("new")))
-    maps = each.groupBy("_m1", "_m2").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("_to"), F.map_from_entries(F.collect_list(F.struct("value", "whole"))).alias("_kinds"))
-    changed = with_hits.withColumns({"_m1": mark[0], "_m2": mark[1]}).join(maps, ["_m1", "_m2"])
-    kinds = F.transform("_hits", lambda h: F.element_at("_kinds", h))
-    changed = changed.withColumn("_each", kinds).withColumn("n_found", F.struct(*[(F.size("_each") - F.size(F.array_remove("_each", name))).cast("long").alias(name) for name in KINDS]))
-    changed = changed.withColumn(text_col, replaced(F.col(text_col), F.col("_hits"), F.col("_to")))
+    maps = each.groupBy("m1", "m2").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("to"), F.map_from_entries(F.collect_list(F.struct("value", "whole"))).alias("kinds"))
+    changed = with_hits.select("*", *mark).join(maps, ["m1", "m2"]).withColumn("each", F.transform("hits", lambda h: F.element_at("kinds", h)))
+    counts = F.struct(*[(F.size("each") - F.size(F.array_remove("each", name))).cast("long").alias(name) for name in KINDS])
     none = F.struct(*[F.lit(0).cast("long").alias(name) for name in KINDS])
-    calm = rows.filter(F.col("_hits").isNull() | (F.size("_hits") <= 0)).withColumn("n_found", none)
-    return changed.select(*docs.columns, "n_found").unionByName(calm.select(*docs.columns, "n_found"))
+    calm = rows.filter(F.col("hits").isNull() | (F.size("hits") <= 0))
+    return changed.select("row", replaced(F.col("text"), F.col("hits"), F.col("to")).alias("text"), counts.alias("n_found")).unionByName(calm.select("row", "text", none.alias("n_found")))
+
+
+def surrogates(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+    """All rows and columns, the text with surrogates, and ``n_found``: entities by kind (in place of a column of that name)."""
+    kept = [(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns if c != "n_found"]
+    return _changed(docs, text_col, key).select(*kept, "n_found")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,5 +214,5 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def private_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with surrogates in their texts."""
-    done = surrogates(docs)
-    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    done = _changed(docs, "text", KEY)
+    return done.select(*[(F.col("text") if c == "text" else F.length("text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -70,9 +70,10 @@ def word_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, GAP, "")).cast("long")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The counts, ``base_failed``, ``kept`` and the text left by the line rules, a row per input row; ``keep`` names further columns to carry."""
-    df = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text"), *(keep or []))
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """The counts, ``base_failed``, ``kept`` and the text left by the line rules, a row per input row; ``whole`` carries the input row as ``row``."""
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    df = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"), *row)
     df = df.withColumn("_words", words(F.col("_text"))).withColumn("_lines", F.split("_text", "\n", -1))
     df = with_windows(df)
     df = df.withColumn("_full", F.filter("_lines", lambda x: x.rlike(WORD)))
@@ -80,8 +81,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     passed = F.transform(F.filter(counted, lambda x: ~line_fails(x["line"], x["n"])), lambda x: x["line"])
     df = df.withColumn("_left", F.array_distinct(passed))
     base = df.select(
-        F.col(id_col),
-        *(keep or []),
+        F.col("_id").alias(id_col),
+        *(["row"] if whole else []),
         F.size("_words").cast("long").alias("n_words"),
         word_chars(F.col("_text")).alias("word_chars"),
         F.regexp_count("_text", F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
@@ -100,9 +101,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the accepted documents, with the lines that the rules left."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    judged = quality_rules(docs, keep=rest)
-    row = F.struct(*[F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    judged = quality_rules(docs, whole=True)
+    row = F.struct(*[(F.length("clean_text").cast("long") if c == "n_chars" else F.col("clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
     # A filter would be pushed below the projections and repeat their expressions; a generator is not.
     return judged.select(F.inline(F.when(F.col("kept"), F.array(row))))
 

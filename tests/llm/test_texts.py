@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lectern.llm import licenses, packing, pii, quality, token_counts, toxicity
@@ -213,3 +214,21 @@ def test_toxicity_model_ignores_neighbours():
     alone = np.concatenate([m.scores(pa.array([t])) for t in texts])
     assert np.allclose(alone, m.scores(pa.array(texts)), atol=1e-5)
     assert (m.scores(pa.array(["so bad", "so good"])) >= 0.7).tolist() == [True, False]
+
+
+CLASHING = "row text_ key size node unit _hits hits n_words kept _words _text n_found clean_text words id n target cell kind copies value source2".split()
+
+
+def test_columns_with_clashing_names(spark):
+    """Stages carry columns whatever they are called."""
+    from lectern.llm import jaccard_join, mixing
+
+    texts = [" ".join(f"Sentence {k}{j} has words." for j in range(12)) + f" Mail m{k}@mail1.example.com." for k in range(4)]
+    df = spark.createDataFrame([(k, t, "s", *[f"{c}{k}" for c in CLASHING]) for k, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for stage in (quality.kept_documents, jaccard_join.distinct_documents, pii.private_documents, mixing.mixed_documents):
+        done = stage(spark, df, "")
+        assert done.columns == df.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in done.collect() for c in CLASHING)
+    assert pii.surrogates(df).count() == quality.quality_rules(df).count() == licenses.license_scan(df).count() == mixing.shares(df).count() == 4
+    assert token_counts.token_counts(df, vocabulary("byte_bpe_50k.json")).count() == 4 and packing.pack(df, vocabulary("word_bpe_49k.json")).count() == 4
+    assert len(toxicity.toxicity(df, df.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))).collect()) == 4
