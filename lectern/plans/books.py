@@ -138,7 +138,19 @@ def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.cap_chapters(c, 1000)
 
 
+def _gathered(mark: str) -> str:
+    """SQL: the text ``p`` in units between marks, gathered up to a thousand characters."""
+    first = f"list_transform(string_split(p, {mark}), lambda q: {{'done': []::VARCHAR[], 'open': q}})"
+    fold = f"list_reduce({first}, lambda a, x: CASE WHEN a.open <> '' AND length(a.open) + 1 + length(x.open) > 1000 THEN {{'done': list_append(a.done, a.open), 'open': x.open}} ELSE {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || {mark} || x.open END}} END)"
+    return f"CASE WHEN length(p) > 1000 AND contains(p, {mark}) THEN list_filter(list_append(({fold}).done, ({fold}).open), lambda q: q <> '') ELSE [p] END"
+
+
 QUERIES["cap_chapters"] = capped
+ORACLES["cap_chapters"] = f"""WITH a AS (SELECT source AS book, doc_id, length(text) > 1000 AS large, flatten(list_transform([text], lambda p: {_gathered("chr(10)")})) AS l FROM documents),
+b AS (SELECT book, doc_id, large, flatten(list_transform(l, lambda p: {_gathered("' '")})) AS l FROM a),
+c AS (SELECT book, doc_id, large, flatten(list_transform(list_filter(l, lambda p: NOT large OR regexp_matches(p, '\\S')), lambda p: CASE WHEN length(p) > 1000 THEN list_transform(range(0, length(p), 1000), lambda i: substring(p, i + 1, 1000)) ELSE [p] END)) AS l FROM b),
+u AS (SELECT book, doc_id, len(l) AS n, unnest(l) AS text, unnest(range(len(l))) AS i FROM c)
+SELECT book, (row_number() OVER (PARTITION BY book ORDER BY doc_id, i) - 1)::INT AS chapter_index, CASE WHEN n > 1 THEN concat('T (part ', i + 1, ')') ELSE 'T' END AS title, text FROM u"""
 
 
 def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:

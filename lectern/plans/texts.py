@@ -106,6 +106,17 @@ def _said(x: str) -> str:
 QUERIES["spoken_cardinal"] = _over("orders", {"o_orderkey": "o_orderkey", "said": "concat('I have ', o_orderkey * 397, ' apples, ', o_custkey, ' pears; not ', o_custkey, '. or x', o_custkey)"}, spoken.speak_plain)
 ORACLES["spoken_cardinal"] = f"WITH {_SMALL} SELECT o_orderkey, concat('I have ', {_said('o_orderkey * 397')}, ' apples, ', {_said('o_custkey')}, ' pears; not ', o_custkey, '. or x', o_custkey) AS said FROM orders, s"
 
+
+
+def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule at once, over texts whose cleaned form can be written down."""
+    text = "concat('<p class=\"c\">It  cost $', o_custkey, ' once[7] in 1999 &amp; Dr. “X”–3rd of 42 .</p>\n\n\n\n | a | ', o_orderkey, ' |\n|c|d|\nexam-\nple \n')"
+    return read(spark, sf_dir, "orders").select("o_orderkey", rules.cleaned(F.expr(text)).alias("text"))
+
+
+QUERIES["clean_orders"] = clean_orders
+ORACLES["clean_orders"] = f"""WITH {_SMALL} SELECT o_orderkey, concat('It cost ', {_said('o_custkey')}, ' dollars once in nineteen ninety-nine & Doctor "X" — third of forty-two.', chr(10), chr(10), '[table content skipped]', chr(10), 'example') AS text FROM orders, s"""
+
 QUERIES["spoken_decimal"] = _over("orders", {"o_orderkey": "o_orderkey", "said": "concat('about ', o_custkey, '.', lpad(o_orderkey % 1000, 3, '0'), ' of it')"}, spoken.speak_decimals)
 ORACLES["spoken_decimal"] = f"WITH {_SMALL} SELECT o_orderkey, concat('about ', {_said('o_custkey')}, ' point ', w[o_orderkey // 100 % 10 + 1], ' ', w[o_orderkey // 10 % 10 + 1], ' ', w[o_orderkey % 10 + 1], ' of it') AS said FROM orders, s"
 
