@@ -11,28 +11,30 @@ from lectern.llm.common import written
 MAX_ROUNDS = 60
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or is itself the smaller one, never both."""
+    roles = edges.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("lo").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    mixed = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+    return mixed.agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: for every node of an edge (columns ``a``, ``b``) but the roots, the smallest node reachable.
 
     Each round links the larger neighbours of a node to its smallest one, then the
-    smaller ones; minima are aggregated before the shuffle, so a node may have any
-    number of edges. Nulls are no nodes; loops and repeated edges change nothing.
+    smaller ones, until only stars are left; minima are aggregated before the
+    shuffle, so a node may have any number of edges. Nulls are no nodes; loops and
+    repeated edges change nothing.
     """
     e = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi > lo").distinct())
-    seen = _state(e)
     for _ in range(MAX_ROUNDS):
+        if _all_stars(e):
+            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        # An edge (u, v) with u < v becomes (v, smallest of u's): u is the edge's lower end.
+        large = written(e.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")))
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(first, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(first.select("hi", F.col("m").alias("lo")))
         e = written(small.filter("hi > lo").distinct())
-        now = _state(e)
-        if now == seen:
-            return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        seen = now
     raise RuntimeError("components did not settle")
