@@ -49,9 +49,11 @@ from lectern.llm.components import components
 
 WIDTH, PERCENT = 4, 85
 #: Ratio of the sizes of a level.
-LEVEL = 1.6
+LEVEL = 1.25
 #: Sets and shingles of a tile at most (a larger set is alone).
 TILE_SETS, TILE_SHINGLES = 400, 1_500_000
+#: Signatures of a tile at most.
+TILE_SIGNATURES = 4096
 
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -100,7 +102,7 @@ def mark(s: np.ndarray) -> int:
 @cache
 def bounds() -> np.ndarray:
     """First size of each level."""
-    return np.unique(np.floor(LEVEL ** np.arange(75.0)).astype(np.int64))
+    return np.unique(np.floor(LEVEL ** np.arange(140.0)).astype(np.int64))
 
 
 @cache
@@ -202,9 +204,9 @@ def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select(F.col("node").alias("a"), F.coalesce("hub", least).alias("b")).filter("a <> b").distinct()
 
 
-def tiles(nodes: DataFrame, percent: int) -> DataFrame:
+def tiles(nodes: DataFrame, percent: int, sets: int, shingles: int | None = None) -> DataFrame:
     """The columns of ``nodes`` (node, n, grp and others) and ``units``: the units of work (unit, side) of each set."""
-    parts = F.greatest(F.ceil(F.col("count") / TILE_SETS), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    parts = F.greatest(F.ceil(F.col("count") / sets), F.ceil(F.col("total") / shingles) if shingles else F.lit(1)).cast("int")
     whole = nodes.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("total")).withColumn("parts", parts)
     # A little wider than the threshold asks for, against rounding of the logarithm.
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.0001)))
@@ -367,8 +369,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     taking = slim.filter("id IS NOT NULL AND node IS NOT NULL")
     kinds = written(taking.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sign").alias("sign")))
     rough = components(candidate_links(own.filter("id IS NOT NULL"), width, percent))
-    groups = components(narrowed(tiles(_grouped(rough, kinds.select("node", "n", "sign")), percent), percent))
-    found = written(links(own, tiles(_grouped(groups, kinds.drop("sign")), percent), width, percent))
+    groups = components(narrowed(tiles(_grouped(rough, kinds.select("node", "n", "sign")), percent, TILE_SIGNATURES), percent))
+    found = written(links(own, tiles(_grouped(groups, kinds.drop("sign")), percent, TILE_SETS, TILE_SHINGLES), width, percent))
     trees = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     trees = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
     first = written(trees.join(kinds.select("node", "id"), "node"))
