@@ -43,6 +43,18 @@ def library(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "id")
 
 
+def by_id(table: DataFrame, value) -> DataFrame:
+    return table.filter(F.col("id") == F.lit(value))
+
+
+def updated(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """Jobs after updates (one per id at most): fields that an update has and does not leave null replace those of the job."""
+    fields = [c for c in updates.columns if c != "id"]
+    new = updates.select("id", *[F.col(c).alias(f"_{c}") for c in fields])
+    told = [F.coalesce(f"_{c}", c).alias(c) if c in fields else F.col(c) for c in jobs.columns]
+    return jobs.join(new, "id", "left").select(*told) if fields else jobs
+
+
 def with_book(jobs: DataFrame, books: DataFrame) -> DataFrame:
     """Jobs with their books; jobs without one do not occur (see ``orphans``)."""
     return jobs.join(books.withColumnRenamed("id", "book_id"), "book_id")

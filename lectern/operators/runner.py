@@ -1,0 +1,58 @@
+"""Jobs on the driver: threads under tags, so that cancelling a job stops its Spark work."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+
+from pyspark.sql import SparkSession
+
+from lectern.operators.jobs import TERMINAL
+
+Publish = Callable[[str, str, str | None], None]
+
+
+class Runner:
+    """Runs so many jobs at a time; every change of state is published as (job, status, error)."""
+
+    def __init__(self, spark: SparkSession, publish: Publish, concurrent: int = 1):
+        self.spark, self.publish = spark, publish
+        self.pool = ThreadPoolExecutor(max(1, concurrent))
+        self.states: dict[str, str] = {}
+        self.lock = Lock()
+
+    def _move(self, job: str, status: str, error: str | None = None) -> bool:
+        with self.lock:
+            # A terminal state absorbs whatever comes after it.
+            if self.states.get(job) in TERMINAL and status != "queued":
+                return False
+            self.states[job] = status
+        self.publish(job, status, error)
+        return True
+
+    def submit(self, job: str, work: Callable[[SparkSession], object]):
+        """Queues a job; one that failed or was cancelled may be queued again."""
+        self._move(job, "queued")
+        return self.pool.submit(self._run, job, work)
+
+    def _run(self, job: str, work: Callable[[SparkSession], object]) -> None:
+        if not self._move(job, "synthesizing"):
+            return
+        sc = self.spark.sparkContext
+        sc.addJobTag(job)
+        try:
+            work(self.spark)
+            self._move(job, "done")
+        except Exception as error:  # noqa: BLE001  whatever a job raises is its result
+            self._move(job, "failed", str(error))
+        finally:
+            sc.removeJobTag(job)
+
+    def cancel(self, job: str) -> bool:
+        """False for a job that is unknown or over."""
+        if self.states.get(job) in (None, *TERMINAL):
+            return False
+        done = self._move(job, "cancelled")
+        self.spark.sparkContext.cancelJobsWithTag(job)
+        return done

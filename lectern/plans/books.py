@@ -232,6 +232,16 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
 
 
+def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _jobs(spark, sf_dir).select("id", "book_id", "lang", F.lit("queued").alias("status"))
+    new = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.expr("CASE quality WHEN 1 THEN 'done' END").alias("status"), F.expr("CASE toxic WHEN 1 THEN 'xx' END").alias("lang"))
+    return jobs.updated(table, new)
+
+
+QUERIES["job_updates"] = job_updates
+ORACLES["job_updates"] = "SELECT d.doc_id AS id, d.doc_id * 7 % 1500 AS book_id, CASE WHEN toxic = 1 THEN 'xx' ELSE lang END AS lang, CASE WHEN quality = 1 THEN 'done' ELSE 'queued' END AS status FROM documents d LEFT JOIN labels USING (doc_id)"
+
+
 def job_book_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.with_book(_jobs(spark, sf_dir), _labelled(spark, sf_dir)).select("id", "book_id", "lang", "quality")
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.jobs import latest
 
@@ -14,6 +17,15 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def subscribe(stream: DataFrame, job_id, take: Callable[[list[Row]], None], checkpoint: str) -> StreamingQuery:
+    """Hands the events of one job to ``take`` as they arrive, those already there first; a job has few events."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        take(rows.orderBy("ts", "event_id").collect())
+
+    return stream.filter(F.col("job_id") == F.lit(job_id)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def fold(events: DataFrame) -> DataFrame:
     """By job the last status, percentage and chapter; replayed events change nothing, ties go to the higher id."""
     return latest(events, "job_id", ["ts", "event_id"], ["status", "progress_pct", "current_chapter"])

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns, speech
 from lectern.operators import chapters, jobs, timing
-from lectern.sources import audio, epub, markup
+from lectern import settings
+from lectern.operators.runner import Runner
+from lectern.sources import audio, epub, markup, pdf
 from lectern.streaming import progress
 
 LONG = "word " * 60
@@ -133,3 +135,56 @@ def test_stream_equals_batch(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "e"))
     stream = progress.event_stream(spark, str(tmp_path / "e"), events.schema)
     assert rows(progress.fold_available(stream), "job_id") == rows(progress.fold(events), "job_id")
+
+
+def test_runner(spark):
+    import threading
+
+    seen, started = [], threading.Event()
+    runner = Runner(spark, lambda *e: seen.append(e), 2)
+
+    def endless(s):
+        started.set()
+        s.range(0, 10**12, 1, 1).selectExpr("sum(hash(id))").collect()
+
+    def broken(s):
+        raise ValueError("no")
+
+    slow = runner.submit("a", endless)
+    runner.submit("b", lambda s: s.range(5).count()).result(60)
+    runner.submit("c", broken).result(60)
+    assert started.wait(60) and runner.cancel("a") and not runner.cancel("b") and not runner.cancel("x")
+    for _ in range(60):  # the tag may have come before the work
+        spark.sparkContext.cancelJobsWithTag("a")
+        try:
+            slow.result(1)
+            break
+        except TimeoutError:
+            continue
+    assert runner.states == {"a": "cancelled", "b": "done", "c": "failed"}
+    assert ("c", "failed", "no") in seen and ("a", "failed") not in [e[:2] for e in seen]
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "s.json"
+    assert settings.load(path) == settings.Settings()
+    path.write_text("{broken")
+    assert settings.load(path).max_concurrent_jobs == 1
+    path.write_text('{"max_concurrent_jobs": 0, "voice": "bm_x", "other": 1}')
+    assert (settings.load(path).max_concurrent_jobs, settings.load(path).voice) == (1, "bm_x")
+    settings.save(settings.load(path), path)
+    assert settings.load(path).voice == "bm_x"
+
+
+def test_pdf_inputs(spark):
+    files = spark.createDataFrame([(1, bytearray(b"%PDF trailer << /Encrypt 5 0 R >>")), (2, bytearray(b"%PDF \xff")), (3, None)], "id int, content binary")
+    assert rows(files.select("id", pdf.encrypted(F.col("content"))), "id") == [(1, True), (2, False), (3, False)]
+    assert rows(pdf.pages(spark.createDataFrame([("a", 0, None)], "book string, page_no int, text string")), "page_no") == [("a", 0, "")]
+
+
+def test_subscribe(spark, tmp_path):
+    events = spark.createDataFrame([(k % 2, k, k, f"s{k}") for k in range(6)], "job_id int, event_id int, ts int, status string")
+    events.write.parquet(str(tmp_path / "e"))
+    got = []
+    progress.subscribe(progress.event_stream(spark, str(tmp_path / "e"), events.schema), 1, got.extend, str(tmp_path / "c")).awaitTermination()
+    assert [r.status for r in got] == ["s1", "s3", "s5"]
