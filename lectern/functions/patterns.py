@@ -22,10 +22,12 @@ SPACE_BEFORE_MARK = rf"{SP}+([.,!?;:])"
 FOREIGN = r"[^\x00-\x7F]{4,}"
 
 CURRENCY = rf"[$£€]{SP}?[0-9][0-9,]*(?:\.[0-9]+)?"
-DECIMAL = rf"{EDGE}[0-9]+\.[0-9]+{EDGE}"
-ORDINAL = rf"{EDGE}[0-9]+(?i:st|nd|rd|th){EDGE}"
-YEAR = rf"{EDGE}(?:1[0-9]{{3}}|20[0-9]{{2}}){EDGE}"
-PLAIN = r"(?<![\p{L}\p{N}_.])[0-9]{1,9}(?![\p{L}\p{N}_.])"
+# The digit that must come is looked for first: the costlier look-behind then runs at few places.
+_START, _END = rf"(?=[0-9])(?<!{W})", rf"(?!{W})"
+DECIMAL = rf"{_START}[0-9]+\.[0-9]+{_END}"
+ORDINAL = rf"{_START}[0-9]+(?i:st|nd|rd|th){_END}"
+YEAR = rf"{_START}(?:1[0-9]{{3}}|20[0-9]{{2}}){_END}"
+PLAIN = r"(?=[0-9])(?<![\p{L}\p{N}_.])[0-9]{1,9}(?![\p{L}\p{N}_.])"
 
 SPINE_SKIP = r"(?i)(cover|titlepage|title-page|toc|nav|copyright|colophon|dedication|pg-header|pg-footer|wrap0000)"
 CONTENTS_TITLE = r"(?i)^((table of )?contents( in detail)?|index)\n?\z"

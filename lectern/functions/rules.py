@@ -92,8 +92,11 @@ def tidy_white_space(text: Column) -> Column:
 
 
 def expand_abbreviations(text: Column) -> Column:
-    """No expansion contains an abbreviation and none overlap, so one replacement after another is one pass."""
-    each = lambda t, k: F.regexp_replace(t, rf"(?<!{P.W})\Q{k}\E(?!{P.W})", ABBREVIATIONS[k])
+    """No expansion contains an abbreviation and none overlap, so one replacement after another is one pass.
+
+    Each pattern begins with its literal, which is searched fast, and looks at what stands before it afterwards.
+    """
+    each = lambda t, k: F.regexp_replace(t, rf"\Q{k}\E(?<!{P.W}\Q{k}\E)(?!{P.W})", ABBREVIATIONS[k])
     return reduce(each, sorted(ABBREVIATIONS, key=len, reverse=True), text)
 
 
