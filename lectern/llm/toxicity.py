@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import slices
 from lectern.llm.common import table
 
-MAX_POSITIVE, MAX_NEGATIVE = 3000, 5000
+MAX_POSITIVE, MAX_NEGATIVE = 2500, 4000
 BUCKETS, SIZE = 1 << 17, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH = 4, 32
@@ -122,7 +122,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def contrast(bucket: np.ndarray, text: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How much surer than chance a bucket speaks for label 1: the signed root of the log-likelihood ratio of its document frequencies."""
-    at = np.unique(text * BUCKETS + bucket)
+    at = np.unique(text.astype(np.int64) * BUCKETS + bucket)
     seen = np.unique(text)
     hot = y[at // BUCKETS] == 1
     pos, neg = (np.bincount(at[m] % BUCKETS, minlength=BUCKETS).astype(float) for m in (hot, ~hot))
@@ -161,10 +161,12 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
         tuned, learnt = order[:0], order
     m = started()
     hashes, which, ends = tokens(texts)
-    a, b = (x[which] for x in buckets(hashes))
-    text = np.repeat(np.arange(len(y)), np.diff(ends))
-    inside = np.isin(text, learnt)
-    m.one[:, 0], m.two[:, 0] = contrast(a[inside], text[inside], y), contrast(b[inside], text[inside], y)
+    a, b = (x.astype(np.int32)[which] for x in buckets(hashes))
+    del hashes, which
+    text = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(ends))
+    inside = np.isin(np.arange(len(y)), learnt)[text]
+    text = text[inside]
+    m.one[:, 0], m.two[:, 0] = contrast(a[inside], text, y), contrast(b[inside], text, y)
     weight = np.where(y == 1, min(8.0, (len(learnt) - y[learnt].sum()) / y[learnt].sum()), 1.0)
     memory = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in _dense(m).items()}
     step = 0
@@ -247,8 +249,8 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     parts = [usable.filter(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(n) for v, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
     # At most MAX_POSITIVE + MAX_NEGATIVE ids are broadcast, and as many texts come back.
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionAll(parts[1])), "id")
-    got = chosen.toArrow().combine_chunks().sort_by([("id", "ascending"), ("y", "ascending")])
-    return train(pa.array(got["text"].to_pylist(), pa.string()), got["y"].to_numpy())
+    got = chosen.toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    return train(got["text"].cast(pa.string()).combine_chunks(), got["y"].to_numpy())
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
