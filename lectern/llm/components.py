@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         if _all_stars(e):
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below shuffles both its sides: only such joins are split where a node has very many edges.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # An edge (u, v) with u < v becomes (v, smallest of u's): u is the edge's lower end.
         large = written(e.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")))
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
