@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.storage import shared_dir, written  # noqa: F401
+
 #: What separates words: blank and the control characters 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"
 #: A word: a run without them.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where none is set (tests)."""
-    if known := spark.conf.get("spark.checkpoint.dir", None):
-        return known.rstrip("/")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="lectern-"))
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP, -1), "")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern.operators.jobs import latest
+from lectern.storage import new_path
 
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -17,11 +17,11 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def subscribe(stream: DataFrame, job_id, take: Callable[[list[Row]], None], checkpoint: str) -> StreamingQuery:
-    """Hands the events of one job to ``take`` as they arrive, those already there first; a job has few events."""
+def subscribe(stream: DataFrame, job_id, take: Callable[[Iterator[Row]], None], checkpoint: str) -> StreamingQuery:
+    """Hands the events of one job to ``take`` as they arrive, those already there first; the driver holds a partition of them at a time."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        take(rows.orderBy("ts", "event_id").collect())
+        take(rows.orderBy("ts", "event_id").toLocalIterator())
 
     return stream.filter(F.col("job_id") == F.lit(job_id)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -32,8 +32,15 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def fold_available(stream: DataFrame) -> DataFrame:
-    """The fold of all events that are there now, by a streaming query that ends with them."""
-    name = f"fold_{uuid.uuid4().hex}"
-    query = fold(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    """The fold of all events that are there now, by a streaming query that ends with them; a table in the shared folder, of which the driver holds no row."""
+    spark, folded = stream.sparkSession, fold(stream)
+    base, last = new_path(spark), []
+
+    def batch(rows: DataFrame, number: int) -> None:
+        path = f"{base}/table-{number}"
+        rows.write.mode("overwrite").parquet(path)
+        last[:] = [path]
+
+    query = folded.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(folded.schema).parquet(*last) if last else spark.createDataFrame([], folded.schema)

@@ -188,3 +188,21 @@ def test_subscribe(spark, tmp_path):
     got = []
     progress.subscribe(progress.event_stream(spark, str(tmp_path / "e"), events.schema), 1, got.extend, str(tmp_path / "c")).awaitTermination()
     assert [r.status for r in got] == ["s1", "s3", "s5"]
+
+
+def test_fold_is_a_table_in_the_shared_folder(spark, tmp_path):
+    events = spark.createDataFrame([(k % 3, k, k, f"s{k}", 1.0, None) for k in range(9)], "job_id int, event_id int, ts int, status string, progress_pct double, current_chapter string")
+    events.write.parquet(str(tmp_path / "e"))
+    got = progress.fold_available(progress.event_stream(spark, str(tmp_path / "e"), events.schema))
+    assert got.inputFiles() and all(spark.conf.get("spark.checkpoint.dir") in f for f in got.inputFiles())
+    assert rows(got, "job_id") == rows(progress.fold(events), "job_id")
+    (tmp_path / "none").mkdir()
+    assert progress.fold_available(progress.event_stream(spark, str(tmp_path / "none"), events.schema)).collect() == []
+
+
+def test_subscribe_hands_on_no_list(spark, tmp_path):
+    events = spark.createDataFrame([(1, k, k, f"s{k}") for k in range(6)], "job_id int, event_id int, ts int, status string")
+    events.write.parquet(str(tmp_path / "e"))
+    got = []
+    progress.subscribe(progress.event_stream(spark, str(tmp_path / "e"), events.schema), 1, lambda taken: got.append((isinstance(taken, list), [r.status for r in taken])), str(tmp_path / "c")).awaitTermination()
+    assert got == [(False, [f"s{k}" for k in range(6)])]
