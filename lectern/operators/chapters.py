@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions.rules import strip
+from lectern.storage import written
 
 SHORT_ITEM = 200
 PREAMBLE = 200
@@ -27,6 +30,36 @@ def ordered_join(order: str, text: str, separator: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["t"]), separator)
 
 
+def in_cells(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` as a table, dealt by range of book and ``order`` into cells, with the cell as ``_cell``.
+
+    A book may hold any share of the rows: it then lies in many cells, and equal places in one.
+    """
+    return written(written(rows).repartitionByRange("book", *order).withColumn("_cell", F.spark_partition_id()))
+
+
+def with_ahead(rows: DataFrame, counts: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``_ahead``: of ``counts`` (book, ``order`` and _n, a row per place) the sum over the places of the book before the row's own.
+
+    Sums come in two steps, over cells and inside them, on rows without text.
+    """
+    cells = in_cells(counts, *order)
+    sums = cells.groupBy("book", "_cell").agg(F.sum("_n").alias("s"))
+    before = W.partitionBy("book").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    lead = sums.select(F.col("book").alias("_book"), F.col("_cell").alias("_lead"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_s"))
+    inside = W.partitionBy("book", "_cell").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    told = cells.join(lead, F.col("book").eqNullSafe(F.col("_book")) & (F.col("_cell") == F.col("_lead")))
+    names = [f"_by_{c}" for c in ("book", *order)]
+    told = told.select(*[F.col(c).alias(n) for c, n in zip(("book", *order), names, strict=True)], (F.col("_s") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_ahead"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(("book", *order), names, strict=True)]
+    return rows.join(told, reduce(Column.__and__, same)).drop(*names)
+
+
+def numbered(made: DataFrame, places: DataFrame, order: str) -> DataFrame:
+    """``made`` with chapter_index, from 0 by book over the different ``places`` (book, ``order``)."""
+    return with_ahead(made, places.distinct().withColumn("_n", F.lit(1)), order).withColumn("chapter_index", F.col("_ahead").cast("int"))
+
+
 def spine_chapters(items: DataFrame) -> DataFrame:
     """book, chapter_index, title, text from spine items.
 
@@ -71,28 +104,36 @@ def section_chapters(blocks: DataFrame) -> DataFrame:
 
 def page_headings(pages: DataFrame) -> DataFrame:
     """book, chapter_index, title, text split at heading-like lines of page texts (book, page_no, text); text before the first one goes."""
-    lines = pages.select("book", "page_no", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    flagged = lines.withColumn("is_heading", F.col("line").rlike(P.HEADING_LINE))
-    order = W.partitionBy("book").orderBy("page_no", "line_no")
-    rows = flagged.withColumn("n", F.sum(F.col("is_heading").cast("int")).over(order)).filter("n > 0").withColumn("at", F.struct("page_no", "line_no"))
-    rows = rows.withColumn("body", F.when(~F.col("is_heading") & ~blank(F.col("line")), F.col("line")))
-    made = rows.groupBy("book", "n").agg(F.max(F.when(F.col("is_heading"), strip(F.col("line")))).alias("title"), ordered_join("at", "body", "\n").alias("text"))
+    split = pages.select("book", "page_no", F.split("text", "\n", -1).alias("lines"))
+    marks = F.transform("lines", lambda x, i: F.when(x.rlike(P.HEADING_LINE), i + 1))
+    flagged = split.withColumn("heads", F.filter(marks, lambda k: k.isNotNull()))
+    counts = flagged.groupBy("book", "page_no").agg(F.coalesce(F.sum(F.size("heads")), F.lit(0)).alias("_n"))
+
+    def section(start: Column, j: Column) -> Column:
+        """What stands from a heading (of section 0: from the first line) to the next one."""
+        skip = (j > 0).cast("int")
+        inner = F.slice("lines", start + skip, F.coalesce(F.get("heads", j), F.size("lines") + 1) - start - skip)
+        body = F.filter(inner, lambda x: ~blank(x))
+        return F.struct(j.alias("j"), F.when(j > 0, strip(F.get("lines", start - 1))).alias("title"), F.when(F.size(body) > 0, F.array_join(body, "\n")).alias("body"))
+
+    parts = flagged.select("book", "page_no", F.explode(F.transform(F.concat(F.array(F.lit(1)), "heads"), section)).alias("p")).select("book", "page_no", "p.*")
+    parts = with_ahead(parts, counts, "page_no").withColumn("n", F.col("_ahead") + F.col("j")).filter("n > 0")
+    made = parts.groupBy("book", "n").agg(F.max("title").alias("title"), ordered_join("page_no", "body", "\n").alias("text"))
     kept = made.filter(~blank(F.col("text")))
-    return kept.select("book", (F.row_number().over(W.partitionBy("book").orderBy("n")) - 1).cast("int").alias("chapter_index"), "title", "text")
+    return numbered(kept, parts.filter("body IS NOT NULL").select("book", "n"), "n").select("book", "chapter_index", "title", "text")
 
 
 def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:
     """book, chapter_index, title, text of so many pages each; page_no counts from 0."""
     rows = pages.withColumn("group", F.floor(F.col("page_no") / size)).withColumn("body", F.when(~blank(F.col("text")), F.col("text")))
     made = rows.groupBy("book", "group").agg(ordered_join("page_no", "body", "\n\n").alias("text")).filter(~blank(F.col("text")))
-    made = made.withColumn("chapter_index", (F.row_number().over(W.partitionBy("book").orderBy("group")) - 1).cast("int"))
-    return made.select("book", "chapter_index", F.concat(F.lit("Chapter "), (F.col("chapter_index") + 1).cast("string")).alias("title"), "text")
+    return numbered(made, rows.filter("body IS NOT NULL").select("book", "group"), "group").select("book", "chapter_index", F.concat(F.lit("Chapter "), (F.col("chapter_index") + 1).cast("string")).alias("title"), "text")
 
 
 def page_chapters(pages: DataFrame) -> DataFrame:
     """Chapters by headings, or by page groups for books without any; oversized ones are split."""
-    headed = page_headings(pages)
-    grouped = page_groups(pages).join(headed.select("book").distinct(), "book", "left_anti")
+    headed = written(page_headings(pages))
+    grouped = page_groups(pages.join(headed.select("book").distinct(), "book", "left_anti"))
     return cap_chapters(headed.unionByName(grouped))
 
 
@@ -123,5 +164,8 @@ def cap_chapters(chapters: DataFrame, most: int = MAX_CHAPTER) -> DataFrame:
     large = large.select("book", "chapter_index", "title", F.size("_pieces").alias("n"), F.posexplode("_pieces").alias("piece", "text"))
     rows = fits.unionByName(large.select(*fits.columns))
     title = F.when(F.col("n") > 1, F.concat("title", F.lit(" (part "), (F.col("piece") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
-    at = (F.row_number().over(W.partitionBy("book").orderBy("chapter_index", "piece")) - 1).cast("int")
-    return rows.select("book", at.alias("chapter_index"), title.alias("title"), "text")
+    made = rows.select("book", F.col("chapter_index").alias("from"), "piece", title.alias("title"), "text")
+    places = made.groupBy("book", "from").agg(F.count("*").alias("_n"))
+    inside = W.partitionBy("book", "from").orderBy("piece")
+    at = (F.col("_ahead") + F.row_number().over(inside) - 1).cast("int")
+    return with_ahead(made, places, "from").select("book", at.alias("chapter_index"), "title", "text")

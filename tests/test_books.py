@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -206,3 +207,34 @@ def test_subscribe_hands_on_no_list(spark, tmp_path):
     got = []
     progress.subscribe(progress.event_stream(spark, str(tmp_path / "e"), events.schema), 1, lambda taken: got.append((isinstance(taken, list), [r.status for r in taken])), str(tmp_path / "c")).awaitTermination()
     assert got == [(False, [f"s{k}" for k in range(6)])]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_book_is_numbered_in_cells(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pages = spark.range(400).selectExpr("if(id % 4 = 0, 'b' || id % 8, 'a') book", "int(id) page_no", "if(id % 5 < 3, 'Chapter ' || id || '\n', '') || 'x' || id text")
+        cells = {}
+        for r in chapters.in_cells(pages, "page_no").select("book", "_cell").distinct().collect():
+            cells.setdefault(r.book, set()).add(r[1])
+        assert len(cells["a"]) > 1
+        want = {}
+        for r in pages.orderBy("page_no").collect():
+            made = want.setdefault(r.book, [])
+            head, _, body = r.text.rpartition("\n")
+            made += [[head, body]] if head else []
+            if not head and made:
+                made[-1][1] += "\n" + body
+        got = rows(chapters.page_headings(pages), "book", "chapter_index")
+        assert got == [(b, k, *c) for b in sorted(want) for k, c in enumerate(want[b])]
+        groups = rows(chapters.page_groups(pages, 5), "book", "chapter_index")
+        assert [g[1] for g in groups if g[0] == "a"] == list(range(80)) and [g[2] for g in groups if g[0] == "b0"] == [f"Chapter {k + 1}" for k in range(50)]
+        capped = chapters.cap_chapters(pages.withColumnRenamed("page_no", "chapter_index").withColumn("title", F.lit("T")), 8)
+        assert [r[1] for r in rows(capped.filter("book = 'a'"), "chapter_index")] == list(range(capped.filter("book = 'a'").count()))
+        for made in (chapters.page_headings(pages), chapters.page_groups(pages, 5), capped):
+            assert set(re.findall(r"windowspecdefinition\(book#\w+, (\w+)#", plan(made))) <= {"_cell", "from"}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
