@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +32,12 @@ def latest(events: DataFrame, key: str, order: list[str], fields: list[str]) ->
 
 def absorbing(events: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
     """Events up to and including the first terminal one of each key: what comes later changes nothing."""
-    before = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    over = F.coalesce(F.max(F.col(status).isin(*TERMINAL).cast("int")).over(before), F.lit(0))
-    return events.withColumn("_over", over).filter("_over = 0").drop("_over")
+    place = F.struct(*order)
+    first = events.filter(F.col(status).isin(*TERMINAL)).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*events.columns), place).alias("_last"))
+    # A null-safe join is no partitioning by the key: a key with very many events can be split.
+    told = events.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    before = told.filter(F.col("_last").isNull() | (place < F.struct(*[F.col("_last")[c].alias(c) for c in order])))
+    return before.select(*events.columns).unionByName(first.select("_last.*"))
 
 
 def library(jobs: DataFrame) -> DataFrame:

@@ -238,3 +238,11 @@ def test_a_large_book_is_numbered_in_cells(spark):
             assert set(re.findall(r"windowspecdefinition\(book#\w+, (\w+)#", plan(made))) <= {"_cell", "from"}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_absorbing_splits_a_job_of_many_events(spark):
+    e = [(1, 1, "cleaning"), (1, 2, "failed"), (1, 2, "failed"), (1, 3, "done"), (None, 1, "done"), (None, 2, "cleaning"), (2, None, "cleaning"), (2, 4, None)]
+    events = spark.createDataFrame(e, "job int, event_id int, status string")
+    got = jobs.absorbing(events, "job", ["event_id"])
+    assert "Window" not in plan(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, "cleaning"), (1, 2, "failed"), (None, 1, "done"), (2, None, "cleaning"), (2, 4, None)], key=repr)
