@@ -1,5 +1,6 @@
 """Operators 2, 4, 5, 6, 8, 9 on small fixtures."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -190,6 +191,49 @@ def test_licenses_against_brute_force(spark):
         assert got[r.doc_id] == ((best[1], round(-best[0], 9)) if -best[0] >= licenses.THRESHOLD else (None, 0.0))
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+
+
+def test_whole_and_wrapped_licenses(spark):
+    comment = lambda text, mark: "code = 1\n" + "\n".join(f"{mark} {x}" for x in text.split("\n")) + "\nmore = code + 1\n"
+    known = dict.fromkeys(n for n, _ in licenses.TEMPLATES)
+    wrapped = lambda name: "\n".join(re.findall(r".{1,60}(?:\s|$)", max((t for n, t in licenses.TEMPLATES if n == name), key=len)))
+    texts = [f"MIT License\n\nCopyright (c) 2020 A. Author\n\n{MIT}\n\nThe above copyright notice", comment("Copyright 2021 Someone\n\n" + MIT, " *"), "word " * 300 + "and then. Licensed under CC BY 4.0. " + "word " * 300]
+    names = ["MIT", "MIT", "CC-BY-4.0"]
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0"):
+        assert name in known
+        texts.append(comment(wrapped(name), "#"))
+        names.append(name)
+    got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(len(names))] == names
+
+
+def test_runs_against_all_runs():
+    rng = random.Random(5)
+    known = licenses.Templates([("A", "a b c d e f"), ("B", "c d e f g h a b"), ("C", "b b a")], 0.8)
+    for _ in range(400):
+        units = [" ".join(rng.choice("abcdefgh" if rng.random() < 0.3 else "abc def ghi"[k % 3 * 4 :][:3]) for k in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 9))]
+        if rng.random() < 0.5:
+            units[rng.randrange(len(units)) : 0] = ["a b c", "d e f"] * rng.randint(1, 3)
+        every = [x[0] for a in range(len(units)) for b in range(a, len(units)) if len(" ".join(units[a : b + 1]).split()) > 1 and (x := known.best("\n".join(units[a : b + 1])))]
+        # Of overlapping runs the one with most of its template is given; there is one wherever any run matches.
+        runs = known.runs("\n".join(units))
+        assert bool(runs) == bool(every) and all(known.best(r) for r in runs)
+
+
+def test_runs_in_many_repeats():
+    import time
+
+    start = time.monotonic()
+    assert licenses.segments("Permission is hereby granted, free of charge,\n" * 50_000 + MIT)[-1].endswith("conditions:")
+    assert time.monotonic() - start < 30
+
+
 def test_toxicity_held_out(spark):
     sf = DATA.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
