@@ -165,16 +165,16 @@ def most_shared(a: np.ndarray, b: np.ndarray, size_a: int, size_b: np.ndarray) -
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, node, sign for every row: size, name and signature of its set (neither for an empty one)."""
+    """id, n, node, sign, h for every row: size, name and signature of its set (neither for an empty one), and the hash of its text."""
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 made = [(len(s), mark(s), signature(s)) if len(s) else (0, None, None) for s in shingle_sets(part.column("text"), width)]
                 columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", "n", "node", "sign"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns, part.column("h")], ["id", "n", "node", "sign", "h"])
 
-    return docs.mapInArrow(sized, "id long, n long, node long, sign binary")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(sized, "id long, n long, node long, sign binary, h long")
 
 
 def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -362,8 +362,8 @@ def _grouped(roots: DataFrame, kinds: DataFrame) -> DataFrame:
     return written(kinds.join(both.withColumnRenamed("root", "grp"), "node"))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles, component_id, n_links for every row."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """id, h, n, node, component_id, chief, n_links for every row; ``chief`` is the set of the component's smallest id (and of sets that share it the smallest)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     slim = written(classes(own, width))
     taking = slim.filter("id IS NOT NULL AND node IS NOT NULL")
@@ -374,13 +374,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     trees = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     trees = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
     first = written(trees.join(kinds.select("node", "id"), "node"))
-    named = first.join(first.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("node", "component_id")
+    named = first.join(first.groupBy("root").agg(F.min(F.struct("id", "node")).alias("m")), "root").select("node", F.col("m.id").alias("component_id"), F.col("m.node").alias("chief"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = kinds.join(named, "node", "left").join(counted, "node", "left")
-    known = known.select("node", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    some = taking.join(known, "node").select("id", "n", "component_id", "n_links")
-    rest = slim.filter("id IS NULL OR node IS NULL").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    known = known.select("node", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("chief", "node").alias("chief"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    some = taking.join(known, "node").select("id", "h", "n", "node", "component_id", "chief", "n_links")
+    rest = slim.filter("id IS NULL OR node IS NULL").select("id", "h", "n", "node", F.col("id").alias("component_id"), F.col("node").alias("chief"), F.lit(0).cast("long").alias("n_links"))
+    return some.unionByName(rest)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, component_id, n_links for every row."""
+    return _joined(docs, id_col, text_col, width, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,8 +393,13 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (five words, 0.8) the document with the smallest id; rows without an id stay."""
-    joined = jaccard_join(docs, width=5, percent=80)
-    first = joined.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """Pipeline stage: of each group of near duplicates (five words, 0.8) the document with the smallest id; rows without an id stay.
+
+    Rows are told apart by id and text, so of texts that share an id those that are nobody's near copy stay.
+    """
+    chiefs = _joined(docs, "doc_id", "text", width=5, percent=80).filter("id = component_id AND node <=> chief")
+    # Texts with one set count once; texts without a set are near copies of nothing.
+    keep = chiefs.groupBy("id", "node", F.when(F.col("node").isNull(), F.col("h")).alias("other")).agg(F.min("h").alias("h")).select("id", "h")
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    one = rows.join(keep, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("row.*")
+    return one.unionByName(docs.filter("doc_id IS NULL"))

@@ -84,6 +84,15 @@ def test_empty_join_and_stage(spark):
     assert kept.columns == df.columns and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_stage_keeps_texts_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    docs = [(1, a), (2, b), (2, f"{a} more"), (3, c), (3, "few words"), (3, "few other"), (3, c), (4, c.upper()), (4, b), (5, "d " * 9), (5, "D " * 9)]
+    for order in (docs, docs[::-1]):
+        df = spark.createDataFrame([(d, t, "u", 1) for d, t in order], DOCS)
+        kept = sorted((r.doc_id, r.text) for r in jaccard_join.distinct_documents(spark, df, "").collect())
+        assert [(d, t.lower()) for d, t in kept] == [(1, a), (2, b), (3, c), (3, "few other"), (3, "few words"), (5, "d " * 9)]
+
+
 def test_components(spark):
     edges = [(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (2, 2), (3, 1), (None, 1), (12, 11)]
     got = components(spark.createDataFrame(edges, "a long, b long"))
