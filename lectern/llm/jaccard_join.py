@@ -13,7 +13,7 @@ equal sets form a class that is handled once. The join runs in three steps.
    set, inside the task first, and the links are closed to groups.
 2. Tiles. A group is cut into tiles by size band (neighbouring bands hold all
    possible partners) and, where a band is large, by hash; each pair of tiles is
-   one unit of work. Units see only hashed bitmap signatures, whose bit counts
+   one unit of work, and the units of a group are dealt to the tasks in turn. Units see only hashed bitmap signatures, whose bit counts
    bound the overlap of two sets from above; the pairs that the bound leaves are
    closed to narrower groups, so sets that merely share a passage part here.
 3. The narrower groups are cut into tiles again, and these units get the sets:
@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,8 +52,10 @@ WIDTH, PERCENT = 4, 85
 LEVEL = 1.25
 #: Sets and shingles of a tile at most (a larger set is alone).
 TILE_SETS, TILE_SHINGLES = 400, 1_500_000
-#: Signatures of a tile at most.
-TILE_SIGNATURES = 4096
+#: Signatures of a tile at most, in small and in large groups: a group gives work to many tasks, and a large one few copies of its rows.
+TILE_SIGNATURES = (400, 4096)
+#: Tiles that a band of a group is cut into before they grow.
+SPREAD = 12
 
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -204,9 +206,13 @@ def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select(F.col("node").alias("a"), F.coalesce("hub", least).alias("b")).filter("a <> b").distinct()
 
 
-def tiles(nodes: DataFrame, percent: int, sets: int, shingles: int | None = None) -> DataFrame:
-    """The columns of ``nodes`` (node, n, grp and others) and ``units``: the units of work (unit, side) of each set."""
-    parts = F.greatest(F.ceil(F.col("count") / sets), F.ceil(F.col("total") / shingles) if shingles else F.lit(1)).cast("int")
+def tiles(nodes: DataFrame, percent: int, sets: tuple[int, int], shingles: int | None = None) -> DataFrame:
+    """The columns of ``nodes`` (node, n, grp and others) and ``units``: the units of work (unit, turn, side) of each set.
+
+    The units of two bands have consecutive turns, so that dealing by turn spreads them evenly.
+    """
+    size = F.least(F.greatest(F.col("count") / SPREAD, F.lit(sets[0])), F.lit(sets[1]))
+    parts = F.greatest(F.ceil(F.col("count") / size), F.ceil(F.col("total") / shingles) if shingles else F.lit(1)).cast("int")
     whole = nodes.groupBy("grp").agg(F.count("*").alias("count"), F.sum("n").alias("total")).withColumn("parts", parts)
     # A little wider than the threshold asks for, against rounding of the logarithm.
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.0001)))
@@ -218,11 +224,15 @@ def tiles(nodes: DataFrame, percent: int, sets: int, shingles: int | None = None
     about = about.withColumns({"above": F.when(F.col("band") < 0, 0).otherwise(F.col("above")), "below": F.when(F.col("band") <= 0, 0).otherwise(F.col("below"))})
     rows = placed.join(about, ["grp", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    unit = lambda low, i, j, kind, side: F.struct(F.concat_ws(":", "grp", low, i, j, F.lit(kind)).alias("unit"), side.cast("int").alias("side"))
-    p = F.col("part")
-    same = F.transform(count("parts"), lambda j: unit(F.col("band"), F.least(p, j), F.greatest(p, j), "s", F.when(j == p, 2).otherwise((p > j).cast("int"))))
-    up = F.transform(count("above"), lambda j: unit(F.col("band"), p, j, "u", F.lit(0)))
-    down = F.transform(count("below"), lambda j: unit(F.col("band") - 1, j, p, "u", F.lit(1)))
+
+    def unit(low: Column, i: Column, j: Column, kind: str, side: Column, nth: Column) -> Column:
+        turn = F.pmod(F.xxhash64("grp", low, F.lit(kind)) + nth.cast("long"), F.lit(1 << 30)).cast("int")
+        return F.struct(F.concat_ws(":", "grp", low, i, j, F.lit(kind)).alias("unit"), turn.alias("turn"), side.cast("int").alias("side"))
+
+    p, low, high = F.col("part"), lambda j: F.least(F.col("part"), j), lambda j: F.greatest(F.col("part"), j)
+    same = F.transform(count("parts"), lambda j: unit(F.col("band"), low(j), high(j), "s", F.when(j == p, 2).otherwise((p > j).cast("int")), high(j) * (high(j) + 1) / 2 + low(j)))
+    up = F.transform(count("above"), lambda j: unit(F.col("band"), p, j, "u", F.lit(0), p * F.col("above") + j))
+    down = F.transform(count("below"), lambda j: unit(F.col("band") - 1, j, p, "u", F.lit(1), j * F.col("parts") + p))
     return rows.select(*[c for c in nodes.columns if c != "grp"], F.concat(same, up, down).alias("units"))
 
 
@@ -240,6 +250,12 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield list(held.values())
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of each unit together and sorted, the units dealt to the tasks in turn."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(n, "turn").drop("turn").sortWithinPartitions("unit")
+
+
 def bounded(size: np.ndarray, side: np.ndarray, signs: list[bytes], percent: int) -> np.ndarray:
     """For each set the first one of its tree, linking all pairs whose bound reaches the threshold; sizes ascend."""
     tree = np.arange(len(size))
@@ -280,8 +296,8 @@ def narrowed(assigned: DataFrame, percent: int) -> DataFrame:
             off = tree != np.arange(len(tree))
             yield pa.RecordBatch.from_arrays([pa.array(names[off]), pa.array(names[tree[off]])], ["a", "b"])
 
-    rows = assigned.select(F.explode("units").alias("u"), "node", "n", "sign").select("u.unit", "u.side", "node", "n", "sign")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(met, "a long, b long").distinct()
+    rows = assigned.select(F.explode("units").alias("u"), "node", "n", "sign").select("u.unit", "u.side", "node", "n", "sign", "u.turn")
+    return dealt(rows).mapInArrow(met, "a long, b long").distinct()
 
 
 def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -296,8 +312,6 @@ def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percen
     bits = np.zeros((len(sets), width), bool)
     bits[np.repeat(np.arange(len(sets)), size), (flat & np.uint64(width - 1)).astype(np.int64)] = True
     sign = np.packbits(bits, axis=1).view(np.uint64)
-    codes = np.unique(flat, return_inverse=True)[1]
-    held = np.zeros(int(codes.max()) + 1, bool)
     links, tree = np.zeros(len(sets), np.int64), np.arange(len(sets))
     for a in range(len(sets) - 1):
         last = int(np.searchsorted(size, size[a] * 100 // percent, side="right"))
@@ -312,12 +326,12 @@ def compare(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percen
         b, need = b[fits], need[fits]
         if not len(b):
             continue
-        held[codes[starts[a] : ends[a]]] = True
-        n = size[b]
+        # The sorted array of a, and those of all its partners one after another: where each shingle would stand, it stands or not.
+        own, n = flat[starts[a] : ends[a]], size[b]
         before = np.cumsum(n) - n
-        at = np.repeat(starts[b] - before, n) + np.arange(int(n.sum()))
-        shared = np.add.reduceat(held[codes[at]], before, dtype=np.int64)
-        held[codes[starts[a] : ends[a]]] = False
+        theirs = flat[np.repeat(starts[b] - before, n) + np.arange(int(n.sum()))]
+        place = np.searchsorted(own, theirs)
+        shared = np.add.reduceat(own[np.where(place < len(own), place, 0)] == theirs, before, dtype=np.int64)
         b = b[shared * (100 + percent) >= need]
         if len(b):
             links[a] += weight[b].sum()
@@ -333,14 +347,14 @@ def links(docs: DataFrame, assigned: DataFrame, width: int, percent: int) -> Dat
     """node, hub, links: a row per unit and set that has links in it."""
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("unit", pa.string()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("s", pa.binary())])
+        kind = pa.schema([("unit", pa.string()), ("side", pa.int32()), ("node", pa.int64()), ("copies", pa.int64()), ("s", pa.binary()), ("turn", pa.int32())])
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for k, s in enumerate(shingle_sets(part.column("text"), width)):
                     # Rows that share an id may differ in text; only the one that was assigned counts.
                     if len(s) and mark(s) == part.column("node")[k].as_py():
-                        rows += [(u["unit"], u["side"], part.column("node")[k].as_py(), part.column("copies")[k].as_py(), s.tobytes()) for u in part.column("units")[k].as_py()]
+                        rows += [(u["unit"], u["side"], part.column("node")[k].as_py(), part.column("copies")[k].as_py(), s.tobytes(), u["turn"]) for u in part.column("units")[k].as_py()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
 
@@ -352,8 +366,8 @@ def links(docs: DataFrame, assigned: DataFrame, width: int, percent: int) -> Dat
             some = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[tree[some]]), pa.array(n[some])], ["node", "hub", "links"])
 
-    rows = docs.join(assigned, "id").select("text", "node", "copies", "units").mapInArrow(shingled, "unit string, side int, node long, copies long, s binary")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(met, "node long, hub long, links long")
+    rows = docs.join(assigned, "id").select("text", "node", "copies", "units").mapInArrow(shingled, "unit string, side int, node long, copies long, s binary, turn int")
+    return dealt(rows).mapInArrow(met, "node long, hub long, links long")
 
 
 def _grouped(roots: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -370,7 +384,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     kinds = written(taking.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sign").alias("sign")))
     rough = components(candidate_links(own.filter("id IS NOT NULL"), width, percent))
     groups = components(narrowed(tiles(_grouped(rough, kinds.select("node", "n", "sign")), percent, TILE_SIGNATURES), percent))
-    found = written(links(own, tiles(_grouped(groups, kinds.drop("sign")), percent, TILE_SETS, TILE_SHINGLES), width, percent))
+    found = written(links(own, tiles(_grouped(groups, kinds.drop("sign")), percent, (TILE_SETS, TILE_SETS), TILE_SHINGLES), width, percent))
     trees = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     trees = trees.unionByName(trees.select(F.col("root").alias("node"), "root").distinct())
     first = written(trees.join(kinds.select("node", "id"), "node"))

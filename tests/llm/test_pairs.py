@@ -66,7 +66,7 @@ def test_join(spark, width, percent):
 
 def test_tiles_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_SETS", 7)
-    monkeypatch.setattr(jaccard_join, "TILE_SIGNATURES", 9)
+    monkeypatch.setattr(jaccard_join, "TILE_SIGNATURES", (9, 13))
     docs = corpus(3, 40)
     df = spark.createDataFrame([(d, t, "u", 1) for d, t in docs], DOCS)
     got = sorted((tuple(r) for r in jaccard_join.jaccard_join(df).collect()), key=repr)
