@@ -1,8 +1,11 @@
 """Operators 3 and 10, the registered SQL, and the pipeline."""
 
-from collections import defaultdict
+import hashlib
+import re
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import catalog, mixing, url_filter
@@ -48,25 +51,52 @@ def filled(sizes):
         full |= {s: float(caps[s]) for s in over}
 
 
-def test_mixing(spark):
-    docs = [(k, " ".join("w" * (k * 7 % 40)), ["é", "a", "b", None, "Z", "hot"][min(k % 13, 5)]) for k in range(300)] + [(None, "x y", "a"), (7, None, "a"), (1, "a b", "b"), (1, "a b", "b")]
+def queued(docs):
+    """(taken, finish of the first pass) by source, key and size: the queue in plain Python."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    key = lambda d, t: hashlib.md5(f"{'' if d is None else d}:mix:{t or ''}".encode()).hexdigest()
+    sizes, groups = defaultdict(int), Counter()
+    for d, t, s in docs:
+        sizes[s] += words(t)
+        groups[s, key(d, t), words(t)] += 1
+    goal = filled(sizes)
+    upto, passes = defaultdict(int), []
+    for (s, k, n), copies in sorted(groups.items(), key=lambda g: g[0][1]):
+        upto[s] += n * copies
+        passes += [((sizes[s] * p + upto[s]) / goal[s], s is None, s or "", (s, k, n), copies) for p in (0, 1) if n]
+    left, taken, finish = sum(sizes.values()) * 3 // 2, defaultdict(int), {}
+    for f, _, _, g, copies in sorted(passes):
+        part = max(0, min(g[2], left // copies))
+        taken[g] += part
+        left -= g[2] * copies
+        finish.setdefault(g, f)
+    return sizes, goal, {g: (taken[g], finish.get(g)) for g in groups}, key, words
+
+
+@pytest.mark.parametrize("cell", [50_000, 3])
+def test_mixing(spark, monkeypatch, cell):
+    monkeypatch.setattr(mixing, "CELL_ROWS", cell)
+    docs = [(k, " ".join("w" * (k * 7 % 40)), ["é", "a", "b", None, "Z", "hot"][min(k % 13, 5)]) for k in range(300)]
+    docs += [(None, "x y", "a"), (7, None, "a"), (1, "a b", "b"), (1, "a b", "b"), (1, "c d", "b"), (1, "c d", "hot"), (None, None, None), (4, "", None)] + [(9, "one and the same text", "hot")] * 40
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, source string, target long, key string")
     rows = mixing.shares(df).collect()
-    assert len(rows) == len(docs)
-    sizes, taken, target, longest = defaultdict(int), defaultdict(int), {}, defaultdict(int)
-    for r in rows:
-        sizes[r.source] += r.size
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-        assert r.taken <= 2 * r.size
-    want = filled(sizes)
+    sizes, goal, want, key, words = queued(docs)
+    assert Counter((r.source, r.id, r["size"], r.source_size, r.taken, r.finish) for r in rows) == Counter((s, d, words(t), sizes[s], *want[s, key(d, t), words(t)]) for d, t, s in docs)
+    assert all(abs(r.target - goal[r.source]) < 1e-6 and r.taken <= 2 * r["size"] for r in rows)
     for s in sizes:
-        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 1 and all(r.source_size == sizes[s] for r in rows if r.source == s)
-    assert sorted(map(repr, rows)) == sorted(map(repr, mixing.shares(df).collect()))
-    assert mixing.shares(df.limit(0)).collect() == []
+        assert abs(sum(r.taken for r in rows if r.source == s) - goal[s]) <= 160
     mix = mixing.mixed_documents(spark, df, "").collect()
-    assert sum(len((r.text or "").split()) for r in mix) == sum(taken.values())
-    assert mixing.mixed(df).count() == len(mix)
+    taken = [words(r.text) for r in mix]
+    assert sum(taken) == sum(r.taken for r in rows) and all(taken)
+    assert Counter({(r.id, r.source): 0 for r in rows}) + sum((Counter({(r.doc_id, r.source): words(r.text)}) for r in mix), Counter()) == sum((Counter({(r.id, r.source): r.taken}) for r in rows), Counter())
+    assert mixing.shares(df.limit(0)).collect() == [] and mixing.mixed_documents(spark, df.limit(0), "").collect() == []
+    assert mixing.shares(df.filter("text IS NULL OR text = ''")).filter("taken > 0 OR target > 0 OR finish IS NOT NULL").count() == 0
+
+
+def test_words_of_a_cut_text_stay_as_they_stand(spark):
+    texts = [("  a b\n\nc d", 3), ("a\tb  c", 2), ("a", 1), ("\n a\n", 1), ("w " * 50_000, 49_999)]
+    got = [r[0] for r in spark.createDataFrame(texts, "t string, n long").select(mixing.first_words(F.col("t"), F.col("n"))).collect()]
+    assert got == ["  a b\n\nc", "a\tb", "a", "\n a", ("w " * 49_999)[:-1]]
 
 
 def test_pipeline(spark):
@@ -77,7 +107,7 @@ def test_pipeline(spark):
         counts.append(docs.count())
         if k + 1 < len(corpus_pipeline.STAGES):
             assert docs.columns == columns, name
-    assert counts[0] > counts[1] > counts[2] == counts[3]
+    assert counts[0] > counts[1] > counts[2] == counts[3] < counts[4]
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     assert docs.groupBy("sequence_id").sum("length").filter("`sum(length)` > 4096").count() == 0
     from lectern.llm.quality import kept_documents
