@@ -1,10 +1,12 @@
 """Operator 9: token counts from pre-token frequencies.
 
 A first pass sums the frequency of every distinct pre-token over the corpus, and
-each is tokenized once. The most frequent (a bounded number) are sent to all
-tasks; a second pass sums their pieces inside the task and emits only the rarer
-pre-tokens of each document with their frequency in it, which are joined to the
-counted ones and summed. Token ids are never kept.
+each is tokenized once. Those that make up a millionth of all occurrences or more,
+so a million at most, are sent to all tasks: their side of the join is a look-up
+where the documents are. A second pass emits all other pre-tokens of each document
+with their frequency in it, which are joined to the counted ones by shuffle and
+summed. What is frequent is a share, so both ways are taken at every size of the
+corpus. Token ids are never kept.
 
 The pre-tokens are cut only where a byte-level BPE with the usual split pattern
 cuts in any case: between a word and white space, before the last blank in front
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import slices, specials, tokenizer, vocabulary
 from lectern.llm.common import table, written
 
-#: Pre-tokens whose counts every task holds (some 30 MB in a worker).
-FREQUENT = 200_000
+#: A pre-token is frequent if it is one occurrence in so many; there are no more of them than that.
+FREQUENT = 1_000_000
+#: Bytes of a pre-token that a task holds; longer ones are joined.
+HELD_BYTES = 64
 #: Distinct pre-tokens that a task gathers before it passes them on.
 GATHERED = 300_000
 LIMIT = 1024
@@ -87,7 +91,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """id, n_bytes, n_tokens, over_limit for every row."""
     spark = docs.sparkSession
     pieces = written(vocabulary_counts(docs.select(text_col), path))
-    top = pieces.orderBy(F.desc("freq"), "piece").limit(FREQUENT).select("piece", "n").toArrow()
+    total = pieces.agg(F.sum("freq")).first()[0] or 0
+    top = pieces.filter((F.col("freq") * FREQUENT >= total) & (F.octet_length("piece") <= HELD_BYTES)).select("piece", "n").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].to_pylist(), top["n"].to_pylist(), strict=True)))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
