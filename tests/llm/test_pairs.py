@@ -130,10 +130,10 @@ def top_brute(rows, every, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(2048, 512), (7, 3)])
-def test_top_k(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "CANDIDATES", blocks[0])
-    monkeypatch.setattr(topk, "QUERIES", blocks[1])
+@pytest.mark.parametrize("block", [1 << 22, 28])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "RUN", 2)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)] + [(i, [1.0, 0.0, 0.0, 0.0]) for i in range(200, 210)]
     rows += [(300, None), (305, [1.0, None, 0.0, 0.0]), (310, [float("nan"), 0.0, 0.0, 0.0]), (315, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (400, [1.0, 2.0]), (402, [3.0, 2.0]), (80, [])]
@@ -142,5 +142,16 @@ def test_top_k(spark, monkeypatch, blocks):
     assert sorted(tuple(r) for r in topk.top_k(df, every=5, k=3).collect()) == top_brute(rows, 5, 3)
 
 
+def test_top_k_leaves_far_blocks_out(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 80)
+    rng = random.Random(2)
+    rows = [(10 * c + k, [100.0 * (c == d) + rng.random() for d in range(8)]) for c in range(8) for k in range(10)]
+    seen, real = [], topk.reachable
+    monkeypatch.setattr(topk, "reachable", lambda q, c, n: seen.append((real(q, c, n).count(), q.select("q_block").distinct().count() * c.select("block").distinct().count())) or real(q, c, n))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, every=1, k=3).collect()) == top_brute(rows, 1, 3)
+    assert seen[0][0] < seen[0][1] // 2
+
+
 def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
