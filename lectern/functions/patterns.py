@@ -14,6 +14,7 @@ STRIP = rf"\A{SP}+|{SP}+\z"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 TAG = r"<[^>]+>"
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 FOOTNOTE = rf"""(?<=[a-zA-Z.,!?"']){SP}*(?:\[\p{{Nd}}{{1,3}}\]|\(\p{{Nd}}{{1,3}}\)|[¹²³⁰-⁹]+)(?={SP}|\z|\n\z)"""
 SPLIT_WORD = rf"({W})-\n({W})"
 DASH = rf"{SP}*[–—]{SP}*"

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import html
+import json
 from collections.abc import Callable
 from functools import reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions.binding import let
-from lectern.functions.spoken import speak_numbers
+from lectern.functions.spoken import replace_each, speak_numbers
 
 Rule = Callable[[Column], Column]
 
@@ -39,10 +39,38 @@ ABBREVIATIONS = {
 
 
 def _unescape(text: Column) -> Column:
-    def resolved(values: pd.Series) -> pd.Series:
-        return values.map(html.unescape, na_action="ignore")
+    """Entities resolved as browsers do: named ones (the old ones also without their semicolon), decimal and hexadecimal ones."""
+    return let(text, lambda t: F.when(t.contains("&"), replace_each(t, P.ENTITY, lambda m: let(F.substring(m, F.lit(2), F.length(m)), _entity))).otherwise(t))
 
-    return F.pandas_udf(resolved, "string")(text)
+
+#: Names that are known without a semicolon, the longest first.
+_OLD = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+#: Numbers that stand for another character: those of the Windows code page, the null and the carriage return.
+_OTHER = {0: "\ufffd", 13: "\r", **{k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}}
+
+
+def _entity(name: Column) -> Column:
+    """What an entity stands for, given without its ampersand; unknown ones stay."""
+    # Parsed once: the text of the table is a constant.
+    named = lambda n: F.try_element_at(F.from_json(F.lit(json.dumps(html5)), "map<string,string>"), n)
+    old = F.regexp_extract(name, f"^(?:{'|'.join(_OLD)})", 0)
+    by_old = F.when(old != "", F.concat(named(old), F.substring(name, F.length(old) + 1, F.length(name))))
+    return F.when(name.startswith("#"), let(_number(name), _character)).otherwise(F.coalesce(named(name), by_old, F.concat(F.lit("&"), name)))
+
+
+def _number(name: Column) -> Column:
+    hexadecimal = F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.regexp_extract(name, "^#0*([0-9]*)", 1)
+    most = F.lit(0x110000).cast("long")
+    value = lambda digits, base, longest: F.when(F.length(digits) > longest, most).when(digits == "", 0).otherwise(F.conv(digits, base, 10).cast("long"))
+    return F.when(name.rlike("^#[xX]"), value(hexadecimal, 16, 6)).otherwise(value(decimal, 10, 7))
+
+
+def _character(code: Column) -> Column:
+    other = F.create_map(*[F.lit(x) for k, v in _OTHER.items() for x in (k, v)])
+    none = (code < 32) & ~code.isin(9, 10, 12, 13) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (F.pmod(code, F.lit(0x10000)) >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.when(code.isin(*_OTHER), F.try_element_at(other, code.cast("int"))).when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(none, "").otherwise(plain)
 
 
 def strip(text: Column) -> Column:
@@ -55,7 +83,7 @@ def drop_tags(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Tags away, then entities resolved. Entities are the one thing without a built-in function."""
+    """Tags away, then entities resolved."""
     return _unescape(drop_tags(text))
 
 

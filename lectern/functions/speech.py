@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.binding import let
 from lectern.functions.patterns import SP
+from lectern.functions.spoken import replace_each
 
 SENTENCE_PAUSE, CLAUSE_PAUSE = 0.4, 0.18
 SAMPLE_RATE = 24_000
@@ -40,11 +41,13 @@ def plan(text: Column) -> Column:
 
 def voice(voice_id: Column) -> Column:
     """(id, name, language, gender) of an id such as ``af_heart``."""
-    prefix = F.when(voice_id.contains("_"), F.substring_index(voice_id, "_", 1)).otherwise(voice_id)
-    name = F.initcap(F.replace(F.when(voice_id.contains("_"), F.substring(voice_id, F.length(prefix) + 2, F.length(voice_id))).otherwise(voice_id), F.lit("_"), F.lit(" ")))
-    known = prefix.rlike("^.[fm]$")
-    language = F.when(known, F.try_element_at(_map(LANGUAGES), F.substring(prefix, 1, 1)))
-    return F.struct(voice_id.alias("id"), name.alias("name"), language.alias("language"), F.when(known, F.try_element_at(_map(GENDERS), F.substring(prefix, 2, 1))).alias("gender"))
+    prefix = F.when(voice_id.contains("_"), F.substring_index(voice_id, "_", 1)).otherwise("")
+    rest = F.when(voice_id.contains("_"), F.substring(voice_id, F.length(prefix) + 2, F.length(voice_id))).otherwise(voice_id)
+    # Every run of letters begins with a capital, also after a quote, a hyphen or a digit.
+    name = replace_each(F.replace(rest, F.lit("_"), F.lit(" ")), r"\p{L}+", F.initcap)
+    known = voice_id.rlike("(?s)^.[fm]")
+    language = F.when(known, F.try_element_at(_map(LANGUAGES), F.substring(voice_id, 1, 1)))
+    return F.struct(voice_id.alias("id"), name.alias("name"), language.alias("language"), F.when(known, F.try_element_at(_map(GENDERS), F.substring(voice_id, 2, 1))).alias("gender"))
 
 
 def preview_key(voice_id: Column, text: Column, speed: Column) -> Column:
@@ -66,6 +69,12 @@ def dequantized(samples: Column) -> Column:
     return F.transform(samples, lambda x: (x / 32767.0).cast("float"))
 
 
+def audio(parts: Column, pauses: Column, rate: int = SAMPLE_RATE) -> Column:
+    """Samples of a chunk: those of its segments (array of arrays), each followed by its pause; a chunk without segments is empty."""
+    quiet = lambda seconds: F.array_repeat(F.lit(0.0).cast("float"), (seconds * rate).cast("int"))
+    return F.flatten(F.zip_with(parts, pauses, lambda samples, seconds: F.concat(samples, quiet(seconds))))
+
+
 def with_silence(chunks: Column, silence: Column) -> Column:
     """Arrays of samples one after another, silence between them."""
     apart = F.transform(chunks, lambda x, i: F.when(i == 0, F.array(x)).otherwise(F.array(silence, x)))

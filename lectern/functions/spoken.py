@@ -17,7 +17,8 @@ from lectern.functions.binding import let
 
 UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = ["", "thousand", "million", "billion", "trillion", "quadrillion"]
+#: Names of the groups of three digits, the last one first.
+SCALES = ["", *"thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion undecillion duodecillion tredecillion quattuordecillion quindecillion sexdecillion septendecillion octodecillion novemdecillion vigintillion".split()]
 #: Ordinals that are not made by "th" or "ieth".
 IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 CURRENCIES = {"$": "dollars", "£": "pounds", "€": "euros"}
@@ -50,13 +51,14 @@ def _group(n: Column) -> Column:
 
 def cardinal(digits: Column) -> Column:
     """Words of a string of digits."""
-    return let(digits, _cardinal)
+    return let(F.regexp_replace(digits, "^0+(?=[0-9])", ""), lambda short: let(digits, lambda d: _cardinal(short, d)))
 
 
-def _cardinal(digits: Column) -> Column:
-    padded = F.lpad(digits, LONGEST, "0")
-    scales = F.array(*[F.lit(s) for s in reversed(SCALES)])
-    groups = F.transform(scales, lambda s, i: F.struct(F.substring(padded, i * 3 + 1, F.lit(3)).cast("int").alias("n"), s.alias("scale")))
+def _cardinal(short: Column, digits: Column) -> Column:
+    count = F.least(F.ceil(F.length(short) / 3), F.lit(len(SCALES))).cast("int")
+    padded = F.lpad(short, count * 3, F.lit("0"))
+    scales = F.array(*[F.lit(s) for s in SCALES])
+    groups = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct(F.substring(padded, i * 3 - 2, F.lit(3)).cast("int").alias("n"), F.element_at(scales, count - i + 1).alias("scale")))
     told = F.filter(groups, lambda g: g["n"] > 0)
 
     def add(said: Column, g: Column) -> Column:
@@ -65,7 +67,7 @@ def _cardinal(digits: Column) -> Column:
         return F.concat(said, tie, _group(g["n"]), F.when(g["scale"] == "", "").otherwise(F.concat(F.lit(" "), g["scale"])))
 
     words = let(F.aggregate(told, F.lit(""), add), lambda w: F.when(w == "", UNITS[0]).otherwise(w))
-    return F.when(F.length(F.regexp_replace(digits, "^0+", "")) > LONGEST, digits).otherwise(words)
+    return F.when(F.length(short) > LONGEST, digits).otherwise(words)
 
 
 def ordinal(digits: Column) -> Column:

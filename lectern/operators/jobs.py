@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.operators.timing import BYTES_PER_CHAR, CHARS_PER_SECOND, OVERHEAD
+
 #: States that no event changes.
 TERMINAL = ("done", "failed", "cancelled")
 MAX_UPLOAD = 200 * 1024 * 1024
@@ -57,6 +59,25 @@ def updated(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     return jobs.join(new, "id", "left").select(*told) if fields else jobs
 
 
+def appended(rows: DataFrame, path: str) -> DataFrame:
+    """Adds the rows whose id is new to the table at a path, all of them or, where the job fails, none; gives the table."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select("id"), "id", "left_anti").select(*rows.columns)
+    rows.write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def created(requests: DataFrame, books: DataFrame, free_bytes: int, ready: Column) -> DataFrame:
+    """A row per request (id, book_id, voice, speed): the queued job with its estimate, or why it is refused; ``books`` has id, title, total_chars."""
+    told = requests.join(books.select(F.col("id").alias("book_id"), F.col("title").alias("_title"), F.col("total_chars").alias("_chars"), F.lit(True).alias("_known")), "book_id", "left")
+    refused = F.when(~ready, "no engine").when(F.col("_known").isNull(), "no such book").when(F.col("_chars") * BYTES_PER_CHAR > free_bytes, "not enough disk space")
+    taken = lambda c: F.when(F.col("refused").isNull(), c)
+    seconds = F.col("_chars") / CHARS_PER_SECOND * OVERHEAD
+    return told.withColumn("refused", refused).select("id", "book_id", taken(F.col("_title")).alias("book_title"), "voice", "speed", taken(F.lit("queued")).alias("status"), "refused", taken(seconds).alias("estimated_seconds"))
+
+
 def with_book(jobs: DataFrame, books: DataFrame) -> DataFrame:
     """Jobs with their books; jobs without one do not occur (see ``orphans``)."""
     return jobs.join(books.withColumnRenamed("id", "book_id"), "book_id")

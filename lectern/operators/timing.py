@@ -44,6 +44,21 @@ def progress(chapters: DataFrame) -> DataFrame:
     return chapters.select("book", "chapter_index", (done / F.count("*").over(book) * 80).alias("progress_pct"))
 
 
+#: What is reported after all chapters, with the percentage done.
+MILESTONES = (("assembling", 85.0), ("assembling", 95.0), ("done", 100.0))
+
+
+def reports(chapters: DataFrame) -> DataFrame:
+    """book, place, status, progress_pct, current_chapter (its index): everything that a job reports, in order: each chapter before it is read, then the milestones."""
+    steps = progress(chapters).select("book", F.col("chapter_index").cast("long").alias("current_chapter"), F.lit("synthesizing").alias("status"), "progress_pct")
+    place = F.row_number().over(W.partitionBy("book").orderBy("current_chapter")).cast("int")
+    steps = steps.withColumn("place", place)
+    after = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lit(s).alias("status"), F.lit(p).alias("progress_pct")) for k, (s, p) in enumerate(MILESTONES)])
+    last = steps.groupBy("book").agg(F.max("place").alias("n")).select("book", "n", F.explode(after).alias("m"))
+    last = last.select("book", F.lit(None).cast("long").alias("current_chapter"), "m.status", "m.progress_pct", (F.col("n") + F.col("m.k")).cast("int").alias("place"))
+    return steps.unionByName(last)
+
+
 def metadata_text(timed: DataFrame, books: DataFrame) -> DataFrame:
     """By book: the chapter metadata file as one string. ``timed`` has title and marks, ``books`` book, title, author."""
     block = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), F.col("start_ms").cast("string"), F.lit("\nEND="), F.col("end_ms").cast("string"), F.lit("\ntitle="), F.col("title"))
@@ -66,5 +81,5 @@ def throughput(runs: DataFrame) -> DataFrame:
 
 
 def title_or(value: Column, fallback: Column) -> Column:
-    """A trimmed value, or the fallback where it is null or empty."""
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), fallback)
+    """A value, or the fallback where it is null or empty."""
+    return F.coalesce(F.nullif(value, F.lit("")), fallback)

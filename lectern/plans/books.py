@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import chapters, jobs, timing
 from lectern.plans.texts import read
-from lectern.sources import markup
+from lectern.sources import audio, epub, markup
+from lectern.storage import new_path
 from lectern.streaming import progress
 
 QUERIES: dict = {}
@@ -308,3 +315,134 @@ def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["event_properties"] = event_json
 ORACLES["event_properties"] = "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS k_sum, count(props->>'k') AS n FROM events GROUP BY event_type"
+
+
+# EPUB archives made of conversations: a turn is a spine item, fifty of them an archive.
+_BOOK = "concat(conv_id, '-', turn div 50)"
+
+
+def _archive(items: list[dict]) -> bytes:
+    """A minimal EPUB of (turn, text) items; every fifth one has a heading in two elements."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='o/p.opf'/></rootfiles></container>")
+        named = [(t["turn"], f"ch0{t['turn']}.xhtml" if t["turn"] % 6 == 4 else "toc.xhtml" if t["turn"] % 13 == 8 else f"text{t['turn']}.xhtml", t["text"] or "") for t in items]
+        listed = "".join(f"<item id='i{k}' href='{k}/{h}' media-type='application/xhtml+xml'/>" for k, h, _ in named)
+        spine = "".join(f"<itemref idref='i{k}'/>" for k, _, _ in named)
+        z.writestr("o/p.opf", f"<package xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata><dc:title>Book of {len(named)}</dc:title><dc:language>en</dc:language></metadata><manifest>{listed}<item id='c' href='cover.png' media-type='image/png'/></manifest><spine>{spine}</spine></package>")
+        z.writestr("o/cover.png", bytes(len(named)))
+        if len(named) % 3 == 0:
+            z.writestr("META-INF/encryption.xml", "<x>http://other</x>" if len(named) % 2 else "<x>http://www.idpf.org/2008/embedding</x>")
+        for k, h, text in named:
+            heading = f"<h1> Part <b>{k}</b></h1>" if k % 5 == 1 else "<h2>XIV.</h2>" if k % 7 == 3 else "<h3>Contents</h3>" if k % 11 == 6 else ""
+            lines = "".join(f"<p>{html.escape(x)}</p>" for x in text.split("\n"))
+            z.writestr(f"o/{k}/{h}", f"<html><body>{heading}<div>{lines}</div><pre>code</pre></body></html>")
+    return out.getvalue()
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "content": [_archive(x) for x in batch["items"]]})
+
+    c = read(spark, sf_dir, "conversations").select(F.expr(_BOOK).alias("path"), F.struct("turn", "text").alias("item"))
+    items = c.groupBy("path").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return epub.epub_archives(items.mapInPandas(made, "path string, content binary"))
+
+
+def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say about themselves."""
+    return epub.epub_books(_archives(spark, sf_dir)).select("book", "title", "author", "language", "protected", "error", "cover_name", F.length("cover").alias("cover_bytes"))
+
+
+def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epub.epub_chapters(_archives(spark, sf_dir))
+
+
+_EPUBS = "a AS (SELECT concat(conv_id, '-', turn // 50) AS book, turn, text FROM conversations), n AS (SELECT book, count(*) AS n FROM a GROUP BY book)"
+QUERIES["epub_books"] = epub_books
+ORACLES["epub_books"] = f"WITH {_EPUBS} SELECT book, concat('Book of ', n) AS title, 'Unknown' AS author, 'en' AS language, n % 6 = 3 AS protected, NULL::VARCHAR AS error, 'cover.png' AS cover_name, n::INT AS cover_bytes FROM n"
+QUERIES["epub_chapters"] = epub_chapters
+ORACLES["epub_chapters"] = rf"""WITH {_EPUBS}, i AS (SELECT book, turn AS pos, list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')) AS ps,
+  CASE WHEN turn % 5 = 1 THEN concat('Part', turn) WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' END AS h, turn % 6 = 4 AND turn < 100 AS sig, turn % 6 <> 4 AND turn % 13 = 8 AS toc FROM a JOIN n USING (book) WHERE n % 6 <> 3),
+x AS (SELECT *, array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) AS text FROM i),
+k AS (SELECT * FROM x WHERE NOT toc AND (h IS NULL OR h <> 'Contents') AND text <> '' AND (h IS NOT NULL OR length(text) >= 200)),
+s AS (SELECT *, h IS NOT NULL OR sig OR row_number() OVER (PARTITION BY book ORDER BY pos) = 1 AS st FROM k),
+m AS (SELECT *, sum(st::INT) OVER (PARTITION BY book ORDER BY pos) AS n FROM s),
+t AS (SELECT *, CASE WHEN h = 'XIV.' THEN concat('Chapter ', n) WHEN h IS NOT NULL THEN h ELSE coalesce(list_filter(ps[1:6],
+  lambda p: length(p) BETWEEN 1 AND 80 AND NOT regexp_matches(p, '(?i)^(\d{{1,3}}|[IVXLCDM]{{1,7}})\.?$') AND NOT regexp_matches(p, '(?i)^chapter\s+(\d{{1,3}}|[IVXLCDM]{{1,7}})\.?$'))[1], concat('Chapter ', n)) END AS title FROM m)
+SELECT book, (n - 1)::INT AS chapter_index, max(CASE WHEN st THEN title END) AS title, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM t GROUP BY book, n"""
+
+# Samples: vectors as chunks of audio, ten of them a chapter.
+
+
+def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples to WAV files and back."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.transform("embedding", lambda x: x * 4).alias("samples"))
+    back = audio.wav_samples(audio.wav_files(e))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(F.col("path").cast("long").alias("vec_id"), F.size("samples").alias("n"), "sample_rate", F.round(total, 4).alias("total"))
+
+
+QUERIES["wav_round_trip"] = wav_round_trip
+ORACLES["wav_round_trip"] = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: (trunc(greatest(-1.0, least(1.0, (x * 4::FLOAT)::DOUBLE)) * 32767) / 32767.0)::FLOAT) AS q FROM embeddings)
+SELECT vec_id, len(q)::INT AS n, 24000 AS sample_rate, round(list_sum(list_transform(q, lambda x: x::DOUBLE)), 4) AS total FROM q"""
+
+
+def assembled_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("book"), F.lit(0).alias("chapter_index"), (F.col("vec_id") % 10).alias("chunk_index"), F.col("embedding").alias("samples"))
+    made = audio.assembled(e, 300, 100)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return made.select("book", "chapter_index", F.size("samples").alias("n"), F.round(total, 4).alias("total"), F.round(F.get("samples", F.lit(64)), 6).alias("after_first"))
+
+
+QUERIES["assembled_chapters"] = assembled_chapters
+ORACLES["assembled_chapters"] = """SELECT vec_id // 10 AS book, 0 AS chapter_index, (sum(len(embedding)) + 30 * (count(*) - 1))::INT AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) AS total,
+CASE WHEN count(*) > 1 THEN 0::FLOAT END AS after_first FROM embeddings GROUP BY vec_id // 10"""
+
+# Jobs from request to report.
+
+
+def job_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every document; its book is that of its number, where there is one."""
+    requests = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 7 % 1500).alias("book_id"), F.lit("af_heart").alias("voice"), F.lit(1.0).alias("speed"))
+    books = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.length("text").alias("total_chars"))
+    books = books.select("id", F.col("lang").alias("title"), "total_chars")
+    return jobs.created(requests, books, 30_000, F.col("id") % 11 != 0)
+
+
+QUERIES["job_creation"] = job_creation
+ORACLES["job_creation"] = """WITH r AS (SELECT doc_id AS id, doc_id * 7 % 1500 AS book_id FROM documents), b AS (SELECT doc_id AS book_id, lang, length(text) AS n FROM documents)
+SELECT id, book_id, CASE WHEN refused IS NULL THEN lang END AS book_title, 'af_heart' AS voice, 1.0::DOUBLE AS speed, CASE WHEN refused IS NULL THEN 'queued' END AS status, refused, CASE WHEN refused IS NULL THEN n / 100.0::DOUBLE * 1.05::DOUBLE END AS estimated_seconds
+FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 'no engine' WHEN b.book_id IS NULL THEN 'no such book' WHEN n * 15 > 30000 THEN 'not enough disk space' END AS refused, r.book_id AS book_id FROM r LEFT JOIN b ON r.book_id = b.book_id) q(id, book_id, _b, lang, n, refused, _c)"""
+
+
+def jobs_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the jobs, then all of them: those that are there already are not added again."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.lit("queued").alias("status"))
+    path = new_path(spark)
+    jobs.appended(rows.filter("id % 2 = 0"), path)
+    return jobs.appended(rows.withColumn("status", F.lit("later")), path)
+
+
+QUERIES["jobs_appended"] = jobs_appended
+ORACLES["jobs_appended"] = "SELECT doc_id AS id, lang, CASE WHEN doc_id % 2 = 0 THEN 'queued' ELSE 'later' END AS status FROM documents"
+
+
+def job_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.by_id(_jobs(spark, sf_dir), 17).select("id", "book_id", "lang")
+
+
+QUERIES["job_by_id"] = job_by_id
+ORACLES["job_by_id"] = "SELECT doc_id AS id, doc_id * 7 % 1500 AS book_id, lang FROM documents WHERE doc_id = 17"
+
+
+def progress_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("chapter_index"))
+    return timing.reports(c).withColumn("progress_pct", F.round("progress_pct", 6))
+
+
+QUERIES["progress_reports"] = progress_reports
+ORACLES["progress_reports"] = """WITH c AS (SELECT conv_id AS book, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT book, turn AS current_chapter, 'synthesizing' AS status, round((k - 1) / n * 80, 6)::DOUBLE AS progress_pct, k::INT AS place FROM c
+UNION ALL SELECT book, NULL, m.s, m.p, (n + m.k)::INT FROM (SELECT DISTINCT book, n FROM c), (VALUES (1, 'assembling', 85.0::DOUBLE), (2, 'assembling', 95.0), (3, 'done', 100.0)) m(k, s, p)"""

@@ -206,16 +206,16 @@ def pause_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pause_plan"] = pause_plan
 ORACLES["pause_plan"] = f"WITH {_SEGMENTS} SELECT conv_id, count(*) AS n_segments, round(sum({_PAUSE}), 6) AS pause_sec, sum(length(segment))::BIGINT AS n_chars FROM e GROUP BY conv_id"
 
-_VOICE = "concat(substring('abjzefhipx', (n_nationkey % 10) + 1, 1), substring('fmq', (n_nationkey % 3) + 1, 1), '_', lower(n_name))"
+_VOICE = "concat(substring('abjzefhipx', (n_nationkey % 10) + 1, 1), substring('fmq', (n_nationkey % 3) + 1, 1), CASE WHEN n_nationkey % 4 = 1 THEN 'x' ELSE '' END, '_', lower(n_name), '-o''neil')"
 
 
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(speech.voice(F.expr(_VOICE)).alias("v")).select("v.*")
+    return read(spark, sf_dir, "nation").select(speech.voice(F.expr(_VOICE.replace("''", "\\'"))).alias("v")).select("v.*")
 
 
 QUERIES["voice_dimension"] = voices
 ORACLES["voice_dimension"] = f"""WITH v AS (SELECT {_VOICE} AS id, n_nationkey AS k FROM nation)
-SELECT id, concat('Nation ', k) AS name, CASE WHEN k % 3 < 2 THEN CASE substring(id, 1, 1) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in speech.LANGUAGES.items())} END END AS language,
+SELECT id, concat('Nation ', k, '-O''Neil') AS name, CASE WHEN k % 3 < 2 THEN CASE substring(id, 1, 1) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in speech.LANGUAGES.items())} END END AS language,
 CASE k % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' END AS gender FROM v"""
 
 
@@ -246,3 +246,18 @@ def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["chunks_with_silence"] = interleaved
 ORACLES["chunks_with_silence"] = "SELECT vec_id, 73::BIGINT AS n, 0::FLOAT AS gap, embedding[17] AS next FROM embeddings"
+
+
+def speech_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of each turn at a hundred a second, two for each character of a segment; unspeakable turns are empty."""
+    text = F.expr("CASE WHEN turn % 5 = 2 THEN '] ... !!' ELSE text END")
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", speech.plan(text).alias("plan"))
+    parts = F.transform("plan", lambda s: F.array_repeat(F.lit(0.5).cast("float"), F.length(s["segment"]) * 2))
+    made = c.select("conv_id", "turn", speech.audio(parts, F.transform("plan", lambda s: s["pause"]), 100).alias("a"))
+    return made.select("conv_id", "turn", F.size("a").alias("n"), F.aggregate("a", F.lit(0.0), lambda t, x: t + x.cast("double")).alias("total"))
+
+
+QUERIES["speech_audio"] = speech_audio
+ORACLES["speech_audio"] = r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(CASE WHEN turn % 5 = 2 THEN '] ... !!' ELSE text END, '([.!?…,;:—])\s+', '\1' || chr(1), 'g'), chr(1)), lambda q: regexp_matches(q, '[a-zA-Z0-9]')) AS l FROM conversations),
+p AS (SELECT *, list_sum(list_transform(l[:-2], lambda q: CASE WHEN regexp_matches(q, '[.!?…]\s*$') THEN 40 WHEN regexp_matches(q, '[,;:—]\s*$') THEN 18 ELSE 0 END)) AS quiet, list_sum(list_transform(l, lambda q: length(q))) AS chars FROM s)
+SELECT conv_id, turn, (coalesce(chars, 0) * 2 + coalesce(quiet, 0))::INT AS n, coalesce(chars, 0)::DOUBLE AS total FROM p"""

@@ -1,38 +1,20 @@
-"""WAV bytes to samples and back, and the plug-in interface for speech engines with a deterministic stand-in."""
+"""WAV bytes to samples and back, chunks joined to chapters, voice levels. Speech itself comes from outside."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.functions.speech import QUIET, SAMPLE_RATE, WEAK, rms
+from lectern.functions.speech import SAMPLE_RATE, WEAK, rms, with_silence
 
-
-class Engine(Protocol):
-    """What a speech engine offers; one instance lives in each Python worker."""
-
-    def synthesize(self, text: str, voice: str, speed: float) -> np.ndarray: ...
-
-    def voices(self) -> list[str]: ...
-
-
-class ToneEngine:
-    """The stand-in: a hundred samples for each character, at least one character."""
-
-    def synthesize(self, text: str, voice: str, speed: float) -> np.ndarray:
-        n = max(len(text), 1) * 100
-        return (0.1 * np.sin(np.arange(n) * 2 * np.pi * 220 / SAMPLE_RATE)).astype("float32")
-
-    def voices(self) -> list[str]:
-        return ["af_heart", "bm_george"]
+#: Silence between the chunks of a chapter.
+GAP_MS = 300
 
 
 def to_wav(samples: np.ndarray, rate: int = SAMPLE_RATE) -> bytes:
@@ -62,25 +44,22 @@ def wav_samples(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, samples array<float>, sample_rate int")
 
 
-def synthesized(chunks: DataFrame, engine: Callable[[], Engine] = ToneEngine, voice: str = "af_heart", speed: float = 1.0, attempts: int = 3) -> DataFrame:
-    """All columns, and ``wav``, ``seconds`` and ``rms`` of each chunk; near-silent results are tried again."""
-    schema = T.StructType([*chunks.schema.fields, T.StructField("wav", T.BinaryType()), T.StructField("seconds", T.DoubleType()), T.StructField("rms", T.DoubleType())])
+def wav_files(sounds: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
+    """path, content: a WAV file for the ``samples`` of each path."""
 
-    def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = engine()
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for text in batch["text"]:
-                for _ in range(attempts):
-                    samples = own.synthesize(text, voice, speed)
-                    level = float(np.sqrt(np.mean(samples.astype(float) ** 2))) if len(samples) else 0.0
-                    if level >= QUIET:
-                        break
-                made.append((to_wav(samples), len(samples) / SAMPLE_RATE, level))
-            wav, seconds, level = zip(*made, strict=True) if made else ((), (), ())
-            yield batch.assign(wav=list(wav), seconds=list(seconds), rms=list(level))
-
-    return chunks.mapInPandas(speak, schema)
+            yield pd.DataFrame({"path": batch["path"], "content": [to_wav(s, rate) for s in batch["samples"]]})
+
+    return sounds.select("path", "samples").mapInPandas(made, "path string, content binary")
+
+
+def assembled(chunks: DataFrame, silence_ms: int = GAP_MS, rate: int = SAMPLE_RATE) -> DataFrame:
+    """book, chapter_index, samples: the chunks (chunk_index, samples) of a chapter in order, silence between them; chapters without chunks do not occur."""
+    silence = F.array_repeat(F.lit(0.0).cast("float"), max(0, silence_ms) * rate // 1000)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "samples"))), lambda c: c["samples"])
+    made = chunks.groupBy("book", "chapter_index").agg(parts.alias("parts"))
+    return made.select("book", "chapter_index", with_silence(F.col("parts"), silence).alias("samples"))
 
 
 def voice_quality(samples: DataFrame) -> DataFrame:

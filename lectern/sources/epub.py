@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from lectern.operators.chapters import spine_chapters
 from lectern.operators.timing import title_or
-from lectern.sources.markup import HEADINGS, PARAGRAPHS, walked
+from lectern.sources.markup import BLOCK, HEADINGS, body_text, told, walked
 
 #: Algorithms that only hide fonts.
 FONT_ONLY = ("http://www.idpf.org/2008/embedding", "http://ns.adobe.com/pdf/enc#rc")
-_OUT = "path string, title string, author string, language string, protected boolean, error string, cover binary, items array<struct<pos:int,item_id:string,href:string,heading:string,paragraphs:array<string>,text:string>>"
+_ITEM = f"pos:int,item_id:string,href:string,pieces:array<string>,prose:array<string>,blocks:array<{BLOCK}>"
+_OUT = f"path string, title string, author string, language string, protected boolean, error string, cover binary, cover_name string, items array<struct<{_ITEM}>>"
 
 
 def _local(element: ElementTree.Element) -> str:
@@ -35,15 +36,12 @@ def _protected(archive: zipfile.ZipFile) -> bool:
 
 def _item(pos: int, item_id: str, href: str, markup: str) -> dict:
     found = walked(markup)
-    heading = next((b["text"] for b in found["blocks"] if b["tag"] in HEADINGS), None)
-    leaves = [b["plain"] for b in found["blocks"] if b["tag"] in PARAGRAPHS and b["leaf"] and b["plain"]]
-    early = [b["text"] for b in found["blocks"] if b["tag"] == "p"]
-    return {"pos": pos, "item_id": item_id, "href": href, "heading": heading, "paragraphs": early, "text": "\n\n".join(leaves) or found["all_text"]}
+    return {"pos": pos, "item_id": item_id, "href": href, **{k: found[k] for k in ("pieces", "prose", "blocks")}}
 
 
 def opened(content: bytes) -> dict:
     """What an archive holds; one that cannot be read has an error and no items."""
-    empty = {"title": None, "author": None, "language": None, "protected": False, "error": None, "cover": None, "items": []}
+    empty = {"title": None, "author": None, "language": None, "protected": False, "error": None, "cover": None, "cover_name": None, "items": []}
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             names = ElementTree.fromstring(archive.read("META-INF/container.xml"))
@@ -58,7 +56,7 @@ def opened(content: bytes) -> dict:
             images = [e for e in manifest.values() if (e.get("media-type") or "").startswith("image/")]
             cover = next((e for e in images if "cover-image" in (e.get("properties") or "")), None) or next((e for e in images if "cover" in e.get("href", "").lower()), None)
             image = archive.read(place(cover.get("href"))) if cover is not None else None
-            return empty | {"title": said["title"], "author": said["creator"], "language": said["language"], "protected": _protected(archive), "cover": image, "items": items}
+            return empty | {"title": said["title"], "author": said["creator"], "language": said["language"], "protected": _protected(archive), "cover": image, "cover_name": f"cover{posixpath.splitext(cover.get('href'))[1] or '.jpg'}" if cover is not None else None, "items": items}
     except (zipfile.BadZipFile, KeyError, StopIteration, ElementTree.ParseError) as error:
         return empty | {"error": f"{type(error).__name__}: {error}"}
 
@@ -74,8 +72,13 @@ def epub_archives(files: DataFrame) -> DataFrame:
 
 
 def epub_books(archives: DataFrame, stem: str = "book") -> DataFrame:
-    return archives.select(F.col("path").alias("book"), title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(F.col("author"), F.lit("Unknown")).alias("author"), "language", "protected", "error", "cover")
+    return archives.select(F.col("path").alias("book"), title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(F.col("author"), F.lit("Unknown")).alias("author"), "language", "protected", "error", "cover", "cover_name")
 
 
 def epub_chapters(archives: DataFrame) -> DataFrame:
-    return spine_chapters(archives.filter("NOT protected").select(F.col("path").alias("book"), F.inline("items")))
+    items = archives.filter("NOT protected").select(F.col("path").alias("book"), F.inline("items"))
+    heading = F.get(F.filter("blocks", lambda b: b["tag"].isin(*HEADINGS)), F.lit(0))
+    # Titles are what stands in an element without its white space at tags; body text has blanks there.
+    early = F.transform(F.filter("blocks", lambda b: b["tag"] == "p"), lambda b: told(F.col("prose"), b, ""))
+    told_items = items.select("book", "pos", "item_id", "href", told(F.col("prose"), heading, "").alias("heading"), early.alias("paragraphs"), body_text(F.col("prose"), F.col("blocks")).alias("text"))
+    return spine_chapters(told_items)

@@ -2,21 +2,25 @@
 
 The tree is the one that a lenient parser without auto-closing builds: void
 elements close at once, an end tag closes up to its nearest open tag, other end
-tags are ignored; comments, scripts and styles are no text.
+tags are ignored; comments, scripts and styles are no text. A walk notes each piece
+of text once; blocks are ranges of pieces, so unclosed tags cost no more than others.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.rules import strip
 from lectern.operators.chapters import section_chapters
 from lectern.operators.timing import title_or
+from lectern.storage import written
 
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,37 +29,49 @@ PARAGRAPHS = frozenset(["p", "div"])
 CODE = frozenset(["pre", "code"])
 _SILENT = frozenset(["script", "style"])
 
-BLOCK = "struct<tag:string,text:string,plain:string,leaf:boolean,in_body:boolean>"
-WALK = f"title string, author string, has_body boolean, all_text string, blocks array<{BLOCK}>"
+#: ``start`` and ``stop`` are places in ``pieces``; ``prose`` holds null for pieces of code.
+BLOCK = "struct<tag:string,start:int,stop:int,leaf:boolean,in_body:boolean>"
+WALK = f"title string, author string, has_body boolean, body_start int, body_stop int, pieces array<string>, prose array<string>, blocks array<{BLOCK}>"
 
 
 class _Walk(HTMLParser):
-    """Collects h1-h3, p and div elements in document order with their text, with and without code."""
+    """Notes the pieces of text and, in document order, the h1-h3, p and div elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, dict | None]] = []
+        self.inside: Counter = Counter()
+        self.nested: list[dict] = []
         self.blocks: list[dict] = []
-        self.title: str | None = None
+        self.pieces: list[str] = []
+        self.prose: list[str | None] = []
+        self.title: list[str] | None = None
+        self.titled = False
         self.author: str | None = None
-        self.has_body = False
-        self.text: list[str] = []
+        self.body: list[int] | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = dict(attrs)
         if tag == "meta" and self.author is None and re.fullmatch("author", given.get("name") or "", re.IGNORECASE):
-            self.author = given.get("content")
+            self.author = given.get("content") or ""
         if tag in VOID:
             return
         block = None
         if tag in PARAGRAPHS:
-            for _, outer in self.open:
-                if outer is not None:
-                    outer["leaf"] = False
+            # What is around a block that is no leaf is none either.
+            for outer in reversed(self.nested):
+                if not outer["leaf"]:
+                    break
+                outer["leaf"] = False
         if tag in HEADINGS or tag in PARAGRAPHS:
-            block = {"tag": tag, "parts": [], "plain": [], "leaf": True, "in_body": any(t == "body" for t, _ in self.open)}
+            block = {"tag": tag, "start": len(self.pieces), "stop": None, "leaf": True, "in_body": self.inside["body"] > 0}
             self.blocks.append(block)
-        self.has_body |= tag == "body"
+            self.nested.append(block)
+        if tag == "body" and self.body is None:
+            self.body = [len(self.pieces)]
+        if tag == "title" and self.title is None:
+            self.title = []
+        self.inside[tag] += 1
         self.open.append((tag, block))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -63,48 +79,77 @@ class _Walk(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _close(self) -> str:
+        tag, block = self.open.pop()
+        self.inside[tag] -= 1
+        if block is not None:
+            block["stop"] = len(self.pieces)
+            self.nested.pop()
+        if not self.inside[tag]:
+            self.titled |= tag == "title"
+            if tag == "body" and len(self.body) == 1:
+                self.body.append(len(self.pieces))
+        return tag
+
     def handle_endtag(self, tag: str) -> None:
-        places = [k for k, (t, _) in enumerate(self.open) if t == tag]
-        if places:
-            del self.open[places[-1] :]
+        if self.inside[tag]:
+            while self._close() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if _SILENT.intersection(tags):
-            return
         piece = data.strip()
-        if "title" in tags:
-            self.title = (self.title or "") + data
-        code = bool(CODE.intersection(tags))
-        if not code:
-            self.text.append(data)
-        if not piece:
+        if not piece or any(self.inside[t] for t in _SILENT):
             return
-        for _, block in self.open:
-            if block is not None:
-                block["parts"].append(piece)
-                if not code:
-                    block["plain"].append(piece)
+        if self.inside["title"] and not self.titled:
+            self.title.append(piece)
+        self.pieces.append(piece)
+        self.prose.append(None if any(self.inside[t] for t in CODE) else piece)
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            self._close()
 
 
 def walked(text: str | None) -> dict:
-    """Title, author and blocks of a document."""
+    """Title, author, pieces and blocks of a document."""
     walk = _Walk()
     walk.feed(text or "")
-    walk.close()
-    blocks = [{"tag": b["tag"], "text": " ".join(b["parts"]).strip(), "plain": " ".join(b["plain"]).strip(), "leaf": b["leaf"], "in_body": b["in_body"]} for b in walk.blocks]
-    lines = [x.strip() for x in "".join(walk.text).splitlines()]
-    return {"title": walk.title, "author": walk.author, "has_body": walk.has_body, "all_text": "\n\n".join(x for x in lines if x), "blocks": blocks}
+    walk.finish()
+    span = walk.body or [0, len(walk.pieces)]
+    title = None if walk.title is None else "".join(walk.title)
+    return {"title": title, "author": walk.author, "has_body": walk.body is not None, "body_start": span[0], "body_stop": span[1], "pieces": walk.pieces, "prose": walk.prose, "blocks": walk.blocks}
+
+
+def told(pieces: Column, block: Column, separator: str) -> Column:
+    """The text of a block."""
+    return F.array_join(F.slice(pieces, block["start"] + 1, block["stop"] - block["start"]), separator)
+
+
+def paragraphs(pieces: Column, blocks: Column) -> Column:
+    """Texts of the p and div elements that hold no other ones, blank ones left out."""
+    leaves = F.filter(blocks, lambda b: b["tag"].isin(*PARAGRAPHS) & b["leaf"])
+    return F.filter(F.transform(leaves, lambda b: told(pieces, b, " ")), lambda t: t != "")
+
+
+def loose_lines(pieces: Column) -> Column:
+    """For documents without paragraphs: the lines of all pieces, blank ones left out."""
+    return F.filter(F.split(F.array_join(pieces, "\n"), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", -1), lambda x: strip(x) != "")
+
+
+def body_text(prose: Column, blocks: Column) -> Column:
+    leaves = paragraphs(prose, blocks)
+    return F.array_join(F.when(F.size(leaves) > 0, leaves).otherwise(loose_lines(prose)), "\n\n")
 
 
 def parsed(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
-    """A row per document: id, title, author, has_body, all_text, blocks."""
+    """A row per document: id, title, author, has_body, body_start, body_stop, pieces, prose, blocks."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [walked(m) for m in batch["markup"]]
-            yield pd.DataFrame({"id": batch["id"], **{k: [f[k] for f in found] for k in ("title", "author", "has_body", "all_text", "blocks")}})
+            yield pd.DataFrame({"id": batch["id"], **{k: [f[k] for f in found] for k in ("title", "author", "has_body", "body_start", "body_stop", "pieces", "prose", "blocks")}})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(markup_col).alias("markup"))
     return rows.mapInPandas(walk, f"id {kind}, {WALK}").withColumnRenamed("id", id_col)
@@ -113,18 +158,21 @@ def parsed(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
 def html_books(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
     """book, title, author; documents without title or author get defaults."""
     made = parsed(docs, id_col, markup_col)
-    return made.select(F.col(id_col).alias("book"), title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(F.col("author"), F.lit("Unknown")).alias("author"))
+    return made.select(F.col(id_col).alias("book"), title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(strip(F.col("author")), F.lit("Unknown")).alias("author"))
 
 
 def html_chapters(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
     """book, chapter_index, title, text of HTML documents: sections by heading, or else the whole body."""
-    made = parsed(docs, id_col, markup_col).withColumnRenamed(id_col, "book")
-    flat = made.select("book", "has_body", F.posexplode("blocks").alias("pos", "b")).filter(~F.col("has_body") | F.col("b.in_body"))
-    shown = flat.filter((F.col("b.tag") != "div") | F.col("b.leaf"))
-    blocks = shown.select("book", "pos", F.col("b.tag").isin(*HEADINGS).alias("is_heading"), F.col("b.text").alias("text"))
-    headed = section_chapters(blocks)
+    # Written, so that documents are walked once for both ways.
+    made = written(parsed(docs, id_col, markup_col).withColumnRenamed(id_col, "book").withColumn("blocks", F.filter("blocks", lambda b: ~F.col("has_body") | b["in_body"])))
+    flat = made.select("book", "pieces", F.posexplode("blocks").alias("pos", "b")).filter((F.col("b.tag") != "div") | F.col("b.leaf"))
+    is_heading = F.col("b.tag").isin(*HEADINGS)
+    text = F.when(is_heading, told(F.col("pieces"), F.col("b"), "")).otherwise(told(F.col("pieces"), F.col("b"), " "))
+    headed = section_chapters(flat.select("book", "pos", is_heading.alias("is_heading"), text.alias("text")))
     bare = made.join(headed.select("book").distinct(), "book", "left_anti")
-    leaves = F.array_join(F.transform(F.filter("blocks", lambda b: b["tag"].isin(*PARAGRAPHS) & b["leaf"] & (b["plain"] != "")), lambda b: b["plain"]), "\n\n")
-    text = F.when(leaves != "", leaves).otherwise(F.col("all_text"))
-    whole = bare.select("book", F.lit(0).alias("chapter_index"), title_or(F.col("title"), F.lit(stem)).alias("title"), text.alias("text")).filter("trim(text) <> ''")
-    return headed.unionByName(whole)
+    prose = F.slice("prose", F.col("body_start") + 1, F.col("body_stop") - F.col("body_start"))
+    # Places of blocks are places in all pieces; only the lines of a body without paragraphs need its own.
+    leaves = paragraphs(F.col("prose"), F.col("blocks"))
+    body = F.array_join(F.when(F.size(leaves) > 0, leaves).otherwise(loose_lines(prose)), "\n\n")
+    whole = bare.select("book", F.lit(0).alias("chapter_index"), title_or(F.col("title"), F.lit(stem)).alias("title"), body.alias("text"))
+    return headed.unionByName(whole.filter(strip(F.col("text")) != ""))

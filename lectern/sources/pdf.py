@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.rules import strip
 from lectern.operators.timing import title_or
 
 
@@ -20,4 +21,4 @@ def pages(rows: DataFrame) -> DataFrame:
 
 def books(info: DataFrame, stem: str = "book") -> DataFrame:
     """book, title, author from the info dictionaries (book, title, author)."""
-    return info.select("book", title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(F.col("author"), F.lit("Unknown")).alias("author"))
+    return info.select("book", title_or(strip(F.col("title")), F.lit(stem)).alias("title"), title_or(strip(F.col("author")), F.lit("Unknown")).alias("author"))

@@ -7,18 +7,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PREFIX = "lectern-"
 _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, or one of our own where none is set (tests)."""
+    """The folder that driver and executors share, or one of our own where none is set and all run in one process (tests)."""
     if known := spark.conf.get("spark.checkpoint.dir", None):
         return known.rstrip("/")
-    return _local.setdefault("dir", tempfile.mkdtemp(prefix="lectern-"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: operators write tables to a folder that driver and executors share")
+    return _local.setdefault("dir", tempfile.mkdtemp(prefix=_PREFIX))
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_PREFIX}{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -26,3 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that were ``written`` and that no later result reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if folder.rpartition("/")[2].startswith(_PREFIX):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

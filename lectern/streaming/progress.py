@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from threading import Event
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.jobs import latest
+from lectern.operators.jobs import TERMINAL, latest
 from lectern.storage import new_path
 
 
@@ -26,6 +27,30 @@ def subscribe(stream: DataFrame, job_id, take: Callable[[Iterator[Row]], None],
     return stream.filter(F.col("job_id") == F.lit(job_id)).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow(spark: SparkSession, path: str, schema, job_id, take: Callable[[Iterator[Row]], None], checkpoint: str, seconds: int = 1) -> None:
+    """Hands ``take`` the state of a job as it is now, then its later events as they arrive; ends with the terminal one, or at once if the job is over."""
+    own = spark.read.schema(schema).parquet(path).filter(F.col("job_id") == F.lit(job_id))
+    now = fold(own).first()
+    last = own.agg(F.max(F.struct("ts", "event_id")).alias("p")).first()["p"]
+    take(iter([] if now is None else [now]))
+    if now is not None and now["status"] in TERMINAL:
+        return
+    over = Event()
+
+    def batch(rows: DataFrame, _: int) -> None:
+        take(rows.orderBy("ts", "event_id").toLocalIterator())
+        if not rows.filter(F.col("status").isin(*TERMINAL)).isEmpty():
+            over.set()
+
+    stream = event_stream(spark, path, schema).filter(F.col("job_id") == F.lit(job_id))
+    if last is not None:
+        stream = stream.filter(F.struct("ts", "event_id") > F.struct(F.lit(last["ts"]).alias("ts"), F.lit(last["event_id"]).alias("event_id")))
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    while query.isActive and not over.wait(0.2):
+        pass
+    query.stop()
+
+
 def fold(events: DataFrame) -> DataFrame:
     """By job the last status, percentage and chapter; replayed events change nothing, ties go to the higher id."""
     return latest(events, "job_id", ["ts", "event_id"], ["status", "progress_pct", "current_chapter"])

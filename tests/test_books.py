@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns, speech
 from lectern.operators import chapters, jobs, timing
 from lectern import settings
-from lectern.operators.runner import Runner
 from lectern.sources import audio, epub, markup, pdf
 from lectern.streaming import progress
 
@@ -35,9 +34,38 @@ def test_html_sections(spark):
     assert rows(markup.html_books(pages, "id", "html"), "book")[:2] == [(1, "T & U", "Ann"), (2, "book", "Unknown")]
 
 
+def test_titles_and_headings(spark):
+    pages = [
+        (1, "<title>\n   My Book\n</title>"),
+        (2, "<title>\n</title>"),
+        (3, "<title>My Page</title><svg><title>Icon</title></svg>"),
+        (4, "<title>A B</title><meta name='author' content='\u00a0 Ann '>"),
+        (5, "<meta name='author'>"),
+    ]
+    got = rows(markup.html_books(spark.createDataFrame(pages, "id int, html string"), "id", "html"), "book")
+    assert got == [(1, "My Book", "Unknown"), (2, "book", "Unknown"), (3, "My Page", "Unknown"), (4, "A B", "Ann"), (5, "book", "Unknown")]
+    page = "<body>out<h1>Chapter <b>One</b></h1><p>a <i>b</i></p><h2> <b>Chapter</b> IV </h2><p>c</p></body>"
+    got = rows(markup.html_chapters(spark.createDataFrame([(1, page), (2, "x <b>y</b>\n\nz"), (3, "<head><title>T</title></head><body>u</body>v")], "id int, html string"), "id", "html"), "book", "chapter_index")
+    assert got == [(1, 0, "ChapterOne", "a b"), (1, 1, "ChapterIV", "c"), (2, 0, "book", "x\n\ny\n\nz"), (3, 0, "T", "u")]
+
+
+def told(page):
+    found = markup.walked(page)
+    return [" ".join(found["pieces"][b["start"] : b["stop"]]) for b in found["blocks"]]
+
+
 def test_nested_paragraphs_repeat():
-    blocks = markup.walked("<p>a<p>b</p>")["blocks"]
-    assert [b["text"] for b in blocks] == ["a b", "b"]
+    assert told("<p>a<p>b</p>") == ["a b", "b"]
+    assert [b["leaf"] for b in markup.walked("<div><h1><p>a</p></h1><p>b</p></div><p>c")["blocks"]] == [False, False, True, True, True]
+
+
+def test_unclosed_tags_cost_no_more():
+    import time
+
+    start = time.monotonic()
+    found = markup.walked("<p>word<b>" * 100_000 + "</i></div>" * 100_000)
+    assert len(found["pieces"]) == 100_000 and [b["leaf"] for b in found["blocks"][-2:]] == [False, True]
+    assert time.monotonic() - start < 20
 
 
 def book_file(items, **extra):
@@ -46,7 +74,7 @@ def book_file(items, **extra):
         z.writestr("META-INF/container.xml", "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='o/p.opf'/></rootfiles></container>")
         listed = "".join(f"<item id='{i}' href='{h}' media-type='application/xhtml+xml'/>" for i, h, _ in items)
         spine = "".join(f"<itemref idref='{i}'/>" for i, _, _ in items)
-        z.writestr("o/p.opf", f"<package xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata><dc:title>My Book</dc:title><dc:language>en</dc:language></metadata><manifest>{listed}<item id='c' href='cover.jpg' media-type='image/jpeg'/></manifest><spine>{spine}</spine></package>")
+        z.writestr("o/p.opf", f"<package xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata><dc:title> My Book</dc:title><dc:language>en</dc:language></metadata><manifest>{listed}<item id='c' href='cover.jpg' media-type='image/jpeg'/></manifest><spine>{spine}</spine></package>")
         z.writestr("o/cover.jpg", b"jpg")
         for _, h, text in items:
             z.writestr(f"o/{h}", text)
@@ -68,7 +96,7 @@ def test_epub(spark):
     files = [("f1", book_file(items)), ("f2", b"no zip"), ("f3", book_file(items, encryption="<x>http://other</x>")), ("f4", book_file(items, encryption="<x>http://www.idpf.org/2008/embedding</x>"))]
     read = epub.epub_archives(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
     told = {r.book: r for r in epub.epub_books(read).collect()}
-    assert (told["f1"].title, told["f1"].author, told["f1"].language, bytes(told["f1"].cover)) == ("My Book", "Unknown", "en", b"jpg")
+    assert (told["f1"].title, told["f1"].author, told["f1"].language, bytes(told["f1"].cover), told["f1"].cover_name) == (" My Book", "Unknown", "en", b"jpg", "cover.jpg")
     assert told["f2"].error and told["f3"].protected and not told["f4"].protected
     got = rows(epub.epub_chapters(read).filter("book = 'f1'"), "chapter_index")
     assert [(r[1], r[2]) for r in got] == [(0, "Chapter One"), (1, "Chapter 2"), (2, "An Early Title")]
@@ -104,16 +132,29 @@ def test_timings_and_metadata(spark):
     assert [r[2] for r in rows(gaps, "chapter_index")] == [2.3, 2.0]
 
 
-def test_wav_and_engine(spark):
+def test_wav(spark):
     samples = np.array([0.0, 0.5, -1.0, 2.0], "float32")
     back, rate = audio.from_wav(audio.to_wav(samples))
     assert rate == 24000 and np.allclose(back, [0, 0.5, -1, 1], atol=1e-4)
-    got = audio.synthesized(spark.createDataFrame([("hello",), ("",)], "text string")).orderBy("text").collect()
-    assert [round(r.seconds * 24000) for r in got] == [100, 500]
-    files = spark.createDataFrame([("p", bytearray(audio.to_wav(samples)))], "path string, content binary")
-    assert len(audio.wav_samples(files).first().samples) == 4
+    files = audio.wav_files(spark.createDataFrame([("p", [0.0, 0.5, -1.0, 2.0]), ("e", [])], "path string, samples array<float>"))
+    assert {r.path: len(r.samples) for r in audio.wav_samples(files).collect()} == {"p": 4, "e": 0}
     q = spark.createDataFrame([([0.0, 0.5, -1.0, 2.0],)], "a array<double>").select(speech.quantized(F.col("a"))).first()[0]
     assert q == [0, 16383, -32767, 32767]
+    levels = spark.createDataFrame([("a", [0.5, 0.5]), ("a", [0.001, 0.0]), ("b", [0.1])], "voice string, samples array<float>")
+    assert [(r.voice, r.verdict) for r in audio.voice_quality(levels).orderBy("voice").collect()] == [("a", "FLAG"), ("b", "OK")]
+
+
+def test_chapters_of_chunks(spark):
+    chunks = spark.createDataFrame([("b", 0, 1, [3.0]), ("b", 0, 0, [1.0, 2.0]), ("b", 1, 0, [])], "book string, chapter_index int, chunk_index int, samples array<float>")
+    assert rows(audio.assembled(chunks, 20, 100), "chapter_index") == [("b", 0, [1.0, 2.0, 0.0, 0.0, 3.0]), ("b", 1, [])]
+    assert rows(audio.assembled(chunks, 0, 100), "chapter_index")[0][2] == [1.0, 2.0, 3.0]
+
+
+def test_a_chunk_without_speech_is_empty(spark):
+    df = spark.createDataFrame([("] ... !!",), ("One. Two",)], "t string").withColumn("plan", speech.plan(F.col("t")))
+    parts = F.transform("plan", lambda s: F.array_repeat(F.lit(0.5).cast("float"), F.length(s["segment"])))
+    got = df.select("t", speech.audio(parts, F.transform("plan", lambda s: s["pause"]), 10).alias("a")).collect()
+    assert {r.t: [round(x, 1) for x in r.a] for r in got} == {"] ... !!": [], "One. Two": [0.5] * 4 + [0.0] * 4 + [0.5] * 3}
 
 
 def test_jobs(spark):
@@ -138,34 +179,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(progress.fold_available(stream), "job_id") == rows(progress.fold(events), "job_id")
 
 
-def test_runner(spark):
-    import threading
-
-    seen, started = [], threading.Event()
-    runner = Runner(spark, lambda *e: seen.append(e), 2)
-
-    def endless(s):
-        started.set()
-        s.range(0, 10**12, 1, 1).selectExpr("sum(hash(id))").collect()
-
-    def broken(s):
-        raise ValueError("no")
-
-    slow = runner.submit("a", endless)
-    runner.submit("b", lambda s: s.range(5).count()).result(60)
-    runner.submit("c", broken).result(60)
-    assert started.wait(60) and runner.cancel("a") and not runner.cancel("b") and not runner.cancel("x")
-    for _ in range(60):  # the tag may have come before the work
-        spark.sparkContext.cancelJobsWithTag("a")
-        try:
-            slow.result(1)
-            break
-        except TimeoutError:
-            continue
-    assert runner.states == {"a": "cancelled", "b": "done", "c": "failed"}
-    assert ("c", "failed", "no") in seen and ("a", "failed") not in [e[:2] for e in seen]
-
-
 def test_settings(tmp_path):
     path = tmp_path / "s.json"
     assert settings.load(path) == settings.Settings()
@@ -246,3 +259,53 @@ def test_absorbing_splits_a_job_of_many_events(spark):
     got = jobs.absorbing(events, "job", ["event_id"])
     assert "Window" not in plan(got)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 1, "cleaning"), (1, 2, "failed"), (None, 1, "done"), (2, None, "cleaning"), (2, 4, None)], key=repr)
+
+
+def test_follow_ends_with_the_job(spark, tmp_path):
+    schema = "job_id int, event_id int, ts int, status string, progress_pct double, current_chapter string"
+    put = lambda *e: spark.createDataFrame(e, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    put((1, 1, 1, "cleaning", 0.0, None), (1, 2, 2, None, 5.0, "A"), (2, 3, 3, "cleaning", 0.0, None))
+    got = []
+
+    def take(some):
+        found = [(r["status"], r["progress_pct"]) for r in some]
+        got.extend(found)
+        if found == [("cleaning", 5.0)]:
+            put((1, 4, 4, "synthesizing", 20.0, "B"))
+        elif found == [("synthesizing", 20.0)]:
+            put((1, 5, 5, "done", 100.0, None), (2, 6, 6, "failed", 0.0, None))
+
+    kind = spark.createDataFrame([], schema).schema
+    progress.follow(spark, str(tmp_path / "e"), kind, 1, take, str(tmp_path / "c"))
+    assert got == [("cleaning", 5.0), ("synthesizing", 20.0), ("done", 100.0)]
+    progress.follow(spark, str(tmp_path / "e"), kind, 1, take, str(tmp_path / "d"))
+    assert got[3:] == [("done", 100.0)]
+
+
+def test_appending(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    row = lambda *v: spark.createDataFrame([v], "id string, status string")
+    jobs.appended(row("a", "queued"), path)
+    assert sorted(map(tuple, jobs.appended(row("a", "later").unionAll(row("b", "queued")), path).collect())) == [("a", "queued"), ("b", "queued")]
+    broken = row("c", "x").withColumn("status", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        jobs.appended(broken, path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_job_creation(spark):
+    requests = spark.createDataFrame([("j1", "b1", "v", 1.0), ("j2", "b2", "v", 1.0), ("j3", "none", "v", 1.0)], "id string, book_id string, voice string, speed double")
+    books = spark.createDataFrame([("b1", "T", 1000), ("b2", "U", 10_000)], "id string, title string, total_chars long")
+    got = {r.id: (r.status, r.refused, r.estimated_seconds) for r in jobs.created(requests, books, 20_000, F.lit(True)).collect()}
+    assert got == {"j1": ("queued", None, 10.5), "j2": (None, "not enough disk space", None), "j3": (None, "no such book", None)}
+    assert {r.refused for r in jobs.created(requests, books, 20_000, F.lit(False)).collect()} == {"no engine"}
+
+
+def test_written_tables_are_discarded(spark):
+    from lectern import storage
+
+    table = storage.written(spark.range(5))
+    assert table.count() == 5
+    storage.discard(table, spark.range(3))
+    with pytest.raises(Exception):
+        spark.read.schema(table.schema).parquet(*table.inputFiles()).count()

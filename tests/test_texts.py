@@ -55,6 +55,17 @@ def test_clean_text_stays(spark):
     assert of(spark, clean, rules.cleaned) == clean
 
 
+def test_entities_against_the_library(spark):
+    import html
+    import random
+
+    rng = random.Random(3)
+    some = ["&amp;", "&AMP", "&lt", "&gt;", "&notit;", "&notin;", "&eacute", "&Eacute;x", "&#233;", "&#xE9", "&#X1F600;", "&#0;", "&#128;", "&#x81;", "&#13;", "&#11;", "&#55296;", "&#1114112;", "&#99999999999999999999;", "&#xFFFE;", "&#x00000000041;", "&", "&&amp;", "& x", "&unknown;", "&copycat", "&#;", "&#x;", "&ngE;", "&acE;"]
+    texts = ["".join(rng.choice(some) + rng.choice(["", " ", "x", ";", "<", "é"]) for _ in range(rng.randint(1, 12))) for _ in range(300)] + some
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules._unescape(F.col("t")).alias("v")).collect()
+    assert [(r.t, r.v) for r in got] == [(t, html.unescape(t)) for t in texts]
+
+
 def test_foreign(spark):
     assert of(spark, "It is 早稲田大学 there, né.", rules.foreign_phrases) == ["早稲田大学"]
 
@@ -68,7 +79,10 @@ def test_foreign(spark):
         ("1001", "one thousand and one"),
         ("1000000", "one million"),
         ("1002005", "one million, two thousand and five"),
-        ("9" * 19, "9" * 19),
+        ("1000000000000000000", "one quintillion"),
+        ("2000000000000000000000000000000000000005", "two duodecillion and five"),
+        ("000000000000000000000000000000000000000000000000000000000000000000000000000012", "twelve"),
+        ("9" * 70, "9" * 70),
     ],
 )
 def test_cardinals(spark, digits, said):
@@ -141,6 +155,9 @@ def test_segments_and_pauses(spark):
 def test_voice_and_key(spark):
     assert tuple(of(spark, "af_heart", speech.voice)) == ("af_heart", "Heart", "en-us", "female")
     assert tuple(of(spark, "plain", speech.voice))[2:] == (None, None)
+    assert tuple(of(spark, "afx_heart", speech.voice))[1:] == ("Heart", "en-us", "female")
+    assert tuple(of(spark, "xm_o'neil-two_3d", speech.voice))[1:] == ("O'Neil-Two 3D", None, "male")
+    assert tuple(of(spark, "", speech.voice)) == ("", "", None, None)
     key = of(spark, "af_heart", lambda v: speech.preview_key(v, F.lit("Hi"), F.lit(1.0)))
     import hashlib
 
