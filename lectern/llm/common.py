@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.storage import shared_dir, written  # noqa: F401
+from lectern.storage import discard, written  # noqa: F401
 
 #: What separates words: blank and the control characters 9 to 13.
 GAP = r"[\x20\x09-\x0D]+"

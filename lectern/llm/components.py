@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import written
+from lectern.llm.common import discard, written
 
 #: Rounds before giving up; stars need a logarithmic number.
 MAX_ROUNDS = 60
@@ -37,5 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(e.join(least, F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")))
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(first, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(first.select("hi", F.col("m").alias("lo")))
-        e = written(small.filter("hi > lo").distinct())
+        before, e = e, written(small.filter("hi > lo").distinct())
+        # The new edges are a table of their own: those of the round before are not needed to make them again.
+        discard(before, least, large)
     raise RuntimeError("components did not settle")
