@@ -1,16 +1,19 @@
 """Operator 4: line-first quality rules, with built-in functions only.
 
-Each line is judged by itself: a punctuation rule (too many symbols or shouted
-words, or a short line of prose that ends without a mark), a navigation rule
-(separator-ridden or menu-like lines), a boilerplate rule (legal and cookie
-notices, repeats of an earlier line) and a repetition rule (one word again and
-again). Failing lines go; a document that loses more than half of its word
-characters is rejected, as is one that fails the base rules.
+Each line is judged by shares of its own words and characters, so that a rule says
+the same of a line of any length: a punctuation rule (too many symbols or shouted
+words, or a line that ends without a mark and has hardly one inside, unless the next
+line continues it, as in wrapped text), a navigation rule (separator-ridden or
+menu-like lines), a boilerplate rule (lines that are legal and cookie notices by a good
+part, repeats of an earlier line) and a repetition rule (a few words again and again).
+Failing lines go; a document that loses more than half of its word characters is
+rejected, as is one that fails the base rules.
 
 Edge cases: a null text counts as empty, has no words and fails the base rules;
-an empty table gives an empty result; repeated rows are judged each on its own;
-very long texts are processed whole (sorting, never pairwise); columns of the
-input other than id and text are not read.
+an empty table gives an empty result; repeated rows are judged each on its own, and a
+null id is a valid row; of equal lines of a document the first stays; very long texts
+are processed whole (sorting, never pairwise); columns of the input other than id and
+text are not read, and whatever they are called they are carried by the stage.
 """
 
 from __future__ import annotations
@@ -28,11 +31,22 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A document may lose this share of its word characters.
 MAX_LOST_PERCENT = 50
+#: A line needs one mark in so many words, if it ends without one.
+WORDS_A_MARK = 30
+#: Characters of a line that may be a wrapped one because its neighbours are about as long.
+WRAPPED = 40
+#: A line is a notice if the phrases of notices are one part in so many of it.
+NOTICE = 6
+#: Words of a line that must not be of a few kinds; more do not count, for new words get rarer along a line.
+VARIED = 50
 
 _SYMBOL = r"[#*$%&|<>]"
 #: What may follow the mark that ends a sentence, and the marks.
 _CLOSERS = "\"'\u201d\u2019\u00bb)] \t\x0b\x0c\r"
 _MARKS = (".", "!", "?", ":", ";", "\u2026", "\u3002", "\uff01", "\uff1f")
+_MARK = "[.!?:;\u2026\u3002\uff01\uff1f]"
+_LOWER = r"^[\x20\t]*\p{Ll}"
+_SEPARATOR = r"[|\x{203a}\x{bb}\x{2022}\x{b7}]"
 _MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|register|search|next|previous|back to top|share|tweet|subscribe|read more|click here|contact us|about us|sitemap)[\x20\x09-\x0D]*[.!>\x{bb}]*[\x20\x09-\x0D]*$"
 _LEGAL = ("all rights reserved", "use cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "licensed under", "released under", "copyright (c)", "\u00a9")
 
@@ -54,16 +68,20 @@ def with_windows(df: DataFrame) -> DataFrame:
     return df.withColumn("_ordered", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
 
 
-def line_fails(line: Column, n: Column) -> Column:
-    """Whether a line of ``n`` words fails the punctuation, navigation, boilerplate or repetition rule; blank lines do not."""
+def line_fails(line: Column, n: Column, before: Column, after: Column) -> Column:
+    """Whether a line of ``n`` words between two others fails the punctuation, navigation, boilerplate or repetition rule; blank lines do not."""
     shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
     ends = F.right(F.rtrim(line, F.lit(_CLOSERS)), F.lit(1)).isin(*_MARKS)
-    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (shouts * 4 >= n) | (n.between(3, 30) & ~ends)
-    navigation = (F.regexp_count(line, F.lit(r"[|\x{203a}\x{bb}\x{2022}\x{b7}]")) >= 3) | ((n <= 4) & line.rlike(_MENU))
+    bare = (n >= 3) & ~ends & (F.regexp_count(line, F.lit(_MARK)) * WORDS_A_MARK < n)
+    alike = (F.length(line) >= WRAPPED) & (F.length(line) * 3 >= F.greatest(F.coalesce(F.length(before), F.lit(0)), F.length(after)) * 2)
+    goes_on = after.rlike(_LOWER) | (alike & after.rlike(WORD))
+    punctuation = (F.regexp_count(line, F.lit(_SYMBOL)) * 4 >= n) | (shouts * 4 >= n) | (bare & ~F.coalesce(goes_on, F.lit(False)))
+    separators = F.regexp_count(line, F.lit(_SEPARATOR))
+    navigation = ((separators >= 3) & (separators * 4 >= n)) | ((n <= 4) & line.rlike(_MENU))
     low = F.lower(line)
-    legal = reduce(lambda rest, phrase: rest | low.contains(phrase), _LEGAL, F.lit(False))
-    repeats = (n >= 8) & (F.size(F.array_distinct(F.split(line, " "))) * 5 <= n)
-    return (n > 0) & (punctuation | navigation | repeats | legal)
+    told = reduce(lambda rest, phrase: rest + F.when(low.contains(phrase), len(phrase)).otherwise(0), _LEGAL, F.lit(0))
+    repeats = (n >= 8) & (F.size(F.array_distinct(F.split(line, " "))) * 5 <= F.least(n, F.lit(VARIED)))
+    return (n > 0) & (punctuation | navigation | repeats | ((told > 0) & (told * NOTICE >= F.length(line))))
 
 
 def word_chars(text: Column) -> Column:
@@ -77,8 +95,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = df.withColumn("_words", words(F.col("_text"))).withColumn("_lines", F.split("_text", "\n", -1))
     df = with_windows(df)
     df = df.withColumn("_full", F.filter("_lines", lambda x: x.rlike(WORD)))
-    counted = F.transform("_full", lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n")))
-    passed = F.transform(F.filter(counted, lambda x: ~line_fails(x["line"], x["n"])), lambda x: x["line"])
+    counted = F.transform("_lines", lambda x, i: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.get("_lines", i - 1).alias("before"), F.get("_lines", i + 1).alias("after")))
+    passed = F.transform(F.filter(counted, lambda x: (x["n"] > 0) & ~line_fails(x["line"], x["n"], x["before"], x["after"])), lambda x: x["line"])
     df = df.withColumn("_left", F.array_distinct(passed))
     base = df.select(
         F.col("_id").alias(id_col),
@@ -108,20 +126,23 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 _W = r"[^\x20\x09-\x0D]+"
+_TOLD = "(" + " + ".join(f"CASE WHEN contains(lower(x), '{p}') THEN {len(p)} ELSE 0 END" for p in _LEGAL) + ")"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-b AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_W}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_W}')) AS lines FROM d),
+b AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_W}') AS w, string_split(text, chr(10)) AS every, list_filter(every, lambda x: regexp_matches(x, '{_W}')) AS lines FROM d),
 win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)),
 dup AS (SELECT r, s FROM win GROUP BY r, s HAVING count(*) > 1),
 hit AS (SELECT DISTINCT r, unnest(range(i, i + 8)) AS p FROM win JOIN dup USING (r, s)),
 rep AS (SELECT r, count(*) AS k FROM hit GROUP BY r),
 left_over AS (SELECT r, string_agg(x, '' ORDER BY x) AS kept_text FROM (
-  SELECT DISTINCT r, x FROM (SELECT r, unnest(lines) AS x FROM b),
-  LATERAL (SELECT len(regexp_extract_all(x, '{_W}')) AS n, right(rtrim(x, '{_CLOSERS.replace("'", "''")}'), 1) AS mark) WHERE NOT (
-    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR (length(x) - length(replace(x, '!!', '!'))) * 4 >= n OR n BETWEEN 3 AND 30 AND mark NOT IN {_MARKS}
-    OR len(regexp_extract_all(x, '[|\x{{203a}}\x{{bb}}\x{{2022}}\x{{b7}}]')) >= 3 OR n <= 4 AND regexp_matches(x, '{_MENU}')
-    OR n >= 8 AND len(list_distinct(string_split(x, ' '))) * 5 <= n
-    OR {" OR ".join(f"contains(lower(x), '{p}')" for p in _LEGAL)})) GROUP BY r),
+  SELECT DISTINCT r, x FROM (SELECT r, x, before, after, len(regexp_extract_all(x, '{_W}')) AS n, right(rtrim(x, '{_CLOSERS.replace("'", "''")}'), 1) AS mark, len(regexp_extract_all(x, '{_SEPARATOR}')) AS seps
+    FROM (SELECT r, unnest(every) AS x, unnest(list_prepend(NULL, every[:-2])) AS before, unnest(list_append(every[2:], NULL)) AS after FROM b)) WHERE n > 0 AND NOT (
+    len(regexp_extract_all(x, '[#*$%&|<>]')) * 4 >= n OR (length(x) - length(replace(x, '!!', '!'))) * 4 >= n
+    OR n >= 3 AND mark NOT IN {_MARKS} AND len(regexp_extract_all(x, '{_MARK}')) * {WORDS_A_MARK} < n
+      AND NOT coalesce(regexp_matches(after, '{_LOWER}') OR regexp_matches(after, '{_W}') AND length(x) >= {WRAPPED} AND length(x) * 3 >= greatest(coalesce(length(before), 0), length(after)) * 2, false)
+    OR seps >= 3 AND seps * 4 >= n OR n <= 4 AND regexp_matches(x, '{_MENU}')
+    OR n >= 8 AND len(list_distinct(string_split(x, ' '))) * 5 <= least(n, {VARIED})
+    OR {_TOLD} > 0 AND {_TOLD} * {NOTICE} >= length(x))) GROUP BY r),
 f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(k, 0)::BIGINT AS n_repeat_words, length(regexp_replace(coalesce(kept_text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS left_chars
