@@ -9,15 +9,17 @@ gradient steps through the maxima. Thresholds are calibrated by the language tha
 the text itself shows (its accented letters), and a score is shifted so that the
 threshold of its language is 0.7.
 
-Training sees a bounded sample of the labelled rows outside the held-out fold
-(``MAX_POSITIVE`` and ``MAX_NEGATIVE`` rows by id hash, whole texts). Labels,
-lang, source and id are no inputs of a score.
+Training sees a bounded sample of the labelled rows outside the held-out fold: whole
+texts of ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` ids by hash, one text an id, those of at
+most ``MAX_BYTES`` bytes (so 104 MB in all at most). Labels, lang, source and id are no
+inputs of a score.
 
 Edge cases: a null or empty text has no words and gets the score of the bias
 alone; without labels of both kinds every score is the same low number; labels
-that are null are left out; repeated rows get equal scores; a null id is a valid
-row that is not held out; very long texts are scored whole; an empty table gives
-an empty result; other columns are not read.
+that are null are left out; repeated rows get equal scores; of the texts that share a
+labelled id the least one trains; a null id is a valid row that is not held out; very
+long texts are scored whole; of equal logits none is cut off from the others; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from lectern.llm.batches import slices
 from lectern.llm.common import table
 
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 4000
+MAX_BYTES = 16 << 10
 BUCKETS, SIZE = 1 << 17, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH = 4, 32
@@ -43,8 +46,24 @@ EPOCHS, BATCH = 4, 32
 NOISE = 6.0
 #: Score at the threshold of a language.
 CUT = 0.7
-#: Accented letters that show a language; texts with few of them are "plain".
-MARKS = {"de": "[äöüß]", "fr": "[éèêçàùîïô]", "es": "[ñóíáú]"}
+#: Letters that show a language or a script; texts with few of them are "plain".
+MARKS = {
+    "de": "[äöüß]",
+    "fr": "[éèêçàùîïô]",
+    "es": "[ñóíáú]",
+    "pt": "[ãõ]",
+    "pl": "[ąćęłńśźż]",
+    "nordic": "[åøæ]",
+    "tr": "[ğış]",
+    "cyrillic": r"\p{Cyrillic}",
+    "greek": r"\p{Greek}",
+    "arabic": r"\p{Arabic}",
+    "hebrew": r"\p{Hebrew}",
+    "indic": r"[\p{Devanagari}\p{Bengali}\p{Tamil}]",
+    "han": r"\p{Han}",
+    "kana": r"[\p{Hiragana}\p{Katakana}]",
+    "hangul": r"\p{Hangul}",
+}
 #: A language shows if its letters are one in so many.
 SHARE = 150
 #: Positives in the calibration part that a threshold of its own takes.
@@ -67,10 +86,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def shown(texts: pa.Array) -> np.ndarray:
     """The language each text shows, as a number; 0 is plain."""
-    texts = pc.utf8_lower(pc.fill_null(texts, ""))
-    counts = np.stack([pc.count_substring_regex(texts, m).to_numpy(zero_copy_only=False) for m in MARKS.values()], axis=1) if len(texts) else np.zeros((0, len(MARKS)), int)
-    length = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-    return np.where(counts.max(axis=1, initial=0) * SHARE >= np.maximum(length, 1), counts.argmax(axis=1) + 1, 0) if len(texts) else np.zeros(0, int)
+    texts, found = pc.fill_null(texts, ""), np.zeros(len(texts), int)
+    beyond = np.flatnonzero(~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)) if len(texts) else found
+    if len(beyond):
+        texts = pc.utf8_lower(texts.take(pa.array(beyond)))
+        counts = np.stack([pc.count_substring_regex(texts, m).to_numpy(zero_copy_only=False) for m in MARKS.values()], axis=1)
+        length = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+        found[beyond] = np.where(counts.max(axis=1) * SHARE >= length, counts.argmax(axis=1) + 1, 0)
+    return found
 
 
 def buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +270,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """The model of a bounded sample of the labelled rows outside the held-out fold."""
     usable = labels.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
     parts = [usable.filter(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(n) for v, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE))]
-    # At most MAX_POSITIVE + MAX_NEGATIVE ids are broadcast, and as many texts come back.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionAll(parts[1])), "id")
+    # At most MAX_POSITIVE + MAX_NEGATIVE ids are broadcast, and as many texts of at most MAX_BYTES come back.
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") <= MAX_BYTES)
+    chosen = chosen.join(F.broadcast(parts[0].unionAll(parts[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     got = chosen.toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     return train(got["text"].cast(pa.string()).combine_chunks(), got["y"].to_numpy())
 
