@@ -13,8 +13,10 @@ Ranks come in two steps, over (class, cell) counts and then inside cells, so a
 class may hold any share of the pieces.
 
 Edge cases: a null or empty text is one piece that holds the end id; a null id
-is a valid row; repeated rows are packed each for itself; very long texts give
-many full pieces; an empty table gives an empty result; other columns are not read.
+is a valid row; repeated rows are packed each for itself, and pieces that are alike in
+all columns are interchangeable; very long texts give many full pieces; of patterns
+that price alike the first is taken; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -218,14 +220,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """The pieces with their sequence and offset."""
     spark = docs.sparkSession
     kind = F.ceil(F.col("length") / GRAIN).cast("int")
-    cut = written(pieces(docs, path, id_col, text_col).withColumn("kind", kind))
+    # The mark tells pieces apart that are alike, so that they spread over cells, too.
+    cut = written(pieces(docs, path, id_col, text_col).withColumns({"kind": kind, "mark": F.pmod(F.monotonically_increasing_id(), F.lit(CELLS)).cast("int")}))
     need = np.zeros(LENGTH // GRAIN, np.int64)
     for k, n in cut.groupBy("kind").count().collect():
         need[k - 1] = n
     plan = spark.createDataFrame(slots(need, len(need)), "kind int, low long, high long, sequence0 long, each long, slot0 long")
-    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start"), F.lit(CELLS * max(1, int(need.max()) // 5_000_000 + 1))))
+    cut = cut.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "mark"), F.lit(CELLS * max(1, int(need.max()) // 5_000_000 + 1))))
     ahead = cut.groupBy("kind", "cell").count().withColumn("ahead", F.coalesce(F.sum("count").over(W.partitionBy("kind").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    inside = W.partitionBy("kind", "cell").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    inside = W.partitionBy("kind", "cell").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "mark")
     ranked = cut.join(ahead, ["kind", "cell"]).withColumn("rank", F.col("ahead") + F.row_number().over(inside) - 1)
     # The plan is bounded by the classes: at most as many rows as classes times pieces in a pattern.
     placed = ranked.join(F.broadcast(plan), (ranked["kind"] == plan["kind"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
