@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.common import table, written
@@ -157,9 +158,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     measured = written(pivot_table(rows, pivots))
     total, asked, dim = measured.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1)), F.max("dim")).first()
     most = max(1, BLOCK // (dim or 1))
-    blocks = lambda n, least, spread: max(1, -(-n // max(1, min(most, max(least, n // spread)))))
-    order = ["dim", "cell", "near", F.xxhash64("id")]
-    c = written(measured.repartitionByRange(blocks(total, LEAST_ROWS, SPREAD), *order).withColumn("block", F.spark_partition_id()))
+    rows_of = lambda n, least, spread: min(most, max(least, n // spread))
+    n_blocks = -(-total // rows_of(total, LEAST_ROWS, SPREAD)) or 1
+    c = written(measured.repartitionByRange(n_blocks, "dim", "cell", "near", F.xxhash64("id")).withColumn("block", F.spark_partition_id()))
     queries = c.filter(F.col("id") % every == 0)
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +176,10 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     seeds = own.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(F.col("query_id").alias("_id"), F.try_element_at("s", F.lit(k)).alias("seed"))
     single = queries.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("id").alias("_id"))
     seeded = queries.join(seeds.join(single, "_id"), queries["id"] == F.col("_id"), "left").drop("_id")
-    q = written(seeded.repartitionByRange(blocks(asked, LEAST_QUERIES, QUERY_SPREAD), *order).withColumn("q_block", F.spark_partition_id()))
+    # Queries of blocks that follow each other are asked together; the window sees a row per block.
+    before = F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    together = queries.groupBy("block").agg(F.count("*").alias("n")).select(F.col("block").alias("_block"), F.floor(before / rows_of(asked, LEAST_QUERIES, QUERY_SPREAD)).alias("q_block"))
+    q = written(seeded.join(together, F.col("block") == F.col("_block")).drop("_block"))
     pairs = reachable(q, c, min(COARSE, len(pivots)))
     left = q.join(pairs, "q_block").groupBy("q_block", "c_block", "dim")
     right = c.join(pairs.toDF("_q", "_c"), F.col("block") == F.col("_c")).groupBy("_q", "_c", "dim")
