@@ -145,16 +145,16 @@ def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.cap_chapters(c, 1000)
 
 
-def _gathered(mark: str) -> str:
-    """SQL: the text ``p`` in units between marks, gathered up to a thousand characters."""
+def _gathered(mark: str, most: int, width: int = 1) -> str:
+    """SQL: the text ``p`` in units between marks (of ``width`` characters), gathered up to so many characters."""
     first = f"list_transform(string_split(p, {mark}), lambda q: {{'done': []::VARCHAR[], 'open': q}})"
-    fold = f"list_reduce({first}, lambda a, x: CASE WHEN a.open <> '' AND length(a.open) + 1 + length(x.open) > 1000 THEN {{'done': list_append(a.done, a.open), 'open': x.open}} ELSE {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || {mark} || x.open END}} END)"
-    return f"CASE WHEN length(p) > 1000 AND contains(p, {mark}) THEN list_filter(list_append(({fold}).done, ({fold}).open), lambda q: q <> '') ELSE [p] END"
+    fold = f"list_reduce({first}, lambda a, x: CASE WHEN a.open <> '' AND length(a.open) + {width} + length(x.open) > {most} THEN {{'done': list_append(a.done, a.open), 'open': x.open}} ELSE {{'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || {mark} || x.open END}} END)"
+    return f"CASE WHEN length(p) > {most} AND contains(p, {mark}) THEN list_filter(list_append(({fold}).done, ({fold}).open), lambda q: q <> '') ELSE [p] END"
 
 
 QUERIES["cap_chapters"] = capped
-ORACLES["cap_chapters"] = f"""WITH a AS (SELECT source AS book, doc_id, length(text) > 1000 AS large, flatten(list_transform([text], lambda p: {_gathered("chr(10)")})) AS l FROM documents),
-b AS (SELECT book, doc_id, large, flatten(list_transform(l, lambda p: {_gathered("' '")})) AS l FROM a),
+ORACLES["cap_chapters"] = f"""WITH a AS (SELECT source AS book, doc_id, length(text) > 1000 AS large, flatten(list_transform([text], lambda p: {_gathered("chr(10)", 1000)})) AS l FROM documents),
+b AS (SELECT book, doc_id, large, flatten(list_transform(l, lambda p: {_gathered("' '", 1000)})) AS l FROM a),
 c AS (SELECT book, doc_id, large, flatten(list_transform(list_filter(l, lambda p: NOT large OR regexp_matches(p, '\\S')), lambda p: CASE WHEN length(p) > 1000 THEN list_transform(range(0, length(p), 1000), lambda i: substring(p, i + 1, 1000)) ELSE [p] END)) AS l FROM b),
 u AS (SELECT book, doc_id, len(l) AS n, unnest(l) AS text, unnest(range(len(l))) AS i FROM c)
 SELECT book, (row_number() OVER (PARTITION BY book ORDER BY doc_id, i) - 1)::INT AS chapter_index, CASE WHEN n > 1 THEN concat('T (part ', i + 1, ')') ELSE 'T' END AS title, text FROM u"""
@@ -165,7 +165,44 @@ def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.page_chapters(docs).select("book", "chapter_index", "title", F.length("text").alias("n_chars"))
 
 
+_HEADING = r"'(?i)^\s*(chapter|part)\s+(\d{1,3}|[ivxlcdm]{1,7})\b[:.\-–—]?\s{0,3}.{0,40}$|^\s*(chapter|part)\s+\w+\s*:\s*.{0,40}$|^\s*(prologue|epilogue|introduction|preface|afterword)\s*$'"
 QUERIES["page_chapters"] = page_chapters
+ORACLES["page_chapters"] = f"""WITH p AS (SELECT source AS book, doc_id AS page, CASE WHEN source < 'src5' THEN 'Chapter 1' || chr(10) || text ELSE text END AS text FROM documents),
+l AS (SELECT book, page, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM p),
+h AS (SELECT *, regexp_matches(line, {_HEADING}) AS hd FROM l),
+g AS (SELECT *, sum(hd::INT) OVER (PARTITION BY book ORDER BY page, i) AS n FROM h),
+m AS (SELECT book, n, max(CASE WHEN hd THEN trim(line) END) AS title, string_agg(CASE WHEN NOT hd AND regexp_matches(line, '\\S') THEN line END, chr(10) ORDER BY page, i) AS text FROM g WHERE n > 0 GROUP BY book, n),
+k AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY n) AS k, title, text FROM m WHERE text IS NOT NULL),
+w AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY part) AS k, text FROM (SELECT book, page // 15 AS part, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM p WHERE regexp_matches(text, '\\S') AND book NOT IN (SELECT book FROM k) GROUP BY ALL)),
+u AS (SELECT * FROM k UNION ALL SELECT book, k, concat('Chapter ', k), text FROM w),
+a AS (SELECT *, length(text) > 40000 AS large, flatten(list_transform([text], lambda p: {_gathered("chr(10) || chr(10)", 40_000, 2)})) AS l FROM u),
+b AS (SELECT * REPLACE (flatten(list_transform(l, lambda p: {_gathered("chr(10)", 40_000)})) AS l) FROM a),
+c AS (SELECT * REPLACE (flatten(list_transform(l, lambda p: {_gathered("' '", 40_000)})) AS l) FROM b),
+d AS (SELECT * REPLACE (flatten(list_transform(list_filter(l, lambda p: NOT large OR regexp_matches(p, '\\S')), lambda p: CASE WHEN length(p) > 40000 THEN list_transform(range(0, length(p), 40000), lambda i: substring(p, i + 1, 40000)) ELSE [p] END)) AS l) FROM c),
+e AS (SELECT book, k, title, len(l) AS n, unnest(l) AS text, unnest(range(len(l))) AS i FROM d)
+SELECT book, (row_number() OVER (PARTITION BY book ORDER BY k, i) - 1)::INT AS chapter_index, CASE WHEN n > 1 THEN concat(title, ' (part ', i + 1, ')') ELSE title END AS title, length(text)::INT AS n_chars FROM e"""
+
+
+# HTML pages made of conversations: headings in two elements, bare ones and empty ones; every third page has none.
+_MARKED = "CASE WHEN conv_id % 3 = 0 THEN '' WHEN turn % 5 = 1 THEN concat('<h1> Part <b>', turn, '</b></h1>') WHEN turn % 7 = 3 THEN '<h3>3.</h3>' WHEN turn % 11 = 6 THEN '<h2></h2>' ELSE '' END"
+_LINES = "concat('<div><p>', replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\n', '</p><p>'), '</p></div><pre>code</pre>')"
+
+
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").select(F.expr("concat(conv_id, '-', turn div 50)").alias("id"), "turn", F.expr(f"concat({_MARKED}, {_LINES})").alias("part"))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "")
+    pages = c.groupBy("id").agg(parts.alias("parts")).select("id", F.concat(F.lit("<html><head><title>\nT "), "id", F.lit(" </title></head><body>"), "parts", F.lit("</body></html>")).alias("html"))
+    return markup.html_chapters(pages, "id", "html")
+
+
+QUERIES["html_sections"] = html_sections
+ORACLES["html_sections"] = r"""WITH a AS (SELECT concat(conv_id, '-', turn // 50) AS book, turn, CASE WHEN conv_id % 3 = 0 THEN NULL WHEN turn % 5 = 1 THEN concat('Part', turn) WHEN turn % 7 = 3 THEN '3.' WHEN turn % 11 = 6 THEN '' END AS h,
+  nullif(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> ''), chr(10) || chr(10)), '') AS t FROM conversations),
+n AS (SELECT *, sum((h IS NOT NULL)::INT) OVER (PARTITION BY book ORDER BY turn) AS n FROM a),
+m AS (SELECT book, n, max(h) AS h, string_agg(t, chr(10) || chr(10) ORDER BY turn) AS t FROM n GROUP BY book, n),
+k AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n) AS i FROM m WHERE t IS NOT NULL AND (n > 0 OR length(t) >= 200))
+SELECT book, (i - 1)::INT AS chapter_index, CASE WHEN n = 0 THEN 'Preface' WHEN h IN ('', '3.') THEN concat('Chapter ', i) ELSE h END AS title, t AS text FROM k
+UNION ALL SELECT book, 0, concat('T ', book), string_agg(t, chr(10) || chr(10) ORDER BY turn) FROM a WHERE book NOT IN (SELECT book FROM k) GROUP BY book HAVING count(t) > 0"""
 
 
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,11 +206,11 @@ def pause_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["pause_plan"] = pause_plan
 ORACLES["pause_plan"] = f"WITH {_SEGMENTS} SELECT conv_id, count(*) AS n_segments, round(sum({_PAUSE}), 6) AS pause_sec, sum(length(segment))::BIGINT AS n_chars FROM e GROUP BY conv_id"
 
-_VOICE = "concat(substring('abjzefhipx', (n_nationkey % 10) + 1, 1), substring('fmq', (n_nationkey % 3) + 1, 1), CASE WHEN n_nationkey % 4 = 1 THEN 'x' ELSE '' END, '_', lower(n_name), '-o''neil')"
+_VOICE = "concat(substring('abjzefhipx', (n_nationkey % 10) + 1, 1), substring('fmq', (n_nationkey % 3) + 1, 1), CASE WHEN n_nationkey % 4 = 1 THEN 'x' ELSE '' END, '_', lower(n_name), '-o', chr(39), 'neil')"
 
 
 def voices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").select(speech.voice(F.expr(_VOICE.replace("''", "\\'"))).alias("v")).select("v.*")
+    return read(spark, sf_dir, "nation").select(speech.voice(F.expr(_VOICE)).alias("v")).select("v.*")
 
 
 QUERIES["voice_dimension"] = voices

@@ -10,8 +10,8 @@ from lectern.operators.timing import title_or
 
 
 def encrypted(content: Column) -> Column:
-    """Whether a file has an encryption entry in its trailer; an approximation that a reader would refine."""
-    return F.coalesce(F.contains(F.decode(content, "ISO-8859-1"), F.lit("/Encrypt")), F.lit(False))
+    """Whether a file names an encryption dictionary as trailers do: by reference or in place; an approximation that a reader would refine."""
+    return F.coalesce(F.decode(content, "ISO-8859-1").rlike(r"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)"), F.lit(False))
 
 
 def pages(rows: DataFrame) -> DataFrame:

@@ -191,8 +191,8 @@ def test_settings(tmp_path):
 
 
 def test_pdf_inputs(spark):
-    files = spark.createDataFrame([(1, bytearray(b"%PDF trailer << /Encrypt 5 0 R >>")), (2, bytearray(b"%PDF \xff")), (3, None)], "id int, content binary")
-    assert rows(files.select("id", pdf.encrypted(F.col("content"))), "id") == [(1, True), (2, False), (3, False)]
+    files = spark.createDataFrame([(1, bytearray(b"%PDF trailer << /Encrypt 5 0 R >>")), (2, bytearray(b"%PDF \xff")), (3, None), (4, bytearray(b"%PDF a book on /Encrypt and /EncryptMetadata"))], "id int, content binary")
+    assert rows(files.select("id", pdf.encrypted(F.col("content"))), "id") == [(1, True), (2, False), (3, False), (4, False)]
     assert rows(pdf.pages(spark.createDataFrame([("a", 0, None)], "book string, page_no int, text string")), "page_no") == [("a", 0, "")]
 
 
