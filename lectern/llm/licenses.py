@@ -14,7 +14,8 @@ that overlap, the one with the most bigrams of its template is a segment.
 Edge cases: a null or empty text matches nothing; of templates with equal
 coefficients the one with the smaller id is given; a template of one word
 counts its word as its bigram; repeated rows are judged each for itself; a null
-id is a valid row; an empty table gives an empty result; other columns are not read.
+id is a valid row; very long texts are scanned whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -65,7 +65,7 @@ _VALUE = r"""(?:"[^"\s]{8,}"|'[^'\s]{8,}'|(?=[^"'\s,;]{0,200}\d)[^"'\s,;]{8,})""
 _KEYWORD = r"""(?i:token|secret|passwd|password|pwd|api[_\-]?key)["']?[ \t]{0,3}[=:][ \t]{0,3}"""
 #: Patterns by kind; each begins where no letter or digit stands before it.
 KINDS = {
-    "email": r"[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "email": r"[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,63}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "ip": r"(?<!\d\.)(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)" + _AFTER + r"|(?<![:.])(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?!-)" + _AFTER,
     "phone": r"(?:\+\d{1,3}[ .\-/]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-/]?\d{2,4}){2,4}|(?<!\()\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|[2-9]\d\d [2-9]\d\d \d{4}|0[1-9]\d{1,3}[ /\-]\d{5,9})" + _AFTER,
