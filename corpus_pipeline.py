@@ -1,4 +1,13 @@
-"""The corpus pipeline: quality rules, near duplicates, surrogates, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, surrogates, mixing, packing.
+
+Each stage works on all that the one before it kept, and all but the last give the
+columns of the documents, whatever else those are called. Edge cases: a null or empty
+text fails the quality rules; rows with a null id are kept apart and pass the
+near-duplicate stage; of repeated rows one stays, and of texts that share an id those
+that are nobody's near copy; a null source is mixed as a source of its own; a document
+comes twice where its source has a second pass; very long texts are worked on whole and
+packed in pieces; an empty table, or one of which nothing is kept, gives an empty result.
+"""
 
 from __future__ import annotations
 
