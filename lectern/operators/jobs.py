@@ -32,6 +32,13 @@ def latest(events: DataFrame, key: str, order: list[str], fields: list[str]) ->
     return events.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields], F.count("*").alias("n_events"))
 
 
+def log_lines(events: DataFrame, order: list[str]) -> DataFrame:
+    """job_id, line: the log of each job, a line per event in order; ``write.partitionBy("job_id").text`` makes a file of each."""
+    said = [F.concat(F.lit(f" {c}="), F.col(c).cast("string")) for c in ("status", "progress_pct", "current_chapter")]
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), *[F.coalesce(s, F.lit("")) for s in said])
+    return events.sort("job_id", *order).select("job_id", line.alias("line"))
+
+
 def absorbing(events: DataFrame, key: str, order: list[str], status: str = "status") -> DataFrame:
     """Events up to and including the first terminal one of each key: what comes later changes nothing."""
     place = F.struct(*order)

@@ -67,12 +67,16 @@ def metadata_text(timed: DataFrame, books: DataFrame) -> DataFrame:
     return books.join(parts, "book").select("book", F.concat(head, F.col("blocks"), F.lit("\n")).alias("metadata"))
 
 
-def checked(timed: DataFrame) -> DataFrame:
-    """By book: whether a plan is complete: titles, positive length, chapters that follow on each other."""
+def checked(timed: DataFrame, covers: DataFrame | None = None) -> DataFrame:
+    """By book: whether a plan is complete: titles, positive length, chapters that follow on each other; with ``covers`` (book, cover) also whether there is one."""
     book = W.partitionBy("book").orderBy("chapter_index")
     follows = F.col("start_sec") == F.coalesce(F.lag("end_sec").over(book), F.lit(0.0))
     rows = timed.withColumn("ok", follows & F.col("title").isNotNull() & (F.col("title") != "") & (F.col("seconds") >= 0))
-    return rows.groupBy("book").agg(F.count("*").alias("n_chapters"), F.max("end_sec").alias("length_sec"), (F.bool_and("ok") & (F.max("end_sec") > 0)).alias("complete"))
+    made = rows.groupBy("book").agg(F.count("*").alias("n_chapters"), F.max("end_sec").alias("length_sec"), (F.bool_and("ok") & (F.max("end_sec") > 0)).alias("complete"))
+    if covers is None:
+        return made
+    known = covers.groupBy("book").agg(F.bool_or(F.col("cover").isNotNull()).alias("has_cover"))
+    return made.join(known, "book", "left").withColumn("has_cover", F.coalesce("has_cover", F.lit(False)))
 
 
 def throughput(runs: DataFrame) -> DataFrame:

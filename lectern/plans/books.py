@@ -83,11 +83,12 @@ string_agg(concat('[CHAPTER]', chr(10), 'TIMEBASE=1/1000', chr(10), 'START=', tr
 
 
 def plan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.checked(_whole_seconds(spark, sf_dir))
+    covers = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.expr("CASE WHEN conv_id % 2 = 0 AND turn = 1 THEN 'cover.jpg' END").alias("cover"))
+    return timing.checked(_whole_seconds(spark, sf_dir), covers)
 
 
 QUERIES["plan_check"] = plan_check
-ORACLES["plan_check"] = f"WITH {_WHOLE} SELECT book, count(*) AS n_chapters, max(start_sec + seconds) AS length_sec, max(start_sec + seconds) > 0 AS complete FROM t GROUP BY book"
+ORACLES["plan_check"] = f"WITH {_WHOLE} SELECT book, count(*) AS n_chapters, max(start_sec + seconds) AS length_sec, max(start_sec + seconds) > 0 AS complete, bool_or(book % 2 = 0 AND i = 1) AS has_cover FROM t GROUP BY book"
 
 
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,6 +467,15 @@ QUERIES["jobs_appended"] = jobs_appended
 ORACLES["jobs_appended"] = "SELECT doc_id AS id, lang, CASE WHEN doc_id % 2 = 0 THEN 'queued' ELSE 'later' END AS status FROM documents"
 
 
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(read(spark, sf_dir, "events")).withColumn("progress_pct", F.floor("progress_pct"))
+    return jobs.log_lines(e, ["ts", "event_id"])
+
+
+QUERIES["job_log"] = job_log
+ORACLES["job_log"] = f"""WITH {_EV} SELECT job_id, concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), ' status=' || status, ' progress_pct=' || floor(progress_pct)::BIGINT, ' current_chapter=' || current_chapter) AS line FROM e"""
+
+
 def job_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.by_id(_jobs(spark, sf_dir), 17).select("id", "book_id", "lang")
 

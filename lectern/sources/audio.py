@@ -1,22 +1,48 @@
-"""WAV bytes to samples and back, chunks joined to chapters, voice levels. Speech itself comes from outside."""
+"""WAV bytes to samples and back, chunks joined to chapters, voice levels, and the place where a speech engine plugs in."""
 
 from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.speech import SAMPLE_RATE, WEAK, rms, with_silence
+from lectern.functions.speech import QUIET, SAMPLE_RATE, WEAK, rms, with_silence
 
 #: Silence between the chunks of a chapter.
 GAP_MS = 300
 
 
+class Engine(Protocol):
+    """What a speech engine offers; each Python worker makes one of its own."""
+
+    def synthesize(self, text: str, voice: str, speed: float) -> np.ndarray: ...
+
+
+def synthesized(chunks: DataFrame, engine: Callable[[], Engine], voice: str, speed: float = 1.0, attempts: int = 3) -> DataFrame:
+    """All columns and ``samples`` of the ``text`` of each chunk; results that are nearly silent are tried again, the last one counts."""
+
+    def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = engine()
+        for batch in batches:
+            made = []
+            for text in batch["text"]:
+                for _ in range(attempts):
+                    samples = np.asarray(own.synthesize(text, voice, speed), "float32")
+                    if len(samples) and np.sqrt(np.mean(samples.astype(float) ** 2)) >= QUIET:
+                        break
+                made.append(samples)
+            yield batch.assign(samples=made)
+
+    return chunks.mapInPandas(speak, T.StructType([*chunks.schema.fields, T.StructField("samples", T.ArrayType(T.FloatType()))]))
+
+
 def to_wav(samples: np.ndarray, rate: int = SAMPLE_RATE) -> bytes:
     """Mono 16-bit WAV."""
     out = io.BytesIO()

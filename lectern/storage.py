@@ -32,9 +32,9 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that were ``written`` and that no later result reads."""
-    for table in tables:
+def discard(*tables: DataFrame, keep: bool = False) -> None:
+    """Deletes tables that were ``written`` and that no later result reads, unless they are to be kept."""
+    for table in () if keep else tables:
         spark = table.sparkSession
         for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
             if folder.rpartition("/")[2].startswith(_PREFIX):

@@ -144,6 +144,23 @@ def test_wav(spark):
     assert [(r.voice, r.verdict) for r in audio.voice_quality(levels).orderBy("voice").collect()] == [("a", "FLAG"), ("b", "OK")]
 
 
+class Shy:
+    """Silent at first; then as many samples as characters."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def synthesize(self, text, voice, speed):
+        self.asked += 1
+        return np.full(len(text), 0.5 if self.asked > 1 and "mute" not in text else 0.0)
+
+
+def test_engine_plugs_in(spark):
+    chunks = spark.createDataFrame([(1, "hello"), (2, "mute"), (3, "")], "k int, text string").coalesce(1)
+    got = {r.k: r.samples for r in audio.synthesized(chunks, Shy, "v").collect()}
+    assert got == {1: [0.5] * 5, 2: [0.0] * 4, 3: []}
+
+
 def test_chapters_of_chunks(spark):
     chunks = spark.createDataFrame([("b", 0, 1, [3.0]), ("b", 0, 0, [1.0, 2.0]), ("b", 1, 0, [])], "book string, chapter_index int, chunk_index int, samples array<float>")
     assert rows(audio.assembled(chunks, 20, 100), "chapter_index") == [("b", 0, [1.0, 2.0, 0.0, 0.0, 3.0]), ("b", 1, [])]
