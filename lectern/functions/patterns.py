@@ -29,6 +29,8 @@ DECIMAL = rf"{_START}[0-9]+\.[0-9]+{_END}"
 ORDINAL = rf"{_START}[0-9]+(?i:st|nd|rd|th){_END}"
 YEAR = rf"{_START}(?:1[0-9]{{3}}|20[0-9]{{2}}){_END}"
 PLAIN = r"(?=[0-9])(?<![\p{L}\p{N}_.])[0-9]{1,9}(?![\p{L}\p{N}_.])"
+# All of them in one search. Amounts come first in the order of rules: to the others, one that follows is a word already.
+NUMBER = rf"{CURRENCY}|(?:{DECIMAL}|{ORDINAL}|{YEAR}|{PLAIN})(?!{CURRENCY})"
 
 SPINE_SKIP = r"(?i)(cover|titlepage|title-page|toc|nav|copyright|colophon|dedication|pg-header|pg-footer|wrap0000)"
 CONTENTS_TITLE = r"(?i)^((table of )?contents( in detail)?|index)\n?\z"

@@ -108,12 +108,20 @@ def speak_currency(text: Column) -> Column:
     return replace_each(text, P.CURRENCY, amount)
 
 
+def decimal(match: Column) -> Column:
+    return F.concat(cardinal(F.substring_index(match, ".", 1)), F.lit(" point "), spelled(F.substring_index(match, ".", -1)))
+
+
 def speak_decimals(text: Column) -> Column:
-    return replace_each(text, P.DECIMAL, lambda m: F.concat(cardinal(F.substring_index(m, ".", 1)), F.lit(" point "), spelled(F.substring_index(m, ".", -1))))
+    return replace_each(text, P.DECIMAL, decimal)
+
+
+def place(match: Column) -> Column:
+    return ordinal(F.regexp_replace(match, "[^0-9]", ""))
 
 
 def speak_ordinals(text: Column) -> Column:
-    return replace_each(text, P.ORDINAL, lambda m: ordinal(F.regexp_replace(m, "[^0-9]", "")))
+    return replace_each(text, P.ORDINAL, place)
 
 
 def speak_years(text: Column) -> Column:
@@ -125,5 +133,6 @@ def speak_plain(text: Column) -> Column:
 
 
 def speak_numbers(text: Column) -> Column:
-    """All sub-rules; texts without digits skip them."""
-    return let(text, lambda t: F.when(t.rlike("[0-9]"), speak_plain(speak_years(speak_ordinals(speak_decimals(speak_currency(t)))))).otherwise(t))
+    """All sub-rules in one pass, with the result of one after another; texts without digits skip it."""
+    kinds = lambda m: F.when(m.rlike("^[$£€]"), amount(m)).when(m.contains("."), decimal(m)).when(m.rlike("[a-zA-Z]$"), place(m)).when(m.rlike("^(?:1[0-9]{3}|20[0-9]{2})$"), year(m)).otherwise(cardinal(m))
+    return let(text, lambda t: F.when(t.rlike("[0-9]"), replace_each(t, P.NUMBER, lambda m: let(m, kinds))).otherwise(t))

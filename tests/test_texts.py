@@ -99,6 +99,17 @@ def test_years(spark, digits, said):
     assert of(spark, digits, spoken.year) == said
 
 
+def test_numbers_in_one_pass_as_in_five(spark):
+    import random
+
+    rng = random.Random(2)
+    bits = ["5", "$10", "£ 3", "1999", "2150", "3rd", "1.5", "12,345", ".", ",", " ", "x", "_", "th", "€", "$", "0", "1005", "42.", "$1.50", "7ST", "٣"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    five = lambda t: spoken.speak_plain(spoken.speak_years(spoken.speak_ordinals(spoken.speak_decimals(spoken.speak_currency(t)))))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spoken.speak_numbers(F.col("t")).alias("one"), five(F.col("t")).alias("five")).collect()
+    assert [(r.t, r.one) for r in got] == [(r.t, r.five) for r in got]
+
+
 def chunk_rows(spark, text, most):
     return chunks.chunked(spark.createDataFrame([(1, text)], "c int, text string"), most=most).orderBy("chunk_index").collect()
 
