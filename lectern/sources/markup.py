@@ -163,12 +163,12 @@ def html_books(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book"
 
 def html_chapters(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
     """book, chapter_index, title, text of HTML documents: sections by heading, or else the whole body."""
-    # Written, so that documents are walked once for both ways.
+    # Written, so that documents are walked once and sections made once for both ways.
     made = written(parsed(docs, id_col, markup_col).withColumnRenamed(id_col, "book").withColumn("blocks", F.filter("blocks", lambda b: ~F.col("has_body") | b["in_body"])))
     flat = made.select("book", "pieces", F.posexplode("blocks").alias("pos", "b")).filter((F.col("b.tag") != "div") | F.col("b.leaf"))
     is_heading = F.col("b.tag").isin(*HEADINGS)
     text = F.when(is_heading, told(F.col("pieces"), F.col("b"), "")).otherwise(told(F.col("pieces"), F.col("b"), " "))
-    headed = section_chapters(flat.select("book", "pos", is_heading.alias("is_heading"), text.alias("text")))
+    headed = written(section_chapters(flat.select("book", "pos", is_heading.alias("is_heading"), text.alias("text"))))
     bare = made.join(headed.select("book").distinct(), "book", "left_anti")
     prose = F.slice("prose", F.col("body_start") + 1, F.col("body_stop") - F.col("body_start"))
     # Places of blocks are places in all pieces; only the lines of a body without paragraphs need its own.
