@@ -53,9 +53,9 @@ LEVEL = 1.25
 #: Sets and shingles of a tile at most (a larger set is alone).
 TILE_SETS, TILE_SHINGLES = 400, 1_500_000
 #: Signatures of a tile at most, in small and in large groups: a group gives work to many tasks, and a large one few copies of its rows.
-TILE_SIGNATURES = (200, 4096)
+TILE_SIGNATURES = (400, 4096)
 #: Tiles that a band of a group is cut into before they grow.
-SPREAD = 24
+SPREAD = 8
 
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -209,7 +209,7 @@ def candidate_links(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def tiles(nodes: DataFrame, percent: int, sets: tuple[int, int], shingles: int | None = None) -> DataFrame:
     """The columns of ``nodes`` (node, n, grp and others) and ``units``: the units of work (unit, turn, side) of each set.
 
-    The units of two bands have consecutive turns, so that dealing by turn spreads them evenly.
+    The units of a group have consecutive turns, so that dealing by turn spreads them evenly.
     """
     size = F.least(F.greatest(F.col("count") / SPREAD, F.lit(sets[0])), F.lit(sets[1]))
     parts = F.greatest(F.ceil(F.col("count") / size), F.ceil(F.col("total") / shingles) if shingles else F.lit(1)).cast("int")
@@ -222,17 +222,22 @@ def tiles(nodes: DataFrame, percent: int, sets: tuple[int, int], shingles: int |
     about = bands.join(near(1, "above"), ["grp", "band"], "left").join(near(-1, "below"), ["grp", "band"], "left").fillna(0, ["above", "below"])
     # Bands of small groups are all -1 and have no neighbours: 0 is a band of large groups only.
     about = about.withColumns({"above": F.when(F.col("band") < 0, 0).otherwise(F.col("above")), "below": F.when(F.col("band") <= 0, 0).otherwise(F.col("below"))})
+    # How many units come before those of a band in its group: of the band itself, with the next one, and with the one before; a group has a few bands.
+    own = F.col("parts") * (F.col("parts") + 1) / 2
+    in_group = W.partitionBy("grp").orderBy("band")
+    before = F.coalesce(F.sum(own + F.col("parts") * F.col("above")).over(in_group.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    about = about.withColumn("same_at", before.cast("long")).withColumn("up_at", (F.col("same_at") + own).cast("long")).withColumn("down_at", F.lag("up_at").over(in_group))
     rows = placed.join(about, ["grp", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     count = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
 
     def unit(low: Column, i: Column, j: Column, kind: str, side: Column, nth: Column) -> Column:
-        turn = F.pmod(F.xxhash64("grp", low, F.lit(kind)) + nth.cast("long"), F.lit(1 << 30)).cast("int")
+        turn = F.pmod(F.xxhash64("grp") + nth.cast("long"), F.lit(1 << 30)).cast("int")
         return F.struct(F.concat_ws(":", "grp", low, i, j, F.lit(kind)).alias("unit"), turn.alias("turn"), side.cast("int").alias("side"))
 
     p, low, high = F.col("part"), lambda j: F.least(F.col("part"), j), lambda j: F.greatest(F.col("part"), j)
-    same = F.transform(count("parts"), lambda j: unit(F.col("band"), low(j), high(j), "s", F.when(j == p, 2).otherwise((p > j).cast("int")), high(j) * (high(j) + 1) / 2 + low(j)))
-    up = F.transform(count("above"), lambda j: unit(F.col("band"), p, j, "u", F.lit(0), p * F.col("above") + j))
-    down = F.transform(count("below"), lambda j: unit(F.col("band") - 1, j, p, "u", F.lit(1), j * F.col("parts") + p))
+    same = F.transform(count("parts"), lambda j: unit(F.col("band"), low(j), high(j), "s", F.when(j == p, 2).otherwise((p > j).cast("int")), F.col("same_at") + high(j) * (high(j) + 1) / 2 + low(j)))
+    up = F.transform(count("above"), lambda j: unit(F.col("band"), p, j, "u", F.lit(0), F.col("up_at") + p * F.col("above") + j))
+    down = F.transform(count("below"), lambda j: unit(F.col("band") - 1, j, p, "u", F.lit(1), F.col("down_at") + j * F.col("parts") + p))
     return rows.select(*[c for c in nodes.columns if c != "grp"], F.concat(same, up, down).alias("units"))
 
 
