@@ -48,7 +48,7 @@ SPREAD, QUERY_SPREAD = 32, 4
 LEAST_QUERIES = 512
 #: Pivots whose distances bound whole blocks.
 COARSE = 16
-#: Candidates evaluated at first in bound order; then twice as many each time.
+#: Candidates evaluated at first in bound order; then sixteen times as many each time.
 RUN = 128
 _OUT = "query_id long, vec_id long, score long"
 _TABLE = "id long, v array<long>, dim int, far array<double>, cell int, near double"
@@ -118,7 +118,8 @@ def meet(q: pd.DataFrame, c: pd.DataFrame, k: int) -> Iterator[tuple[int, int, i
     q_id, c_id, qv, cv = q["id"].to_numpy(), c["id"].to_numpy(), np.stack(q["v"]), np.stack(c["v"])
     usable = bool(len(q["far"].iloc[0])) and all(map(len, q["far"])) and all(map(len, c["far"]))
     if usable:
-        to_q, to_c = np.stack(q["far"]), np.stack(c["far"])
+        # A row per pivot; in half the width, which the slack of the bounds allows for.
+        to_q, to_c = np.stack(q["far"]).astype("float32"), np.stack(c["far"]).astype("float32").T.copy()
     else:
         whole_floats = exact(qv).all() and exact(cv).all()
         qv, cv = (qv, cv) if whole_floats else (qv.astype(object), cv.astype(object))
@@ -127,26 +128,42 @@ def meet(q: pd.DataFrame, c: pd.DataFrame, k: int) -> Iterator[tuple[int, int, i
         q2, c2 = (qv**2).sum(axis=1), (cv**2).sum(axis=1)
     for i in range(len(q)):
         others = np.flatnonzero(c_id != q_id[i])
-        seed = q["seed"].iloc[i] if "seed" in q and not pd.isna(q["seed"].iloc[i]) else None
-        if usable:
-            low = np.abs(to_c - to_q[i]).max(axis=1)
-            # Rounding of the distances is far below one: a whole inner product can't exceed this.
-            bound = np.floor((q2[i] + c2 - low**2) / 2 + 1e-6 * (q2[i] + c2) + 1)
-            others = others[np.argsort(-bound[others], kind="stable")]
         best: list[tuple[int, int]] = []
-        at, step = 0, RUN if usable else max(1, len(others))
-        while at < len(others):
-            run = others[at : at + step]
-            if usable and (len(best) == k and bound[run[0]] < -best[-1][0] or seed is not None and bound[run[0]] < seed):
-                break
-            score = cv[run] @ qv[i] if cv.dtype != object else (cv[run] * qv[i]).sum(axis=1)
-            if len(run) > 4 * k and cv.dtype != object:
-                # All that are no worse than the k-th of the run, ties included.
-                some = np.flatnonzero(score >= np.partition(score, -k)[-k])
-                run, score = run[some], score[some]
-            best = sorted(best + [(-int(s), int(v)) for s, v in zip(score, c_id[run], strict=True)])[:k]
-            at += step
-            step *= 2
+
+        def evaluate(run: np.ndarray) -> None:
+            if cv.dtype == object:
+                score = (cv[run] * qv[i]).sum(axis=1)  # noqa: B023
+            else:
+                # To pick many rows costs more than to multiply them all.
+                score = (cv @ qv[i])[run] if len(run) * 4 > len(cv) else cv[run] @ qv[i]  # noqa: B023
+                if len(run) > 4 * k:
+                    # All that are no worse than the k-th of the run, ties included.
+                    some = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                    run, score = run[some], score[some]
+            best[:] = sorted(best + [(-int(s), int(v)) for s, v in zip(score, c_id[run], strict=True)])[:k]  # noqa: B023
+
+        if not usable:
+            evaluate(others)
+        else:
+            low = np.zeros(len(cv), "float32")
+            for p in range(len(to_c)):
+                np.maximum(low, np.abs(to_c[p] - to_q[i, p]), out=low)
+            # A whole inner product can't exceed this; the slack is for the rounding of the distances.
+            bound = np.floor((q2[i] + c2 - low.astype(float) ** 2) / 2 + 2e-6 * (q2[i] + c2) + 1)
+            seed = q["seed"].iloc[i] if "seed" in q and not pd.isna(q["seed"].iloc[i]) else -np.inf
+            others = others[bound[others] >= seed]
+            step = RUN
+            while len(others):
+                # The next ones in bound order; then only what still reaches the k-th score is left.
+                if len(others) > step:
+                    first = np.argpartition(-bound[others], step - 1)
+                    run, others = others[first[:step]], others[first[step:]]
+                else:
+                    run, others = others, others[:0]
+                evaluate(run)
+                if len(best) == k:
+                    others = others[bound[others] >= max(seed, -best[-1][0])]
+                step *= 16
         yield from ((int(q_id[i]), v, -s) for s, v in best)
 
 
