@@ -55,7 +55,7 @@ TILE_SETS, TILE_SHINGLES = 400, 1_500_000
 #: Signatures of a tile at most, in small and in large groups: a group gives work to many tasks, and a large one few copies of its rows.
 TILE_SIGNATURES = (400, 4096)
 #: Tiles that a band of a group is cut into before they grow.
-SPREAD = 8
+SPREAD = 7
 
 _P, _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
