@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import jaccard_join, licenses, mixing, packing, pii, quality, repeats, token_counts, topk, toxicity, url_filter
+from lectern.llm import codebooks, jaccard_join, licenses, mixing, packing, pii, quality, repeats, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_vector_codes": codebooks.op11_vector_codes,
     "op12_repeats": repeats.op12_repeats,
 }
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op4_quality_rules": quality.SQL,
     "op7_topk": topk.SQL,
     "op10_url_filters": url_filter.SQL,
+    "op11_vector_codes": codebooks.SQL,
 }
