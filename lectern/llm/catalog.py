@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from lectern.llm import codebooks, jaccard_join, licenses, mixing, packing, pii, quality, repeats, token_counts, topk, toxicity, url_filter
+from lectern.llm import codebooks, conversations, jaccard_join, licenses, mixing, packing, pii, quality, repeats, token_counts, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_filters": url_filter.op10_url_filters,
     "op11_vector_codes": codebooks.op11_vector_codes,
     "op12_repeats": repeats.op12_repeats,
+    "op13_conversations": conversations.op13_conversations,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
