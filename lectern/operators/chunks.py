@@ -1,7 +1,8 @@
 """Chunking: paragraphs, sentences, long-sentence split and greedy packing with paragraph lineage.
 
-Sentences end at ``.``, ``!`` or ``?`` (with closing quotes or brackets) before
-white space: a deterministic rule in place of a trained model.
+Sentences end at ``.``, ``!`` or ``?`` (with closing quotes or brackets) before white
+space; with a model of the corpus (``sentences.trained``) not after abbreviations,
+initials and numbers that go on.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.binding import let
 from lectern.functions.patterns import SP
 from lectern.functions.rules import strip
+from lectern.operators.sentences import END, Model, protected, unmasked
 
 MAX_CHARS = 400
 CLAUSE_MARKS = (";", ":", ",")
@@ -23,7 +25,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(paragraph: Column) -> Column:
-    parts = F.transform(F.split(paragraph, rf"(?<=[.!?]|[.!?][\"')\]]|[.!?][\"')\]]{{2}}){SP}+", -1), strip)
+    parts = F.transform(F.split(paragraph, END, -1), strip)
     return F.filter(parts, lambda s: s != "")
 
 
@@ -60,9 +62,10 @@ def _flat(pieces: Column, mark: str, most: int) -> Column:
     return F.flatten(F.transform(pieces, lambda p: _by_mark(p, mark, most)))
 
 
-def pieces(text: Column, most: int = MAX_CHARS) -> Column:
-    """(text, paragraph) of all sentences or their parts in order."""
-    in_paragraph = lambda p, i: F.transform(F.flatten(F.transform(sentences(p), lambda s: split_long(s, most))), lambda s: F.struct(s.alias("text"), i.alias("para")))
+def pieces(text: Column, most: int = MAX_CHARS, masked: bool = False) -> Column:
+    """(text, paragraph) of all sentences or their parts in order; ``masked`` texts come from ``sentences.protected``."""
+    plain = unmasked if masked else lambda s: s
+    in_paragraph = lambda p, i: F.transform(F.flatten(F.transform(sentences(p), lambda s: split_long(plain(s), most))), lambda s: F.struct(s.alias("text"), i.alias("para")))
     return F.flatten(F.transform(paragraphs(text), in_paragraph))
 
 
@@ -83,8 +86,9 @@ def pack(parts: Column, most: int = MAX_CHARS) -> Column:
     return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"]["text"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
-def chunked(chapters: DataFrame, text_col: str = "text", most: int = MAX_CHARS) -> DataFrame:
+def chunked(chapters: DataFrame, text_col: str = "text", most: int = MAX_CHARS, model: Model | None = None) -> DataFrame:
     """A row per chunk: the other columns, chunk_index from 0, text, paragraph_start, paragraph_end; empty texts give none."""
     keep = [c for c in chapters.columns if c != text_col]
-    parts = chapters.withColumn("_parts", pieces(F.col(text_col), most))
+    texts = chapters if model is None else protected(chapters, model, text_col)
+    parts = texts.withColumn("_parts", pieces(F.col(text_col), most, model is not None))
     return parts.select(*keep, F.posexplode(pack(F.col("_parts"), most)).alias("chunk_index", "_chunk")).select(*keep, "chunk_index", "_chunk.*")

@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL counterparts."""
 
-from lectern.plans import books, texts
+from lectern.plans import books, sentences, texts
 
-QUERIES = texts.QUERIES | books.QUERIES
-ORACLES = texts.ORACLES | books.ORACLES
+QUERIES = texts.QUERIES | sentences.QUERIES | books.QUERIES
+ORACLES = texts.ORACLES | sentences.ORACLES | books.ORACLES
