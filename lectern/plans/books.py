@@ -248,6 +248,16 @@ _LATEST = f"""WITH {_EV} SELECT job_id, arg_max(status, (ts, event_id)) AS statu
 arg_max(current_chapter, (ts, event_id)) FILTER (WHERE current_chapter IS NOT NULL) AS current_chapter, count(*) AS n_events FROM e GROUP BY job_id"""
 QUERIES["job_latest"] = job_latest
 ORACLES["job_latest"] = _LATEST
+def job_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    told = progress.tail_available(_events(progress.event_stream(spark, f"{sf_dir}/events.parquet*", schema)))
+    return told.select("job_id", "event_id", "n", "late", "last", "status_now", F.col("progress_pct_now").alias("pct_now"), F.col("current_chapter_now").alias("chapter_now"))
+
+
+_SO_FAR = "OVER (PARTITION BY job_id ORDER BY ts, event_id)"
+QUERIES["progress_tail_stream"] = job_tail
+ORACLES["progress_tail_stream"] = f"""WITH {_EV}, b AS (SELECT *, coalesce(max((status IN {jobs.TERMINAL})::INT) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over_ FROM e)
+SELECT job_id, event_id, row_number() {_SO_FAR} AS n, false AS late, status IN {jobs.TERMINAL} AS last, status AS status_now, last_value(progress_pct IGNORE NULLS) {_SO_FAR} AS pct_now, last_value(current_chapter IGNORE NULLS) {_SO_FAR} AS chapter_now FROM b WHERE over_ = 0"""
 QUERIES["progress_fold_stream"] = job_stream
 ORACLES["progress_fold_stream"] = _LATEST
 

@@ -326,3 +326,63 @@ def test_written_tables_are_discarded(spark):
     storage.discard(table, spark.range(3))
     with pytest.raises(Exception):
         spark.read.schema(table.schema).parquet(*table.inputFiles()).count()
+
+
+EVENT = "job_id int, event_id int, ts int, status string, progress_pct double, current_chapter string"
+
+
+def test_follow_loses_nothing_between_state_and_tail(spark, tmp_path):
+    """Events that are written while the state is handed out, the terminal one among them, come through the tail."""
+    put = lambda *e: spark.createDataFrame(e, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    put((1, 1, 10, "cleaning", 0.0, None))
+    got = []
+
+    def take(some):
+        got.append([(r["status"], r["progress_pct"]) for r in some])
+        if len(got) == 1:
+            put((1, 2, 11, "synthesizing", 20.0, "A"), (1, 3, 12, "done", 100.0, None), (1, 4, 13, "cleaning", 0.0, None))
+
+    progress.follow(spark, str(tmp_path / "e"), spark.createDataFrame([], EVENT).schema, 1, take, str(tmp_path / "c"))
+    assert got == [[("cleaning", 0.0)], [("synthesizing", 20.0), ("done", 100.0)]]
+
+
+def test_follow_tells_late_and_repeated_events(spark, tmp_path):
+    put = lambda *e: spark.createDataFrame(e, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+    put((1, 5, 50, "synthesizing", 40.0, "B"))
+    got = []
+
+    def take(some):
+        rows = [r.asDict() for r in some]
+        got.extend(rows)
+        if rows and rows[-1]["status"] == "synthesizing":
+            # One that is late, one that is known, a later one.
+            put((1, 2, 20, "cleaning", 10.0, "A"), (1, 5, 50, "synthesizing", 40.0, "B"), (1, 6, 60, None, 50.0, None))
+        elif rows and rows[-1]["progress_pct"] == 50.0:
+            put((1, 3, 30, "failed", None, None))
+
+    progress.follow(spark, str(tmp_path / "e"), spark.createDataFrame([], EVENT).schema, 1, take, str(tmp_path / "c"))
+    assert [(r["event_id"], r["late"], r["last"], r["status_now"], r["progress_pct_now"], r["current_chapter_now"]) for r in got[1:]] == [
+        (2, True, False, "synthesizing", 40.0, "B"),
+        (6, False, False, "synthesizing", 50.0, "B"),
+        (3, True, True, "synthesizing", 50.0, "B"),
+    ]
+
+
+def test_tail_of_odd_events(spark, tmp_path):
+    odd = [(None, 1, 1, "cleaning", None, None), (None, 2, 2, "done", None, None), (None, 3, 3, "cleaning", None, None), (1, None, None, None, None, None), (1, None, None, None, None, None), (1, 7, 7, "x", 1.0, "c"), (1, 7, 7, "x", 1.0, "c")]
+    spark.createDataFrame(odd, EVENT).write.parquet(str(tmp_path / "e"))
+    told = progress.tail_available(progress.event_stream(spark, str(tmp_path / "e"), spark.createDataFrame([], EVENT).schema))
+    got = sorted(((r.job_id, r.event_id, r.n, r.last, r.status_now) for r in told.collect()), key=str)
+    assert got == sorted([(None, 1, 1, False, "cleaning"), (None, 2, 2, True, "done"), (1, None, 1, False, None), (1, None, 2, False, None), (1, 7, 3, False, "x")], key=str)
+    (tmp_path / "none").mkdir()
+    assert progress.tail_available(progress.event_stream(spark, str(tmp_path / "none"), told.select("job_id", "event_id", "ts", "status", "progress_pct", "current_chapter").schema)).collect() == []
+
+
+def test_times_as_numbers_and_back(spark):
+    """Any kind of time keeps its order and comes back, before 1970 too."""
+    for kind in ("timestamp", "timestamp_ntz", "int"):
+        times = "5, -7, 0" if kind == "int" else "'2024-03-31 02:30:00.123456', '1969-12-31 23:59:59.999999', '1970-01-01 00:00:00'"
+        df = spark.sql(f"SELECT CAST(t AS {kind}) AS t FROM (SELECT explode(array({times})) AS t)").select("t", progress._number(F.col("t"), kind).alias("n"))
+        got = df.select("t", "n", progress._time(F.col("n"), kind).alias("back")).collect()
+        assert all(r.t == r.back for r in got)
+        assert [r.t for r in sorted(got, key=lambda r: r.n)] == sorted(r.t for r in got)
