@@ -65,13 +65,13 @@ def spine_chapters(items: DataFrame) -> DataFrame:
 
     ``items`` has book, pos, item_id, href, heading (first heading or null),
     paragraphs (array) and text. Front matter and contents pages go; short items
-    without heading go; an item without heading or chapter-like name continues the
-    chapter before it.
+    without heading go; one with a heading starts a chapter whatever its text; an item
+    without heading or chapter-like name continues the chapter before it.
     """
     named = items.filter(~(F.col("href").rlike(P.SPINE_SKIP) | F.col("item_id").rlike(P.SPINE_SKIP)))
     heading = strip(F.col("heading"))
     rows = named.withColumn("heading", heading).filter(F.col("heading").isNull() | ~F.col("heading").rlike(P.CONTENTS_TITLE))
-    rows = rows.filter(~blank(F.col("text")) & (F.col("heading").isNotNull() | (F.length("text") >= SHORT_ITEM)))
+    rows = rows.filter(F.col("heading").isNotNull() | (~blank(F.col("text")) & (F.length("text") >= SHORT_ITEM)))
     book = W.partitionBy("book").orderBy("pos")
     signal = F.col("href").rlike(P.FILE_CHAPTER) | F.col("item_id").rlike(P.FILE_CHAPTER)
     rows = rows.withColumn("starts", F.col("heading").isNotNull() | signal | (F.row_number().over(book) == 1))

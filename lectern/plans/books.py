@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chapters, jobs, timing
 from lectern.plans.texts import read
-from lectern.sources import audio, epub, markup
+from lectern.sources import archives, audio, epub, markup
 from lectern.storage import new_path
 from lectern.streaming import progress
 
@@ -206,19 +206,23 @@ SELECT book, (i - 1)::INT AS chapter_index, CASE WHEN n = 0 THEN 'Preface' WHEN
 UNION ALL SELECT book, 0, concat('T ', book), string_agg(t, chr(10) || chr(10) ORDER BY turn) FROM a WHERE book NOT IN (SELECT book FROM k) GROUP BY book HAVING count(t) > 0"""
 
 
+#: Some turns have no text, whether they have a heading or not.
+_TURN = "CASE WHEN (turn * 7 + length(text)) % 10 = 1 THEN ' ' ELSE text END"
+
+
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.expr("CASE WHEN turn % 5 = 1 THEN concat(' Part ', turn, ' ') WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' END")
     items = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("book"), F.col("turn").alias("pos"), F.lit("x").alias("item_id"),
         F.expr("CASE WHEN turn % 6 = 4 THEN concat('ch0', turn, '.xhtml') WHEN turn % 13 = 8 THEN 'toc.xhtml' ELSE concat('text', turn, '.xhtml') END").alias("href"),
-        heading.alias("heading"), F.split("text", "\n", -1).alias("paragraphs"), "text",
+        heading.alias("heading"), F.split(F.expr(_TURN), "\n", -1).alias("paragraphs"), F.expr(_TURN).alias("text"),
     )
     return chapters.spine_chapters(items)
 
 
 QUERIES["spine_chapters"] = spine
-ORACLES["spine_chapters"] = r"""WITH i AS (SELECT conv_id AS book, turn AS pos, text, CASE WHEN turn % 5 = 1 THEN concat('Part ', turn) WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' END AS h, turn % 6 = 4 AND turn < 100 AS sig, turn % 6 <> 4 AND turn % 13 = 8 AS toc FROM conversations),
-k AS (SELECT * FROM i WHERE NOT toc AND (h IS NULL OR h <> 'Contents') AND regexp_matches(text, '\S') AND (h IS NOT NULL OR length(text) >= 200)),
+ORACLES["spine_chapters"] = r"""WITH i AS (SELECT conv_id AS book, turn AS pos, CASE WHEN (turn * 7 + length(text)) % 10 = 1 THEN ' ' ELSE text END AS text, CASE WHEN turn % 5 = 1 THEN concat('Part ', turn) WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' END AS h, turn % 6 = 4 AND turn < 100 AS sig, turn % 6 <> 4 AND turn % 13 = 8 AS toc FROM conversations),
+k AS (SELECT * FROM i WHERE NOT toc AND (h IS NULL OR h <> 'Contents') AND (h IS NOT NULL OR (regexp_matches(text, '\S') AND length(text) >= 200))),
 s AS (SELECT *, h IS NOT NULL OR sig OR row_number() OVER (PARTITION BY book ORDER BY pos) = 1 AS st FROM k),
 n AS (SELECT *, sum(st::INT) OVER (PARTITION BY book ORDER BY pos) AS n FROM s),
 t AS (SELECT *, CASE WHEN h = 'XIV.' THEN concat('Chapter ', n) WHEN h IS NOT NULL THEN h ELSE coalesce(list_filter(list_transform(string_split(text, chr(10))[1:6], lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')),
@@ -370,54 +374,58 @@ _BOOK = "concat(conv_id, '-', turn div 50)"
 
 
 def _archive(items: list[dict]) -> bytes:
-    """A minimal EPUB of (turn, text) items; every fifth one has a heading in two elements."""
+    """A minimal EPUB of (turn, text) items; every fifth one has a heading in two elements. Some archives are cut off, some have a page that is no markup."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='o/p.opf'/></rootfiles></container>")
         named = [(t["turn"], f"ch0{t['turn']}.xhtml" if t["turn"] % 6 == 4 else "toc.xhtml" if t["turn"] % 13 == 8 else f"text{t['turn']}.xhtml", t["text"] or "") for t in items]
-        listed = "".join(f"<item id='i{k}' href='{k}/{h}' media-type='application/xhtml+xml'/>" for k, h, _ in named)
+        listed = "".join(f"<item id='i{k}' href='a%20{k}/{h}' media-type='application/xhtml+xml'/>" for k, h, _ in named)
         spine = "".join(f"<itemref idref='i{k}'/>" for k, _, _ in named)
         z.writestr("o/p.opf", f"<package xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata><dc:title>Book of {len(named)}</dc:title><dc:language>en</dc:language></metadata><manifest>{listed}<item id='c' href='cover.png' media-type='image/png'/></manifest><spine>{spine}</spine></package>")
         z.writestr("o/cover.png", bytes(len(named)))
         if len(named) % 3 == 0:
             z.writestr("META-INF/encryption.xml", "<x>http://other</x>" if len(named) % 2 else "<x>http://www.idpf.org/2008/embedding</x>")
         for k, h, text in named:
-            heading = f"<h1> Part <b>{k}</b></h1>" if k % 5 == 1 else "<h2>XIV.</h2>" if k % 7 == 3 else "<h3>Contents</h3>" if k % 11 == 6 else ""
+            heading = f"<h1> Part <b>{k}</b></h1>" if k % 5 == 1 else "<h2>XIV.</h2>" if k % 7 == 3 else "<h3>Contents</h3>" if k % 11 == 6 else "<h2><img src='n.png'/></h2>" if k % 4 == 2 else ""
             lines = "".join(f"<p>{html.escape(x)}</p>" for x in text.split("\n"))
-            z.writestr(f"o/{k}/{h}", f"<html><body>{heading}<div>{lines}</div><pre>code</pre></body></html>")
-    return out.getvalue()
+            wrong = "<![what[x]]>" if len(named) % 7 == 1 else ""
+            z.writestr(f"o/a {k}/{h}", f"<html><body>{heading}<div>{lines}</div>{wrong}<pre>code</pre></body></html>")
+    return out.getvalue()[: 20 if len(named) % 7 == 2 else None]
 
 
-def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _archives(spark: SparkSession, sf_dir: str) -> epub.Archives:
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "content": [_archive(x) for x in batch["items"]]})
 
-    c = read(spark, sf_dir, "conversations").select(F.expr(_BOOK).alias("path"), F.struct("turn", "text").alias("item"))
+    c = read(spark, sf_dir, "conversations").select(F.expr(_BOOK).alias("path"), F.struct("turn", F.expr(_TURN).alias("text")).alias("item"))
     items = c.groupBy("path").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return epub.epub_archives(items.mapInPandas(made, "path string, content binary"))
+    return epub.opened(archives.entries(items.mapInPandas(made, "path string, content binary")))
 
 
 def epub_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives say about themselves."""
-    return epub.epub_books(_archives(spark, sf_dir)).select("book", "title", "author", "language", "protected", "error", "cover_name", F.length("cover").alias("cover_bytes"))
+    read = _archives(spark, sf_dir)
+    covers = read.covers().select("book", F.length("cover").alias("cover_bytes"))
+    return read.books().join(covers, "book", "left").select("book", "title", "author", "language", "protected", "error", "cover_name", "cover_bytes")
 
 
 def epub_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return epub.epub_chapters(_archives(spark, sf_dir))
+    return _archives(spark, sf_dir).chapters()
 
 
-_EPUBS = "a AS (SELECT concat(conv_id, '-', turn // 50) AS book, turn, text FROM conversations), n AS (SELECT book, count(*) AS n FROM a GROUP BY book)"
+_EPUBS = f"a AS (SELECT concat(conv_id, '-', turn // 50) AS book, turn, {_TURN} AS text FROM conversations), n AS (SELECT book, count(*) AS n FROM a GROUP BY book)"
 QUERIES["epub_books"] = epub_books
-ORACLES["epub_books"] = f"WITH {_EPUBS} SELECT book, concat('Book of ', n) AS title, 'Unknown' AS author, 'en' AS language, n % 6 = 3 AS protected, NULL::VARCHAR AS error, 'cover.png' AS cover_name, n::INT AS cover_bytes FROM n"
+ORACLES["epub_books"] = f"""WITH {_EPUBS} SELECT book, CASE WHEN n % 7 = 2 THEN 'book' ELSE concat('Book of ', n) END AS title, 'Unknown' AS author, CASE WHEN n % 7 <> 2 THEN 'en' END AS language, n % 6 = 3 AND n % 7 <> 2 AS protected,
+CASE n % 7 WHEN 2 THEN 'BadZipFile: File is not a zip file' WHEN 1 THEN CASE WHEN n % 6 <> 3 THEN 'AssertionError: unknown status keyword ''what'' in marked section' END END AS error, CASE WHEN n % 7 <> 2 THEN 'cover.png' END AS cover_name, CASE WHEN n % 7 <> 2 THEN n::INT END AS cover_bytes FROM n"""
 QUERIES["epub_chapters"] = epub_chapters
 ORACLES["epub_chapters"] = rf"""WITH {_EPUBS}, i AS (SELECT book, turn AS pos, list_transform(string_split(coalesce(text, ''), chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')) AS ps,
-  CASE WHEN turn % 5 = 1 THEN concat('Part', turn) WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' END AS h, turn % 6 = 4 AND turn < 100 AS sig, turn % 6 <> 4 AND turn % 13 = 8 AS toc FROM a JOIN n USING (book) WHERE n % 6 <> 3),
-x AS (SELECT *, array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) AS text FROM i),
-k AS (SELECT * FROM x WHERE NOT toc AND (h IS NULL OR h <> 'Contents') AND text <> '' AND (h IS NOT NULL OR length(text) >= 200)),
+  CASE WHEN turn % 5 = 1 THEN concat('Part', turn) WHEN turn % 7 = 3 THEN 'XIV.' WHEN turn % 11 = 6 THEN 'Contents' WHEN turn % 4 = 2 THEN '' END AS h, turn % 6 = 4 AND turn < 100 AS sig, turn % 6 <> 4 AND turn % 13 = 8 AS toc FROM a JOIN n USING (book) WHERE n % 6 <> 3 AND n % 7 NOT IN (1, 2)),
+x AS (SELECT *, CASE WHEN len(list_filter(ps, lambda p: p <> '')) > 0 THEN array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) WHEN pos % 5 = 1 THEN concat('Part', chr(10), chr(10), pos) ELSE coalesce(h, '') END AS text FROM i),
+k AS (SELECT * FROM x WHERE NOT toc AND (h IS NULL OR h <> 'Contents') AND (h IS NOT NULL OR length(text) >= 200)),
 s AS (SELECT *, h IS NOT NULL OR sig OR row_number() OVER (PARTITION BY book ORDER BY pos) = 1 AS st FROM k),
 m AS (SELECT *, sum(st::INT) OVER (PARTITION BY book ORDER BY pos) AS n FROM s),
-t AS (SELECT *, CASE WHEN h = 'XIV.' THEN concat('Chapter ', n) WHEN h IS NOT NULL THEN h ELSE coalesce(list_filter(ps[1:6],
+t AS (SELECT *, CASE WHEN h IN ('XIV.', '') THEN concat('Chapter ', n) WHEN h IS NOT NULL THEN h ELSE coalesce(list_filter(ps[1:6],
   lambda p: length(p) BETWEEN 1 AND 80 AND NOT regexp_matches(p, '(?i)^(\d{{1,3}}|[IVXLCDM]{{1,7}})\.?$') AND NOT regexp_matches(p, '(?i)^chapter\s+(\d{{1,3}}|[IVXLCDM]{{1,7}})\.?$'))[1], concat('Chapter ', n)) END AS title FROM m)
 SELECT book, (n - 1)::INT AS chapter_index, max(CASE WHEN st THEN title END) AS title, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM t GROUP BY book, n"""
 

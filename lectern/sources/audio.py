@@ -56,18 +56,26 @@ def to_wav(samples: np.ndarray, rate: int = SAMPLE_RATE) -> bytes:
 
 def from_wav(content: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(content)) as w:
+        if w.getsampwidth() != 2:
+            raise ValueError("samples are not of 16 bits")
         return np.frombuffer(w.readframes(w.getnframes()), "<i2").astype("float32") / 32767, w.getframerate()
 
 
 def wav_samples(files: DataFrame) -> DataFrame:
-    """path, samples, sample_rate of a ``binaryFile`` read."""
+    """path, samples, sample_rate, error of a ``binaryFile`` read; a file that is no 16-bit WAV has only an error."""
+
+    def one(content: bytes | None) -> tuple:
+        try:
+            return *from_wav(content or b""), None
+        except (wave.Error, EOFError, ValueError) as error:
+            return None, None, f"{type(error).__name__}: {error}"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [from_wav(c) for c in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "samples": [f[0] for f in found], "sample_rate": [f[1] for f in found]})
+            samples, rate, error = zip(*map(one, batch["content"]), strict=True) if len(batch) else ((), (), ())
+            yield pd.DataFrame({"path": batch["path"], "samples": samples, "sample_rate": pd.array(rate, "Int32"), "error": error})
 
-    return files.select("path", "content").mapInPandas(read, "path string, samples array<float>, sample_rate int")
+    return files.select("path", "content").mapInPandas(read, "path string, samples array<float>, sample_rate int, error string")
 
 
 def wav_files(sounds: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:

@@ -31,7 +31,7 @@ _SILENT = frozenset(["script", "style"])
 
 #: ``start`` and ``stop`` are places in ``pieces``; ``prose`` holds null for pieces of code.
 BLOCK = "struct<tag:string,start:int,stop:int,leaf:boolean,in_body:boolean>"
-WALK = f"title string, author string, has_body boolean, body_start int, body_stop int, pieces array<string>, prose array<string>, blocks array<{BLOCK}>"
+WALK = f"error string, title string, author string, has_body boolean, body_start int, body_stop int, pieces array<string>, prose array<string>, blocks array<{BLOCK}>"
 
 
 class _Walk(HTMLParser):
@@ -112,13 +112,16 @@ class _Walk(HTMLParser):
 
 
 def walked(text: str | None) -> dict:
-    """Title, author, pieces and blocks of a document."""
-    walk = _Walk()
-    walk.feed(text or "")
-    walk.finish()
+    """Title, author, pieces and blocks of a document; an error and none of them where its markup cannot be read."""
+    walk, error = _Walk(), None
+    try:
+        walk.feed(text or "")
+        walk.finish()
+    except (AssertionError, ValueError, RecursionError) as wrong:
+        walk, error = _Walk(), f"{type(wrong).__name__}: {wrong}"
     span = walk.body or [0, len(walk.pieces)]
     title = None if walk.title is None else "".join(walk.title)
-    return {"title": title, "author": walk.author, "has_body": walk.body is not None, "body_start": span[0], "body_stop": span[1], "pieces": walk.pieces, "prose": walk.prose, "blocks": walk.blocks}
+    return {"error": error, "title": title, "author": walk.author, "has_body": walk.body is not None, "body_start": span[0], "body_stop": span[1], "pieces": walk.pieces, "prose": walk.prose, "blocks": walk.blocks}
 
 
 def told(pieces: Column, block: Column, separator: str) -> Column:
@@ -143,13 +146,13 @@ def body_text(prose: Column, blocks: Column) -> Column:
 
 
 def parsed(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
-    """A row per document: id, title, author, has_body, body_start, body_stop, pieces, prose, blocks."""
+    """A row per document: id, error, title, author, has_body, body_start, body_stop, pieces, prose, blocks."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [walked(m) for m in batch["markup"]]
-            yield pd.DataFrame({"id": batch["id"], **{k: [f[k] for f in found] for k in ("title", "author", "has_body", "body_start", "body_stop", "pieces", "prose", "blocks")}})
+            yield pd.DataFrame({"id": batch["id"], **{k: [f[k] for f in found] for k in ("error", "title", "author", "has_body", "body_start", "body_stop", "pieces", "prose", "blocks")}})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(markup_col).alias("markup"))
     return rows.mapInPandas(walk, f"id {kind}, {WALK}").withColumnRenamed("id", id_col)
@@ -161,6 +164,11 @@ def html_books(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book"
     return made.select(F.col(id_col).alias("book"), title_or(F.col("title"), F.lit(stem)).alias("title"), title_or(strip(F.col("author")), F.lit("Unknown")).alias("author"))
 
 
+def html_errors(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
+    """book, error of the documents whose markup cannot be read; they have no chapters."""
+    return parsed(docs, id_col, markup_col).filter("error IS NOT NULL").select(F.col(id_col).alias("book"), "error")
+
+
 def html_chapters(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
     """book, chapter_index, title, text of HTML documents: sections by heading, or else the whole body."""
     # Written, so that documents are walked once and sections made once for both ways.

@@ -1,6 +1,8 @@
 import io
 import re
+import wave
 import zipfile
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns, speech
 from lectern.operators import chapters, jobs, timing
 from lectern import settings
-from lectern.sources import audio, epub, markup, pdf
+from lectern.sources import archives, audio, epub, markup, pdf
 from lectern.streaming import progress
 
 LONG = "word " * 60
@@ -72,7 +74,7 @@ def book_file(items, **extra):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META-INF/container.xml", "<container xmlns='urn:oasis:names:tc:opendocument:xmlns:container'><rootfiles><rootfile full-path='o/p.opf'/></rootfiles></container>")
-        listed = "".join(f"<item id='{i}' href='{h}' media-type='application/xhtml+xml'/>" for i, h, _ in items)
+        listed = "".join(f"<item id='{i}' href='{quote(h)}' media-type='application/xhtml+xml'/>" for i, h, _ in items)
         spine = "".join(f"<itemref idref='{i}'/>" for i, _, _ in items)
         z.writestr("o/p.opf", f"<package xmlns:dc='http://purl.org/dc/elements/1.1/'><metadata><dc:title> My Book</dc:title><dc:language>en</dc:language></metadata><manifest>{listed}<item id='c' href='cover.jpg' media-type='image/jpeg'/></manifest><spine>{spine}</spine></package>")
         z.writestr("o/cover.jpg", b"jpg")
@@ -94,11 +96,12 @@ def test_epub(spark):
         ("i6", "x.xhtml", "<h1>Contents</h1><p>list</p>"),
     ]
     files = [("f1", book_file(items)), ("f2", b"no zip"), ("f3", book_file(items, encryption="<x>http://other</x>")), ("f4", book_file(items, encryption="<x>http://www.idpf.org/2008/embedding</x>"))]
-    read = epub.epub_archives(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
-    told = {r.book: r for r in epub.epub_books(read).collect()}
-    assert (told["f1"].title, told["f1"].author, told["f1"].language, bytes(told["f1"].cover), told["f1"].cover_name) == (" My Book", "Unknown", "en", b"jpg", "cover.jpg")
+    read = epub.opened(archives.entries(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")))
+    told = {r.book: r for r in read.books().collect()}
+    assert (told["f1"].title, told["f1"].author, told["f1"].language, told["f1"].cover_name) == (" My Book", "Unknown", "en", "cover.jpg")
+    assert {r.book: bytes(r.cover) for r in read.covers().collect()}["f1"] == b"jpg"
     assert told["f2"].error and told["f3"].protected and not told["f4"].protected
-    got = rows(epub.epub_chapters(read).filter("book = 'f1'"), "chapter_index")
+    got = rows(read.chapters().filter("book = 'f1'"), "chapter_index")
     assert [(r[1], r[2]) for r in got] == [(0, "Chapter One"), (1, "Chapter 2"), (2, "An Early Title")]
     assert got[0][3] == f"{LONG.strip()}\n\n{LONG.strip()}" and "code" not in got[1][3]
 
@@ -386,3 +389,48 @@ def test_times_as_numbers_and_back(spark):
         got = df.select("t", "n", progress._time(F.col("n"), kind).alias("back")).collect()
         assert all(r.t == r.back for r in got)
         assert [r.t for r in sorted(got, key=lambda r: r.n)] == sorted(r.t for r in got)
+
+
+def test_archives_as_a_source(spark, tmp_path):
+    """A large archive is read by several tasks, a damaged one gives an error row, and so does a damaged entry."""
+    folder = tmp_path / "books"
+    (folder / "more").mkdir(parents=True)
+    items = [(f"i{k}", f"a b/{k}.xhtml", f"<h1>Part {k}</h1><p>{LONG}{k}</p>") for k in range(30)]
+    whole = book_file(items)
+    (folder / "large.epub").write_bytes(whole)
+    (folder / "more" / "bad.epub").write_bytes(b"no zip")
+    (folder / "empty.epub").write_bytes(b"")
+    at = whole.index(b"a b/7.xhtml") + 40
+    (folder / "torn.epub").write_bytes(whole[:at] + b"\xff" * 30 + whole[at + 30 :])
+    rows_ = archives.zip_entries(spark, str(folder), split=1500)
+    assert rows_.rdd.getNumPartitions() > 3
+    wrong = {(r.path.rpartition("/")[2], r.entry) for r in rows_.filter("error IS NOT NULL").collect()}
+    assert wrong == {("bad.epub", None), ("empty.epub", None), ("torn.epub", "o/a b/7.xhtml")}
+    read = epub.opened(rows_)
+    books = {r.book.rpartition("/")[2]: r for r in read.books().collect()}
+    assert [k for k, r in sorted(books.items()) if r.error is None] == ["large.epub"]
+    got = rows(read.chapters(), "chapter_index")
+    assert [r[2] for r in got] == [f"Part {k}" for k in range(30)] and {r[0].rpartition("/")[2] for r in got} == {"large.epub"}
+    names = archives.zip_entries(spark, str(folder / "large.epub"), entries=r"\.opf$").filter("content IS NOT NULL").collect()
+    assert [r.entry.rpartition(".")[2] for r in names] == ["opf"]
+    (tmp_path / "none").mkdir()
+    assert archives.zip_entries(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_damaged_inputs_are_rows_with_errors(spark):
+    page = spark.createDataFrame([(1, "<h1>A</h1><p>one</p>"), (2, "<![foo[x]]>"), (3, None), (4, "<!DOCTYPE [<!x ]>")], "id int, html string")
+    told = {r.book: r.error for r in markup.html_errors(page, "id", "html").collect()}
+    assert set(told) <= {2, 4} and told[2].startswith("AssertionError")
+    assert {r.book for r in markup.html_chapters(page, "id", "html").collect()} <= {1, 4}
+    wide = io.BytesIO()
+    with wave.open(wide, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(b"abc")
+    sounds = spark.createDataFrame([("a", bytearray(audio.to_wav([0.5]))), ("b", bytearray(b"RIFF")), ("c", None), ("d", bytearray(wide.getvalue()))], "path string, content binary")
+    got = {r.path: (r.samples is None, r.error is None) for r in audio.wav_samples(sounds).collect()}
+    assert got == {"a": (False, True), "b": (True, False), "c": (True, False), "d": (True, False)}
+
+
+def test_a_heading_without_text_starts_a_chapter(spark):
+    items = [("b", 0, "i", "x", "One", ["body"], "body"), ("b", 1, "i", "x", "", [], ""), ("b", 2, "i", "x", None, [LONG], LONG), ("b", 3, "i", "x", None, [], "")]
+    df = spark.createDataFrame(items, "book string, pos int, item_id string, href string, heading string, paragraphs array<string>, text string")
+    assert rows(chapters.spine_chapters(df), "chapter_index") == [("b", 0, "One", "body"), ("b", 1, "Chapter 2", f"\n\n{LONG}")]
