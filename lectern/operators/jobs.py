@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.operators.timing import BYTES_PER_CHAR, CHARS_PER_SECOND, OVERHEAD
+from lectern.tables import Table
 
 #: States that no event changes.
 TERMINAL = ("done", "failed", "cancelled")
@@ -68,12 +69,9 @@ def updated(jobs: DataFrame, updates: DataFrame) -> DataFrame:
 
 def appended(rows: DataFrame, path: str) -> DataFrame:
     """Adds the rows whose id is new to the table at a path, all of them or, where the job fails, none; gives the table."""
-    spark = rows.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select("id"), "id", "left_anti").select(*rows.columns)
-    rows.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = Table(rows.sparkSession, path, rows.schema)
+    table.append(rows)
+    return table.read()
 
 
 def created(requests: DataFrame, books: DataFrame, free_bytes: int, ready: Column) -> DataFrame:

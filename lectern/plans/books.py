@@ -16,6 +16,7 @@ from lectern.plans.texts import read
 from lectern.sources import archives, audio, epub, markup
 from lectern.storage import new_path
 from lectern.streaming import progress
+from lectern.tables import Table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -297,8 +298,22 @@ def job_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.updated(table, new)
 
 
+def job_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs appended by two writers of a table, changed twice and compacted between."""
+    rows = _jobs(spark, sf_dir).select("id", "book_id", "lang", F.lit("queued").alias("status"))
+    table = Table(spark, new_path(spark), rows.schema)
+    table.append(rows.filter("id % 3 > 0"))
+    labels = read(spark, sf_dir, "labels")
+    table.change(labels.select(F.col("doc_id").alias("id"), F.expr("CASE WHEN quality = 1 THEN 'done' ELSE 'read' END").alias("status")))
+    table.append(rows.withColumn("status", F.expr("CASE WHEN id % 3 > 0 THEN 'again' ELSE status END")))
+    table.compact()
+    table.change(labels.select(F.col("doc_id").alias("id"), F.expr("CASE toxic WHEN 1 THEN 'xx' END").alias("lang"), F.expr("CASE quality WHEN 0 THEN 'queued' END").alias("status")))
+    return table.read()
+
+
+QUERIES["job_table"] = job_table
 QUERIES["job_updates"] = job_updates
-ORACLES["job_updates"] = "SELECT d.doc_id AS id, d.doc_id * 7 % 1500 AS book_id, CASE WHEN toxic = 1 THEN 'xx' ELSE lang END AS lang, CASE WHEN quality = 1 THEN 'done' ELSE 'queued' END AS status FROM documents d LEFT JOIN labels USING (doc_id)"
+ORACLES["job_table"] = ORACLES["job_updates"] = "SELECT d.doc_id AS id, d.doc_id * 7 % 1500 AS book_id, CASE WHEN toxic = 1 THEN 'xx' ELSE lang END AS lang, CASE WHEN quality = 1 THEN 'done' ELSE 'queued' END AS status FROM documents d LEFT JOIN labels USING (doc_id)"
 
 
 def job_book_join(spark: SparkSession, sf_dir: str) -> DataFrame:

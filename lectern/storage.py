@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,41 @@ def discard(*tables: DataFrame, keep: bool = False) -> None:
             if folder.rpartition("/")[2].startswith(_PREFIX):
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole, unless there is one of that name: of several writers one succeeds.
+
+    A local file is linked to its name, elsewhere it is renamed by the file system's own
+    rename that replaces nothing.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    place, new = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = place.getFileSystem(conf)
+    files.mkdirs(place.getParent())
+    out = files.create(new, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if files.getScheme() == "file":
+            local = [unquote(urlparse(files.makeQualified(p).toString()).path) for p in (new, place)]
+            try:
+                os.link(*local)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            # Without options the rename replaces nothing.
+            hadoop.FileContext.getFileContext(place.toUri(), conf).rename(new, place, spark._sc._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:  # noqa: BLE001 (how Java's exceptions come through)
+            if files.exists(place) and "Exists" in str(error):
+                return False
+            raise
+        return True
+    finally:
+        files.delete(new, False)
