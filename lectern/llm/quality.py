@@ -12,7 +12,9 @@ rejected, as is one that fails the base rules.
 Edge cases: a null text counts as empty, has no words and fails the base rules;
 an empty table gives an empty result; repeated rows are judged each on its own, and a
 null id is a valid row; of equal lines of a document the first stays; very long texts
-are processed whole (sorting, never pairwise); columns of the input other than id and
+are processed whole (sorting, never pairwise); of scripts with marks of their own Chinese, Japanese,
+Devanagari, Arabic, Urdu, Ethiopic and Armenian ones end sentences, and lines of other
+scripts count as lines without marks; columns of the input other than id and
 text are not read, and whatever they are called they are carried by the stage.
 """
 
@@ -43,8 +45,8 @@ VARIED = 50
 _SYMBOL = r"[#*$%&|<>]"
 #: What may follow the mark that ends a sentence, and the marks.
 _CLOSERS = "\"'\u201d\u2019\u00bb)] \t\x0b\x0c\r"
-_MARKS = (".", "!", "?", ":", ";", "\u2026", "\u3002", "\uff01", "\uff1f")
-_MARK = "[.!?:;\u2026\u3002\uff01\uff1f]"
+_MARKS = (".", "!", "?", ":", ";", "\u2026", "\u3002", "\uff01", "\uff1f", "\u0964", "\u0965", "\u061f", "\u06d4", "\u1362", "\u0589")
+_MARK = "[.!?:;\u2026\u3002\uff01\uff1f\u0964\u0965\u061f\u06d4\u1362\u0589]"
 _LOWER = r"^[\x20\t]*\p{Ll}"
 _SEPARATOR = r"[|\x{203a}\x{bb}\x{2022}\x{b7}]"
 _MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|log ?out|sign ?(in|up)|register|search|next|previous|back to top|share|tweet|subscribe|read more|click here|contact us|about us|sitemap)[\x20\x09-\x0D]*[.!>\x{bb}]*[\x20\x09-\x0D]*$"
