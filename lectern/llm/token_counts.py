@@ -1,12 +1,12 @@
 """Operator 9: token counts from pre-token frequencies.
 
 A first pass sums the frequency of every distinct pre-token over the corpus, and
-each is tokenized once. Those that make up a millionth of all occurrences or more,
-so a million at most, are sent to all tasks: their side of the join is a look-up
-where the documents are. A second pass emits all other pre-tokens of each document
-with their frequency in it, which are joined to the counted ones by shuffle and
-summed. What is frequent is a share, so both ways are taken at every size of the
-corpus. Token ids are never kept.
+each is tokenized once. A second pass emits the pre-tokens of each document with
+their frequency in it, which are joined to the counted ones by shuffle and summed.
+So go nine tenths of the distinct pre-tokens or more, at every size of the corpus. The
+most frequent ones, a tenth at most and never more than ``HELD``, are in nearly every
+document: they are sent to all tasks, and their side of the join is a look-up where
+the documents are. Token ids are never kept.
 
 The pre-tokens are cut only where a byte-level BPE with the usual split pattern
 cuts in any case: between a word and white space, before the last blank in front
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from lectern.llm.batches import slices, specials, tokenizer, vocabulary
 from lectern.llm.common import table, written
 
-#: A pre-token is frequent if it is one occurrence in so many; there are no more of them than that.
-FREQUENT = 1_000_000
+#: The share of distinct pre-tokens that tasks may hold, the most frequent ones, and how many at most.
+FREQUENT, HELD = 0.1, 1_000_000
 #: Bytes of a pre-token that a task holds; longer ones are joined.
 HELD_BYTES = 64
 #: Distinct pre-tokens that a task gathers before it passes them on.
@@ -87,12 +87,19 @@ def vocabulary_counts(texts: DataFrame, path: str) -> DataFrame:
     return distinct.mapInArrow(count, "piece string, freq long, n long")
 
 
+def frequent(pieces: DataFrame) -> DataFrame:
+    """The pieces that tasks hold."""
+    share = max(1 - FREQUENT, 1 - HELD / max(1, pieces.count()))
+    # Those of the border's own frequency are joined: there may be very many of them.
+    border = pieces.agg(F.percentile_approx("freq", share, 1_000_000)).first()[0] or 0
+    return pieces.filter((F.col("freq") > border) & (F.octet_length("piece") <= HELD_BYTES))
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for every row."""
     spark = docs.sparkSession
     pieces = written(vocabulary_counts(docs.select(text_col), path))
-    total = pieces.agg(F.sum("freq")).first()[0] or 0
-    top = pieces.filter((F.col("freq") * FREQUENT >= total) & (F.octet_length("piece") <= HELD_BYTES)).select("piece", "n").toArrow()
+    top = frequent(pieces).select("piece", "n").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["piece"].to_pylist(), top["n"].to_pylist(), strict=True)))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

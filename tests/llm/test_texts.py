@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import licenses, packing, pii, quality, token_counts, toxicity
 from lectern.llm.batches import vocabulary
+from lectern.llm.common import table
 from tests.conftest import DATA
 
 ODD = [
@@ -48,12 +49,26 @@ def test_token_counts(spark):
     assert token_counts.token_counts(empty(spark), vocabulary("byte_bpe_50k.json")).collect() == []
 
 
-def test_token_counts_join_of_rare_pieces(spark, monkeypatch):
-    monkeypatch.setattr(token_counts, "FREQUENT", 3)
+@pytest.mark.parametrize("share,held", [(0.0, 1_000_000), (0.9, 1_000_000), (1.0, 1_000_000), (0.9, 0)])
+def test_token_counts_join_of_rare_pieces(spark, monkeypatch, share, held):
+    monkeypatch.setattr(token_counts, "FREQUENT", share)
+    monkeypatch.setattr(token_counts, "HELD", held)
     monkeypatch.setattr(token_counts, "GATHERED", 5)
     test_token_counts(spark)
 
 
+def test_token_counts_are_joined_at_every_size(spark):
+    """Nine tenths of the distinct pre-tokens go through the join, on the smallest table and on larger ones."""
+    docs = table(spark, DATA, "documents").select("text")
+    for rows in (docs.limit(3), docs):
+        pieces = token_counts.vocabulary_counts(rows, vocabulary("byte_bpe_50k.json")).cache()
+        held, rest = token_counts.frequent(pieces), pieces.count()
+        assert held.count() * 10 <= rest
+        if held.count():
+            assert held.agg(F.min("freq")).first()[0] >= pieces.join(held, "piece", "left_anti").filter("octet_length(piece) <= 64").agg(F.max("freq")).first()[0]
+        pieces.unpersist()
+
+
 def test_packing(spark):
     df = frame(spark, ODD * 3)
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
@@ -395,17 +410,32 @@ def test_toxicity_model_ignores_neighbours():
 
 
 def test_wrapped_and_long_lines(spark):
-    sentence = "The quick brown foxes jumped over lazy dogs and ran along the old river"
-    wrapped = "\n".join([sentence, sentence.replace("quick", "slow").replace("The", "and"), "Berlin was " + sentence[4:60] + " Tuesday", "in the end."])
-    long_line = " ".join(f"word{k % 4000}" for k in range(20_000)) + "."
-    guillemets = "Il a dit « bonjour » puis « merci » et enfin « adieu » " + "avec tout le calme du monde " * 3 + "."
+    wrapped = "\n".join([
+        "The quick brown foxes jumped over lazy dogs and ran along the old river",
+        "and some slow grey wolves came down from the hills to drink there by night",
+        "Berlin was full of people who had come to see the long parade on Tuesday",
+        "in the end.",
+    ])
+    long_line = " ".join(f"word{k}" for k in range(20_000)) + "."
+    guillemets = [
+        "Il a dit « bonjour » puis « merci » et enfin « adieu » avec tout le calme du monde pendant que la pluie tombait sur les toits .",
+        "Elle a dit « bonsoir » puis « pardon » et encore « salut » dans le grand bruit du port quand les marins rentraient de leur traversée .",
+    ]
     legal = "In this article we look at how a privacy policy is read by those who must agree to it, which few of them do with care."
-    texts = [wrapped, long_line, f"{guillemets}\n{guillemets.replace('calme', 'bruit')}", legal, "We use cookies.\nPrivacy policy\n" + "Buy this now and save big\nTop ten best offers today only\n" * 3 + "ok fine then yes"]
+    texts = [wrapped, long_line, "\n".join(guillemets), legal, "We use cookies.\nPrivacy policy\n" + "Buy this now and save big\nTop ten best offers today only\n" * 3 + "ok fine then yes"]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k].kept for k in range(5)] == [True, True, True, True, False]
     assert got[0].clean_text == wrapped
 
 
+def test_marks_of_other_scripts(spark):
+    """A paragraph is kept whatever marks its script ends sentences with."""
+    words = [f"{a}{b}" for a in "कखगघचछ" for b in ("ल", "मन", "रथ", "जल", "वन")]
+    texts = [" ".join(words) + mark for mark in (".", "।", "॥", "؟", "۔", "።", "։", "。")] + [" ".join(words)]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(frame(spark, texts)).collect()}
+    assert [got[k] for k in range(9)] == [True] * 8 + [False]
+
+
 def test_training_texts_are_bounded(spark):
     a, b, c = [k for k in range(99) if zlib.crc32(str(k).encode()) % 3 != 1][:3]
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 3 == 1)
