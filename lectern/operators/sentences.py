@@ -14,8 +14,8 @@ the same number, which ``unmasked`` turns back. Tables of a model are sent to al
 to ``SMALL`` rows, else joined by shuffle; a text is met by its hash, by shuffle too where
 many have such places.
 
-Edge cases: null and blank texts have no tokens; equal texts are counted each and looked
-up once; a paragraph break always ends a sentence; marks other than periods do too; an
+Edge cases: null and blank texts have no tokens; equal texts are counted each and have
+the same ends; a paragraph break always ends a sentence; marks other than periods do too; an
 empty table gives an empty model.
 """
 
@@ -37,7 +37,7 @@ SMALL = 50_000
 #: A possible sentence end: white space after a mark and closing quotes or brackets.
 END = rf"(?<=[.!?]|[.!?][\"')\]]|[.!?][\"')\]]{{2}}){SP}+"
 NUMBER = "##"
-_OPEN, _CLOSE = r"^[(\"'\[{«“‘]+", r"[)\"'\]}»”’,;:]+$"
+_OPEN, _CLOSE = "(\"'[{«“‘", ")\"']}»”’,;:"
 _NUMBER = r"^[+$€£-]?[0-9][0-9.,:/-]*%?$"
 #: White space, each with a noncharacter of its own.
 _SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -46,12 +46,12 @@ _MASKS = "".join(chr(0xFDD0 + k) for k in range(len(_SPACES)))
 
 def core(token: Column) -> Column:
     """A token without the quotes, brackets and commas around it."""
-    return F.regexp_replace(F.regexp_replace(token, _OPEN, ""), _CLOSE, "")
+    return F.rtrim(F.ltrim(token, F.lit(_OPEN)), F.lit(_CLOSE))
 
 
 def ending(core: Column) -> Column:
     """How a token ends: period, mark, dots (an ellipsis) or word."""
-    return F.when(core.endswith(".."), "dots").when(core.endswith("."), "period").when(core.rlike("[!?]$"), "mark").otherwise("word")
+    return F.when(core.endswith(".."), "dots").when(core.endswith("."), "period").when(core.endswith("!") | core.endswith("?"), "mark").otherwise("word")
 
 
 def kind(core: Column) -> Column:
@@ -86,7 +86,8 @@ def token_pairs(texts: DataFrame, text_col: str) -> DataFrame:
     pairs = lambda p: let(tokens(p), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("token"), F.get(ts, i - 1).alias("before"))))
     rows = texts.select(F.explode(F.flatten(F.transform(paragraphs(F.col(text_col)), pairs))).alias("p"))
     # What stands before matters only where it may end a sentence.
-    before = F.when(F.col("p.before").isNull() | F.col("p.before").rlike(r"[.!?]"), F.col("p.before")).otherwise("-")
+    end = F.rtrim(F.col("p.before"), F.lit(_CLOSE))
+    before = F.when(F.col("p.before").isNull() | end.endswith("."), F.col("p.before")).when(end.endswith("!") | end.endswith("?"), "!").otherwise("-")
     return rows.select("p.token", before.alias("before")).groupBy("token", "before").agg(F.count("*").alias("n"))
 
 
@@ -113,27 +114,28 @@ def association(both: Column, first: Column, second: Column, tokens: Column) ->
 
 def trained(texts: DataFrame, text_col: str = "text") -> Model:
     """The model of all texts."""
-    pairs = written(token_pairs(texts, text_col))
-    own = core(F.col("token"))
-    tokens = pairs.groupBy("token").agg(F.sum("n").alias("n")).select(kind(own).alias("kind"), ending(own).alias("ending"), own.alias("core"), "n").filter("core <> ''")
-    period = F.sum(F.when(F.col("ending") == "period", F.col("n")).otherwise(0))
-    counts = tokens.groupBy("kind").agg(period.alias("n_period"), (F.sum("n") - period).alias("n_plain"))
+    # Distinct pairs first, then what they are, then everything by kinds: each step has fewer rows.
+    pairs = token_pairs(texts, text_col).select(core(F.col("token")).alias("c"), F.when(F.col("before") != "-", core(F.col("before"))).alias("b"), F.col("before").isNull().alias("first"), "n")
+    seen = pairs.select(
+        kind(F.col("c")).alias("kind"),
+        ending(F.col("c")).alias("own"),
+        letter_case(F.col("c")).alias("letters"),
+        (F.col("c") != "").alias("counts"),
+        kind(F.col("b")).alias("k"),
+        F.when(F.col("first"), "none").when(F.col("b").isNull(), "word").otherwise(ending(F.col("b"))).alias("ending"),
+        F.coalesce(is_initial(F.col("b")) | (kind(F.col("b")) == NUMBER), F.lit(False)).alias("loose"),
+        "n",
+    )
+    kinds = written(seen.groupBy(*[c for c in seen.columns if c != "n"]).agg(F.sum("n").alias("n")))
+    period = F.sum(F.when(F.col("own") == "period", F.col("n")).otherwise(0))
+    counts = kinds.filter("counts").groupBy("kind").agg(period.alias("n_period"), (F.sum("n") - period).alias("n_plain"))
     total = counts.agg(F.sum(F.col("n_period") + F.col("n_plain")).alias("t"), F.sum("n_period").alias("p")).first()
     n_tokens, n_periods = F.lit(float(total.t or 1)), F.lit(float(total.p or 1))
     score = F.when((F.col("n_period") > 0) & F.col("kind").rlike(r"\p{L}"), abbreviation_score(F.col("n_period"), F.col("n_plain"), F.col("kind"), n_tokens, n_periods)).otherwise(0.0)
     scored = written(counts.withColumn("score", score).withColumn("is_abbreviation", F.col("score") >= ABBREVIATION))
 
     # What stands before a token, by type: it decides whether the token begins a sentence.
-    before = core(F.col("before"))
-    told = pairs.select(
-        kind(own).alias("kind"),
-        letter_case(own).alias("letters"),
-        F.when(F.col("before") == "-", None).otherwise(kind(before)).alias("k"),
-        F.when(F.col("before").isNull(), "none").when(F.col("before") == "-", "word").otherwise(ending(before)).alias("ending"),
-        (is_initial(before) | (kind(before) == NUMBER)).alias("loose"),
-        "n",
-    )
-    told = told.filter("kind <> ''").groupBy("kind", "letters", "k", "ending", F.coalesce("loose", F.lit(False)).alias("loose")).agg(F.sum("n").alias("n"))
+    told = kinds.filter("kind <> ''").groupBy("kind", "letters", "k", "ending", "loose").agg(F.sum("n").alias("n"))
     abbreviations = small(scored.filter("is_abbreviation").select(F.col("kind").alias("k"), F.lit(True).alias("short")))
     told = written(told.join(abbreviations, "k", "left").withColumn("short", F.coalesce("short", F.lit(False))))
     by_period = F.col("ending") == "period"
@@ -155,7 +157,7 @@ def trained(texts: DataFrame, text_col: str = "text") -> Model:
 
     # Initials and numbers with their period, and the words that go with them.
     met = told.filter(by_period & F.col("loose")).groupBy("k", "kind").agg(F.sum("n").alias("both")).filter("both > 1 AND kind RLIKE '^\\\\p{L}'")
-    size = lambda c, n: counts.select(F.col("kind").alias(c), (F.col("n_period") + F.col("n_plain")).cast("double").alias(n))
+    size = lambda c, n: scored.select(F.col("kind").alias(c), (F.col("n_period") + F.col("n_plain")).cast("double").alias(n))
     met = met.join(size("k", "a"), "k").join(size("kind", "b"), "kind")
     tied = (n_tokens / F.col("a") > F.col("b") / F.col("both")) & (F.col("both") <= F.least("a", "b")) & (association(F.col("both").cast("double"), F.col("a"), F.col("b"), n_tokens) >= COLLOCATION)
     return Model(written(types.select("kind", "n_period", "n_plain", "score", "is_abbreviation", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("starts", "upper_mid", "upper_seen", "lower_seen", "lower_start")])), written(met.filter(tied).select(F.col("k").alias("before"), "kind")))
@@ -167,9 +169,9 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def ends(texts: DataFrame, text_col: str) -> DataFrame:
-    """key, at, before, next: the words around the white space of every possible end (number ``at`` of its text) after a period in a paragraph."""
+    """key, at, before, next: the words around the white space of every possible end (number ``at`` of its text) after a period in a paragraph; equal texts have equal keys."""
     text = F.col("_text")
-    rows = texts.select(F.col(text_col).alias("_text")).filter(text.rlike(rf"\.[\"')\]]{{0,2}}{SP}")).groupBy(F.md5(text).alias("key")).agg(F.any_value("_text").alias("_text"))
+    rows = texts.select(F.col(text_col).alias("_text")).filter(text.rlike(rf"\.[\"')\]]{{0,2}}{SP}")).select(F.md5(text).alias("key"), "_text")
     parts, gaps = F.split(text, END, -1), F.regexp_extract_all(text, F.lit(END), F.lit(0))
     around = let(
         parts,
@@ -207,7 +209,7 @@ def inside(found: DataFrame, model: Model) -> DataFrame:
 def protected(texts: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and columns, with the white space masked where no sentence ends."""
     found = written(inside(ends(texts, text_col), model))
-    marks = small(written(found.groupBy("key").agg(F.array_sort(F.collect_list("at")).alias("_inside"))).withColumnRenamed("key", "_key"))
+    marks = small(written(found.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("_inside"))).withColumnRenamed("key", "_key"))
     # Rows travel as structs, so that no column name clashes.
     text = F.col("_row")[text_col]
     flags = F.flatten(F.transform("_inside", lambda x, j: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("_inside", j - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
