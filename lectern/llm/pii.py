@@ -12,12 +12,15 @@ entities would share, or that is itself an entity of the corpus, is drawn again
 the next attempt number, which also widens what names and addresses are drawn from.
 So equal entities stay equal and different ones stay different, within and across
 documents; where a name is found in a document, its bare mentions there (as it stands
-or in capitals) take its surrogate, too.
+or in capitals) take its surrogate, too. A name that is an ordinary word as well (by a list,
+or because the document has it in small letters) is taken as mentioned only where the text
+goes on as it does of persons; elsewhere such a word stays.
 
 Edge cases: a null text stays null and has no entities; texts without entities pass
 unchanged and are never shuffled; very long texts are scanned whole; repeated rows
 come back repeated, changed alike; an entity written in another case or with other
-separators keeps its surrogate and its own format; where entities overlap, the one
+separators keeps its surrogate and its own format; a name ends before a possessive s, has
+up to four parts, and small words between them (von, de la) stay; where entities overlap, the one
 that begins first counts, of two that begin together the one named first in ``KINDS``;
 of two draws of one surrogate the earlier attempt, then the smaller entity keeps it; a
 null id is a valid row; an empty table gives an empty result; other columns of
@@ -45,7 +48,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FEMALE, _MALE = r"(?:Mrs|MRS\.|Ms|Miss|Frau|Madame|Mme|Señora|Sra)", r"(?:Mr|MR\.|Herr|Monsieur|Señor|Sr)"
 _TITLE = rf"(?:{_FEMALE}|{_MALE}|Dr|DR\.|Prof|PROF\.|Doctor|Professor)"
 _TITLES = rf"(?:{_TITLE}\.? )+"
-_NAME = r"\p{Lu}[\p{L}'\x{2019}\-]+"
+#: A name; an apostrophe belongs to it unless a possessive s follows.
+_NAME = r"\p{Lu}(?:[\p{L}\-]|['\x{2019}](?![sS](?![\p{L}\p{N}])))+"
+#: Small words between the parts of a name, which stay.
+_PARTICLES = r"(?:(?:al|bin|da|de|del|della|den|der|di|dos|du|la|las|los|ten|ter|van|von|zu|y) ){0,3}"
+_MORE = rf"(?: {_PARTICLES}{_NAME})"
 
 #: Usual given names, by gender: a name that begins with one is found without a title.
 GIVEN = {
@@ -68,11 +75,11 @@ KINDS = {
     "email": r"[\p{L}\p{N}_%+][\p{L}\p{N}._%+\-]{0,63}+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
     "ip": r"(?<!\d\.)(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?!\.?\d)" + _AFTER + r"|(?<![:.])(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]{0,39}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<!-)\d{3}-\d{2}-\d{4}(?!-)" + _AFTER,
-    "phone": r"(?:\+\d{1,3}[ .\-/]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-/]?\d{2,4}){2,4}|(?<!\()\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|[2-9]\d\d [2-9]\d\d \d{4}|0[1-9]\d{1,3}[ /\-]\d{5,9})" + _AFTER,
+    "phone": r"(?:(?=(?:\d[ .\-/]?){9,11}(?!\d))(?!\d\d[.\-/]\d\d[.\-/]\d{4}(?!\d))0\d{1,4}(?<sep>[ .\-/])\d{2,4}(?:\k<sep>\d{2,4}){1,3}|\+\d{1,3}[ .\-/]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-/]?\d{2,4}){2,4}|(?<!\()\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4}|[2-9]\d\d [2-9]\d\d \d{4}|0[1-9]\d{1,3}[ /\-]\d{5,9})" + _AFTER,
     "card": r"\d(?:[ \-]?\d){12,18}" + _AFTER,
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "secret": _KEYWORD + _VALUE + r"|AKIA[0-9A-Z]{16}" + _AFTER,
-    "person": rf"(?:{_TITLES}{_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(sorted(GIVEN['given_f'] + GIVEN['given_m'], reverse=True))}) {_NAME}(?: {_NAME})?)" + _AFTER,
+    "person": rf"(?:{_TITLES}{_PARTICLES}{_NAME}{_MORE}{{0,3}}|(?:{'|'.join(sorted(GIVEN['given_f'] + GIVEN['given_m'], reverse=True))}){_MORE}{{1,3}})" + _AFTER,
 }
 
 
@@ -85,6 +92,11 @@ def _any(kinds: list[str]) -> str:
 _ANY = _any(list(KINDS))
 #: For texts without an at sign: e-mail addresses are tried at every word.
 _NO_EMAIL = _any([k for k in KINDS if k != "email"])
+#: Names that are ordinary words, too.
+_WORDS = "april august bill black brown church day english field fields forest french glass grace grant green gray grey hall hill hope house joy june king lake lane long love march mark may moon night north page park penny price rich rivers rose rush sharp short sky snow south star stone summer sun wall waters west white will winter wise wood woods young".split()
+#: A bare mention of such a word is the person only where the text goes on as it does of persons, and not after what stands before times and places.
+_NOT_AFTER = r"(?<!\b(?i:in|of|on|at|by|since|until|till|last|next|this|early|late|mid|from|to|for|the|a|an) )"
+_PERSONAL = r"(?=['\x{2019}][sS](?![\p{L}])|,? (?i:was|is|has|had|will|would|did|does|said|says|told|asked|wrote|went|came|thinks|thought|knew|knows|made|took|gave|called|replied|answered|who|whose)(?![\p{L}]))"
 #: No entity is in a text without one of these.
 _HINT = rf"[@0-9]|{_BEFORE}(?:(?=\p{{Lu}})(?:{_TITLE}|{'|'.join(sorted(GIVEN['given_f'] + GIVEN['given_m'], reverse=True))})\.? |(?=[TtSsPpAa])(?i:token|secret|passw|pwd|api[_\-]?key))"
 
@@ -139,11 +151,13 @@ def _known(name: Column, gender: str) -> Column:
 def parts_of(value: Column, kind: Column) -> Column:
     """(place, kind, canonical, shown, before) of each part of an entity that has a surrogate of its own; what stands before it is no part."""
     part = lambda place, k, canon, shown, before: F.struct(place.cast("int").alias("place"), k.alias("kind"), canon.alias("canon"), shown.alias("shown"), before.alias("before"))
-    title = F.regexp_extract(value, f"^{_TITLES}", 0)
-    names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), " ")
+    title = F.regexp_extract(value, f"^(?:{_TITLES})?{_PARTICLES}", 0)
+    # Small words stand behind the part before them.
+    names = F.split(F.substring(value, F.length(title) + 1, F.length(value)), r" (?=\p{Lu})")
+    name, small = lambda n: F.substring_index(n, " ", 1), lambda i: F.regexp_extract(F.get(names, i - 1), r"^\S+( .*)?$", 1)
     by_title = F.when(title.rlike(rf"(?<!\p{{L}}){_FEMALE}\.? "), "given_f").when(title.rlike(rf"(?<!\p{{L}}){_MALE}\.? "), "given_m").otherwise("given_n")
     gender = lambda n: F.when(_known(n, "given_f"), "given_f").when(_known(n, "given_m"), "given_m").otherwise(by_title)
-    persons = F.transform(names, lambda n, i: part(i, F.when(i < F.size(names) - 1, gender(n)).otherwise("surname"), F.lower(n), n, F.when(i == 0, title).otherwise(" ")))
+    persons = F.transform(names, lambda n, i: part(i, F.when(i < F.size(names) - 1, gender(name(n))).otherwise("surname"), F.lower(name(n)), name(n), F.when(i == 0, title).otherwise(F.concat(small(i), F.lit(" ")))))
     told = F.when(kind == "secret", F.regexp_extract(value, rf"^(?:{_KEYWORD}[\"']?)?", 0)).otherwise("")
     shown = F.substring(value, F.length(told) + 1, F.length(value))
     digits = F.regexp_replace(value, r"\D", "")
@@ -275,6 +289,14 @@ def replaced(text: Column, pattern: Column, to: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
+def bare_mention(name: Column, text: Column) -> Column:
+    """The pattern of a name without its context; of a word that is no name as well (by a list, or since the text has it in small letters), only where it is surely the person."""
+    quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))
+    low = F.lower(name)
+    word = low.isin(*_WORDS) | ((low != name) & F.rlike(text, F.concat(F.lit(_BEFORE + r"\Q"), low, F.lit(r"\E" + _AFTER))))
+    return F.when(word, F.concat(F.lit(_NOT_AFTER), quoted, F.lit(_PERSONAL))).otherwise(quoted)
+
+
 def _changed(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     """row, text, n_found: every input row, its text with surrogates, and its entities by kind."""
     # The only scan of all texts; what follows sees the few that have matches.
@@ -293,9 +315,10 @@ def _changed(docs: DataFrame, text_col: str, key: str) -> DataFrame:
     names = told.filter("whole = 'person'").select("m1", "m2", F.explode(F.array_distinct(F.array(F.struct(F.col("shown").alias("value"), "new"), F.struct(F.upper("shown").alias("value"), F.upper("new").alias("new"))))).alias("n"))
     names = names.groupBy("m1", "m2", F.col("n.value").alias("value")).agg(F.min("n.new").alias("new")).select("m1", "m2", "value", F.lit("person").alias("whole"), "new", F.lit(True).alias("bare"))
     known = each.unionByName(names).groupBy("m1", "m2", "value").agg(F.min_by("whole", "bare").alias("whole"), F.min_by("new", "bare").alias("new"), F.bool_or("bare").alias("bare"))
-    quoted = F.transform(F.array_sort(F.collect_list(F.when(F.col("bare"), F.struct((-F.length("value")).alias("n"), "value")))), lambda x: F.concat(F.lit(r"\Q"), x["value"], F.lit(r"\E")))
-    maps = known.groupBy("m1", "m2").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("to"), F.map_from_entries(F.collect_list(F.struct("value", "whole"))).alias("kinds"), quoted.alias("names"))
-    pattern = F.when(F.size("names") > 0, F.concat(F.lit(f"{_ANY}|{_BEFORE}(?:"), F.array_join("names", "|"), F.lit(f"){_AFTER}"))).otherwise(F.lit(_ANY))
+    longest = F.transform(F.array_sort(F.collect_list(F.when(F.col("bare"), F.struct((-F.length("value")).alias("n"), "value")))), lambda x: x["value"])
+    maps = known.groupBy("m1", "m2").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("to"), F.map_from_entries(F.collect_list(F.struct("value", "whole"))).alias("kinds"), longest.alias("names"))
+    names = F.transform("names", lambda n: bare_mention(n, F.col("text")))
+    pattern = F.when(F.size("names") > 0, F.concat(F.lit(f"{_ANY}|{_BEFORE}(?:"), F.array_join(names, "|"), F.lit(f"){_AFTER}"))).otherwise(F.lit(_ANY))
     changed = with_hits.join(maps, ["m1", "m2"], "left").withColumn("to", F.coalesce("to", F.create_map().cast("map<string,string>"))).withColumn("pattern", pattern)
     changed = changed.withColumn("each", F.transform(F.regexp_extract_all("text", "pattern", F.lit(0)), lambda h: F.element_at("kinds", h)))
     counts = F.struct(*[(F.size("each") - F.size(F.array_remove("each", name))).cast("long").alias(name) for name in KINDS])

@@ -206,6 +206,47 @@ def test_names_take_their_surrogates_everywhere(spark):
     assert got[6] == texts[6]
 
 
+def test_nothing_of_a_found_name_stays(spark):
+    """An independent look at the results: no part of a name that a text gives away with its context is left in it."""
+    names = ["John Smith", "Anna-Maria O'Neil", "José María Aznar López", "Peter von der Leyen", "Maria Garcia Lorca", "Ludwig Wittgenstein", "Elena Petrova"]
+    frames = ["We met {n}. It was {l}'s dog.", "We met {N}. It was {n}’s dog, and {L} left.", "Dr. {n} spoke. {l} was heard; so said {f}.", "({n}), \"{n}\" and {n}."]
+    texts, parts = [], []
+    for k, n in enumerate(names):
+        words = [w for w in n.split() if w[0].isupper()]
+        for f in frames:
+            head = "" if n.split()[0] in pii.GIVEN["given_f"] + pii.GIVEN["given_m"] else "Prof. "
+            texts.append(f.replace("{n}", head + n if "Dr." not in f else n).replace("{N}", head + n if k else n).format(n=n, l=words[-1], L=words[-1].upper(), f=words[0]))
+            parts.append(words)
+    got = {r.doc_id: r.text for r in pii.surrogates(frame(spark, texts)).collect()}
+    for k, words in enumerate(parts):
+        left = set(re.findall(r"[^\W\d_]+", got[k].lower()))
+        assert left.isdisjoint({x for w in words for x in re.findall(r"[^\W\d_]+", w.lower()) if len(x) > 1}), (texts[k], got[k])
+        assert len(re.findall(r"['’]s dog", got[k])) == len(re.findall(r"['’]s dog", texts[k]))
+        assert all(p in got[k] for p in (" von der ",) if p in texts[k])
+
+
+def test_words_that_are_names_too(spark):
+    texts = [
+        "Mr. May said so. In May we go. May was there, and May's dog.",
+        "Robert Brown cooks.\nBrown rice is good. Brown said it.",
+        "Mr. Rivera came; the rivera is calm. Rivera asked us. Rivera park.",
+    ]
+    got = {r.doc_id: r.text for r in pii.surrogates(frame(spark, texts)).collect()}
+    may = re.fullmatch(r"Mr\. (\w+) said so\. In May we go\. (\w+) was there, and (\w+)'s dog\.", got[0]).groups()
+    assert len(set(may)) == 1 and may[0] != "May"
+    first, last, again = re.fullmatch(r"(\w+) (\w+) cooks\.\nBrown rice is good\. (\w+) said it\.", got[1]).groups()
+    assert first in pii.GIVEN["given_m"] and last == again != "Brown"
+    one, two = re.fullmatch(r"Mr\. (\w+) came; the rivera is calm\. (\w+) asked us\. Rivera park\.", got[2]).groups()
+    assert one == two != "Rivera"
+
+
+def test_national_phone_numbers(spark):
+    texts = ["call 020 7946 0958 or 01.23.45.67.89 or 030/123/4567", "on 01.02.2024 or 01-02-2024 10:30, 0.25 0.50 0.75, 00 11 22, 05 06 07 08"]
+    got = {r.doc_id: r for r in pii.surrogates(frame(spark, texts)).collect()}
+    assert re.fullmatch(r"call 0\d\d \d{4} \d{4} or 0\d(?:\.\d\d){4} or 0\d\d/\d{3}/\d{4}", got[0].text) and got[0].n_found.phone == 3
+    assert not {"7946", "0958"} & set(re.findall(r"\d{4}", got[0].text.split(" or ")[0])) and "01.23.45" not in got[0].text and got[1].text == texts[1]
+
+
 def test_numbers_keep_their_types(spark):
     texts = [
         "order 1234567890123456789 and the id 12345678901234, card 4111-1111-1111-1111",
@@ -331,6 +372,32 @@ def test_licenses_against_all_runs_of_lines(spark):
             assert abs(got[k].dice - max(dice(plain_bigrams(h["segment"]), plain_bigrams(n)) for h in got[k].hits for _, n in licenses.TEMPLATES)) < 1e-9
 
 
+def test_licenses_that_differ_by_a_few_words(spark):
+    """The public headers, written out here, name themselves."""
+    gnu = "{0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2} as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version."
+    headers = {
+        "AGPL-3.0": gnu.format("This program", ":", "Affero General Public License", ",", "3"),
+        "GPL-3.0": gnu.format("This program", ":", "General Public License", ",", "3"),
+        "GPL-2.0": gnu.format("This program", ";", "General Public License", ";", "2"),
+        "LGPL-2.1": gnu.format("This library", ";", "Lesser General Public License", ";", "2.1"),
+        "LGPL-3.0": gnu.format("This library", ":", "Lesser General Public License", ",", "3"),
+        "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "MIT": "// SPDX-License-Identifier: MIT",
+        "MPL-2.0": "# SPDX-License-Identifier: MPL-2.0",
+    }
+    rows = [(k, f"{before}{text}\n\nint main() {{}}\n") for before in ("", "Some words about this file.\n\n") for k, text in headers.items()]
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(rows))] == [k for k, _ in rows]
+
+
 def test_licenses_against_brute_force(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     known = [(n, licenses.bigrams(t)) for n, t in licenses.TEMPLATES]
