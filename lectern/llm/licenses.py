@@ -11,7 +11,9 @@ ones that share a bigram at all; the rest are never compared. Runs are formed on
 for a template of which the text has the share t / (2 - t) of the bigrams; of runs
 that overlap, the one with the most bigrams of its template is a segment.
 
-Edge cases: a null or empty text matches nothing; of templates with equal
+Edge cases: a null or empty text matches nothing; licences whose notices differ by a few
+words have a template each, so that each notice is most like its own (one changed by as
+much as they differ may be given the other's name); of templates with equal
 coefficients the one with the smaller id is given; a template of one word
 counts its word as its bigram; repeated rows are judged each for itself; a null
 id is a valid row; very long texts are scanned whole; an empty table gives an empty
@@ -43,8 +45,15 @@ _ISC = "Permission to use, copy, modify, and/or distribute this software for any
 _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
 _MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
 
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version."
+_CC = "This work is licensed under a Creative Commons {kind} 4.0 International License."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+_ZLIB_GRANT = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+
 #: Fixed notices: (license, text). Standard short forms, grants and headers, of which a document may hold any.
 TEMPLATES = [
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: " + _GNU.format(name="Affero General Public License", mark=",", version="3")),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("Apache-2.0", _APACHE),
@@ -52,24 +61,42 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", _CC.format(kind="Attribution")),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", _CC.format(kind="Attribution-NonCommercial")),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", _CC.format(kind="Attribution-NonCommercial-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", _CC.format(kind="Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", _CC.format(kind="Attribution-NoDerivatives")),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", _CC.format(kind="Attribution-ShareAlike")),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; " + _GNU.format(name="General Public License", mark=";", version="2")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: " + _GNU.format(name="General Public License", mark=",", version="3")),
     ("ISC", _ISC),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; " + _GNU.format(name="Lesser General Public License", mark=";", version="2.1")),
+    ("LGPL-3.0", "This library is free software: " + _GNU.format(name="Lesser General Public License", mark=",", version="3")),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'),
     ("MIT", _MIT),
     ("MIT", f"{_MIT} {_MIT_NOTICE}"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", _ZLIB),
+    ("Zlib", f"{_ZLIB} {_ZLIB_GRANT}"),
     ("proprietary", "All rights reserved."),
 ]
+#: Each licence is also named by its identifier.
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(n for n, _ in TEMPLATES) if name != "proprietary"]
 
 _WORD = re.compile(r"[^\W_]+")
 _YEAR = re.compile(r"(?:copyright|\(c\)|©)[\s,]*(?:\(c\)|©)?[\s,]*(?:\d{4}[\s,\-–]*)+")
