@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
 from lectern.functions.rules import strip
+from lectern.operators.chunks import packed_strings
 from lectern.storage import written
 
 SHORT_ITEM = 200
@@ -137,30 +137,24 @@ def page_chapters(pages: DataFrame) -> DataFrame:
     return cap_chapters(headed.unionByName(grouped))
 
 
-def _cut(text: str, most: int, marks: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
-    """Pieces within the limit: units of the coarsest separator that occurs are gathered, larger ones cut by finer ones."""
-    if len(text) <= most:
-        return [text] if text.strip() else []
-    mark = next((m for m in marks if m in text), None)
-    if mark is None:
-        return [text[k : k + most] for k in range(0, len(text), most)]
-    gathered: list[str] = []
-    for unit in text.split(mark):
-        if gathered and gathered[-1] and len(gathered[-1]) + len(mark) + len(unit) > most:
-            gathered.append(unit)
-        else:
-            gathered[-1:] = [gathered[-1] + mark + unit if gathered and gathered[-1] else unit]
-    return [p for g in gathered if g for p in _cut(g, most)]
+#: Separators of an oversized text, coarse ones first.
+SEPARATORS = ("\n\n", "\n", " ")
 
 
-def cap_chapters(chapters: DataFrame, most: int = MAX_CHAPTER) -> DataFrame:
-    """No chapter longer than the limit; pieces are numbered in the title, chapters anew."""
+def cut(text: Column, most: int) -> Column:
+    """Pieces within the limit: units of the coarsest separator are gathered, what is larger than the limit is cut by finer ones, then by length."""
+    large = lambda p: F.length(p) > most
+    by = lambda pieces, mark: F.flatten(F.transform(pieces, lambda p: F.when(large(p) & p.contains(mark), F.filter(packed_strings(F.split(p, mark, -1), most, mark), lambda q: q != "")).otherwise(F.array(p))))
+    pieces = reduce(by, SEPARATORS, F.array(text))
+    kept = F.filter(pieces, lambda p: large(p) | ~blank(p))
+    slices = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))
+    return F.flatten(F.transform(kept, lambda p: F.when(large(p), slices(p)).otherwise(F.array(p))))
 
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _cut(t, most))
 
+def cap_chapters(chapters: DataFrame, most: int = MAX_CHAPTER) -> DataFrame:
+    """No chapter longer than the limit; pieces are numbered in the title, chapters anew."""
     fits = chapters.filter(F.length("text") <= most).withColumn("piece", F.lit(0)).withColumn("n", F.lit(1))
-    large = chapters.filter(F.length("text") > most).withColumn("_pieces", F.pandas_udf(cut, "array<string>")("text"))
+    large = chapters.filter(F.length("text") > most).withColumn("_pieces", cut(F.col("text"), most))
     large = large.select("book", "chapter_index", "title", F.size("_pieces").alias("n"), F.posexplode("_pieces").alias("piece", "text"))
     rows = fits.unionByName(large.select(*fits.columns))
     title = F.when(F.col("n") > 1, F.concat("title", F.lit(" (part "), (F.col("piece") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))

@@ -17,6 +17,9 @@ from lectern.operators.sentences import END, Model, protected, unmasked
 
 MAX_CHARS = 400
 CLAUSE_MARKS = (";", ":", ",")
+#: How units join, how many of them a step of the scan goes over, and a noncharacter that stands between pieces.
+CLOSE, JOINED, APART, BLOCK = 0, 1, 2, 512
+_MARK = "\ufdef"
 
 
 def paragraphs(text: Column) -> Column:
@@ -33,20 +36,46 @@ def _by_mark(piece: Column, mark: str, most: int) -> Column:
     """A piece over the limit cut after every ``mark`` (the last part without one), if that makes several."""
     parts = F.filter(F.transform(F.split(piece, mark, -1), strip), lambda p: p != "")
     # Joining with a mark and a separator puts the mark behind all parts but the last.
-    told = let(parts, lambda ps: F.when(F.size(ps) > 1, F.split(F.array_join(ps, mark + "\x00"), "\x00", -1)).otherwise(F.array(piece)))
+    told = let(parts, lambda ps: F.when(F.size(ps) > 1, F.split(F.array_join(ps, mark + _MARK), _MARK, -1)).otherwise(F.array(piece)))
     return F.when(F.length(piece) > most, told).otherwise(F.array(piece))
 
 
-def packed_strings(parts: Column, most: int) -> Column:
-    """Strings joined by one blank as long as they stay within the limit."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def joints(sizes: Column, most: int, width: int) -> Column:
+    """How each of some units (of these sizes) joins the one before it: APART, CLOSE (nothing was there yet) or with a separator of ``width``.
 
-    def add(acc: Column, part: Column) -> Column:
-        joined = F.when(acc["open"] == "", part).otherwise(F.concat(acc["open"], F.lit(" "), part))
-        fits = (F.length(joined) <= most) | (acc["open"] == "")
-        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, joined).otherwise(part).alias("open"))
+    Units are gathered greedily as long as they stay within the limit. The scan goes over
+    blocks: what a step adds to is never longer than a block or the list of blocks, so that
+    time stays linear for texts of any practical length.
+    """
+    none = F.array().cast("array<tinyint>")
+    code = lambda c: F.lit(c).cast("tinyint")
 
-    return F.aggregate(parts, empty, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    def add(acc: Column, at: Column) -> Column:
+        size = F.get(sizes, at)
+        open_, joined = acc["open"], acc["open"] + width + size
+        told = F.when(open_ == 0, code(CLOSE)).when(joined > most, code(APART)).otherwise(code(JOINED))
+        return F.struct(F.array_append(acc["codes"], told).alias("codes"), F.when((open_ == 0) | (joined > most), size).otherwise(joined).alias("open"))
+
+    def add_block(acc: Column, block: Column) -> Column:
+        places = F.sequence(block * BLOCK, F.least((block + 1) * BLOCK, F.size(sizes)) - 1)
+        made = F.aggregate(places, F.struct(none.alias("codes"), acc["open"].alias("open")), add)
+        return let(made, lambda m: F.struct(F.array_append(acc["done"], m["codes"]).alias("done"), m["open"].alias("open")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+    start = F.struct(F.array().cast("array<array<tinyint>>").alias("done"), F.lit(0).alias("open"))
+    return F.when(F.size(sizes) > 0, F.aggregate(blocks, start, add_block, lambda acc: F.flatten(acc["done"]))).otherwise(none)
+
+
+def gathered(units: Column, codes: Column, separator: str) -> Column:
+    """The units joined as their codes say."""
+    before = lambda c: F.when(c == APART, F.lit(_MARK)).when(c == JOINED, F.lit(separator)).otherwise("")
+    told = F.array_join(F.zip_with(units, codes, lambda u, c: F.concat(before(c), u)), "")
+    return F.when(F.size(units) > 0, F.split(told, _MARK, -1)).otherwise(F.array().cast("array<string>"))
+
+
+def packed_strings(parts: Column, most: int, separator: str = " ") -> Column:
+    """Strings joined by a separator as long as they stay within the limit."""
+    return let(parts, lambda ps: let(F.transform(ps, F.length), lambda sizes: gathered(ps, joints(sizes, most, len(separator)), separator)))
 
 
 def split_long(sentence: Column, most: int = MAX_CHARS) -> Column:
@@ -71,19 +100,15 @@ def pieces(text: Column, most: int = MAX_CHARS, masked: bool = False) -> Column:
 
 def pack(parts: Column, most: int = MAX_CHARS) -> Column:
     """Chunks (text, paragraph_start, paragraph_end) packed greedily across paragraphs."""
-    chunk = "struct<text:string,paragraph_start:int,paragraph_end:int>"
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.struct(F.lit("").alias("text"), F.lit(0).alias("paragraph_start"), F.lit(0).alias("paragraph_end")).alias("open"))
-
-    def add(acc: Column, p: Column) -> Column:
-        o = acc["open"]
-        joined = F.concat(o["text"], F.lit(" "), p["text"])
-        empty, fits = o["text"] == "", F.length(joined) <= most
-        text = F.when(~empty & fits, joined).otherwise(p["text"])
-        first = F.when(~empty & fits, o["paragraph_start"]).otherwise(p["para"])
-        done = F.when(~empty & ~fits, F.array_append(acc["done"], o)).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.struct(text.alias("text"), first.alias("paragraph_start"), p["para"].alias("paragraph_end")).alias("open"))
-
-    return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"]["text"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+    def made(ps: Column, codes: Column) -> Column:
+        firsts = F.filter(ps, lambda p, i: (i == 0) | (F.get(codes, i) == APART))
+        lasts = F.filter(ps, lambda p, i: (i == F.size(ps) - 1) | (F.get(codes, i + 1) == APART))
+        texts = gathered(F.transform(ps, lambda p: p["text"]), codes, " ")
+        ends = F.zip_with(firsts, lasts, lambda a, b: F.struct(a["para"].alias("a"), b["para"].alias("b")))
+        return F.zip_with(texts, ends, lambda t, e: F.struct(t.alias("text"), e["a"].alias("paragraph_start"), e["b"].alias("paragraph_end")))
+
+    return let(parts, lambda ps: let(F.transform(ps, lambda p: F.length(p["text"])), lambda sizes: let(joints(sizes, most, 1), lambda codes: made(ps, codes))))
 
 
 def chunked(chapters: DataFrame, text_col: str = "text", most: int = MAX_CHARS, model: Model | None = None) -> DataFrame:

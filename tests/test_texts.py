@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import rules, speech, spoken
-from lectern.operators import chunks
+from lectern.operators import chapters, chunks
 
 
 def of(spark, text, made):
@@ -173,3 +174,53 @@ def test_voice_and_key(spark):
     import hashlib
 
     assert key == hashlib.sha256(b"af_heart|Hi|1.0").hexdigest()[:32]
+
+
+def greedy(units, most, separator):
+    """Units gathered up to a limit, one after the other."""
+    out = []
+    for u in units:
+        if out and out[-1] and len(out[-1]) + len(separator) + len(u) > most:
+            out.append(u)
+        else:
+            out[-1:] = [out[-1] + separator + u if out and out[-1] else u]
+    return out
+
+
+def test_gathering_against_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "BLOCK", 4)
+    rng = random.Random(4)
+    lists = [["x" * rng.choice([0, 1, 2, 3, 5, 9]) for _ in range(rng.randrange(1, 30))] for _ in range(80)] + [["", ""], ["", "abc", ""], ["a" * 20]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id long, units array<string>")
+    for most, separator in ((6, " "), (9, "\n\n"), (1, "-")):
+        got = {r.id: r.g for r in df.select("id", chunks.packed_strings(F.col("units"), most, separator).alias("g")).collect()}
+        assert got == {k: greedy(u, most, separator) for k, u in enumerate(lists)}
+    assert spark.createDataFrame([([],)], "u array<string>").select(chunks.packed_strings(F.col("u"), 5)).first()[0] == []
+
+
+def test_pieces_of_oversized_texts(spark):
+    """The finer separators and the limit itself, against recursion."""
+    def cut(text, most, marks=("\n\n", "\n", " ")):
+        if len(text) <= most:
+            return [text] if text.strip() else []
+        mark = next((m for m in marks if m in text), None)
+        if mark is None:
+            return [text[k : k + most] for k in range(0, len(text), most)]
+        return [p for g in greedy(text.split(mark), most, mark) if g for p in cut(g, most)]
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "bb", " ", " ", "\n", "\n\n", "cccc"]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for most in (5, 11):
+        got = {r.id: r.p for r in df.select("id", chapters.cut(F.col("text"), most).alias("p")).collect()}
+        assert got == {k: cut(t, most) for k, t in enumerate(texts)}
+
+
+def test_long_texts_are_packed_in_time(spark):
+    import time
+
+    n = 60_000
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Sentence "), i.cast("string"), F.lit(" is here."))), " ").alias("text"))
+    begun = time.monotonic()
+    got = chunks.chunked(df).agg(F.count("*"), F.max(F.length("text"))).first()
+    assert got[0] > n // 20 and got[1] <= 400 and time.monotonic() - begun < 60
