@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.operators.chapters import with_ahead
+
 CHARS_PER_SECOND, OVERHEAD = 100.0, 1.05
 BYTES_PER_CHAR = 15
 GAP_SECONDS = 0.3
@@ -37,6 +39,19 @@ def timings(durations: DataFrame) -> DataFrame:
     return rows.withColumn("start_ms", (F.col("start_sec") * 1000).cast("long")).withColumn("end_ms", (F.col("end_sec") * 1000).cast("long"))
 
 
+def sample_marks(offsets: DataFrame, rate: int) -> DataFrame:
+    """book, chapter_index, start, end (samples from the start of the book), start_ms, end_ms: exact, from whole numbers of samples.
+
+    ``offsets`` has length (samples of the chapter, see ``audio.sample_offsets``) by book and
+    chapter. Sums of whole numbers do not depend on their order, so neither do the marks.
+    """
+    lengths = offsets.select("book", "chapter_index", F.col("length").alias("_n")).distinct()
+    placed = with_ahead(lengths.select("book", "chapter_index"), lengths, "chapter_index")
+    told = placed.join(lengths.withColumnsRenamed({"book": "_book", "chapter_index": "_chapter"}), F.col("book").eqNullSafe(F.col("_book")) & (F.col("chapter_index") == F.col("_chapter")))
+    ms = lambda n: F.expr(f"`{n}` * 1000 DIV {rate}")
+    return told.select("book", "chapter_index", F.col("_ahead").alias("start"), (F.col("_ahead") + F.col("_n")).alias("end")).select("*", ms("start").alias("start_ms"), ms("end").alias("end_ms"))
+
+
 def progress(chapters: DataFrame) -> DataFrame:
     """Percent done before each chapter: chapters share the first 80."""
     book = W.partitionBy("book")

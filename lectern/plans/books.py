@@ -467,6 +467,59 @@ def assembled_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("book", "chapter_index", F.size("samples").alias("n"), F.round(total, 4).alias("total"), F.round(F.get("samples", F.lit(64)), 6).alias("after_first"))
 
 
+def assembled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters in parts of a hundred samples, each with what it holds."""
+    made = audio.assembled_parts(_sounds(spark, sf_dir), 300, 100, 100)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return made.select("book", "chapter_index", "part", "length", F.size("samples").alias("n"), F.round(total, 4).alias("total"))
+
+
+def sample_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sounds = _sounds(spark, sf_dir).select("book", "chapter_index", "chunk_index", F.size("samples").alias("n_samples"))
+    return timing.sample_marks(audio.sample_offsets(sounds, 300, 24_000), 24_000)
+
+
+def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunks of sound, five a chapter, fifty a book; some are cut short, some are empty."""
+    samples = F.slice("embedding", 1, F.expr("CAST(64 - vec_id % 7 * (vec_id % 11) AS INT)"))
+    return read(spark, sf_dir, "embeddings").select(F.expr("vec_id DIV 50").alias("book"), F.expr("vec_id DIV 5 % 10").alias("chapter_index"), (F.col("vec_id") % 5).alias("chunk_index"), samples.alias("samples"))
+
+
+_SOUNDS = "s AS (SELECT vec_id // 50 AS book, vec_id // 5 % 10 AS chapter_index, vec_id % 5 AS chunk_index, embedding[:64 - vec_id % 7 * (vec_id % 11)] AS x FROM embeddings)"
+QUERIES["assembled_parts"] = assembled_parts
+ORACLES["assembled_parts"] = f"""WITH {_SOUNDS}, o AS (SELECT *, coalesce(sum(len(x) + 30) OVER (PARTITION BY book, chapter_index ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM s),
+l AS (SELECT book, chapter_index, max(o + len(x))::BIGINT AS length FROM o GROUP BY ALL),
+p AS (SELECT book, chapter_index, length, unnest(range((length + 99) // 100)) AS part FROM l),
+v AS (SELECT book, chapter_index, (o + k - 1) // 100 AS part, sum(x[k]::DOUBLE) AS t FROM o, unnest(range(1, len(x) + 1)) u(k) GROUP BY ALL)
+SELECT book, chapter_index, part, length, least(100, length - part * 100)::INT AS n, round(coalesce(t, 0), 4) AS total FROM p LEFT JOIN v USING (book, chapter_index, part)"""
+QUERIES["sample_marks"] = sample_marks
+ORACLES["sample_marks"] = f"""WITH {_SOUNDS}, l AS (SELECT book, chapter_index, (sum(len(x)) + 7200 * (count(*) - 1))::BIGINT AS n FROM s GROUP BY ALL),
+e AS (SELECT book, chapter_index, n, (sum(n) OVER (PARTITION BY book ORDER BY chapter_index))::BIGINT AS e FROM l)
+SELECT book, chapter_index, e - n AS start, e AS "end", (e - n) * 1000 // 24000 AS start_ms, e * 1000 // 24000 AS end_ms FROM e"""
+
+
+def page_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes of several charsets, declared, marked or neither, and what is read of them."""
+    text = F.regexp_replace(F.concat_ws(" ", "role", "text"), "[^\\x00-\\xFF]", "_")
+    page = lambda said: F.concat(F.lit(f"<html><head>{said}<title>"), F.concat_ws("-", "conv_id", "turn"), F.lit("</title></head><body>é "), text)
+    hexed = lambda h: F.unhex(F.lit(h))
+    content = (
+        F.when(F.expr("turn % 6 = 0"), F.encode(page(""), "UTF-8"))
+        .when(F.expr("turn % 6 = 1"), F.encode(page("<meta charset='iso-8859-1'>"), "ISO-8859-1"))
+        .when(F.expr("turn % 6 = 2"), F.concat(hexed("FFFE"), F.encode(page(""), "UTF-16LE")))
+        .when(F.expr("turn % 6 = 3"), F.concat(hexed("FEFF"), F.encode(page("<meta charset=latin1>"), "UTF-16BE")))
+        .when(F.expr("turn % 6 = 4"), F.concat(F.encode(page(""), "ISO-8859-1"), hexed("8093")))
+        .otherwise(F.concat(hexed("EFBBBF"), F.encode(page("<META http-equiv='x' content='text/html; charset=cp1252'>"), "UTF-8")))
+    )
+    files = read(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content"))
+    return markup.decoded(files).select("conv_id", "turn", "charset", "markup")
+
+
+QUERIES["page_bytes"] = page_bytes
+ORACLES["page_bytes"] = r"""WITH t AS (SELECT conv_id, turn, turn % 6 AS k, regexp_replace(concat_ws(' ', role, text), '[^\x00-\xFF]', '_', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE k WHEN 0 THEN 'utf-8' WHEN 1 THEN 'windows-1252' WHEN 2 THEN 'utf-16le' WHEN 3 THEN 'utf-16be' WHEN 4 THEN 'windows-1252' ELSE 'utf-8' END AS charset,
+concat('<html><head>', CASE k WHEN 1 THEN '<meta charset=''iso-8859-1''>' WHEN 3 THEN '<meta charset=latin1>' WHEN 5 THEN '<META http-equiv=''x'' content=''text/html; charset=cp1252''>' ELSE '' END,
+'<title>', conv_id, '-', turn, '</title></head><body>é ', t, CASE WHEN k = 4 THEN '€“' ELSE '' END) AS markup FROM t"""
 QUERIES["assembled_chapters"] = assembled_chapters
 ORACLES["assembled_chapters"] = """SELECT vec_id // 10 AS book, 0 AS chapter_index, (sum(len(embedding)) + 30 * (count(*) - 1))::INT AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) AS total,
 CASE WHEN count(*) > 1 THEN 0::FLOAT END AS after_first FROM embeddings GROUP BY vec_id // 10"""

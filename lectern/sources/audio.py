@@ -9,14 +9,21 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.speech import QUIET, SAMPLE_RATE, WEAK, rms, with_silence
+from lectern.operators.chapters import with_ahead
 
 #: Silence between the chunks of a chapter.
 GAP_MS = 300
+#: Samples of a part of a chapter (4 MB).
+PART = 1 << 20
+
+
+class Unspeakable(Exception):
+    """What an engine raises for a text without anything to say."""
 
 
 class Engine(Protocol):
@@ -26,7 +33,7 @@ class Engine(Protocol):
 
 
 def synthesized(chunks: DataFrame, engine: Callable[[], Engine], voice: str, speed: float = 1.0, attempts: int = 3) -> DataFrame:
-    """All columns and ``samples`` of the ``text`` of each chunk; results that are nearly silent are tried again, the last one counts."""
+    """All columns and ``samples`` of the ``text`` of each chunk; results that are nearly silent are tried again, the last one counts; an unspeakable text is silence of no length."""
 
     def speak(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = engine()
@@ -34,7 +41,11 @@ def synthesized(chunks: DataFrame, engine: Callable[[], Engine], voice: str, spe
             made = []
             for text in batch["text"]:
                 for _ in range(attempts):
-                    samples = np.asarray(own.synthesize(text, voice, speed), "float32")
+                    try:
+                        samples = np.asarray(own.synthesize(text, voice, speed), "float32")
+                    except Unspeakable:
+                        samples = np.zeros(0, "float32")
+                        break
                     if len(samples) and np.sqrt(np.mean(samples.astype(float) ** 2)) >= QUIET:
                         break
                 made.append(samples)
@@ -96,6 +107,71 @@ def assembled(chunks: DataFrame, silence_ms: int = GAP_MS, rate: int = SAMPLE_RA
     return made.select("book", "chapter_index", with_silence(F.col("parts"), silence).alias("samples"))
 
 
+def sample_offsets(chunks: DataFrame, silence_ms: int = GAP_MS, rate: int = SAMPLE_RATE) -> DataFrame:
+    """book, chapter_index, chunk_index, n_samples, at, length: where each chunk begins in its chapter, in samples.
+
+    ``chunks`` has a row for each (chunk_index, n_samples). Sums come in two steps over
+    cells, so a chapter may have any number of chunks; whole numbers are exact whatever
+    the order of adding. ``length`` is that of the chapter, without silence after the last.
+    """
+    gap = max(0, silence_ms) * rate // 1000
+    order = ["chapter_index", "chunk_index"]
+    sizes = chunks.select("book", *order, F.col("n_samples").cast("long").alias("n_samples"))
+    placed = with_ahead(sizes, sizes.groupBy("book", *order).agg(F.sum(F.col("n_samples") + gap).alias("_n")), *order)
+    spans = placed.groupBy("book", "chapter_index").agg(F.min("_ahead").alias("_from"), (F.max(F.col("_ahead") + F.col("n_samples")) - F.min("_ahead")).alias("length"))
+    spans = spans.withColumnsRenamed({"book": "_book", "chapter_index": "_chapter"})
+    told = placed.join(spans, F.col("book").eqNullSafe(F.col("_book")) & F.col("chapter_index").eqNullSafe(F.col("_chapter")))
+    return told.select("book", *order, "n_samples", (F.col("_ahead") - F.col("_from")).alias("at"), "length")
+
+
+def assembled_parts(chunks: DataFrame, silence_ms: int = GAP_MS, rate: int = SAMPLE_RATE, part: int = PART) -> DataFrame:
+    """book, chapter_index, part, length, samples: each chapter cut into parts of so many samples (the last one has what is left).
+
+    Chunks are met with their offsets, cut where parts end, and laid into their parts, which
+    are silent elsewhere: no value holds a chapter. A chapter of a single empty chunk has no
+    parts.
+    """
+    keys = ["book", "chapter_index", "chunk_index"]
+    offsets = sample_offsets(chunks.select(*keys, F.size("samples").alias("n_samples")), silence_ms, rate).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.col("book").eqNullSafe(F.col("_book")) & F.col("chapter_index").eqNullSafe(F.col("_chapter_index")) & (F.col("chunk_index") == F.col("_chunk_index"))
+    met = chunks.join(offsets, same).filter("n_samples > 0")
+    first, last = F.floor(F.col("at") / part), F.floor((F.col("at") + F.col("n_samples") - 1) / part)
+    begin = F.greatest(F.col("part") * part - F.col("at"), F.lit(0))
+    end = F.least((F.col("part") + 1) * part - F.col("at"), F.col("n_samples"))
+    pieces = met.select("*", F.explode(F.sequence(first, last)).alias("part")).select("book", "chapter_index", "part", "length", (F.col("at") + begin - F.col("part") * part).alias("at"), F.slice("samples", (begin + 1).cast("int"), (end - begin).cast("int")).alias("piece"))
+    # Parts that only hold silence have no chunk: they are made of the lengths.
+    lengths = offsets.select(F.col("_book").alias("book"), F.col("_chapter_index").alias("chapter_index"), "length").distinct().filter("length > 0")
+    every = lengths.select("book", "chapter_index", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / part))).alias("part"), "length", F.lit(None).cast("long").alias("at"), F.lit(None).cast("array<float>").alias("piece"))
+    laid = pieces.unionByName(every).groupBy("book", "chapter_index", "part", "length").agg(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "piece")))).alias("pieces"))
+    size = F.least(F.lit(part), F.col("length") - F.col("part") * part)
+    silent = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n.cast("int"))
+    ends = lambda i: F.coalesce(F.get("pieces", i)["at"] + F.size(F.get("pieces", i)["piece"]), F.lit(0))
+    filled = F.flatten(F.transform("pieces", lambda x, i: F.concat(silent(x["at"] - ends(i - 1)), x["piece"])))
+    return laid.select("book", "chapter_index", "part", "length", F.concat(filled, silent(size - F.size(filled))).alias("samples"))
+
+
+def wav_header(length: Column, rate: int = SAMPLE_RATE) -> Column:
+    """The 44 bytes before mono 16-bit samples, from their number; the sizes of longer files than 4 GB are cut to what fits."""
+    little = lambda n, width: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.lpad(F.hex(F.pmod(F.floor(n / F.pow(F.lit(256.0), k)).cast("long"), F.lit(256))), 2, "0")), ""))
+    size = F.least(length * 2, F.lit(2**32 - 37))
+    text = lambda t: F.encode(F.lit(t), "UTF-8")
+    return F.concat(text("RIFF"), little(size + 36, 4), text("WAVEfmt "), little(F.lit(16), 4), little(F.lit(1), 2), little(F.lit(1), 2), little(F.lit(rate), 4), little(F.lit(rate * 2), 4), little(F.lit(2), 2), little(F.lit(16), 2), text("data"), little(size, 4))
+
+
+def wav_parts(parts: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
+    """book, chapter_index, part, content: the bytes of the WAV file of each chapter, by parts in order; the header is made last, when the length is known, and comes as part -1."""
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(content=[(np.clip(np.asarray(s, float), -1, 1) * 32767).astype("<i2").tobytes() for s in batch["samples"]]).drop(columns="samples")
+
+    kinds = {f.name: f.dataType.simpleString() for f in parts.schema}
+    schema = f"book {kinds['book']}, chapter_index {kinds['chapter_index']}, part long, content binary"
+    body = parts.select("book", "chapter_index", "part", "samples").mapInPandas(packed, schema)
+    head = parts.filter("part = 0").select("book", "chapter_index", F.lit(-1).cast("long").alias("part"), wav_header(F.col("length"), rate).alias("content"))
+    return head.unionByName(body)
+
+
 def voice_quality(samples: DataFrame) -> DataFrame:
     """By voice: the weakest level and whether all are loud enough; ``samples`` has voice and samples."""
     weakest = F.min(rms(F.col("samples")))

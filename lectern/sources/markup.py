@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.rules import strip
 from lectern.operators.chapters import section_chapters
@@ -124,6 +125,67 @@ def walked(text: str | None) -> dict:
     return {"error": error, "title": title, "author": walk.author, "has_body": walk.body is not None, "body_start": span[0], "body_stop": span[1], "pieces": walk.pieces, "prose": walk.prose, "blocks": walk.blocks}
 
 
+#: What the bytes 80 to 9F stand for in pages that say Latin-1 or nothing (bytes without a sign keep their number).
+_WINDOWS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+#: Names of the charsets that expressions decode.
+CHARSETS = {"utf-8": ("utf-8", "utf8", "unicode-1-1-utf-8"), "windows-1252": ("windows-1252", "cp1252", "x-cp1252", "iso-8859-1", "iso8859-1", "latin1", "latin-1", "l1", "us-ascii", "ascii"), "utf-16le": ("utf-16le", "utf-16", "unicode"), "utf-16be": ("utf-16be",)}
+#: Bytes that are looked through for a declaration.
+PRESCAN = 1024
+
+
+def charset(content: Column) -> Column:
+    """The charset of a page: by its byte order mark, by what its meta element says, by whether it is valid UTF-8, else Windows-1252."""
+    start = F.decode(F.substring(content, 1, PRESCAN), "ISO-8859-1")
+    bom = F.when(start.startswith("\xef\xbb\xbf"), "utf-8").when(start.startswith("\xff\xfe"), "utf-16le").when(start.startswith("\xfe\xff"), "utf-16be")
+    said = F.lower(F.regexp_extract(F.regexp_replace(start, "(?s)<!--.*?-->", ""), r"""(?is)<meta\s[^>]*?charset\s*=\s*["']?\s*([\w:.\-]+)""", 1))
+    named = F.when(said == "", None)
+    for name, labels in CHARSETS.items():
+        # A page whose declaration can be read as ASCII is not in UTF-16, whatever it says.
+        named = named.when(said.isin(*labels), "utf-8" if name.startswith("utf-16") else name)
+    valid = F.when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise("windows-1252")
+    return F.coalesce(bom, named.otherwise(said), valid)
+
+
+def decoded(files: DataFrame, content_col: str = "content") -> DataFrame:
+    """All columns, ``charset``, and as ``markup`` the text of the bytes; null where the charset is not known.
+
+    UTF-8, UTF-16 and Windows-1252 (which pages that say Latin-1 are in) are decoded by
+    expressions, bytes that are no characters become U+FFFD; pages in other charsets, if
+    there are any, go through Python's codecs.
+    """
+    content = F.col(content_col)
+    rows = files.withColumn("charset", charset(content))
+    native = list(CHARSETS)
+    skip = lambda mark: F.when(F.hex(F.substring(content, 1, len(mark) // 2)) == mark, F.substring(content, F.lit(len(mark) // 2 + 1), F.length(content))).otherwise(content)
+    text = (
+        F.when(F.col("charset") == "utf-8", F.make_valid_utf8(skip("EFBBBF").cast("string")))
+        .when(F.col("charset") == "windows-1252", F.translate(F.decode(content, "ISO-8859-1"), _CONTROLS, _WINDOWS))
+        .when(F.col("charset") == "utf-16le", F.decode(_even(skip("FFFE")), "UTF-16LE"))
+        .when(F.col("charset") == "utf-16be", F.decode(_even(skip("FEFF")), "UTF-16BE"))
+    )
+    known = rows.filter(F.coalesce(F.col("charset").isin(*native), F.lit(True))).withColumn("markup", text)
+
+    def other(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(markup=[_by_codec(c, name) for c, name in zip(batch[content_col], batch["charset"], strict=True)])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("markup", T.StringType())])
+    return known.unionByName(rows.filter(~F.col("charset").isin(*native)).mapInPandas(other, schema))
+
+
+def _even(content: Column) -> Column:
+    """Bytes in pairs; one that is left over is dropped."""
+    return F.substring(content, F.lit(1), F.length(content) - F.pmod(F.length(content), F.lit(2)))
+
+
+def _by_codec(content: bytes, name: str) -> str | None:
+    try:
+        return content.decode(name, "replace")
+    except (LookupError, UnicodeError):
+        return None
+
+
 def told(pieces: Column, block: Column, separator: str) -> Column:
     """The text of a block."""
     return F.array_join(F.slice(pieces, block["start"] + 1, block["stop"] - block["start"]), separator)

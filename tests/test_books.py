@@ -434,3 +434,80 @@ def test_a_heading_without_text_starts_a_chapter(spark):
     items = [("b", 0, "i", "x", "One", ["body"], "body"), ("b", 1, "i", "x", "", [], ""), ("b", 2, "i", "x", None, [LONG], LONG), ("b", 3, "i", "x", None, [], "")]
     df = spark.createDataFrame(items, "book string, pos int, item_id string, href string, heading string, paragraphs array<string>, text string")
     assert rows(chapters.spine_chapters(df), "chapter_index") == [("b", 0, "One", "body"), ("b", 1, "Chapter 2", f"\n\n{LONG}")]
+
+
+def test_charsets(spark):
+    """Byte order marks, declarations, neither, and what is wrong with them."""
+    text = "<p>é “x” €</p>"
+    cases = {
+        "utf8": (text.encode(), "utf-8", text),
+        "bom8": (b"\xef\xbb\xbf" + text.encode(), "utf-8", text),
+        "bom16": (b"\xff\xfe" + text.encode("utf-16-le") + b"x", "utf-16le", text),
+        "be": (b"\xfe\xff" + text.encode("utf-16-be"), "utf-16be", text),
+        "said": (b"<meta charset='Latin1'>" + text.encode("cp1252"), "windows-1252", f"<meta charset='Latin1'>{text}"),
+        "guessed": (text.encode("cp1252"), "windows-1252", text),
+        "equiv": ("<META content='text/html; charset=\"KOI8-R\"'>да".encode("koi8-r"), "koi8-r", "<META content='text/html; charset=\"KOI8-R\"'>да"),
+        "wrong16": (b"<meta charset=utf-16>a", "utf-8", "<meta charset=utf-16>a"),
+        "comment": (b"<!-- <meta charset=koi8-r> -->a", "utf-8", "<!-- <meta charset=koi8-r> -->a"),
+        "unknown": (b"<meta charset=what>a", "what", None),
+        "broken": (b"<meta charset=utf-8>a\xffb", "utf-8", "<meta charset=utf-8>a�b"),
+        "empty": (b"", "utf-8", ""),
+    }
+    df = spark.createDataFrame([(k, bytearray(v[0])) for k, v in cases.items()] + [("null", None)], "id string, content binary")
+    got = {r.id: (r.charset, r.markup) for r in markup.decoded(df).collect()}
+    assert got.pop("null")[1] is None
+    assert got == {k: v[1:] for k, v in cases.items()}
+
+
+def test_parts_of_chapters_against_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    chunks, want = [], {}
+    for book in range(3):
+        for chapter in range(4):
+            made = []
+            for k in range(int(rng.integers(1, 6))):
+                samples = [float(x) for x in rng.integers(1, 9, int(rng.integers(0, 25)))]
+                chunks.append((book, chapter, k * 3, samples))
+                made += ([0.0] * 12 if k else []) + samples
+            want |= {(book, chapter, p // 10): made[p : p + 10] for p in range(0, len(made), 10)}
+    df = spark.createDataFrame(chunks, "book int, chapter_index int, chunk_index int, samples array<float>")
+    parts = audio.assembled_parts(df, 120, 100, 10)
+    got = {(r.book, r.chapter_index, r.part): r.samples for r in parts.collect()}
+    assert got == want
+    whole = {(r.book, r.chapter_index): r.samples for r in audio.assembled(df, 120, 100).collect()}
+    files = {}
+    for r in audio.wav_parts(parts, 100).orderBy("part").collect():
+        files[r.book, r.chapter_index] = files.get((r.book, r.chapter_index), b"") + bytes(r.content)
+    for k, content in files.items():
+        samples, rate = audio.from_wav(content)
+        assert rate == 100 and content == audio.to_wav(np.array(whole[k]), 100)
+        assert len(samples) == len(whole[k])
+    assert "collect_list(samples" not in plan(parts)
+
+
+def test_marks_do_not_depend_on_partitions(spark):
+    chunks = spark.range(3000).selectExpr("int(id % 3) book", "int(id DIV 3 DIV 10) chapter_index", "int(id DIV 3 % 10) chunk_index", "id * 7919 % 5003 n_samples")
+    marks = [sorted(map(tuple, timing.sample_marks(audio.sample_offsets(chunks.repartition(n), 300, 24_000), 24_000).collect())) for n in (1, 7)]
+    assert marks[0] == marks[1]
+    ends = {}
+    for r in sorted(chunks.collect()):
+        begun = ends.setdefault((r.book, r.chapter_index), [0, 0])
+        begun[0] += r.n_samples + (7200 if begun[1] else 0)
+        begun[1] += 1
+    at = {}
+    for (book, chapter), (n, _) in sorted(ends.items()):
+        start = at.get(book, 0)
+        at[book] = start + n
+        assert (book, chapter, start, start + n, start * 1000 // 24_000, (start + n) * 1000 // 24_000) in marks[0]
+
+
+class Mute:
+    def synthesize(self, text, voice, speed):
+        if text == "...":
+            raise audio.Unspeakable(text)
+        return np.full(4, 0.5)
+
+
+def test_what_an_engine_cannot_say_is_silence(spark):
+    chunks = spark.createDataFrame([(1, "a"), (2, "...")], "k int, text string")
+    assert {r.k: r.samples for r in audio.synthesized(chunks, Mute, "v").collect()} == {1: [0.5] * 4, 2: []}
