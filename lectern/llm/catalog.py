@@ -23,4 +23,6 @@ ORACLES = {
     "op7_topk": topk.SQL,
     "op10_url_filters": url_filter.SQL,
     "op11_vector_codes": codebooks.SQL,
+    "op12_repeats": repeats.SQL,
+    "op13_conversations": conversations.SQL,
 }

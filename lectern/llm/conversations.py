@@ -414,3 +414,45 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_of = rows.select("conv").distinct().join(known, F.col("conv").eqNullSafe(F.col("c")), "left")
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return all_of.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _sql() -> str:
+    """The same in SQL: a fold over the turns of a conversation that keeps the cheapest edits to each state."""
+    after = lambda s, cost, letter: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    to_user = f"list_min([z.s2, {after('z.s0', INSERT, 'I')}, {after('z.s1', INSERT, 'I')}, {after('z.s3', INSERT, 'I')}])"
+    to_assistant = f"list_min([z.s3, {after(to_user, INSERT, 'I')}])"
+    states = ["z.s0", "z.s1", to_user, to_assistant]
+    far, extra, kept = "{'c': 1000000000, 'a': ''}", f"(CASE WHEN x.f = 't' THEN {MEND} ELSE 0 END)", "x.f IN ('-', 't')"
+
+    def new(state: int) -> str:
+        """The cheapest edits to a state after one more turn."""
+        ways = [after(states[state], DELETE, "D")]
+        for initial, moves in _MOVES.items():
+            for begin in [a for a, b in moves if b == state]:
+                ways.append(f"CASE WHEN {kept} AND x.i = '{initial}' THEN {after(states[begin], extra, 'K')} ELSE {far} END")
+                if initial != "s":
+                    ways.append(f"CASE WHEN {kept} THEN {after(states[begin], f'{REROLE} + {extra}', 'R')} ELSE {far} END")
+        return f"list_min([{', '.join(ways)}])"
+
+    begin = f"{{'i': '', 'f': '', 's0': {{'c': 0, 'a': ''}}, 's1': {far}, 's2': {far}, 's3': {far}}}"
+    fold = f"list_reduce(list_prepend({begin}, ts), lambda z, x: {{'i': '', 'f': '', {', '.join(f"'s{k}': {new(k)}" for k in range(4))}}})"
+    best = f"list_min([z.s0, {to_assistant}])"
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda b: ascii(b)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda q, k: xor(q >> 1, 3988292384 * (q & 1)))), 4294967295)"
+    space = r"\x20\x09-\x0D"
+    return f"""WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {crc} % 20 AS kind FROM k),
+g AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM g),
+f AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][{space}]*$') THEN 't' ELSE '-' END AS f, concat(lag(left(role, 1)) OVER w, left(role, 1)) AS pair, lag(p) OVER w AS before FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({{'i': i, 'f': f, 's0': {far}, 's1': {far}, 's2': {far}, 's3': {far}}} ORDER BY p) AS ts, list(role ORDER BY p) AS roles, list(text ORDER BY p) AS texts FROM f GROUP BY conv_id),
+b AS (SELECT *, list_transform([{fold}], lambda z: {best})[1] AS best FROM c),
+l AS (SELECT conv_id, list_reduce(list_prepend({{'e': '', 'k': 0, 's': 0, 'o': []::VARCHAR[]}}, list_transform(list_filter(string_split(best.a, ''), lambda q: q <> ''), lambda q: {{'e': q, 'k': 0, 's': 0, 'o': []::VARCHAR[]}})), lambda a, x:
+  {{'e': '', 'k': CASE x.e WHEN 'I' THEN a.k ELSE a.k + 1 END,
+   's': CASE x.e WHEN 'D' THEN a.s WHEN 'K' THEN CASE left(roles[a.k + 1], 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE a.s WHEN 2 THEN 3 ELSE 2 END END,
+   'o': CASE x.e WHEN 'D' THEN a.o ELSE list_append(a.o, concat(CASE WHEN x.e = 'K' THEN roles[a.k + 1] WHEN a.s = 2 THEN 'assistant' ELSE 'user' END, ':', CASE x.e WHEN 'I' THEN '' ELSE texts[a.k + 1] END)) END}}).o AS o FROM b)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN l ON a.conv_id IS NOT DISTINCT FROM l.conv_id"""
+
+
+SQL = _sql()

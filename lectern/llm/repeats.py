@@ -325,3 +325,18 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of what is left of each document."""
     cleaned = without_repeats(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same in SQL: all strings by their hash (from blocks of the texts in hexadecimal), gaps and islands.
+SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT r, k, substr(h, 400 * k + 1, 598) AS h FROM d, unnest(range(0, (length(h) // 2 - 100) // 200 + 1)) u(k) WHERE length(h) >= 200),
+w AS MATERIALIZED (SELECT r, 200 * k + p AS p, md5_number(substr(h, 2 * p + 1, 200)) AS s FROM q, unnest(range(0, least(200, length(h) // 2 - 99))) u(p)),
+m AS (SELECT s, min(r * 4294967296 + p) AS f FROM w GROUP BY s HAVING count(*) > 1),
+g AS (SELECT r, p FROM w JOIN m USING (s) WHERE r * 4294967296 + p > f),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM g)),
+t AS (SELECT r, k, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY r, k),
+e AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM t),
+c AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM e JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (r)
+"""
