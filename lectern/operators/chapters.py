@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns as P
 from lectern.functions.rules import strip
 from lectern.operators.chunks import packed_strings
+from lectern.operators.sentences import small
 from lectern.storage import written
 
 SHORT_ITEM = 200
@@ -103,24 +104,48 @@ def section_chapters(blocks: DataFrame) -> DataFrame:
 
 
 def page_headings(pages: DataFrame) -> DataFrame:
-    """book, chapter_index, title, text split at heading-like lines of page texts (book, page_no, text); text before the first one goes."""
-    split = pages.select("book", "page_no", F.split("text", "\n", -1).alias("lines"))
+    """book, chapter_index, title, text split at heading-like lines of page texts (book, page_no, text); text before the first one goes.
+
+    Texts are looked through once for the places of headings. All numbering is done on those
+    places; then each text is met once by what its sections are, and shuffled to its chapters.
+    """
+    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
     marks = F.transform("lines", lambda x, i: F.when(x.rlike(P.HEADING_LINE), i + 1))
-    flagged = split.withColumn("heads", F.filter(marks, lambda k: k.isNotNull()))
-    counts = flagged.groupBy("book", "page_no").agg(F.coalesce(F.sum(F.size("heads")), F.lit(0)).alias("_n"))
+    split = pages.select("book", "page_no", mark, F.split("text", "\n", -1).alias("lines"))
+    flagged = split.select("book", "page_no", "mark", "lines", F.filter(marks, lambda k: k.isNotNull()).alias("heads"))
 
-    def section(start: Column, j: Column) -> Column:
-        """What stands from a heading (of section 0: from the first line) to the next one."""
+    def lines_of(start: Column, j: Column) -> Column:
+        """The lines from a heading (of section 0: from the first line) to the next one."""
         skip = (j > 0).cast("int")
         inner = F.slice("lines", start + skip, F.coalesce(F.get("heads", j), F.size("lines") + 1) - start - skip)
-        body = F.filter(inner, lambda x: ~blank(x))
-        return F.struct(j.alias("j"), F.when(j > 0, strip(F.get("lines", start - 1))).alias("title"), F.when(F.size(body) > 0, F.array_join(body, "\n")).alias("body"))
-
-    parts = flagged.select("book", "page_no", F.explode(F.transform(F.concat(F.array(F.lit(1)), "heads"), section)).alias("p")).select("book", "page_no", "p.*")
-    parts = with_ahead(parts, counts, "page_no").withColumn("n", F.col("_ahead") + F.col("j")).filter("n > 0")
-    made = parts.groupBy("book", "n").agg(F.max("title").alias("title"), ordered_join("page_no", "body", "\n").alias("text"))
-    kept = made.filter(~blank(F.col("text")))
-    return numbered(kept, parts.filter("body IS NOT NULL").select("book", "n"), "n").select("book", "chapter_index", "title", "text")
+        return F.filter(inner, lambda x: ~blank(x))
+
+    starts = F.concat(F.array(F.lit(1)), F.col("heads"))
+    placed = written(flagged.select("book", "page_no", "mark", "heads", F.transform(starts, lambda start, j: F.size(lines_of(start, j)) > 0).alias("full")))
+    counts = placed.groupBy("book", "page_no").agg(F.coalesce(F.sum(F.size("heads")), F.lit(0)).alias("_n"))
+    sections = written(_sections(placed, counts))
+    made = sections.filter("has").select("book", "n").distinct()
+    index = numbered(made, made, "n").select(F.col("book").alias("_book"), F.col("n").alias("_n"), "chapter_index")
+    told = sections.join(index, F.col("book").eqNullSafe(F.col("_book")) & (F.col("n") == F.col("_n")))
+    # Rows of one place and text are alike, and so is what is said of them.
+    said = told.groupBy("book", "page_no", "mark").agg(F.any_value("heads").alias("heads"), F.collect_set(F.struct("j", "chapter_index")).alias("sections"))
+    said = small(said.select(F.col("book").alias("_book"), F.col("page_no").alias("_page"), F.col("mark").alias("_mark"), "heads", "sections"))
+    met = split.join(said, F.col("book").eqNullSafe(F.col("_book")) & F.col("page_no").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark")))
+
+    def section(s: Column) -> Column:
+        start = F.when(s["j"] > 0, F.get("heads", s["j"] - 1)).otherwise(1)
+        body = lines_of(start, s["j"])
+        return F.struct(s["chapter_index"].alias("chapter_index"), F.when(s["j"] > 0, strip(F.get("lines", start - 1))).alias("title"), F.when(F.size(body) > 0, F.array_join(body, "\n")).alias("body"))
+
+    parts = met.select("book", "page_no", F.explode(F.transform("sections", section)).alias("p")).select("book", "page_no", "p.*")
+    return parts.groupBy("book", "chapter_index").agg(F.max("title").alias("title"), ordered_join("page_no", "body", "\n").alias("text")).select("book", "chapter_index", "title", "text")
+
+
+def _sections(placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """book, page_no, mark, heads, j, has, n: the sections of each page with their numbers in the book, without what stands before its first heading."""
+    rows = with_ahead(placed, counts, "page_no")
+    told = rows.select("book", "page_no", "mark", "heads", "_ahead", F.posexplode("full").alias("j", "has"))
+    return told.select("book", "page_no", "mark", "heads", "j", "has", (F.col("_ahead") + F.col("j")).alias("n")).filter("n > 0")
 
 
 def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:
