@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chapters, jobs, timing
 from lectern.plans.texts import read
-from lectern.sources import archives, audio, epub, markup
+from lectern.sources import archives, audio, epub, markup, pdf
 from lectern.storage import new_path
 from lectern.streaming import progress
 from lectern.tables import Table
@@ -467,6 +467,45 @@ def assembled_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("book", "chapter_index", F.size("samples").alias("n"), F.round(total, 4).alias("total"), F.round(F.get("samples", F.lit(64)), 6).alias("after_first"))
 
 
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as pages; those that could not be read are empty."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page_no"), F.expr("CASE WHEN doc_id % 7 > 0 THEN text END").alias("text"))
+    return pdf.pages(docs).select("book", "page_no", F.length("text").alias("n_chars"))
+
+
+def pdf_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Info dictionaries with missing and blank titles and authors."""
+    told = "CASE c_custkey % {0} WHEN 0 THEN NULL WHEN 1 THEN ' \n ' WHEN 2 THEN concat(' ', {1}, '\n') ELSE {1} END"
+    info = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book"), F.expr(told.format(5, "c_name")).alias("title"), F.expr(told.format(7, "c_mktsegment")).alias("author"))
+    return pdf.books(info)
+
+
+def pdf_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that name an encryption dictionary, in place or by reference, and texts that only speak of it."""
+    content = F.encode(F.expr("concat('%PDF-1.7 ', text, CASE doc_id % 4 WHEN 0 THEN ' trailer << /Encrypt 5 0 R >>' WHEN 1 THEN ' /Encrypt<< /V 1 >>' WHEN 2 THEN ' on /Encrypt and /EncryptMetadata' ELSE '' END)"), "UTF-8")
+    return read(spark, sf_dir, "documents").select("doc_id", pdf.encrypted(content).alias("protected"))
+
+
+QUERIES |= {"pdf_pages": pdf_pages, "pdf_books": pdf_books, "pdf_protected": pdf_protected}
+_INFO = "CASE WHEN c_custkey % {0} < 2 THEN '{2}' WHEN c_custkey % {0} = 2 THEN trim({1}) ELSE {1} END"
+ORACLES |= {
+    "pdf_pages": "SELECT source AS book, doc_id AS page_no, CASE WHEN doc_id % 7 > 0 THEN length(text) ELSE 0 END::INT AS n_chars FROM documents",
+    "pdf_books": f"SELECT c_custkey AS book, {_INFO.format(5, 'c_name', 'book')} AS title, {_INFO.format(7, 'c_mktsegment', 'Unknown')} AS author FROM customer",
+    "pdf_protected": "SELECT doc_id, doc_id % 4 < 2 OR regexp_matches(text, '/Encrypt\\s*(?:\\d+\\s+\\d+\\s+R|<<)') AS protected FROM documents",
+}
+
+
+def voice_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weakest level of each voice; every third voice is too quiet."""
+    sounds = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "label").alias("voice"), F.transform("embedding", lambda x: x * F.expr("CAST(CASE WHEN label % 3 = 0 THEN 0.03125 ELSE 1 END AS FLOAT)")).alias("samples"))
+    return audio.voice_quality(sounds).select("voice", F.round("rms", 6).alias("rms"), "verdict")
+
+
+QUERIES["voice_levels"] = voice_levels
+ORACLES["voice_levels"] = """WITH r AS (SELECT concat('v', label) AS voice, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) * CASE WHEN label % 3 = 0 THEN 0.03125 ELSE 1 END AS r FROM embeddings)
+SELECT voice, round(min(r), 6) AS rms, CASE WHEN min(r) >= 0.005 THEN 'OK' ELSE 'FLAG' END AS verdict FROM r GROUP BY voice"""
+
+
 def assembled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters in parts of a hundred samples, each with what it holds."""
     made = audio.assembled_parts(_sounds(spark, sf_dir), 300, 100, 100)

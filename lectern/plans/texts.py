@@ -83,6 +83,11 @@ def clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["clean_all"] = clean_all
 
 
+QUERIES["clean_custom"] = _docs("concat('<b>', replace(text, ' ', '  \\t '), '</b>\\n\\n\\n&lt;')", lambda t: rules.cleaned(t, [rules.strip_markup, rules.tidy_white_space]))
+ORACLES["clean_custom"] = r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(concat(regexp_replace(replace(text, ' ', '  ' || chr(9) || ' '), '<[^>]+>', '', 'g'), repeat(chr(10), 3), '<'),
+  '[ \t]+\n', chr(10), 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents"""
+
+
 def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(rules.foreign_phrases(F.concat("text", F.lit(" 早稲田大学 “”–—")))).alias("phrase"))
 
@@ -241,11 +246,15 @@ SELECT vec_id, round(r, 6) AS rms, r < 0.001 AS quiet, list_sum(q)::BIGINT AS su
 def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks_ = F.array(*[F.slice("embedding", 1 + 16 * k, 16) for k in range(4)])
     silence = F.array_repeat(F.lit(0.0).cast("float"), 3)
-    return read(spark, sf_dir, "embeddings").select("vec_id", speech.with_silence(chunks_, silence).alias("a")).select("vec_id", F.size("a").cast("long").alias("n"), F.get("a", F.lit(16)).alias("gap"), F.get("a", F.lit(19)).alias("next"))
+    made = read(spark, sf_dir, "embeddings").select("vec_id", speech.with_silence(chunks_, silence).alias("a"))
+    placed = F.transform("a", lambda x, i: x.cast("double") * i)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return made.select("vec_id", F.size("a").cast("long").alias("n"), F.get("a", F.lit(16)).alias("gap"), F.get("a", F.lit(19)).alias("next"), F.round(total(F.col("a")), 4).alias("total"), F.round(total(placed), 3).alias("placed"))
 
 
 QUERIES["chunks_with_silence"] = interleaved
-ORACLES["chunks_with_silence"] = "SELECT vec_id, 73::BIGINT AS n, 0::FLOAT AS gap, embedding[17] AS next FROM embeddings"
+ORACLES["chunks_with_silence"] = """SELECT vec_id, len(embedding)::BIGINT + 9 AS n, 0::FLOAT AS gap, embedding[17] AS next, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total,
+round(list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * (i - 1 + 3 * ((i - 1) // 16)))), 3) AS placed FROM embeddings"""
 
 
 def speech_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
