@@ -12,6 +12,8 @@ from lectern.tables import Table
 #: States that no event changes.
 TERMINAL = ("done", "failed", "cancelled")
 MAX_UPLOAD = 200 * 1024 * 1024
+#: Bits of the filter of what is done at most: 64 MB.
+MOST_BITS = 1 << 29
 EXTENSIONS = (".epub", ".pdf", ".html", ".htm")
 
 CHAPTER = T.StructType([T.StructField("index", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
@@ -92,9 +94,39 @@ def orphans(jobs: DataFrame, books: DataFrame) -> DataFrame:
     return jobs.join(books.select(F.col("id").alias("book_id")), "book_id", "left_anti")
 
 
-def to_do(chapters: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Chapters not built yet; with a content hash among the keys, changed ones are built again."""
-    return chapters.join(done.select(*keys).distinct(), keys, "left_anti")
+def to_do(chapters: DataFrame, done: DataFrame, keys: list[str], bits: int = MOST_BITS) -> DataFrame:
+    """Chapters not built yet; with a content hash among the keys, changed ones are built again.
+
+    Chapters that a Bloom filter of what is done does not know are to do and are never
+    shuffled; the others, the done ones and a few more, are told apart by an exact
+    anti-join. For that the chapters are read twice, which costs less than moving their
+    texts. Null keys equal nothing, so their chapters are to do; an empty ``done`` leaves
+    every chapter; keys whose types differ are only joined, since their hashes do.
+    """
+    ready = done.select(*keys).dropna()
+    if any(chapters.schema[k].dataType != done.schema[k].dataType for k in keys):
+        return chapters.join(ready, keys, "left_anti").select(*chapters.columns)
+    told = perhaps_done(chapters, ready, keys, bits)
+    new, met = told.filter("NOT perhaps").select("row.*"), told.filter("perhaps").select("row.*")
+    return new.unionByName(met.join(ready, keys, "left_anti"))
+
+
+def perhaps_done(chapters: DataFrame, ready: DataFrame, keys: list[str], bits: int = MOST_BITS) -> DataFrame:
+    """row (a chapter as a struct, so that no column name clashes), perhaps: false where no row of ``ready`` has its keys, for sure.
+
+    The filter is a bitmap of hashed keys in blocks of 4 KB, sent to all tasks. It has 16
+    bits or more for each ready row, up to ``bits``: a limit on what is sent, not on what is
+    done, since a fuller filter only says "perhaps" more often.
+    """
+    size = min(max(1 << (16 * ready.count() - 1).bit_length(), 1 << 15), bits)
+    bit = F.pmod(F.xxhash64(*keys), F.lit(size))
+    blocks = ready.select(F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit"))
+    blocks = F.broadcast(blocks.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    rows = chapters.select(F.struct(*chapters.columns).alias("row"), F.bitmap_bucket_number(bit).alias("block"), F.bitmap_bit_position(bit).alias("bit"))
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # A byte is 0 to 255, so its bit k is the last one of its k-th halving.
+    found = F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1
+    return rows.join(blocks, "block", "left").select("row", F.coalesce(found, F.lit(False)).alias("perhaps"))
 
 
 def with_chapters(books: DataFrame) -> DataFrame:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PREFIX = "lectern-"
 _local: dict[str, str] = {}
+#: Paths handed out in the innermost lifetime of the running thread.
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +30,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{_PREFIX}{uuid.uuid4().hex}"
+    """A path of this application that nothing has; it goes with the ``lifetime`` that it is made in."""
+    path = f"{shared_dir(spark)}/{_PREFIX}{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
+    return path
+
+
+@contextmanager
+def lifetime(spark: SparkSession, keep: bool = False) -> Iterator[list[str]]:
+    """Deletes what was written inside when it ends, however it ends, unless it is to be kept.
+
+    Results are lazy and read such tables, so they are consumed inside. Lifetimes may be
+    nested: what is kept by an inner one belongs to the outer one. Threads have their own.
+    """
+    outer, paths = _owned.get(), []
+    token = _owned.set(paths)
+    try:
+        yield paths
+    finally:
+        _owned.reset(token)
+        if not keep:
+            for path in paths:
+                delete(spark, path)
+        elif outer is not None:
+            outer.extend(paths)
+
+
+def sweep(spark: SparkSession, idle: float) -> int:
+    """Deletes what other applications left in the shared folder and nobody has changed for so many seconds; how many tables.
+
+    For what is left by drivers that were killed; ``idle`` has to exceed the run time of any that is alive.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    own, n = f"{_PREFIX}{spark.sparkContext.applicationId}-", 0
+    for found in files.listStatus(place) if files.exists(place) else ():
+        name = found.getPath().getName()
+        if name.startswith(_PREFIX) and not name.startswith(own) and found.getModificationTime() < (time.time() - idle) * 1000:
+            files.delete(found.getPath(), True)
+            n += 1
+    return n
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -511,3 +511,28 @@ class Mute:
 def test_what_an_engine_cannot_say_is_silence(spark):
     chunks = spark.createDataFrame([(1, "a"), (2, "...")], "k int, text string")
     assert {r.k: r.samples for r in audio.synthesized(chunks, Mute, "v").collect()} == {1: [0.5] * 4, 2: []}
+
+
+def test_resume_against_plain_sets(spark):
+    """Repeated rows, null keys, clashing names, changed content and a filter that is full."""
+    schema = "block string, id long, bit string, row int, perhaps string, bitmap string"
+    rows = [(f"b{k % 5}", k % 4000 if k % 11 else None, f"c{k % 3}", k, None, "x") for k in range(6000)]
+    chapters = spark.createDataFrame(rows, schema)
+    built = {(k, f"c{k % 3}") for k in range(0, 4000, 2)} | {(k, "old") for k in range(1, 4000, 2)}
+    done = spark.createDataFrame([*built, *list(built)[:50], (None, "c1"), (7, None)], "id long, bit string")
+    want = [r for r in rows if (r[1], r[2]) not in built]
+    for bits in (jobs.MOST_BITS, 1 << 15, 64):
+        got = jobs.to_do(chapters, done, ["id", "bit"], bits)
+        assert got.columns == chapters.columns and sorted(map(tuple, got.collect()), key=lambda r: r[3]) == want
+    assert jobs.to_do(chapters, done.limit(0), ["id", "bit"]).count() == 6000 and jobs.to_do(chapters.limit(0), done, ["id", "bit"]).count() == 0
+    # Types that differ are joined as they always were.
+    assert jobs.to_do(chapters, done.withColumn("id", F.col("id").cast("int")), ["id", "bit"]).count() == len(want)
+
+
+@pytest.mark.parametrize("share", [0, 10, 50, 100])
+def test_resume_shuffles_what_may_be_done(spark, share):
+    chapters = spark.range(20_000).withColumn("text", F.lit("words"))
+    told = jobs.perhaps_done(chapters, chapters.filter(f"id % 100 < {share}").select("id"), ["id"])
+    by = {r.perhaps: r["count"] for r in told.groupBy("perhaps").count().collect()}
+    # All that are done, and of the others one in sixteen at most, by chance.
+    assert 200 * share <= by.get(True, 0) <= 200 * share + (20_000 - 200 * share) / 12

@@ -1,7 +1,10 @@
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__
+from lectern import storage
 from lectern.plans import catalog
 from tests.conftest import DATA
 
@@ -19,9 +22,11 @@ def compare(spark, query, sql):
     con.execute("SET timezone = 'UTC'")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS FROM '{DATA}/{t}.parquet'")
-    df = query(spark, DATA)
-    cols = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    with storage.lifetime(spark) as written:
+        df = query(spark, DATA)
+        cols = sorted(df.columns)
+        got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert not any(map(os.path.exists, written))
     if sql is None:
         assert got
         return
