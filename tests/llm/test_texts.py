@@ -1,5 +1,6 @@
 """Operators 2, 4, 5, 6, 8, 9 on small fixtures."""
 
+import math
 import random
 import re
 import zlib
@@ -468,6 +469,36 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(empty(spark), labels.limit(0)).collect() == []
 
 
+def plain_responses(m, a, b):
+    """The forward pass of one text, word by word and filter by filter."""
+    out = []
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for p in range(len(a) - w + 1):
+                total = float(m.offsets[w][f])
+                for o in range(w):
+                    word = [*m.one[a[p + o]], *m.two[b[p + o]]]
+                    total += sum(float(x) * float(k) for x, k in zip(word, m.kernels[w][o][:, f], strict=True))
+                best = max(best, total)
+            out.append(best)
+    return out
+
+
+def test_toxicity_against_a_plain_forward_pass():
+    m = toxicity.train(pa.array([f"bad word{k} here so it is" if k % 2 else f"good word{k} here so it is" for k in range(80)]), np.arange(80) % 2)
+    texts = pa.array(["you are bad", "", None, "good", "a b", "so bad it is here and very good too", "плохо 漢字 bad", "bad " * 12])
+    hashes, which, ends = toxicity.tokens(texts)
+    one, two = toxicity.buckets(hashes)
+    want = []
+    for k in range(len(texts)):
+        mine = which[ends[k] : ends[k + 1]]
+        value = plain_responses(m, [int(one[x]) for x in mine], [int(two[x]) for x in mine])
+        logit = sum(v * float(x) for v, x in zip(value, m.out, strict=True)) + float(m.bias) - float(m.cuts[toxicity.shown(texts)[k]])
+        want.append(1 / (1 + math.exp(-(logit + math.log(toxicity.CUT / (1 - toxicity.CUT))))))
+    assert np.allclose(m.scores(texts), want, atol=1e-4)
+
+
 def test_toxicity_model_ignores_neighbours():
     texts = ["a b c", "", "x", "d e f g"]
     m = toxicity.train(pa.array([f"bad word{k} here" if k % 2 else f"good word{k} here" for k in range(80)]), np.arange(80) % 2)
