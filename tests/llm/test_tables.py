@@ -31,6 +31,16 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0), url_filter.rule_table(spark, url_filter.RULES)).collect() == []
 
 
+def test_url_verdicts_of_the_contract(spark, tmp_path):
+    said = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    listed = {rule: word for word, rule in (r.split(" ") for r in said.split(", "))}
+    assert {host + path: verdict for host, path, verdict in url_filter.RULES} == listed
+    urls = [f"http://a.{rule}1" for rule in listed] + ["http://example.net/de/7", "http://b.net/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.op10_url_filters(spark, str(tmp_path)).collect()}
+    assert got == {**dict(enumerate(listed.items())), 5: ("net/de/", "allow"), 6: (None, "allow")}
+
+
 def test_urls_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", -1)
     test_urls(spark)
