@@ -14,14 +14,15 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.chapters import spine_chapters
 from lectern.operators.timing import title_or
 from lectern.sources.archives import failed
-from lectern.sources.markup import BLOCK, HEADINGS, body_text, told, walked
+from lectern.sources.batches import batched, rows_of
+from lectern.sources.markup import BLOCK, BLOCK_ARROW, HEADINGS, body_text, told, walked
 from lectern.storage import written
 
 #: Algorithms that only hide fonts, and the places of what describes an archive.
@@ -32,6 +33,9 @@ PAGES = ("application/xhtml+xml", "text/html")
 _PAGE = "array<struct<pos:int,item_id:string,href:string,place:string>>"
 _PACKAGE = f"path string, title string, author string, language string, protected boolean, error string, cover_place string, cover_name string, pages {_PAGE}"
 _ITEM = f"path string, pos int, item_id string, href string, error string, pieces array<string>, prose array<string>, blocks array<{BLOCK}>"
+_PAGE_ARROW = pa.struct([("pos", pa.int32()), ("item_id", pa.string()), ("href", pa.string()), ("place", pa.string())])
+_PACKAGE_ARROW = pa.schema([*[(k, pa.string()) for k in ("path", "title", "author", "language")], ("protected", pa.bool_()), *[(k, pa.string()) for k in ("error", "cover_place", "cover_name")], ("pages", pa.list_(_PAGE_ARROW))])
+_ITEM_ARROW = pa.schema([("path", pa.string()), ("pos", pa.int32()), *[(k, pa.string()) for k in ("item_id", "href", "error")], ("pieces", pa.list_(pa.string())), ("prose", pa.list_(pa.string())), ("blocks", pa.list_(BLOCK_ARROW))])
 
 
 def _local(element: ElementTree.Element) -> str:
@@ -64,16 +68,16 @@ def _packages(entries: DataFrame) -> DataFrame:
     files = F.collect_list(F.when(telling, F.struct("entry", "content", "error")))
     by_path = entries.groupBy("path").agg(files.alias("files"))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, given in zip(batch["path"], batch["files"], strict=True):
-                wrong = next((f["error"] for f in given if f["error"]), None)
-                made = package({f["entry"]: f["content"] for f in given if f["content"] is not None})
-                out.append({"path": path, **(package({}) | {"error": wrong} if wrong else made)})
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in _PACKAGE.split(", ")])
+    def told(r: dict) -> tuple[dict, int]:
+        wrong = next((f["error"] for f in r["files"] if f["error"]), None)
+        given = {f["entry"]: f["content"] for f in r["files"] if f["content"] is not None}
+        said = package({}) | {"error": wrong} if wrong else package(given)
+        return {"path": r["path"], **said}, sum(map(len, given.values()))
 
-    return by_path.mapInPandas(describe, _PACKAGE)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(map(told, rows_of(batches)), _PACKAGE_ARROW)
+
+    return by_path.mapInArrow(describe, _PACKAGE)
 
 
 def _items(packages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -81,18 +85,17 @@ def _items(packages: DataFrame, entries: DataFrame) -> DataFrame:
     pages = packages.filter("NOT protected").select("path", F.inline("pages"))
     held = entries.filter("entry IS NOT NULL").select("path", F.col("entry").alias("place"), "content", F.col("error").alias("wrong"), F.lit(True).alias("there"))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                error = (r["wrong"] or "no content") if r["content"] is None else None
-                found = walked(None if error else r["content"].decode("utf-8-sig", "replace"))
-                out.append({k: r[k] for k in ("path", "pos", "item_id", "href")} | {"error": error or found["error"]} | {k: found[k] for k in ("pieces", "prose", "blocks")})
-            yield pd.DataFrame(out)
+    def found(r: dict) -> tuple[dict, int]:
+        error = (r["wrong"] or "no content") if r["content"] is None else None
+        walk = walked(None if error else r["content"].decode("utf-8-sig", "replace"))
+        return {k: r[k] for k in ("path", "pos", "item_id", "href")} | {"error": error or walk["error"]} | {k: walk[k] for k in ("pieces", "prose", "blocks")}, len(r["content"] or b"")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(map(found, rows_of(batches)), _ITEM_ARROW)
 
     met = pages.join(held, ["path", "place"], "left")
     wrong = F.when(F.col("there").isNull(), F.concat(F.lit("KeyError: no entry "), "place")).otherwise(F.col("wrong"))
-    return met.select("path", "pos", "item_id", "href", "content", wrong.alias("wrong")).mapInPandas(walk, _ITEM)
+    return met.select("path", "pos", "item_id", "href", "content", wrong.alias("wrong")).mapInArrow(walk, _ITEM)
 
 
 @dataclass

@@ -12,8 +12,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from lectern.functions.rules import strip
 from lectern.operators.chapters import section_chapters
 from lectern.operators.timing import title_or
+from lectern.sources.batches import batched, rows_of
 from lectern.storage import written
 
 #: Elements that have no end tag.
@@ -32,7 +35,9 @@ _SILENT = frozenset(["script", "style"])
 
 #: ``start`` and ``stop`` are places in ``pieces``; ``prose`` holds null for pieces of code.
 BLOCK = "struct<tag:string,start:int,stop:int,leaf:boolean,in_body:boolean>"
+BLOCK_ARROW = pa.struct([("tag", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("leaf", pa.bool_()), ("in_body", pa.bool_())])
 WALK = f"error string, title string, author string, has_body boolean, body_start int, body_stop int, pieces array<string>, prose array<string>, blocks array<{BLOCK}>"
+_ARROW = [("error", pa.string()), ("title", pa.string()), ("author", pa.string()), ("has_body", pa.bool_()), ("body_start", pa.int32()), ("body_stop", pa.int32()), ("pieces", pa.list_(pa.string())), ("prose", pa.list_(pa.string())), ("blocks", pa.list_(BLOCK_ARROW))]
 
 
 class _Walk(HTMLParser):
@@ -207,17 +212,19 @@ def body_text(prose: Column, blocks: Column) -> Column:
     return F.array_join(F.when(F.size(leaves) > 0, leaves).otherwise(loose_lines(prose)), "\n\n")
 
 
+def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of id and markup to batches of id and what the walks find, which hold few documents each."""
+    first = next(batches, None)
+    if first is not None:
+        found = ((({"id": r["id"]} | walked(r["markup"])), len(r["markup"] or "")) for r in rows_of(chain([first], batches)))
+        yield from batched(found, pa.schema([first.schema.field(0), *_ARROW]))
+
+
 def parsed(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
     """A row per document: id, error, title, author, has_body, body_start, body_stop, pieces, prose, blocks."""
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [walked(m) for m in batch["markup"]]
-            yield pd.DataFrame({"id": batch["id"], **{k: [f[k] for f in found] for k in ("error", "title", "author", "has_body", "body_start", "body_stop", "pieces", "prose", "blocks")}})
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(markup_col).alias("markup"))
-    return rows.mapInPandas(walk, f"id {kind}, {WALK}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(walks, f"id {kind}, {WALK}").withColumnRenamed("id", id_col)
 
 
 def html_books(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
