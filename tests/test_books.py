@@ -1,10 +1,12 @@
 import io
 import re
+import tracemalloc
 import wave
 import zipfile
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,6 +432,19 @@ def test_damaged_inputs_are_rows_with_errors(spark):
     assert got == {"a": (False, True), "b": (True, False), "c": (True, False), "d": (True, False)}
 
 
+def test_walks_hold_few_documents_at_a_time():
+    page = "<html><body>" + "".join(f"<h2>{k}</h2><div><p>some <b>text</b></p></div>" for k in range(200)) + "</body></html>"
+    peaks, total = [], []
+    for n in (500, 2000):
+        given = pa.record_batch({"id": list(range(n)), "markup": [page] * n})
+        tracemalloc.start()
+        total.append(sum(b.num_rows for b in markup.walks(iter([given]))))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert total == [500, 2000] and peaks[1] < 1.5 * peaks[0]
+    assert list(markup.walks(iter([]))) == []
+
+
 def test_a_heading_without_text_starts_a_chapter(spark):
     items = [("b", 0, "i", "x", "One", ["body"], "body"), ("b", 1, "i", "x", "", [], ""), ("b", 2, "i", "x", None, [LONG], LONG), ("b", 3, "i", "x", None, [], "")]
     df = spark.createDataFrame(items, "book string, pos int, item_id string, href string, heading string, paragraphs array<string>, text string")
