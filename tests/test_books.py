@@ -432,16 +432,17 @@ def test_damaged_inputs_are_rows_with_errors(spark):
     assert got == {"a": (False, True), "b": (True, False), "c": (True, False), "d": (True, False)}
 
 
-def test_walks_hold_few_documents_at_a_time():
-    page = "<html><body>" + "".join(f"<h2>{k}</h2><div><p>some <b>text</b></p></div>" for k in range(200)) + "</body></html>"
+def test_walks_hold_few_documents_at_a_time(monkeypatch):
+    monkeypatch.setattr("lectern.sources.batches.SLICE", 20_000)
+    page = "<html><body>" + "".join(f"<h2>{k}</h2><div><p>some <b>text</b></p></div>" for k in range(20)) + "</body></html>"
     peaks, total = [], []
-    for n in (500, 2000):
+    for n in (100, 400):
         given = pa.record_batch({"id": list(range(n)), "markup": [page] * n})
         tracemalloc.start()
         total.append(sum(b.num_rows for b in markup.walks(iter([given]))))
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
-    assert total == [500, 2000] and peaks[1] < 1.5 * peaks[0]
+    assert total == [100, 400] and peaks[1] < 1.5 * peaks[0]
     assert list(markup.walks(iter([]))) == []
 
 
