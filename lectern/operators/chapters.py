@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
+from lectern.functions.binding import let
 from lectern.functions.rules import strip
 from lectern.operators.chunks import packed_strings
-from lectern.operators.sentences import small
+from lectern.operators.sentences import SMALL
 from lectern.storage import written
 
 SHORT_ITEM = 200
@@ -106,46 +107,79 @@ def section_chapters(blocks: DataFrame) -> DataFrame:
 def page_headings(pages: DataFrame) -> DataFrame:
     """book, chapter_index, title, text split at heading-like lines of page texts (book, page_no, text); text before the first one goes.
 
-    Texts are looked through once for the places of headings. All numbering is done on those
-    places; then each text is met once by what its sections are, and shuffled to its chapters.
+    Texts are looked through once for the places of headings. All numbering is done on pages,
+    with lists of their sections; then each text is shuffled once to what its sections are.
+    Only chapters that go on over pages are put together by another shuffle.
     """
     mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
-    marks = F.transform("lines", lambda x, i: F.when(x.rlike(P.HEADING_LINE), i + 1))
-    split = pages.select("book", "page_no", mark, F.split("text", "\n", -1).alias("lines"))
-    flagged = split.select("book", "page_no", "mark", "lines", F.filter(marks, lambda k: k.isNotNull()).alias("heads"))
+    heads_of = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(P.HEADING_LINE), i + 1)), lambda k: k.isNotNull())
 
-    def lines_of(start: Column, j: Column) -> Column:
+    def lines_of(lines: Column, heads: Column, start: Column, j: Column) -> Column:
         """The lines from a heading (of section 0: from the first line) to the next one."""
         skip = (j > 0).cast("int")
-        inner = F.slice("lines", start + skip, F.coalesce(F.get("heads", j), F.size("lines") + 1) - start - skip)
-        return F.filter(inner, lambda x: ~blank(x))
-
-    starts = F.concat(F.array(F.lit(1)), F.col("heads"))
-    placed = written(flagged.select("book", "page_no", "mark", "heads", F.transform(starts, lambda start, j: F.size(lines_of(start, j)) > 0).alias("full")))
-    counts = placed.groupBy("book", "page_no").agg(F.coalesce(F.sum(F.size("heads")), F.lit(0)).alias("_n"))
-    sections = written(_sections(placed, counts))
-    made = sections.filter("has").select("book", "n").distinct()
-    index = numbered(made, made, "n").select(F.col("book").alias("_book"), F.col("n").alias("_n"), "chapter_index")
-    told = sections.join(index, F.col("book").eqNullSafe(F.col("_book")) & (F.col("n") == F.col("_n")))
-    # Rows of one place and text are alike, and so is what is said of them.
-    said = told.groupBy("book", "page_no", "mark").agg(F.any_value("heads").alias("heads"), F.collect_set(F.struct("j", "chapter_index")).alias("sections"))
-    said = small(said.select(F.col("book").alias("_book"), F.col("page_no").alias("_page"), F.col("mark").alias("_mark"), "heads", "sections"))
-    met = split.join(said, F.col("book").eqNullSafe(F.col("_book")) & F.col("page_no").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark")))
-
-    def section(s: Column) -> Column:
+        inner = F.slice(lines, start + skip, F.coalesce(F.get(heads, j), F.size(lines) + 1) - start - skip)
+        return F.filter(inner, lambda x: x.rlike(rf"(?!{P.SP})[\s\S]"))
+
+    def flagged(lines: Column, heads: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), heads)
+        full = F.filter(F.transform(starts, lambda start, j: F.when(F.size(lines_of(lines, heads, start, j)) > 0, j)), lambda j: j.isNotNull())
+        return F.struct(heads.alias("heads"), full.alias("full"))
+
+    # A text is split once, and its lines are held as they are: they are sliced for every section.
+    found = let(F.split("text", "\n", -1), lambda lines: let(heads_of(lines), lambda heads: flagged(lines, heads)))
+    placed = written(pages.filter("text IS NOT NULL").select("book", "page_no", mark, found.alias("f")).select("book", "page_no", "mark", "f.*"))
+    said = written(_told(placed))
+    texts = pages.select("book", "page_no", mark, "text")
+
+    def met(kind: str) -> DataFrame:
+        """The sections of one kind with their lines."""
+        some = said.filter(F.size(kind) > 0).select(F.col("book").alias("_book"), F.col("page_no").alias("_page"), F.col("mark").alias("_mark"), "heads", F.col(kind).alias("sections"))
+        some = F.broadcast(some) if some.limit(SMALL + 1).count() <= SMALL else some.hint("shuffle_hash")
+        rows = texts.join(some, F.col("book").eqNullSafe(F.col("_book")) & F.col("page_no").eqNullSafe(F.col("_page")) & (F.col("mark") == F.col("_mark")))
+        made = let(F.split("text", "\n", -1), lambda lines: F.transform("sections", lambda s: section(lines, s)))
+        return rows.select("book", "page_no", F.explode(made).alias("p")).select("book", "page_no", "p.*")
+
+    def section(lines: Column, s: Column) -> Column:
         start = F.when(s["j"] > 0, F.get("heads", s["j"] - 1)).otherwise(1)
-        body = lines_of(start, s["j"])
-        return F.struct(s["chapter_index"].alias("chapter_index"), F.when(s["j"] > 0, strip(F.get("lines", start - 1))).alias("title"), F.when(F.size(body) > 0, F.array_join(body, "\n")).alias("body"))
+        body = lines_of(lines, F.col("heads"), start, s["j"])
+        told = lambda b: F.struct(s["chapter_index"].alias("chapter_index"), F.when(s["j"] > 0, strip(F.get(lines, start - 1))).alias("title"), F.when(F.size(b) > 0, F.array_join(b, "\n")).alias("body"))
+        return let(body, told)
+
+    whole = met("alone").select("book", "chapter_index", "title", F.col("body").alias("text"))
+    if said.filter(F.size("shared") > 0).isEmpty():
+        return whole
+    parts = met("shared").groupBy("book", "chapter_index").agg(F.max("title").alias("title"), ordered_join("page_no", "body", "\n").alias("text"))
+    return whole.unionByName(parts.select("book", "chapter_index", "title", "text"))
 
-    parts = met.select("book", "page_no", F.explode(F.transform("sections", section)).alias("p")).select("book", "page_no", "p.*")
-    return parts.groupBy("book", "chapter_index").agg(F.max("title").alias("title"), ordered_join("page_no", "body", "\n").alias("text")).select("book", "chapter_index", "title", "text")
 
+def _told(placed: DataFrame) -> DataFrame:
+    """book, page_no, mark, heads and two lists (j, chapter_index) of a text's sections: those that are ``alone`` a chapter and those of chapters with other parts (``shared``).
 
-def _sections(placed: DataFrame, counts: DataFrame) -> DataFrame:
-    """book, page_no, mark, heads, j, has, n: the sections of each page with their numbers in the book, without what stands before its first heading."""
-    rows = with_ahead(placed, counts, "page_no")
-    told = rows.select("book", "page_no", "mark", "heads", "_ahead", F.posexplode("full").alias("j", "has"))
-    return told.select("book", "page_no", "mark", "heads", "j", "has", (F.col("_ahead") + F.col("j")).alias("n")).filter("n > 0")
+    ``placed`` has the places of headings in each text and ``full``, the numbers j of its sections
+    that hold lines. Section j of a place is part j + a of its book, where a is the number of
+    headings in the places before; so only a place's first and last parts go on over places.
+    """
+    by_place = placed.groupBy("book", "page_no").agg(F.sum(F.size("heads")).alias("k"), F.count("*").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("full")))).alias("js"))
+    rows = written(with_ahead(by_place, by_place.select("book", "page_no", F.col("k").alias("_n")), "page_no").withColumnRenamed("_ahead", "a"))
+    first = rows.select("book", F.col("a").alias("n"), F.array_contains("js", 0).alias("has"), F.when(F.array_contains("js", 0), F.col("copies")).otherwise(0).alias("copies"))
+    last = rows.filter("k > 0").select("book", (F.col("a") + F.col("k")).alias("n"), F.array_contains("js", F.col("k").cast("int")).alias("has"), "copies")
+    ends = first.filter("n > 0").unionByName(last).groupBy("book", "n").agg(F.bool_or("has").alias("_goes"), (F.sum("copies") > 1).alias("_many")).select(F.col("book").alias("_book"), F.col("n").alias("_end"), "_goes", "_many")
+    rows = rows.join(ends, F.col("book").eqNullSafe(F.col("_book")) & (F.col("a") + F.col("k") == F.col("_end")) & (F.col("k") > 0), "left").drop("_book", "_end")
+    # The parts of a place that begin in it and hold lines, there or (the last one) in a place behind it.
+    own = F.filter("js", lambda j: (j > 0) & (j < F.col("k")))
+    own = F.when(F.coalesce("_goes", F.lit(False)), F.concat(own, F.array(F.col("k").cast("int")))).otherwise(own)
+    rows = written(rows.select("book", "page_no", "k", "a", "copies", own.alias("own"), F.coalesce("_many", F.lit(False)).alias("many")))
+    rows = with_ahead(rows, rows.select("book", "page_no", F.size("own").alias("_n")), "page_no")
+    rows = rows.select(F.col("book").alias("_book"), F.col("page_no").alias("_page"), "k", "a", "copies", "own", "many", F.col("_ahead").cast("int").alias("at"))
+    # Rows of one place and text are alike, and so is what is said of them.
+    texts = placed.dropDuplicates(["book", "page_no", "mark"])
+    texts = texts.join(rows, F.col("book").eqNullSafe(F.col("_book")) & F.col("page_no").eqNullSafe(F.col("_page")))
+    numbered_own = F.filter(F.transform("own", lambda j, i: F.struct(j.alias("j"), (F.col("at") + i).alias("chapter_index"))), lambda s: s["j"] <= F.size("heads"))
+    lone = lambda s: F.when(s["j"] == F.col("k"), ~F.col("many")).otherwise(F.col("copies") == 1)
+    ahead = F.when((F.col("a") > 0) & F.array_contains("full", 0), F.array(F.struct(F.lit(0).alias("j"), (F.col("at") - 1).alias("chapter_index"))))
+    ahead = F.coalesce(ahead, F.array().cast("array<struct<j:int,chapter_index:int>>"))
+    told = texts.select("book", "page_no", "mark", "heads", "k", "copies", "many", numbered_own.alias("_own"), ahead.alias("_first"))
+    return told.select("book", "page_no", "mark", "heads", F.filter("_own", lone).alias("alone"), F.concat("_first", F.filter("_own", lambda s: ~lone(s))).alias("shared"))
 
 
 def page_groups(pages: DataFrame, size: int = PAGES_PER_GROUP) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import patterns, speech
 from lectern.operators import chapters, jobs, timing
-from lectern import settings
+from lectern import settings, storage
 from lectern.sources import archives, audio, epub, markup, pdf
 from lectern.streaming import progress
 
@@ -275,6 +275,14 @@ def test_a_large_book_is_numbered_in_cells(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_headings_are_numbered_without_a_row_per_section(spark):
+    pages = spark.createDataFrame([(b, k, "\n".join(f"Chapter {j}\nx{j}" for j in range(40))) for b in "ab" for k in range(3)] + [("a", 3, "on")], "book string, page_no int, text string")
+    with storage.lifetime(spark) as made:
+        got = rows(chapters.page_headings(pages), "book", "chapter_index")
+        assert max(spark.read.parquet(path).count() for path in made) <= 7
+    assert [r[1] for r in got if r[0] == "a"] == list(range(120)) and got[119][2:] == ("Chapter 39", "x39\non") and got[120] == ("b", 0, "Chapter 0", "x0")
+
+
 def test_absorbing_splits_a_job_of_many_events(spark):
     e = [(1, 1, "cleaning"), (1, 2, "failed"), (1, 2, "failed"), (1, 3, "done"), (None, 1, "done"), (None, 2, "cleaning"), (2, None, "cleaning"), (2, 4, None)]
     events = spark.createDataFrame(e, "job int, event_id int, status string")
