@@ -10,7 +10,8 @@ SP = r"(?U:[\s\x1c-\x1f])"
 #: A place between a word character and none.
 EDGE = rf"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 
-STRIP = rf"\A{SP}+|{SP}+\z"
+#: The characters of white space.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 TAG = r"<[^>]+>"

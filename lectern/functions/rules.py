@@ -75,7 +75,7 @@ def _character(code: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends, all Unicode kinds of it."""
-    return F.regexp_replace(text, P.STRIP, "")
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def drop_tags(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.binding import let
 from lectern.functions.patterns import SP
 from lectern.functions.rules import strip
-from lectern.operators.sentences import END, Model, protected, unmasked
+from lectern.operators.sentences import Model, parts, protected, unmasked
 
 MAX_CHARS = 400
 CLAUSE_MARKS = (";", ":", ",")
@@ -28,15 +28,14 @@ def paragraphs(text: Column) -> Column:
 
 
 def sentences(paragraph: Column) -> Column:
-    parts = F.transform(F.split(paragraph, END, -1), strip)
-    return F.filter(parts, lambda s: s != "")
+    return F.filter(F.transform(parts(paragraph), strip), lambda s: s != "")
 
 
 def _by_mark(piece: Column, mark: str, most: int) -> Column:
     """A piece over the limit cut after every ``mark`` (the last part without one), if that makes several."""
-    parts = F.filter(F.transform(F.split(piece, mark, -1), strip), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(piece, mark, -1), strip), lambda p: p != "")
     # Joining with a mark and a separator puts the mark behind all parts but the last.
-    told = let(parts, lambda ps: F.when(F.size(ps) > 1, F.split(F.array_join(ps, mark + _MARK), _MARK, -1)).otherwise(F.array(piece)))
+    told = let(cut, lambda ps: F.when(F.size(ps) > 1, F.split(F.array_join(ps, mark + _MARK), _MARK, -1)).otherwise(F.array(piece)))
     return F.when(F.length(piece) > most, told).otherwise(F.array(piece))
 
 

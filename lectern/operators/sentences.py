@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.binding import let
-from lectern.functions.patterns import SP
+from lectern.functions.patterns import SP, SPACES
 from lectern.storage import written
 
 #: Thresholds and the share of periods that an abbreviation is expected to have.
@@ -36,12 +36,15 @@ ABBREVIATION, COLLOCATION, STARTER, EXPECTED = 0.3, 7.88, 30.0, 0.99
 SMALL = 50_000
 #: A possible sentence end: white space after a mark and closing quotes or brackets.
 END = rf"(?<=[.!?]|[.!?][\"')\]]|[.!?][\"')\]]{{2}}){SP}+"
+#: The same with its mark, which is searched fast: the white space is its second group.
+_MARKED_END = rf"([.!?][\"')\]]{{0,2}})({SP}+)"
 NUMBER = "##"
 _OPEN, _CLOSE = "(\"'[{«“‘", ")\"']}»”’,;:"
 _NUMBER = r"^[+$€£-]?[0-9][0-9.,:/-]*%?$"
-#: White space, each with a noncharacter of its own.
-_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_MASKS = "".join(chr(0xFDD0 + k) for k in range(len(_SPACES)))
+#: A noncharacter for each kind of white space.
+_MASKS = "".join(chr(0xFDD0 + k) for k in range(len(SPACES)))
+#: A noncharacter that stands for possible ends.
+_CUT = "\ufdee"
 
 
 def core(token: Column) -> Column:
@@ -80,11 +83,23 @@ def paragraphs(text: Column) -> Column:
     return F.split(text, "\n\n", -1)
 
 
+def parts(text: Column) -> Column:
+    """What lies between the possible sentence ends; a text that holds the noncharacter is cut by the pattern itself."""
+    cut = lambda t: F.when(t.contains(_CUT), F.split(t, END, -1)).otherwise(F.split(F.regexp_replace(t, _MARKED_END, "$1" + _CUT), _CUT, -1))
+    return let(text, cut)
+
+
+def gaps(text: Column) -> Column:
+    """The white space of the possible sentence ends."""
+    return F.regexp_extract_all(text, F.lit(_MARKED_END), F.lit(2))
+
+
 def token_pairs(texts: DataFrame, text_col: str) -> DataFrame:
     """token, before (of the same paragraph, or null), n: how often the corpus has them."""
-    tokens = lambda p: F.array_remove(F.split(p, rf"{SP}+", -1), "")
-    pairs = lambda p: let(tokens(p), lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("token"), F.get(ts, i - 1).alias("before"))))
-    rows = texts.select(F.explode(F.flatten(F.transform(paragraphs(F.col(text_col)), pairs))).alias("p"))
+    tokens = texts.select(F.explode(paragraphs(F.col(text_col))).alias("p")).select(F.array_remove(F.split("p", rf"{SP}+", -1), "").alias("token"))
+    # Each token beside the one before it; the last one stands before none.
+    pairs = F.arrays_zip("token", F.concat(F.array(F.lit(None).cast("string")), "token").alias("before"))
+    rows = tokens.select(F.explode(pairs).alias("p")).filter("p.token IS NOT NULL")
     # What stands before matters only where it may end a sentence.
     end = F.rtrim(F.col("p.before"), F.lit(_CLOSE))
     before = F.when(F.col("p.before").isNull() | end.endswith("."), F.col("p.before")).when(end.endswith("!") | end.endswith("?"), "!").otherwise("-")
@@ -172,12 +187,12 @@ def ends(texts: DataFrame, text_col: str) -> DataFrame:
     """key, at, before, next: the words around the white space of every possible end (number ``at`` of its text) after a period in a paragraph; equal texts have equal keys."""
     text = F.col("_text")
     rows = texts.select(F.col(text_col).alias("_text")).filter(text.rlike(rf"\.[\"')\]]{{0,2}}{SP}")).select(F.md5(text).alias("key"), "_text")
-    parts, gaps = F.split(text, END, -1), F.regexp_extract_all(text, F.lit(END), F.lit(0))
+    # The last word of a part is what its last white space leaves.
     around = let(
-        parts,
+        parts(text),
         lambda ps: F.transform(
-            gaps,
-            lambda g, i: F.struct(i.alias("at"), F.regexp_extract(F.get(ps, i), rf"({_NO_SPACE}+)\z", 1).alias("before"), F.regexp_extract(F.get(ps, i + 1), rf"\A{_NO_SPACE}+", 0).alias("next"), g.contains("\n\n").alias("apart")),
+            gaps(text),
+            lambda g, i: F.struct(i.alias("at"), F.regexp_replace(F.get(ps, i), rf"(?s)\A.*{SP}", "").alias("before"), F.regexp_extract(F.get(ps, i + 1), rf"\A{_NO_SPACE}+", 0).alias("next"), g.contains("\n\n").alias("apart")),
         ),
     )
     found = rows.select("key", F.explode(around).alias("e")).select("key", "e.*")
@@ -213,11 +228,11 @@ def protected(texts: DataFrame, model: Model, text_col: str = "text") -> DataFra
     # Rows travel as structs, so that no column name clashes.
     text = F.col("_row")[text_col]
     flags = F.flatten(F.transform("_inside", lambda x, j: F.concat(F.array_repeat(F.lit(False), x - F.coalesce(F.get("_inside", j - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
-    gaps = lambda fs: F.transform(F.regexp_extract_all(text, F.lit(END), F.lit(0)), lambda g, i: F.when(F.coalesce(F.get(fs, i), F.lit(False)), F.translate(g, _SPACES, _MASKS)).otherwise(g))
-    masked = lambda fs: F.array_join(F.zip_with(F.split(text, END, -1), gaps(fs), lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
+    told_gaps = lambda fs: F.transform(gaps(text), lambda g, i: F.when(F.coalesce(F.get(fs, i), F.lit(False)), F.translate(g, SPACES, _MASKS)).otherwise(g))
+    masked = lambda fs: F.array_join(F.zip_with(parts(text), told_gaps(fs), lambda p, g: F.concat(p, F.coalesce(g, F.lit("")))), "")
     told = texts.select(F.struct(*texts.columns).alias("_row")).join(marks, F.md5(text) == F.col("_key"), "left")
     return told.select(*[(F.when(F.col("_inside").isNotNull(), let(flags, masked)).otherwise(text) if c == text_col else F.col("_row")[c]).alias(c) for c in texts.columns])
 
 
 def unmasked(text: Column) -> Column:
-    return F.translate(text, _MASKS, _SPACES)
+    return F.when(text.rlike(f"[{_MASKS[0]}-{_MASKS[-1]}]"), F.translate(text, _MASKS, SPACES)).otherwise(text)

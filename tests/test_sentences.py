@@ -1,10 +1,12 @@
 """Sentence ends learnt from the corpus."""
 
 import math
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lectern.functions.rules import strip
 from lectern.operators import chunks, sentences
 
 TEXTS = [
@@ -89,3 +91,25 @@ def test_chunks_keep_words_and_white_space(spark):
         own = [r for r in rows if r.id == k]
         assert " ".join(r.text for r in own).split() == t.split()
         assert all(len(r.text) <= 60 for r in own)
+
+
+def test_parts_and_gaps_of_odd_texts(spark):
+    """What is searched from the mark on is what the pattern of an end itself finds."""
+    texts = ["", " ", "a", "A. B! C?", "x.') y.')] z.\")') w", "a..  b.  \n\nc.\x1dd. ", "?!) ' . \" .\" ", "a. b\ufdee. c. d", ".\n", None, "\U0001f600. \U0001f600! "]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select(sentences.parts(F.col("text")), F.split("text", sentences.END, -1), sentences.gaps(F.col("text")), F.regexp_extract_all("text", F.lit(sentences.END), F.lit(0))).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in got)
+
+
+def test_ends_behind_long_words_take_linear_time(spark):
+    """A long word inside a sentence was looked through from each of its characters."""
+    texts = spark.createDataFrame([("x" * 200_000 + " etc. Next one. ",)], "text string")
+    begun = time.monotonic()
+    assert [(r.at, r.before, r.next) for r in sentences.ends(texts, "text").collect()] == [(0, "etc.", "Next")]
+    assert time.monotonic() - begun < 30
+
+
+def test_strip_takes_all_white_space(spark):
+    space = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    rows = spark.createDataFrame([(space + "a" + space + "b\u200b" + space,), (space,), ("",), (None,), ("é😀",)], "t string")
+    assert [r[0] for r in rows.select(strip(F.col("t"))).collect()] == ["a" + space + "b\u200b", "", "", None, "é😀"]
