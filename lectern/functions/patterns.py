@@ -16,9 +16,10 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 TAG = r"<[^>]+>"
 ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-FOOTNOTE = rf"""(?<=[a-zA-Z.,!?"']){SP}*(?:\[\p{{Nd}}{{1,3}}\]|\(\p{{Nd}}{{1,3}}\)|[¹²³⁰-⁹]+)(?={SP}|\z|\n\z)"""
+# Where a match may begin is looked at first, here and below: the costlier parts then run at few places.
+FOOTNOTE = rf"""(?=[\[(¹²³⁰-⁹]|{SP})(?<=[a-zA-Z.,!?"']){SP}*(?:\[\p{{Nd}}{{1,3}}\]|\(\p{{Nd}}{{1,3}}\)|[¹²³⁰-⁹]+)(?={SP}|\z|\n\z)"""
 SPLIT_WORD = rf"({W})-\n({W})"
-DASH = rf"{SP}*[–—]{SP}*"
+DASH = rf"(?:{SP}++[–—]|[–—]){SP}*"
 TABLE_LINE = r"(?d)\|.*\|"
 SPACE_BEFORE_MARK = rf"{SP}+([.,!?;:])"
 FOREIGN = r"[^\x00-\x7F]{4,}"
@@ -31,7 +32,7 @@ ORDINAL = rf"{_START}[0-9]+(?i:st|nd|rd|th){_END}"
 YEAR = rf"{_START}(?:1[0-9]{{3}}|20[0-9]{{2}}){_END}"
 PLAIN = r"(?=[0-9])(?<![\p{L}\p{N}_.])[0-9]{1,9}(?![\p{L}\p{N}_.])"
 # All of them in one search. Amounts come first in the order of rules: to the others, one that follows is a word already.
-NUMBER = rf"{CURRENCY}|(?:{DECIMAL}|{ORDINAL}|{YEAR}|{PLAIN})(?!{CURRENCY})"
+NUMBER = rf"(?=[0-9$£€])(?:{CURRENCY}|(?:{DECIMAL}|{ORDINAL}|{YEAR}|{PLAIN})(?!{CURRENCY}))"
 
 SPINE_SKIP = r"(?i)(cover|titlepage|title-page|toc|nav|copyright|colophon|dedication|pg-header|pg-footer|wrap0000)"
 CONTENTS_TITLE = r"(?i)^((table of )?contents( in detail)?|index)\n?\z"

@@ -78,8 +78,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(P.SPACES))
 
 
+def where(text: Column, marks: tuple[str, ...], rule: Rule) -> Column:
+    """The rule on texts that hold one of some literals, without which it changes nothing: they are searched by bytes."""
+    return let(text, lambda t: F.when(reduce(Column.__or__, [t.contains(m) for m in marks]), rule(t)).otherwise(t))
+
+
 def drop_tags(text: Column) -> Column:
-    return F.regexp_replace(text, P.TAG, "")
+    return where(text, ("<",), lambda t: F.regexp_replace(t, P.TAG, ""))
 
 
 def strip_markup(text: Column) -> Column:
@@ -92,11 +97,12 @@ def drop_footnotes(text: Column) -> Column:
 
 
 def join_split_words(text: Column) -> Column:
-    return F.regexp_replace(text, P.SPLIT_WORD, "$1$2")
+    return where(text, ("-\n",), lambda t: F.regexp_replace(t, P.SPLIT_WORD, "$1$2"))
 
 
 def plain_quotes_and_dashes(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "‘’“”", "''\"\""), P.DASH, " — ")
+    plain = reduce(lambda t, q: F.replace(t, F.lit(q[0]), F.lit(q[1])), ["‘'", "’'", '“"', '”"'], text)
+    return where(plain, ("–", "—"), lambda t: F.regexp_replace(t, P.DASH, " — "))
 
 
 def skip_tables(text: Column) -> Column:
@@ -115,8 +121,8 @@ def skip_tables(text: Column) -> Column:
 
 
 def tidy_white_space(text: Column) -> Column:
-    steps = [(r"[ \t]+\n", "\n"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
-    return strip(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
+    steps = [((" \n", "\t\n"), r"[ \t]+\n", "\n"), (("  ", " \t", "\t\t", "\t "), r"[ \t]{2,}", " "), (("\n\n\n",), r"\n{3,}", "\n\n")]
+    return strip(reduce(lambda t, s: where(t, s[0], lambda x: F.regexp_replace(x, s[1], s[2])), steps, text))
 
 
 def expand_abbreviations(text: Column) -> Column:
@@ -124,8 +130,10 @@ def expand_abbreviations(text: Column) -> Column:
 
     Each pattern begins with its literal, which is searched fast, and looks at what stands before it afterwards.
     """
-    each = lambda t, k: F.regexp_replace(t, rf"\Q{k}\E(?<!{P.W}\Q{k}\E)(?!{P.W})", ABBREVIATIONS[k])
-    return reduce(each, sorted(ABBREVIATIONS, key=len, reverse=True), text)
+    known = sorted(ABBREVIATIONS, key=len, reverse=True)
+    told = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(rf"\Q{k}\E(?<!{P.W}\Q{k}\E)(?!{P.W})").alias("pattern"), F.lit(ABBREVIATIONS[k]).alias("to")) for k in known])
+    # A step for each, in one expression; what a text does not hold is not looked for by pattern.
+    return F.aggregate(told, text, lambda t, k: F.when(t.contains(k["key"]), F.regexp_replace(t, k["pattern"], k["to"])).otherwise(t))
 
 
 def close_up_marks(text: Column) -> Column:
