@@ -200,10 +200,24 @@ def page_chapters(pages: DataFrame) -> DataFrame:
 SEPARATORS = ("\n\n", "\n", " ")
 
 
+def _gathered(piece: Column, most: int, mark: str) -> Column:
+    """Units between marks, gathered greedily up to the limit; without empty pieces.
+
+    For a mark of one character a piece is the longest match that ends before a mark: a search, not a
+    step for every unit. Characters beyond the basic plane would nest such a search, and two-character
+    marks may overlap: these take the scan, with the same pieces.
+    """
+    scan = F.filter(packed_strings(F.split(piece, mark, -1), most, mark), lambda q: q != "")
+    if len(mark) > 1:
+        return scan
+    found = F.regexp_extract_all(piece, F.lit(rf"[^{mark}](?s:.{{0,{most - 1}}})(?=[{mark}]|\z)|[^{mark}]+"), F.lit(0))
+    return F.when(piece.rlike(r"[\x{10000}-\x{10ffff}]"), scan).otherwise(found)
+
+
 def cut(text: Column, most: int) -> Column:
     """Pieces within the limit: units of the coarsest separator are gathered, what is larger than the limit is cut by finer ones, then by length."""
     large = lambda p: F.length(p) > most
-    by = lambda pieces, mark: F.flatten(F.transform(pieces, lambda p: F.when(large(p) & p.contains(mark), F.filter(packed_strings(F.split(p, mark, -1), most, mark), lambda q: q != "")).otherwise(F.array(p))))
+    by = lambda pieces, mark: F.flatten(F.transform(pieces, lambda p: F.when(large(p) & p.contains(mark), _gathered(p, most, mark)).otherwise(F.array(p))))
     pieces = reduce(by, SEPARATORS, F.array(text))
     kept = F.filter(pieces, lambda p: large(p) | ~blank(p))
     slices = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))
