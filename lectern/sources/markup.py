@@ -216,8 +216,9 @@ def walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of id and markup to batches of id and what the walks find, which hold few documents each."""
     first = next(batches, None)
     if first is not None:
-        found = ((({"id": r["id"]} | walked(r["markup"])), len(r["markup"] or "")) for r in rows_of(chain([first], batches)))
-        yield from batched(found, pa.schema([first.schema.field(0), *_ARROW]))
+        schema, given = pa.schema([first.schema.field(0), *_ARROW]), chain(iter([first]), batches)
+        del first  # else it is held until the task ends, as a list in the chain would be
+        yield from batched(((({"id": r["id"]} | walked(r["markup"])), len(r["markup"] or "")) for r in rows_of(given)), schema)
 
 
 def parsed(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:

@@ -2,6 +2,7 @@ import io
 import re
 import tracemalloc
 import wave
+import weakref
 import zipfile
 from urllib.parse import quote
 
@@ -454,6 +455,23 @@ def test_walks_hold_few_documents_at_a_time(monkeypatch):
     assert list(markup.walks(iter([]))) == []
 
 
+def test_walks_let_go_of_what_is_walked():
+    """Of the batches that a task gets, no more are alive than the last one, and none when it has ended."""
+    made, most = [], []
+    alive = lambda: sum(r() is not None for r in made)
+
+    def given():
+        for k in range(5):
+            most.append(alive())
+            batch = pa.record_batch({"id": [k], "markup": [f"<p>{k}</p>"]})
+            made.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    assert [r["pieces"] for b in markup.walks(given()) for r in b.to_pylist()] == [[str(k)] for k in range(5)]
+    assert max(most) == 1 and not alive()
+
+
 def test_a_heading_without_text_starts_a_chapter(spark):
     items = [("b", 0, "i", "x", "One", ["body"], "body"), ("b", 1, "i", "x", "", [], ""), ("b", 2, "i", "x", None, [LONG], LONG), ("b", 3, "i", "x", None, [], "")]
     df = spark.createDataFrame(items, "book string, pos int, item_id string, href string, heading string, paragraphs array<string>, text string")
