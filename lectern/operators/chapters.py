@@ -86,22 +86,32 @@ def spine_chapters(items: DataFrame) -> DataFrame:
     return made.select("book", (F.col("n") - 1).cast("int").alias("chapter_index"), "title", "text")
 
 
-def section_chapters(blocks: DataFrame) -> DataFrame:
-    """book, chapter_index, title, text from blocks in order.
+def section_chapters(blocks: Column) -> Column:
+    """Chapters (chapter_index, title, text) of a document, from its blocks (is_heading, text) in order.
 
-    ``blocks`` has book, pos, is_heading, text. Text before the first heading is a
-    preface if it is long enough; blank sections go; a heading that is empty or a
-    bare number becomes its position.
+    Text before the first heading is a preface if it is long enough; blank sections go; a
+    heading that is empty or a bare number becomes its position. A block is looked at once
+    and belongs to one section, so time and memory are linear in the document.
     """
-    book = W.partitionBy("book").orderBy("pos")
-    rows = blocks.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(book))
-    body = F.when(~F.col("is_heading") & (F.col("text") != ""), F.col("text"))
-    parts = rows.withColumn("body", body).groupBy("book", "section").agg(F.max(F.when(F.col("is_heading"), F.col("text"))).alias("heading"), ordered_join("pos", "body", "\n\n").alias("text"))
-    kept = parts.filter(~blank(F.col("text")) & ((F.col("section") > 0) | (F.length("text") >= PREAMBLE)))
-    at = (F.row_number().over(W.partitionBy("book").orderBy("section")) - 1).cast("int")
-    bare = (F.col("heading") == "") | F.col("heading").rlike(P.BARE_NUMBER) | F.col("heading").rlike(P.BARE_CHAPTER)
-    title = F.when(F.col("section") == 0, "Preface").when(bare, F.concat(F.lit("Chapter "), (F.col("chapter_index") + 1).cast("string"))).otherwise(F.col("heading"))
-    return kept.withColumn("chapter_index", at).select("book", "chapter_index", title.alias("title"), "text")
+
+    def between(parts: Column, at: Column) -> Column:
+        """A section for each heading and one before the first; headings are at the places ``at``."""
+        first, stop = F.array(F.lit(-1)), F.array(F.size(parts))
+        spans = F.arrays_zip(F.concat(first, at).alias("at"), F.concat(at, stop).alias("stop"))
+        own = lambda s: F.transform(F.slice(parts, s["at"] + 2, s["stop"] - s["at"] - 1), lambda p: p["text"])
+        text = lambda s: F.array_join(F.filter(own(s), lambda t: t != ""), "\n\n")
+        return F.transform(spans, lambda s: F.struct(F.when(s["at"] >= 0, F.get(parts, s["at"])["text"]).alias("heading"), text(s).alias("text")))
+
+    def titled(s: Column, k: Column) -> Column:
+        heading = s["heading"]
+        bare = (heading == "") | heading.rlike(P.BARE_NUMBER) | heading.rlike(P.BARE_CHAPTER)
+        title = F.when(heading.isNull(), "Preface").when(bare, F.concat(F.lit("Chapter "), (k + 1).cast("string"))).otherwise(heading)
+        return F.struct(k.alias("chapter_index"), title.alias("title"), s["text"].alias("text"))
+
+    places = lambda parts: F.array_compact(F.transform(parts, lambda p, k: F.when(p["is_heading"], k)))
+    sections = let(blocks, lambda parts: let(places(parts), lambda at: between(parts, at)))
+    kept = F.filter(sections, lambda s: ~blank(s["text"]) & (s["heading"].isNotNull() | (F.length(s["text"]) >= PREAMBLE)))
+    return F.transform(kept, titled)
 
 
 def page_headings(pages: DataFrame) -> DataFrame:

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.binding import let
 from lectern.functions.rules import strip
 from lectern.operators.chapters import section_chapters
 from lectern.operators.timing import title_or
 from lectern.sources.batches import batched, rows_of
-from lectern.storage import written
 
 #: Elements that have no end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,17 +240,17 @@ def html_errors(docs: DataFrame, id_col: str, markup_col: str) -> DataFrame:
 
 
 def html_chapters(docs: DataFrame, id_col: str, markup_col: str, stem: str = "book") -> DataFrame:
-    """book, chapter_index, title, text of HTML documents: sections by heading, or else the whole body."""
-    # Written, so that documents are walked once and sections made once for both ways.
-    made = written(parsed(docs, id_col, markup_col).withColumnRenamed(id_col, "book").withColumn("blocks", F.filter("blocks", lambda b: ~F.col("has_body") | b["in_body"])))
-    flat = made.select("book", "pieces", F.posexplode("blocks").alias("pos", "b")).filter((F.col("b.tag") != "div") | F.col("b.leaf"))
-    is_heading = F.col("b.tag").isin(*HEADINGS)
-    text = F.when(is_heading, told(F.col("pieces"), F.col("b"), "")).otherwise(told(F.col("pieces"), F.col("b"), " "))
-    headed = written(section_chapters(flat.select("book", "pos", is_heading.alias("is_heading"), text.alias("text"))))
-    bare = made.join(headed.select("book").distinct(), "book", "left_anti")
+    """book, chapter_index, title, text of HTML documents: sections by heading, or else the whole body.
+
+    All of a document's chapters are made in the row of its walk: nothing is shuffled or written.
+    """
+    made = parsed(docs, id_col, markup_col).withColumnRenamed(id_col, "book").withColumn("blocks", F.filter("blocks", lambda b: ~F.col("has_body") | b["in_body"]))
+    is_heading = lambda b: b["tag"].isin(*HEADINGS)
+    text = lambda b: F.when(is_heading(b), told(F.col("pieces"), b, "")).otherwise(told(F.col("pieces"), b, " "))
+    flat = F.filter("blocks", lambda b: (b["tag"] != "div") | b["leaf"])
+    headed = section_chapters(F.transform(flat, lambda b: F.struct(is_heading(b).alias("is_heading"), text(b).alias("text"))))
     prose = F.slice("prose", F.col("body_start") + 1, F.col("body_stop") - F.col("body_start"))
     # Places of blocks are places in all pieces; only the lines of a body without paragraphs need its own.
-    leaves = paragraphs(F.col("prose"), F.col("blocks"))
-    body = F.array_join(F.when(F.size(leaves) > 0, leaves).otherwise(loose_lines(prose)), "\n\n")
-    whole = bare.select("book", F.lit(0).alias("chapter_index"), title_or(F.col("title"), F.lit(stem)).alias("title"), body.alias("text"))
-    return headed.unionByName(whole.filter(strip(F.col("text")) != ""))
+    body = let(paragraphs(F.col("prose"), F.col("blocks")), lambda leaves: F.array_join(F.when(F.size(leaves) > 0, leaves).otherwise(loose_lines(prose)), "\n\n"))
+    whole = F.filter(F.array(F.struct(F.lit(0).alias("chapter_index"), title_or(F.col("title"), F.lit(stem)).alias("title"), body.alias("text"))), lambda c: strip(c["text"]) != "")
+    return made.select("book", F.inline(let(headed, lambda chapters: F.when(F.size(chapters) > 0, chapters).otherwise(whole))))

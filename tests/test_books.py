@@ -472,6 +472,16 @@ def test_walks_let_go_of_what_is_walked():
     assert max(most) == 1 and not alive()
 
 
+def test_chapters_are_made_in_the_row_of_the_walk(spark):
+    """No exchange, and documents of one id or of none are not mixed."""
+    pages = [(None, "<h1>A</h1><p>one</p>"), (None, f"<p>{LONG}</p><h1>B</h1><p>two</p>"), (7, "<h1>3</h1><p>x</p>"), (7, "<h1>Ca</h1><p>y</p><h1>Do</h1><p>z</p>")]
+    made = markup.html_chapters(spark.createDataFrame(pages, "id int, html string"), "id", "html")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted((tuple(r) for r in made.collect()), key=str)
+    want = [(None, 0, "A", "one"), (None, 0, "Preface", LONG.strip()), (None, 1, "B", "two"), (7, 0, "Chapter 1", "x"), (7, 0, "Ca", "y"), (7, 1, "Do", "z")]
+    assert got == sorted(want, key=str)
+
+
 def test_a_heading_without_text_starts_a_chapter(spark):
     items = [("b", 0, "i", "x", "One", ["body"], "body"), ("b", 1, "i", "x", "", [], ""), ("b", 2, "i", "x", None, [LONG], LONG), ("b", 3, "i", "x", None, [], "")]
     df = spark.createDataFrame(items, "book string, pos int, item_id string, href string, heading string, paragraphs array<string>, text string")
